@@ -20,6 +20,7 @@ from itertools import product
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches
 
@@ -124,21 +125,20 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
-    """One row per row of `docs`: id, spans, and the redacted text if asked for (null texts stay null)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, spans {SPANS}" + ", redacted string" * redacted
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: id, the columns in `keep`, spans, and the redacted text if asked for (null texts stay null)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(id_col, *keep).schema) + f", spans {SPANS}" + ", redacted string" * redacted
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         found = [find_secrets(t) for t in texts]
-        columns = [batch.column(0), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in found], type=kinds)]
+        columns = [*batch.columns[1:], pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in found], type=kinds)]
         if redacted:
             columns.append(pa.array([t if not spans else redact(t, spans) for t, spans in zip(texts, found)], type=pa.string()))
-        return pa.RecordBatch.from_arrays(columns, names=[id_col, "spans", *["redacted"] * redacted])
+        return pa.RecordBatch.from_arrays(columns, names=[id_col, *keep, "spans", *["redacted"] * redacted])
 
-    return map_batches(docs.select(id_col, text_col), make, schema)
+    return map_batches(docs.select(F.col(text_col).alias("__text"), id_col, *keep), make, schema)
 
 
 def spans_text(spans: list[tuple[str, int, int]]) -> str:
