@@ -1,15 +1,499 @@
-"""Registered retrieval queries and their SQL."""
+"""Registered retrieval queries and their SQL.
+
+Each query applies an operator to whole tables. `documents` rows are chunks of their own here (one chunk per
+document) where the SQL has to follow; chunking has queries of its own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths as pa_
+from ..functions import redact as rd
+from ..functions import text as tx
+from ..functions import urls
+from ..functions.html import html_to_text_udf
+from ..operators import chunking, gate, index, packing, planning, ranking, scanning
+from ..sources import cache, tables
+from ..streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_sql(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# Pieces of SQL.
+
+_PARTS = r"regexp_replace(regexp_replace(regexp_replace(w,'[_$]+',' ','g'),'([a-z0-9])([A-Z])','\1 \2','g'),'([A-Z]+)([A-Z][a-z])','\1 \2','g')"
+
+
+def tokens_sql(text: str) -> str:
+    return f"""flatten(list_transform(regexp_extract_all(coalesce({text}, ''), {text_sql(tx.TOKEN)}), lambda w:
+      CASE WHEN regexp_matches(w, '^[{tx.CJK}]') THEN flatten(list_transform(range(1, length(w) + 1), lambda i: CASE WHEN i < length(w) THEN [substr(w, i, 1), substr(w, i, 2)] ELSE [substr(w, i, 1)] END))
+      ELSE list_concat(CASE WHEN length(w) >= 2 THEN [lower(w)] ELSE [] END,
+        CASE WHEN length(w) > 3 THEN list_filter(string_split_regex(lower({_PARTS}), ' +'), lambda p: length(p) >= 2 AND p <> lower(w)) ELSE [] END) END))"""
+
+
+_STOPS = ", ".join(map(text_sql, tx.STOP_WORDS))
+_POSTINGS = f"""toks AS (SELECT doc_id AS key, lang, source, {tokens_sql('text')} AS body, {tokens_sql("doc_id::VARCHAR || ' ' || doc_id::VARCHAR")} AS head FROM documents),
+  lengths AS (SELECT key, greatest(len(body), 1) AS dl FROM toks),
+  postings AS (SELECT term, key, sum(w)::INT AS tf FROM (SELECT key, unnest(body) AS term, 1 AS w FROM toks UNION ALL SELECT key, unnest(head) AS term, {index.HEAD_WEIGHT} AS w FROM toks) GROUP BY ALL)"""
+_TERMS = f"""terms AS (SELECT query_id, term, count(*) AS weight FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark) WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
+
+
+def bm25_sql(name: str, where: str, top: int) -> str:
+    return f"""{name}_totals AS (SELECT count(*) AS n, coalesce(avg(dl), 1) AS avgdl FROM lengths),
+  {name}_df AS (SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM terms) GROUP BY term),
+  {name}_w AS (SELECT query_id, term, (1 + ln(weight)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w, avgdl FROM terms JOIN {name}_df USING (term) CROSS JOIN {name}_totals WHERE df / n <= {ranking.COMMON_SHARE} OR length(term) > {ranking.SHORT}),
+  {name}_s AS (SELECT query_id, key, round(sum(w * tf * {ranking.K1 + 1} / (tf + {ranking.K1} * ({1 - ranking.B} + {ranking.B} * dl / avgdl))), {ranking.DIGITS}) AS score
+    FROM postings JOIN {name}_w USING (term) JOIN lengths USING (key) JOIN toks USING (key) WHERE {where} GROUP BY query_id, key),
+  {name} AS (SELECT * FROM (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM {name}_s) WHERE rank <= {top})"""
+
+
+# Frames that several queries share.
+
+
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id"), name.alias("title"), name.alias("path"), "text", "lang", F.col("source").alias("source_id"), F.lit("doc").alias("kind"))
+
+
+def searched(spark: SparkSession, sf_dir: str, top: int, lang: str | None = None) -> DataFrame:
+    chunks = doc_chunks(spark, sf_dir)
+    terms = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    allowed = chunks.where(F.col("lang") == lang).select("key") if lang else None
+    return ranking.bm25(index.postings_of(chunks), index.lengths_of(chunks), terms, allowed, top)
+
+
+def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as settings files of a repository, for scans."""
+    path = F.concat(F.lit("conf/"), F.col("doc_id"), F.lit(".json"))
+    return tables.as_docs(table(spark, sf_dir, "documents"), F.coalesce("source", F.lit("table")), path, F.col("text"), "config", "github", lang=F.lit("js"), url=F.concat(F.lit("https://git.example/"), path))
+
+
+# Tokens, postings and statistics.
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
+def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@query(f"WITH {_POSTINGS} SELECT term, key, tf FROM postings")
+def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings_of(doc_chunks(spark, sf_dir))
+
+
+@query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_stats(index.postings_of(doc_chunks(spark, sf_dir)))
+
+
+@query(f"WITH {_POSTINGS} SELECT (SELECT count(*) FROM lengths) AS n, (SELECT round(avg(dl), 6) FROM lengths) AS avgdl, (SELECT count(DISTINCT term) FROM postings) AS terms")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = doc_chunks(spark, sf_dir)
+    lengths = index.lengths_of(chunks).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return lengths.join(F.broadcast(index.postings_of(chunks).agg(F.countDistinct("term").alias("terms"))))  # one row each
+
+
+@query("SELECT source AS source_id, count(*) AS chunks, count(DISTINCT doc_id) AS documents, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents e WHERE e.source = d.source GROUP BY lang)) AS kinds FROM documents d GROUP BY source")
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = index.source_stats(doc_chunks(spark, sf_dir).withColumn("kind", F.col("lang")))
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return stats.select("source_id", "chunks", "documents", kinds.alias("kinds"))
+
+
+_WIDE = text_sql(f"[{tx.WIDE}]")
+
+
+@query(f"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE (ceil(w * {tx.WIDE_A_TOKEN} + (length(text) + a - w) / {tx.CHARS_A_TOKEN}) + 1)::INT END AS n_tokens FROM (SELECT doc_id, text, len(regexp_extract_all(text, {_WIDE}))::DOUBLE AS w, len(regexp_extract_all(text, '[\\x{{10000}}-\\x{{10FFFF}}]')) AS a FROM documents)")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("n_tokens"))
+
+
+# Ranking.
+
+
+@query(f"WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 10)} SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM hits")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searched(spark, sf_dir, 10).select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+
+
+_ENGLISH = bm25_sql("english", "lang = 'en'", 10)
+
+
+@query(f"WITH {_POSTINGS}, {_TERMS}, {_ENGLISH} SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM english")
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searched(spark, sf_dir, 10, "en").select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS key, round(list_dot_product(e, embedding::DOUBLE[]), 9) AS score FROM q, embeddings)
+  SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 20""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    stated = vectors.where("key % 50 = 0").select(F.col("key").alias("query_id"), "embedding")
+    return ranking.vector_search(vectors, stated, 20).select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT vec_id, len(embedding)::INT AS dims, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).alias("dims"), F.round(F.sqrt(tx.dot(v, v)), 6).alias("norm"))
+
+
+_FUSED = f"""lists AS (SELECT query_id, 0 AS list_no, 'bm25' AS kind, key, score FROM hits UNION ALL SELECT query_id, 1, 'vector', key, score FROM english),
+  spans AS (SELECT *, max(score) OVER p AS high, min(score) OVER p AS low FROM lists WINDOW p AS (PARTITION BY query_id, list_no)),
+  fused AS (SELECT query_id, key, round(sum(CASE WHEN kind = 'vector' THEN CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END WHEN high > 0 THEN score / high ELSE 0 END) / 2, {ranking.DIGITS}) AS score FROM spans GROUP BY query_id, key)"""
+_HYBRID = f"WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 60)}, {bm25_sql('english', chr(108) + 'ang = ' + text_sql('en'), 60)}, {_FUSED}"
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = searched(spark, sf_dir, 60).select("query_id", F.lit(0).alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
+    b = searched(spark, sf_dir, 60, "en").select("query_id", F.lit(1).alias("list_no"), F.lit("vector").alias("kind"), "key", "score")
+    lists = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(2).alias("n")).distinct()
+    return ranking.fuse(a.unionByName(b), lists)
+
+
+@query(f"{_HYBRID} SELECT query_id, key, round(score, 6) AS score FROM fused")
+def fuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).select("query_id", "key", F.round("score", 6).alias("score"))
+
+
+_KIND_PRIORS, _SOURCE_PRIORITY = {"doc": 0.5}, {"src0": 1.0, "src8": 0.6, "src9": -0.5}
+_PRIORITY_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SOURCE_PRIORITY.items()) + " ELSE 0 END"
+
+
+@query(f"""{_HYBRID}, every AS (SELECT query_id, list(DISTINCT term) AS ts FROM terms GROUP BY query_id),
+  b AS (SELECT query_id, key, score, len(list_intersect(ts, head)) / len(ts) AS o, {_PRIORITY_SQL} AS pr, len(head) AS h FROM fused JOIN every USING (query_id) JOIN toks USING (key))
+  SELECT query_id, key, round(round(score * greatest({ranking.LEAST_FACTOR}, 1 + {ranking.PATH_BOOST} * CASE WHEN h > 0 THEN o ELSE 0 END + {ranking.KIND_BOOST} * 0.5 + {ranking.SOURCE_BOOST} * pr), 9), 6) AS score FROM b""")
+def boosted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return ranking.boosted(fused(spark, sf_dir), doc_chunks(spark, sf_dir), terms, _KIND_PRIORS, _SOURCE_PRIORITY).select("query_id", "key", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 10)}, pool AS (SELECT query_id, key, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
+  pairs AS (SELECT a.query_id, a.key AS a, b.key AS b, len(list_intersect(a.ts, b.ts)) AS i, len(a.ts) AS na, len(b.ts) AS nb FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.key < b.key)
+  SELECT query_id, a, b, round(i / greatest(na + nb - i, 1), 6) AS similarity FROM pairs WHERE round(i / greatest(na + nb - i, 1), 6) >= 0.1""")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = doc_chunks(spark, sf_dir).select("key", F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, ranking.MOST_TOKENS)).alias("terms"))
+    return ranking.jaccard_pairs(searched(spark, sf_dir, 10).select("query_id", "key").join(chunks, "key"), 0.1)
+
+
+@query()
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.diversified(searched(spark, sf_dir, 60).select("query_id", "key", "score"), doc_chunks(spark, sf_dir), 10)
+
+
+# Packs and labels.
+
+_LINES = "len(string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)))"
+_BUDGET = 3000
+
+
+def hits(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "key")
+    n = F.size(F.split(F.regexp_replace("text", "\\n\\z", ""), "\n", -1))
+    rows = searched(spark, sf_dir, top).join(docs, "key")
+    return rows.select("query_id", F.col("key").cast("string").alias("doc_id"), F.col("source").alias("source_id"), F.lit("github").alias("source_type"), F.col("key").cast("string").alias("path"), F.col("key").cast("string").alias("title"), F.lit("code").alias("kind"), F.concat(F.lit("https://git.example/"), "key").alias("url"), F.lit(None).cast("string").alias("version"), F.lit(1).alias("start"), n.alias("end"), F.lit(False).alias("partial"), "text", "score")
+
+
+@query(f"""WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 20)},
+  est AS (SELECT query_id, key::VARCHAR AS doc_id, source, score, {_LINES} AS n_lines, CASE WHEN text = '' THEN 0 ELSE (ceil(len(regexp_extract_all(text, {_WIDE})) * {tx.WIDE_A_TOKEN} + (length(text) - len(regexp_extract_all(text, {_WIDE}))) / {tx.CHARS_A_TOKEN}) + 1)::INT END + {packing.OVERHEAD} AS tok FROM hits JOIN (SELECT doc_id AS key, text FROM documents) USING (key) JOIN (SELECT key, source FROM toks) USING (key)),
+  run AS (SELECT *, row_number() OVER w AS n, coalesce(sum(tok) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM est WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id))
+  SELECT query_id, 'E' || n AS id, doc_id AS path, source || '/' || doc_id || ':1-' || n_lines AS label, 'https://git.example/' || doc_id || '#L1-L' || n_lines AS url, before + tok > {_BUDGET} AS truncated FROM run
+  WHERE before + tok <= {_BUDGET} OR (before <= {_BUDGET} AND {_BUDGET} - before - {packing.OVERHEAD} >= {packing.LEAST_LEFT})""")
+def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(hits(spark, sf_dir, 20), _BUDGET, masked=False).select("query_id", "id", "path", "label", "url", "truncated")
+
+
+@query()
+def evidence_pack_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: chunks of documents, BM25, neighbours merged, masked and packed."""
+    chunks = chunking.chunk_documents(tables.text_docs(table(spark, sf_dir, "documents"))).withColumn("key", F.concat_ws("#", "doc_id", "chunk_no"))
+    terms = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = ranking.bm25(index.postings_of(chunks), index.lengths_of(chunks), terms, top=20).select("query_id", "key", "score")
+    return packing.packed(packing.merged(found.join(chunks, "key")), _BUDGET).select("query_id", "id", "label", "truncated", "tokens", "masked")
+
+
+@query(f"SELECT doc_id, source || '/' || doc_id || CASE WHEN lang = 'de' THEN '' ELSE ':1-' || {_LINES} END AS label FROM documents")
+def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size(F.split(F.regexp_replace("text", "\\n\\z", ""), "\n", -1))
+    kind = F.when(F.col("lang") == "de", "doc").otherwise("code")
+    return table(spark, sf_dir, "documents").select("doc_id", pa_.citation_label(F.col("source"), F.col("doc_id").cast("string"), kind, F.lit(1), n).alias("label"))
+
+
+# The gate.
+
+
+@query(f"""WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 3)},
+  q AS (SELECT query_id AS answer_id, rank - 1 AS item_no, trim(regexp_replace(nfc_normalize(b.text), '[ \\t]+', ' ', 'g')) AS quote, trim(regexp_replace(regexp_replace(nfc_normalize(d.text), '[ \\t]+', ' ', 'g'), '\\n +', chr(10), 'g')) AS source FROM hits JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = key)
+  SELECT answer_id, item_no::INT AS item_no, 'E_QUOTE_MISMATCH' AS code FROM q WHERE NOT contains(source, quote)""")
+def quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as quotes from the three documents that match them best."""
+    best = searched(spark, sf_dir, 3)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("source_text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    rows = best.join(docs, "key").join(items, "query_id")
+    name = F.col("key").cast("string")
+    quotes = rows.select(F.col("query_id").alias("answer_id"), (F.col("rank") - 1).alias("item_no"), F.lit(0).alias("quote_no"), name.alias("evidence"), "text", F.array(name).alias("cited"))
+    evidence = rows.select(F.col("query_id").alias("answer_id"), name.alias("id"), F.col("source_text").alias("text"))
+    return gate.quote_violations(quotes, evidence).select("answer_id", "item_no", "code")
+
+
+@query("""WITH i AS (SELECT conv_id AS answer_id, turn AS item_no, role AS id, ['E' || (length(text) % 7), 'E' || (turn % 4)] AS ev FROM conversations),
+  bad AS (SELECT answer_id, item_no, list_sort(list_distinct(list_filter(ev, lambda e: e NOT IN ('E0', 'E1', 'E2', 'E3')))) AS b FROM i)
+  SELECT answer_id, item_no, 'E_BAD_EVIDENCE' AS code, array_to_string(b, ', ') AS detail FROM bad WHERE len(b) > 0
+  UNION ALL SELECT answer_id, item_no, 'E_DUP_ID', id FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, id ORDER BY item_no) AS n FROM i) WHERE n > 1""")
+def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    ids = F.array(F.concat(F.lit("E"), F.length("text") % 7), F.concat(F.lit("E"), F.col("turn") % 4))
+    items = turns.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("item_no"), F.col("role").alias("id"), ids.alias("evidence"))
+    offered = items.select("answer_id").distinct().select("answer_id", F.explode(F.array(*[F.lit(f"E{i}") for i in range(4)])).alias("id"))
+    return gate.evidence_violations(items, offered)
+
+
+# Scans and masking.
+
+_RE2_RULES = [r for r in scanning.RULES if "(?!" not in r.pattern]
+
+
+def _finding_sql() -> str:
+    parts = []
+    for r in _RE2_RULES:
+        cond = f"regexp_matches(line, {text_sql(r.pattern)})"
+        if r.ignore:
+            cond += f" AND NOT regexp_matches(line, {text_sql(r.ignore)})"
+        if r.lacks:
+            cond += " AND (" + " OR ".join(f"NOT regexp_matches(after, {text_sql(x)})" for x in r.lacks) + ")"
+        parts.append(f"CASE WHEN {cond} THEN {{'rule_id': '{r.id}', 'severity': '{r.severity}'}} END")
+    # Rules for TypeScript alone don't apply to js.
+    parts = [p for p, r in zip(parts, _RE2_RULES) if not r.langs or "js" in r.langs]
+    return f"""lines AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+  each AS (SELECT doc_id, source, i AS line_no, ls[i] AS line, array_to_string(ls[i : i + {scanning.WINDOW - 1}], chr(10)) AS after FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines) WHERE length(ls[i]) <= {scanning.LINE_MOST}),
+  found AS (SELECT doc_id, source, line_no, unnest(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)) AS r FROM each),
+  findings AS (SELECT r.rule_id AS rule_id, r.severity AS severity, source AS source_id, 'conf/' || doc_id || '.json' AS path, line_no::INT AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, r.rule_id ORDER BY line_no) AS n FROM found) WHERE n <= {scanning.PER_DOC})"""
+
+
+@query(f"WITH {_finding_sql()} SELECT * FROM findings")
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanning.findings(code_docs(spark, sf_dir), masked=False).select("rule_id", "severity", "source_id", "path", "line")
+
+
+@query(f"WITH {_finding_sql()} SELECT severity, rule_id, count(*) AS n FROM findings GROUP BY GROUPING SETS ((severity), (rule_id), ())")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanning.summary(scanning.findings(code_docs(spark, sf_dir), masked=False))
+
+
+_RANK_SQL = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(scanning.SEVERITIES, 1)) + " END"
+
+
+@query(f"WITH {_finding_sql()}, cited AS (SELECT DISTINCT source_id, path FROM findings WHERE severity = 'info') SELECT rule_id, source_id, path, line, c.path IS NOT NULL AS cited FROM findings f LEFT JOIN cited c USING (source_id, path) ORDER BY cited DESC, {_RANK_SQL} DESC, rule_id, path, line LIMIT 120")
+def findings_in_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's 120 first findings: those in cited files (here: files with unfinished work) come first."""
+    found = scanning.findings(code_docs(spark, sf_dir), masked=False)
+    return scanning.evidence_first(found, found.where("severity = 'info'")).select("rule_id", "source_id", "path", "line", "cited")
+
+
+def _masked_sql() -> str:
+    out = "text"
+    for kind, pattern in rd.TOKENS:
+        out = f"regexp_replace({out}, {text_sql(pattern.replace('(?<![A-Za-z0-9_-])', chr(92) + 'b'))}, '{rd.MARK.format(kind)}', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, md5(m) AS masked_md5, m <> text AS changed FROM (SELECT doc_id, text, {_masked_sql()} AS m FROM documents)")
+def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", rd.redact_tokens(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.md5("m").alias("masked_md5"), (F.col("m") != F.col("text")).alias("changed"))
+
+
+@query()
+def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", rd.redact_udf("text").alias("r"))
+    return rows.select("doc_id", F.md5("r.text").alias("masked_md5"), F.col("r.count").alias("n_masked"), F.array_join("r.kinds", ",").alias("kinds"))
+
+
+# Documents and files.
+
+
+@query("SELECT conv_id::VARCHAR AS path, string_agg(coalesce(role, '?') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def conversation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.conversation_docs(table(spark, sf_dir, "conversations")).select("path", "text")
+
+
+@query(r"SELECT page_id, len(h)::INT AS n_headings, array_to_string(h, ' / ') AS headings FROM (SELECT page_id, regexp_extract_all(html, '<[hH][1-6][^<>]*>([^<]*)</[hH][1-6]>', 1) AS h FROM pages)")
+def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit("<[hH][1-6][^<>]*>([^<]*)</[hH][1-6]>"), 1)
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("h")).select("page_id", F.size("h").alias("n_headings"), F.array_join("h", " / ").alias("headings"))
+
+
+@query()
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html_to_text_udf("html").alias("text"))
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(tables.page_docs(table(spark, sf_dir, "pages"))).select("doc_id", "chunk_no", "title", "start", "end", "n_tokens", "hash")
+
+
+@query()
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(tables.text_docs(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_no", "start", "end", "n_tokens", "partial", "hash")
+
+
+@query()
+def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.text_docs(table(spark, sf_dir, "documents"), "code")
+    return chunking.chunk_documents(docs).select("doc_id", "chunk_no", "start", "end", "n_tokens", "hash")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+  CASE WHEN regexp_matches(url, '^[^#]*\?') THEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""")
+def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in urls.url_parts(F.col("url")).items()])
+
+
+_EXTENSIONS = ("py", "ts", "md", "rst", "json", "yaml", "bin", "env", "pem", "SQL", "", "tar.gz")
+_NAMES = ("main", ".env", "id_rsa", "Dockerfile", "secrets", "README", "app.test", "credentials", "x.secrets", ".npmrc")
+
+
+def _path_sql() -> str:
+    pick = lambda options, i: "(CASE " + i + " " + " ".join(f"WHEN {k} THEN {text_sql(v)}" for k, v in enumerate(options)) + " END)"
+    ext = pick(_EXTENSIONS, f"p_partkey % {len(_EXTENSIONS)}")
+    return f"replace(p_type, ' ', '/') || '/' || {pick(_NAMES, f'p_size % {len(_NAMES)}')} || CASE WHEN {ext} = '' THEN '' ELSE '.' || {ext} END"
+
+
+def file_path() -> Column:
+    """A path for each part: folders from its type, name from its size, extension from its key."""
+    pick = lambda options, i: F.get(F.array(*map(F.lit, options)), i.cast("int"))
+    ext = pick(_EXTENSIONS, F.col("p_partkey") % len(_EXTENSIONS))
+    return F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), pick(_NAMES, F.col("p_size") % len(_NAMES)), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+
+
+_listed = lambda names: ", ".join(map(text_sql, names))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_path_sql()} AS path FROM part), q AS (SELECT *, lower(string_split(path, '/')[-1]) AS base, lower(string_split(path, '.')[-1]) AS ext FROM p)
+  SELECT p_partkey, path, CASE WHEN base IN ({_listed(pa_.SPECIAL_NAMES)}) THEN 'config' WHEN ext IN ({_listed(pa_.CODE)}) THEN 'code' WHEN ext IN ({_listed(pa_.DOCS)}) THEN 'doc' WHEN ext IN ({_listed(pa_.CONFIG)}) THEN 'config' ELSE 'other' END AS kind,
+  CASE WHEN base IN ({_listed(pa_.SPECIAL_NAMES)}) THEN base WHEN ext = '' THEN 'txt' ELSE ext END AS lang FROM q""")
+def classify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, lang = pa_.kind_and_lang(F.col("path"))
+    return table(spark, sf_dir, "part").select("p_partkey", file_path().alias("path")).select("p_partkey", "path", kind.alias("kind"), lang.alias("lang"))
+
+
+_INCLUDE, _EXCLUDE = ("**/*.{py,ts,md}", "PROMO/**", "**/READM?*"), ("**/ANODIZED/**",)
+_any_sql = lambda path, globs: f"regexp_matches({path}, {text_sql('|'.join(map(tx.glob_regex, globs)))})"
+
+
+@query(f"WITH p AS (SELECT p_partkey, {_path_sql()} AS path FROM part) SELECT p_partkey, path FROM p WHERE {_any_sql('path', _INCLUDE)} AND NOT {_any_sql('path', _EXCLUDE)}")
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", file_path().alias("path")).where(pa_.is_included(F.col("path"), _INCLUDE, _EXCLUDE))
+
+
+@query(f"WITH p AS (SELECT p_partkey, {_path_sql()} AS path FROM part) SELECT p_partkey, path FROM p WHERE NOT {_any_sql('lower(path)', pa_.EXAMPLES)} AND ({_any_sql('lower(path)', pa_.DENY)} OR list_has_any(string_split(lower(path), '/'), [{_listed(pa_.DENIED_DIRS)}]))")
+def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", file_path().alias("path")).where(pa_.is_sensitive(F.col("path")))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_path_sql()} AS path, p_retailprice AS size FROM part), q AS (SELECT *, lower(string_split(path, '.')[-1]) AS ext, lower(string_split(path, '/')[-1]) AS base FROM p)
+  SELECT CASE WHEN ext NOT IN ({_listed([*pa_.CODE, *pa_.DOCS, *pa_.CONFIG])}) AND base NOT IN ({_listed(pa_.SPECIAL_NAMES)}) THEN 'unknown_type' WHEN size > 1500 THEN 'too_large' ELSE 'read' END AS reason, count(*) AS n FROM q GROUP BY 1""")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, _ = pa_.kind_and_lang(F.col("path"))
+    reason = F.when(kind == "other", "unknown_type").when(F.col("p_retailprice") > 1500, "too_large").otherwise("read")
+    return table(spark, sf_dir, "part").withColumn("path", file_path()).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, md5(array_to_string(string_split(text, chr(10))[1:201], chr(10))) AS first_md5 FROM documents")
+def fetch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.split("text", "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.md5(F.array_join(F.slice(lines, 1, 201), "\n")).alias("first_md5"))
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def first_of_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT page_id AS doc_id, left(md5(html), 1) = left(md5(url), 1) AS reused FROM pages")
+def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which the cached version is the current one keep the cached text (here: their URL)."""
+    pages = table(spark, sf_dir, "pages")
+    new = pages.select(F.col("page_id").alias("doc_id"), F.left(F.md5("html"), F.lit(1)).alias("version"), "html")
+    old = pages.select(F.col("page_id").alias("doc_id"), F.left(F.md5("url"), F.lit(1)).alias("version"), F.lit(cache.VERSION).alias("text_version"), F.col("url").alias("text"))
+    done = cache.converted(new, old).join(old.select("doc_id", F.col("text").alias("url")), "doc_id")
+    return done.select("doc_id", (F.col("text") == F.col("url")).alias("reused"))
+
+
+@query("""WITH RECURSIVE edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+  tree AS (SELECT 'r' || r_regionkey AS id, 0 AS depth FROM region UNION ALL SELECT child, depth + 1 FROM tree JOIN edges ON parent = id) SELECT id, depth FROM tree""")
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything below the regions, level by level."""
+    name = lambda letter, col: F.concat(F.lit(letter), F.col(col))
+    edge = lambda t, a, b: table(spark, sf_dir, t).select(name(*a).alias("parent"), name(*b).alias("child"))
+    edges = edge("nation", ("r", "n_regionkey"), ("n", "n_nationkey")).unionByName(edge("customer", ("n", "c_nationkey"), ("c", "c_custkey"))).unionByName(edge("supplier", ("n", "s_nationkey"), ("s", "s_suppkey")))
+    return cache.descendants(edges, table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("id")))
+
+
+_KEYS = ("BUILDING", "AUTOMOBILE", "MACHINARY", "HOUSEHOLDS", "FURNITUR")
+
+
+@query(f"SELECT c_mktsegment, suggestion, distance::INT AS distance FROM (SELECT c_mktsegment, k AS suggestion, levenshtein(c_mktsegment, k) AS distance, row_number() OVER (PARTITION BY c_mktsegment ORDER BY levenshtein(c_mktsegment, k), k) AS n FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT unnest([{_listed(_KEYS)}]) AS k)) WHERE n = 1 AND distance <= 2")
+def nearest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known key within two edits of each name."""
+    name = F.col("c_mktsegment")
+    near = F.array_compact(F.array(*[F.when(F.levenshtein(name, F.lit(k)) <= 2, F.struct(F.levenshtein(name, F.lit(k)).alias("distance"), F.lit(k).alias("suggestion"))) for k in _KEYS]))
+    best = table(spark, sf_dir, "customer").select(name).distinct().withColumn("b", F.array_min(near)).where("b is not null")
+    return best.select("c_mktsegment", F.col("b.suggestion").alias("suggestion"), F.col("b.distance").alias("distance"))
+
+
+# Logs and streams.
+
+
+@query("SELECT event_type AS host, count(*) AS requests, count(DISTINCT user_id) AS users, round(sum(value), 4) AS bytes FROM events GROUP BY event_type")
+def egress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by host of an audit log, for which events stand in."""
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("host")).agg(F.count("*").alias("requests"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("bytes"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aggregation of the streaming extension, over the table at rest."""
+    return incremental.windowed(table(spark, sf_dir, "events"), "1 hour")
+
+
+@query()
+def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select("item_id", F.posexplode(planning.planned(F.col("text"))).alias("ord", "query"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-
+"""Readers and caches of documents."""
