@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
 from ..functions.glossary import weighted_terms
@@ -82,6 +83,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 60, query_r
     shared = spark.sparkContext.broadcast((ids, matrix))
     kind = queries.schema["query_id"].dataType.simpleString()
     key = vectors.schema["key"].dataType.simpleString()
+    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["key"].dataType)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
@@ -95,7 +97,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 60, query_r
             scores = np.round(matrix @ block.T, DIGITS)
             tie = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
             best = [np.lexsort((tie, -row))[:top] for row in scores]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, b in zip(ids, best) for _ in b]), pa.array([k for b in best for k in keys[b]]), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, b in zip(ids, best) for _ in b], types[0]), pa.array([k for b in best for k in keys[b]], types[1]), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
 
     return ranked(vectors.select("key", "embedding").mapInArrow(run, f"query_id {kind}, key {key}, score double"), top)
 
