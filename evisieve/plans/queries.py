@@ -335,6 +335,32 @@ def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("r.text").alias("masked_md5"), F.col("r.count").alias("n_masked"), F.array_join("r.kinds", ",").alias("kinds"))
 
 
+@query("""WITH d AS (SELECT s_suppkey, 'src/s' || s_suppkey || '.js' AS path, 's' || s_nationkey AS source_id FROM supplier),
+  e AS (SELECT source_id, path, 'GET' AS method, '/supplier/' || s_suppkey AS route, 'express' AS framework, 1 AS line FROM d UNION ALL SELECT source_id, path, 'POST', '/order', 'nest/spring', 2 FROM d UNION ALL SELECT source_id, path, 'ANY', '/part/' || s_suppkey, 'go', 4 FROM d)
+  SELECT * FROM e""")
+def endpoints_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of one generated source file per supplier."""
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("app.get('/supplier/"), key, F.lit("', f)\n@Post('/order')\n// none\nmux.HandleFunc(\"/part/"), key, F.lit('", h)\n'))
+    docs = tables.as_docs(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), "s_nationkey"), F.concat(F.lit("src/s"), key, F.lit(".js")), text, "code", "github")
+    return scanning.endpoints(docs).select("source_id", "path", "method", "route", "framework", "line")
+
+
+@query("""WITH p AS (SELECT 'r' || p_size AS source_id, 'm' || p_partkey || '/package.json' AS path, p_name AS name, p_size % 2 = 0 AS loose, p_size % 5 = 0 AS locked FROM part)
+  SELECT 'deps' AS kind, source_id, path, 'name=' || name || ' / dependencies=1 / devDependencies=0 / engines=null' AS detail FROM p
+  UNION ALL SELECT 'deps-risk', source_id, path, 'loose version ranges: a@*' FROM p WHERE loose
+  UNION ALL SELECT 'lockfile', source_id, path, CASE WHEN locked THEN 'lock file present' ELSE 'no lock file in the index (excluded or not committed)' END FROM p""")
+def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of one generated package file per part, some with a lock file beside it."""
+    parts = table(spark, sf_dir, "part")
+    source, folder = F.concat(F.lit("r"), "p_size"), F.concat(F.lit("m"), "p_partkey")
+    version = F.when(F.col("p_size") % 2 == 0, "*").otherwise("1.0")
+    text = F.to_json(F.struct(F.col("p_name").alias("name"), F.struct(version.alias("a")).alias("dependencies")))
+    package = tables.as_docs(parts, source, F.concat(folder, F.lit("/package.json")), text, "config")
+    lock = tables.as_docs(parts.where("p_size % 5 = 0"), source, F.concat(folder, F.lit("/yarn.lock")), F.lit("# lock"), "other")
+    return scanning.facts(package.unionByName(lock)).select("kind", "source_id", "path", "detail")
+
+
 # Documents and files.
 
 

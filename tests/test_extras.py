@@ -1,0 +1,72 @@
+"""Presets, embeddings, clones and the command line."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from evisieve import cli
+from evisieve import config as cfg
+from evisieve.operators import embedding, presets
+from evisieve.sources import clone, remote
+
+GOOD = {"name": "login-review", "task": "security", "instruction": "Review {{area}} {{more}}", "arguments": [{"name": "area"}, {"name": "more", "required": False}]}
+
+
+def test_presets():
+    good, bad = presets.load([GOOD, {**GOOD, "name": "twice"}, {**GOOD, "name": "twice"}, {**GOOD, "name": "Bad Name"}, {**GOOD, "name": "x", "instruction": "{{other}}"}, {**GOOD, "name": "y", "sources": ["none"]}], {"s"})
+    assert list(good) == ["login-review"] and set(bad) == {"twice", "Bad Name", "x", "y"}
+    assert good["login-review"].expand({"area": "{{more}}"}) == "Review {{more}} "
+    for values in ({}, {"area": "a", "z": "b"}):
+        with pytest.raises(cfg.ConfigError):
+            good["login-review"].expand(values)
+
+
+def test_embeddings(spark):
+    chunks = spark.createDataFrame([("a", "h1", "x"), ("b", "h1", "x"), ("c", "h2", 'password = "hunter22x"'), ("d", "h3", "z")], "key string, hash string, text string")
+    cache = spark.createDataFrame([("h3", [0.0, 1.0])], "hash string, embedding array<float>")
+
+    def embed(texts):
+        assert not any("hunter" in t for t in texts)
+        return [[3.0, 4.0]] * len(texts)
+
+    got = {r["key"]: [round(x, 3) for x in r["embedding"]] for r in embedding.embed_chunks(chunks, embed, 2, True, cache).collect()}
+    assert got == {"a": [0.6, 0.8], "b": [0.6, 0.8], "c": [0.6, 0.8], "d": [0.0, 1.0]}
+    with pytest.raises(PermissionError):
+        embedding.embed_chunks(chunks, embed, 2, False)
+    with pytest.raises(ValueError):
+        embedding.normalised([[1.0]], 2)
+    assert embedding.cache_key("p", "m", 2, "h") != embedding.cache_key("p", "m", 3, "h")
+
+
+def test_clones_are_guarded(tmp_path):
+    with pytest.raises(remote.EgressDenied):
+        clone.git(None, "push")
+    with pytest.raises(remote.EgressDenied):
+        clone.clone({"id": "r", "repo": "o/r"}, str(tmp_path), ())
+    for bad in ({"repo": "o/r", "ref": "--upload-pack=x"}, {"repo": "../r"}, {"repo": "o/r", "ref": "a..b"}):
+        with pytest.raises(ValueError):
+            clone.clone({"id": "r", **bad}, str(tmp_path), ("github.com",))
+    with pytest.raises(remote.EgressDenied):
+        clone.refuse_rewrites("url.http://evil/.insteadof=https://github.com/")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("def refund():\n    print('x')\n")
+    assert cli.main(["init"]) == 0 and cli.main(["doctor"]) == 1
+    (tmp_path / "evisieve.json").write_text(json.dumps({"sources": [{"id": "s", "type": "local", "path": str(tmp_path / "src")}], "presets": [GOOD]}))
+    for command in (["doctor"], ["privacy"], ["tasks"], ["presets"], ["resolve", "https://github.com/o/r"], ["sync"], ["build"], ["status"]):
+        assert cli.main(command) == 0
+    capsys.readouterr()
+    assert cli.main(["search", "refund"]) == 0 and json.loads(capsys.readouterr().out)[0]["path"] == "a.py"
+    assert cli.main(["scan"]) == 0 and json.loads(capsys.readouterr().out)[0]["rule_id"] == "REL-DEBUG-LEFTOVER"
+    assert cli.main(["pack", "refund", "--effort", "low"]) == 0
+    saved = json.loads(capsys.readouterr().out)["pack"]
+    answer = tmp_path / "answer.json"
+    answer.write_text(json.dumps({"summary": "s", "items": [], "open_questions": []}))
+    assert cli.main(["verify", str(answer), f"{tmp_path}/.evisieve/packs/{saved}.json"]) == 0
+    assert cli.main(["run", "refund"]) == 0 and "refund" in capsys.readouterr().out
+    (tmp_path / "evisieve.json").write_text('{"projct": 1}')
+    assert cli.main(["status"]) == 2
