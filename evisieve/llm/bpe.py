@@ -31,7 +31,7 @@ from .common import map_batches, random_words
 CHUNK_MASK = np.uint64((1 << 10) - 1)
 CHUNK_LEAST, CHUNK_MOST = 256, 16384
 WINDOW = 16
-CACHED_CHUNKS, CACHED_PIECES = 6_000, 500_000
+CACHED_CHUNKS, CACHED_PIECES = 4_000, 350_000
 _STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n])")
 _GEAR = random_words(5, 256)
 
