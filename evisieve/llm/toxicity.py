@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored
 
 TRAIN_DOCS = 12_000
-MOST_FEATURES, LEAST_DOCS, LEAST_Z = 4096, 8, 6.0
+MOST_FEATURES, LEAST_DOCS, LEAST_Z = 4096, 4, 5.0
 GRADES = (3, 6)
 PREFIXES = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -61,7 +61,7 @@ class Ordinal:
         return [1 / (1 + math.exp(min(60.0, t - s))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, names: list[str], steps: int = 250, ridge: float = 1e-3) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, names: list[str], steps: int = 1000, ridge: float = 1e-3) -> Ordinal:
     """Maximum likelihood by Adam; thresholds stay ordered because their gaps are exponentials."""
     top = int(grades.max(initial=0))
     if not top:
