@@ -20,30 +20,46 @@ from evisieve.llm.queries import table, vocabulary
 LEAST_SHARE = 0.15
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with columns named by position, so that no extra column clashes with an operator's, and these names."""
+    safe = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    return safe, {name: f"column_{i}" for i, name in reversed(list(enumerate(docs.columns)))}
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose best language holds too few of their n-grams."""
     filters = langid.train(docs, ~langid.held_out())
-    found = langid.identify(docs, filters, keep=("text", "lang", "source", "n_chars"))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    safe, names = numbered(docs)
+    found = langid.identify(safe, filters, names["doc_id"], names["text"], keep=tuple(c for c in safe.columns if c != names["doc_id"]))
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return found.select(safe.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the smallest id."""
-    found = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps of each near-duplicate group the document with the smallest id; rows without an id stay."""
+    safe, names = numbered(docs)
+    known = safe.where(F.col(names["doc_id"]).isNotNull())
+    found = neardup.near_duplicates(known, id_col=names["doc_id"], text_col=names["text"]).where("kept").select(names["doc_id"])
+    kept = known.join(found, names["doc_id"], "left_semi").dropDuplicates([names["doc_id"]])
+    return kept.unionByName(safe.where(F.col(names["doc_id"]).isNull())).select(safe.columns).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth of the words or more lies in benchmark windows."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), proximity=False).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents of which a twentieth of the words or more lies in benchmark windows (rows that share an id together)."""
+    safe, names = numbered(docs)
+    found = decontaminate.decontaminate(safe, table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], proximity=False)
+    found = found.where("contaminated").select(F.col(names["doc_id"]).alias("hit"), F.lit(True).alias("is_hit")).distinct()
+    return safe.join(found, F.col(names["doc_id"]).eqNullSafe(F.col("hit")), "left_anti").select(safe.columns).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by their kind in brackets; n_chars follows the text."""
-    found = secrets.scan_secrets(docs, redacted=True, keep=("lang", "source", "n_chars"))
-    hit = F.size("spans") > 0
-    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.when(hit, F.length("redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")).select(docs.columns)
+    safe, names = numbered(docs)
+    rest = tuple(c for c in safe.columns if c not in (names["doc_id"], names["text"]))
+    found = secrets.scan_secrets(safe, names["doc_id"], names["text"], redacted=True, keep=rest)
+    length = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(F.col(names["n_chars"])).cast(safe.schema[names["n_chars"]].dataType)
+    new = {names["text"]: F.col("redacted"), names["n_chars"]: length}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in safe.columns]).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

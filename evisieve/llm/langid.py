@@ -16,7 +16,6 @@ documents, then by name; with nothing to learn from every text is `und`; repeate
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,6 @@ LENGTHS = (3, 5)
 GRAM_BITS, SLOT_BITS, HASHES = 22, 21, 3
 SHARE, LEAST = 0.3, 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[:128] = True
 _SEPARATES[65:91] = _SEPARATES[97:123] = False
@@ -102,7 +100,7 @@ class Filters:
             return [(UNKNOWN, 0.0)] * len(texts)
         shares = self.shares(texts)
         best = shares.argmax(axis=1)
-        return [(self.languages[b], float(s[b])) if t and _LETTER.search(t) else (UNKNOWN, 0.0) for t, b, s in zip(texts, best, shares)]
+        return [(self.languages[b], float(s[b])) if t and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t, b, s in zip(texts, best, shares)]
 
 
 def reduced(hashes: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ expression run, anchored at the keyword's start. Tokens that embed a checksum co
 
 Defined results: a null text is an empty one and has no span; repeated rows give repeated rows; offsets are
 code points, ends exclusive; an empty table gives an empty result; columns other than the id and the text
-are not read.
+are only carried, if asked for.
 """
 
 from __future__ import annotations

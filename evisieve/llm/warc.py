@@ -6,7 +6,8 @@ Reading: `read_archives` takes (path, content) rows, such as Spark's binaryFile
 dictionary from the skippable frame, decodes frame by frame and checks headers, lengths and digests.
 
 Defined results: a null payload is an empty one; a null URL is written as none and read as null; repeated
-(id, payload) rows are written one by one, each that has the smallest id as a response; an empty table writes
+(id, payload) rows are written one by one, each that has the smallest id as a response; a row without an id
+revisits the smallest one, or is a response where none has an id; an empty table writes
 no archive and reads as no row. Damaged archives raise ArchiveError, naming the record.
 """
 
@@ -53,11 +54,15 @@ def dictionary_from(payloads: list[bytes]) -> bytes:
         return b""
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def name_of(page_id: int | None) -> bytes:
+    return b"none" if page_id is None else b"%d" % page_id
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One uncompressed WARC record; a revisit has the HTTP header alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    lines = [VERSION, b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"), b"WARC-Record-ID: <urn:page:%d>" % page_id, b"WARC-Date: " + date.encode()]
+    lines = [VERSION, b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"), b"WARC-Record-ID: <urn:page:%s>" % name_of(page_id), b"WARC-Date: " + date.encode()]
     if url is not None:
         lines.append(b"WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url).encode("utf-8", "surrogatepass"))
     lines.append(b"WARC-Payload-Digest: sha1:" + digest.encode())
@@ -137,23 +142,24 @@ def parse(raw: bytes, where: str = "record") -> tuple[dict[str, str], bytes]:
     return headers, rest[:-4]
 
 
-def read_record(raw: bytes, where: str) -> tuple[int, str | None, str, int, str, int | None, bytes | None]:
+def read_record(raw: bytes, where: str) -> tuple[int | None, str | None, str, int, str, int | None, bytes | None]:
     """page_id, url, type, payload bytes, digest, refers_to and payload (null for revisits)."""
     headers, block = parse(raw, where)
     http, found, payload = block.partition(b"\r\n\r\n")
     length = re.search(rb"(?im)^content-length: *(\d+)", http)
-    own = re.fullmatch(r"<urn:page:(-?\d+)>", headers["warc-record-id"])
+    own = re.fullmatch(r"<urn:page:(-?\d+|none)>", headers["warc-record-id"])
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if not found or not length or not own:
         raise ArchiveError(f"{where}: no HTTP header with a length, or a foreign record id")
+    page_id = None if own[1] == "none" else int(own[1])
     if headers["warc-type"] == "revisit":
         other = re.fullmatch(r"<urn:page:(-?\d+)>", headers.get("warc-refers-to", ""))
         if not other or payload:
             raise ArchiveError(f"{where}: a revisit refers to one record and has no payload")
-        return int(own[1]), headers.get("warc-target-uri"), "revisit", int(length[1]), digest, int(other[1]), None
+        return page_id, headers.get("warc-target-uri"), "revisit", int(length[1]), digest, int(other[1]), None
     if headers["warc-type"] != "response" or len(payload) != int(length[1]) or digest_of(payload) != digest:
         raise ArchiveError(f"{where}: not a response, or its payload's length or digest differs")
-    return int(own[1]), headers.get("warc-target-uri"), "response", len(payload), digest, None, payload
+    return page_id, headers.get("warc-target-uri"), "response", len(payload), digest, None, payload
 
 
 def local_path(folder: str) -> Path:
@@ -173,7 +179,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     rows = rows.withColumn("sha", F.sha1("payload"))
     # One small row per digest that occurs twice or more and is long enough; counts are combined before the shuffle.
     first = rows.select("page_id", "sha", F.octet_length("payload").alias("n")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("n") >= least_bytes)).select("sha", "first")
-    rows = rows.join(first, "sha", "left").select("page_id", "url", "payload", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows = rows.join(first, "sha", "left").select("page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
     small = pages.select(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("p"), F.col(id_col).alias("i")).where(F.octet_length("p").between(1, SAMPLE_BYTES))
     ids = small.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(SAMPLED).select("i").distinct()
     sample = small.join(F.broadcast(ids), "i").orderBy("i", "p").limit(SAMPLED)  # SAMPLED ids at most
@@ -198,8 +204,6 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
         for batch in batches:
             for part in slices(batch):
                 for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in part.columns)):
-                    if page_id is None:
-                        raise ValueError("a WARC record needs an id")
                     archive.add(record(page_id, url, payload, digest_of(payload), refers_to, date))
                     n += 1
                     if archive.size >= ARCHIVE_BYTES:
