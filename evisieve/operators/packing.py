@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import citation_label, line_url
 from ..functions.redact import redact, redact_udf
@@ -54,6 +56,12 @@ def merged(hits: DataFrame, by: str = "query_id") -> DataFrame:
     return hits.select(by, *names).groupBy(by, "doc_id").applyInArrow(run, schema)
 
 
+@F.pandas_udf(T.StringType())
+def cut_udf(texts: pd.Series, left: pd.Series) -> pd.Series:
+    """truncated() over an Arrow batch; a pack has one such item at most."""
+    return pd.Series([truncated(t, int(n)) for t, n in zip(texts, left)])
+
+
 def packed(hits: DataFrame, budget: int, by: str = "query_id", most: int = MOST_ITEMS, masked: bool = True) -> DataFrame:
     """Items of each query's pack, in order of score: id E1, E2, ..., label, url, tokens and text.
 
@@ -71,8 +79,7 @@ def packed(hits: DataFrame, budget: int, by: str = "query_id", most: int = MOST_
     rows = rows.where(fits | ((F.col("before") <= budget) & (left >= LEAST_LEFT)))
     rows = rows.withColumn("truncated", ~fits).withColumn("left", F.when(~fits, left.cast("int")))
 
-    cut = F.udf(lambda text, left: text if left is None else truncated(text, left), "string")  # one row of a pack
-    whole, short = rows.where("not truncated"), rows.where("truncated").withColumn("body", cut("body", "left"))
+    whole, short = rows.where("not truncated"), rows.where("truncated").withColumn("body", cut_udf("body", "left"))
     short = short.withColumn("tokens", token_estimate(F.col("body")) + OVERHEAD)
     rows = whole.unionByName(short)
     return rows.select(

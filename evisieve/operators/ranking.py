@@ -25,6 +25,8 @@ PATH_BOOST, KIND_BOOST, SOURCE_BOOST, LEAST_FACTOR = 0.35, 0.2, 0.15, 0.01
 DIVERSITY, SAME_DOC, DUPLICATE, MOST_TOKENS = 0.72, 0.08, 0.95, 900
 #: Query terms and vectors are broadcast only up to so many rows; larger batches are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 8192
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -70,14 +72,27 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, allowed: Dat
     return ranked(sums, top)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 60, query_rows: int = 0) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 60) -> DataFrame:
     """query_id, key, score and rank by inner product. vectors: key, embedding; queries: query_id, embedding.
 
-    The query set is stated by the caller and broadcast in full; blocks of vectors are multiplied with it as
-    matrices, and each block keeps its best `top` per query, so what is shuffled doesn't grow with the product.
+    The query set is taken in blocks of about QUERY_BLOCK, so what is broadcast is bounded. Arrow batches of
+    vectors are multiplied with a block as matrices, and each batch keeps its best `top` per query, so what is
+    shuffled doesn't grow with the product.
     """
+    queries = queries.select("query_id", "embedding").where("embedding is not null")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks == 1:
+        return _search_block(vectors, queries, top)
+    parts = [_search_block(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), top) for b in range(blocks)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _search_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     spark = vectors.sparkSession
-    rows = queries.select("query_id", "embedding").collect()  # the stated query set
+    rows = queries.collect()  # about QUERY_BLOCK rows
     ids = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(ids), -1)
     shared = spark.sparkContext.broadcast((ids, matrix))

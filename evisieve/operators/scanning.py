@@ -1,7 +1,7 @@
 """Rule scans of code and settings, project facts and endpoints; no model is involved.
 
-Every rule is a pattern on one line, so a document is exploded into lines once and each line meets all rules
-in one projection; context comes from the document's own line array. Findings are capped per rule and
+Every rule is a pattern on one line; all rules meet a document's line array in one projection, and only lines
+that break one become rows, with context from that array. Findings are capped per rule and
 document, as that limit is part of what the scan reports.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +69,33 @@ RULES = [
     Rule("REL-TS-ANY", "info", "debt", None, "any or @ts-ignore", r":\s*any\b|@ts-ignore|@ts-nocheck", ("ts", "tsx")),
 ]
 
+#: What the lower-cased text must hold one of for a rule to be looked at.
+NEEDS = {
+    "SEC-SECRET-PRIVATE-KEY": ("private key-----",),
+    "SEC-SECRET-AWS-AKID": ("akia", "asia"),
+    "SEC-SECRET-GH-TOKEN": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"),
+    "SEC-SECRET-SLACK": ("xox",),
+    "SEC-SECRET-GENERIC": ("key", "secret", "token", "passwd", "password", "credential"),
+    "SEC-EVAL": ("eval", "function", "runinnewcontext"),
+    "SEC-EXEC-SHELL": ("exec", "shell", "os.system"),
+    "SEC-SQL-CONCAT": ("select", "insert", "update", "delete"),
+    "SEC-XSS-DANGEROUS-HTML": ("dangerouslysetinnerhtml", ".innerhtml", "document.write", "v-html"),
+    "SEC-PATH-TRAVERSAL": ("path.join", "path.resolve", "readfile", "open"),
+    "SEC-DESERIALIZE": ("pickle.load", "yaml.load", "unserialize", "objectinputstream"),
+    "SEC-TLS-DISABLED": ("node_tls_reject_unauthorized", "rejectunauthorized", "verify", "insecureskipverify", "curl"),
+    "SEC-WEAK-HASH": ("createhash", "hashlib", "messagedigest"),
+    "SEC-WEAK-RANDOM": ("math.random", "random.random", "rand"),
+    "SEC-JWT-NOVERIFY": ("jwt.decode", "verify", "algorithm"),
+    "SEC-CORS-WILDCARD": ("access-control-allow-origin", "origin", "cors("),
+    "SEC-COOKIE-INSECURE": ("res.cookie", "set_cookie", "setcookie"),
+    "REL-EMPTY-CATCH": ("catch", "except"),
+    "REL-AWAIT-IN-LOOP": ("await", "foreach"),
+    "REL-NO-TIMEOUT": ("fetch", "axios.", "requests."),
+    "REL-TODO": ("todo", "fixme", "hack", "xxx"),
+    "REL-DEBUG-LEFTOVER": ("console.", "print", "debugger;", "binding.pry", "system.out"),
+    "REL-TS-ANY": ("any", "@ts-"),
+}
+
 
 def java(pattern: str) -> str:
     """The pattern with ASCII word boundaries and Unicode white space."""
@@ -79,11 +108,16 @@ def rank_of(severity: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity), F.lit(0))
 
 
-def hits_of(line: Column, lang: Column, after: Column, rules: list[Rule]) -> Column:
+def possible(text: Column, rules: list[Rule]) -> Column:
+    """Bits of the rules whose indispensable words a document holds; plain searches, once per document."""
+    return reduce(add, [F.when(reduce(or_, [F.contains(text, F.lit(x)) for x in NEEDS[r.id]]), F.lit(1 << i)).otherwise(0) for i, r in enumerate(rules)])
+
+
+def hits_of(line: Column, lang: Column, after: Column, can: Column, rules: list[Rule]) -> Column:
     """The rules (as ordinals) that a line breaks."""
 
-    def breaks(r: Rule) -> Column:
-        found = line.rlike(java(r.pattern))
+    def breaks(i: int, r: Rule) -> Column:
+        found = (can.bitwiseAND(F.lit(1 << i)) != 0) & line.rlike(java(r.pattern))
         if r.langs:
             found = lang.isin(*r.langs) & found
         if r.ignore:
@@ -95,7 +129,7 @@ def hits_of(line: Column, lang: Column, after: Column, rules: list[Rule]) -> Col
             found = found & missing
         return found
 
-    return F.array_compact(F.array(*[F.when(breaks(r), F.lit(i)) for i, r in enumerate(rules)]))
+    return F.array_compact(F.array(*[F.when(breaks(i, r), F.lit(i)) for i, r in enumerate(rules)]))
 
 
 def findings(docs: DataFrame, least: str = "info", test_paths: bool = False, masked: bool = True) -> DataFrame:
@@ -104,10 +138,15 @@ def findings(docs: DataFrame, least: str = "info", test_paths: bool = False, mas
     docs = docs.where(F.col("kind").isin("code", "config"))
     if not test_paths:
         docs = docs.where(~F.col("path").rlike(TEST_PATH))
-    docs = docs.select("doc_id", "source_id", "source_type", "path", "lang", "url", F.split("text", "\n", -1).alias("lines"))
-    rows = docs.select("*", F.posexplode("lines").alias("i", "line")).where(F.length("line") <= LINE_MOST)
-    after = F.array_join(F.slice("lines", F.col("i") + 1, WINDOW), "\n")
-    rows = rows.withColumn("rule", F.explode(hits_of(F.col("line"), F.col("lang"), after, rules)))
+    docs = docs.select("doc_id", "source_id", "source_type", "path", "lang", "url", F.split("text", "\n", -1).alias("lines"), possible(F.lower("text"), rules).alias("can"))
+    docs = docs.where("can != 0")
+    # Lines are tested inside the array, so that only hits become rows that carry it.
+    after = lambda i: F.array_join(F.slice("lines", i + 1, WINDOW), "\n")
+    none = F.array().cast("array<int>")
+    tested = F.transform("lines", lambda line, i: F.struct(i.alias("i"), F.when(F.length(line) <= LINE_MOST, hits_of(line, F.col("lang"), after(i), F.col("can"), rules)).otherwise(none).alias("rules")))
+    # The outer form adds no filter on the array, which would be pushed down and test all lines again.
+    rows = docs.select("*", F.explode_outer(F.filter(tested, lambda h: F.size(h["rules"]) > 0)).alias("h")).where("h is not null")
+    rows = rows.select("*", F.col("h.i").alias("i"), F.explode_outer("h.rules").alias("rule")).where("rule is not null").drop("h", "can")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy("i"))).where(F.col("rank") <= PER_DOC)
     safe = mask_keys_udf(F.array_join("lines", "\n")) if masked else F.array_join("lines", "\n")
     rows = rows.withColumn("safe", F.split(safe, "\n", -1))

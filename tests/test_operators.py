@@ -171,6 +171,16 @@ def test_vector_search(spark):
     assert [(r["key"], r["score"]) for r in got] == [(2, 2.0), (5, 2.0), (8, 2.0), (1, 1.0)]
 
 
+def test_vector_search_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "key int, embedding array<double>")
+    queries = vectors.where("key < 20").select(F.col("key").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, ranking.vector_search(vectors, queries, 3).collect()))
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, ranking.vector_search(vectors, queries, 3).collect())) == whole and len(whole) == 60
+
+
 def test_search_plan_has_no_product_and_prunes(spark, tmp_path):
     chunks, *_ = frames(spark, CORPUS)
     chunks.write.parquet(str(tmp_path / "c"))
