@@ -18,7 +18,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again; its lineage ends there and lost executors cost nothing."""
+    """`df` written to the shared folder and read again; its lineage ends there and lost executors cost nothing.
+
+    The table is removed when the driver ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/evisieve/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..functions.html import html_to_text_udf
 from ..operators import chunking, gate, index, packing, planning, ranking, scanning
+from ..operators.tables import kept
 from ..sources import cache, tables
 from ..streaming import incremental
 
@@ -79,11 +80,17 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id"), name.alias("title"), name.alias("path"), "text", "lang", F.col("source").alias("source_id"), F.lit("doc").alias("kind"))
 
 
-def searched(spark: SparkSession, sf_dir: str, top: int, lang: str | None = None) -> DataFrame:
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, and their postings and lengths as stored tables: texts are tokenised for them, not for each use."""
     chunks = doc_chunks(spark, sf_dir)
+    return chunks, kept(index.postings_of(chunks), "postings"), kept(index.lengths_of(chunks), "lengths")
+
+
+def searched(spark: SparkSession, sf_dir: str, top: int, lang: str | None = None, over: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    chunks, postings, lengths = over or indexed(spark, sf_dir)
     terms = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
     allowed = chunks.where(F.col("lang") == lang).select("key") if lang else None
-    return ranking.bm25(index.postings_of(chunks), index.lengths_of(chunks), terms, allowed, top)
+    return ranking.bm25(postings, lengths, terms, allowed, top)
 
 
 def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +177,9 @@ _HYBRID = f"WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 60)}, {bm25_sq
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = searched(spark, sf_dir, 60).select("query_id", F.lit(0).alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
-    b = searched(spark, sf_dir, 60, "en").select("query_id", F.lit(1).alias("list_no"), F.lit("vector").alias("kind"), "key", "score")
+    over = indexed(spark, sf_dir)
+    a = searched(spark, sf_dir, 60, over=over).select("query_id", F.lit(0).alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
+    b = searched(spark, sf_dir, 60, "en", over).select("query_id", F.lit(1).alias("list_no"), F.lit("vector").alias("kind"), "key", "score")
     lists = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(2).alias("n")).distinct()
     return ranking.fuse(a.unionByName(b), lists)
 
@@ -232,8 +240,9 @@ def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_pack_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: chunks of documents, BM25, neighbours merged, masked and packed."""
     chunks = chunking.chunk_documents(tables.text_docs(table(spark, sf_dir, "documents"))).withColumn("key", F.concat_ws("#", "doc_id", "chunk_no"))
+    chunks = kept(chunks, "chunks")
     terms = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    found = ranking.bm25(index.postings_of(chunks), index.lengths_of(chunks), terms, top=20).select("query_id", "key", "score")
+    found = ranking.bm25(kept(index.postings_of(chunks), "postings"), index.lengths_of(chunks), terms, top=20).select("query_id", "key", "score")
     return packing.packed(packing.merged(found.join(chunks, "key")), _BUDGET).select("query_id", "id", "label", "truncated", "tokens", "masked")
 
 
