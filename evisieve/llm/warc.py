@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices
+from .common import delete_at_exit, shared_dir, slices
 
 #: Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -249,6 +249,8 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, payloads: bool = False, *
     folder = f"{shared_dir(spark)}/evisieve/warc-{uuid.uuid4().hex}"
     listing = f"{folder}-list"
     write_archives(pages, folder, least_bytes, **columns).write.parquet(listing)
+    for path in (folder, listing):
+        delete_at_exit(spark, path)
     written = spark.read.schema("path string, records bigint").parquet(listing)
     # Only archives of finished tasks are listed, and only those are read.
     archives = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(f"{folder}") if written.take(1) else spark.createDataFrame([], "path string, content binary")
