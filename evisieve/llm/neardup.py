@@ -8,9 +8,10 @@ maximum likelihood from how many registers are larger, smaller and equal, given
 below the threshold go, all others are verified on their full sets.
 
 No group is expanded into all its pairs. Within each band bucket everyone is first compared with one hub, the
-member that shares the most buckets, and only with its best hub; verified links give components. Then, in
+member that shares the most buckets, and only with the hub of most of its buckets; verified links give components. Then, in
 buckets that still hold several components, the members outside the largest are compared with all members of
-other components. What is then linked is exact but for pairs that share no bucket: with 32 bands of 5
+other components; in large buckets only those pairs are made that can be linked by their counts of rare
+shingles (heavy_pairs). What is then linked is exact but for pairs that share no bucket: with 32 bands of 5
 registers, a pair at similarity 0.85 is missed with probability 7e-9, one at 0.80 with 3e-6.
 
 Defined results: null, empty and wordless texts have an empty set and stay alone; a text of fewer words than
@@ -27,7 +28,7 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix, random_words, slices, space_words, stored, text_bytes
@@ -36,6 +37,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 CACHED = 4096
+#: Buckets of more members are searched by rare shingles, those that so many of their documents hold at most.
+MOST_DIRECT, RARE = 64, 16
 _words = Words(space_words())
 _SALT = (random_words(21, REGISTERS) >> np.uint64(32)).astype(np.uint32)
 _FACTOR = (random_words(22, REGISTERS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -221,6 +224,71 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def rare_shingles(ids: DataFrame, found: DataFrame, known: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Sizes of all documents with how many rare shingles the given ones (id) have, and their pairs that share some.
+
+    A shingle is rare if at most RARE of the given documents hold it. A pair of these that can be linked either
+    shares rare shingles, and is found here by them; or it shares none, and bucket_pairs() rules it out by counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(part.column(1), rule.words)
+                rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(sets).astype(np.int64))], names=["id", "g"])
+
+    each = stored(texts.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, g bigint"), "shingles")
+    count = each.groupBy("g").agg(F.count("*").alias("df"))
+    common = each.join(count.where(F.col("df") > RARE), "g").groupBy("id").agg(F.count("*").alias("common"))
+    own = ids.join(known.select("id", "n"), "id").join(common, "id", "left").select("id", "n", (F.col("n") - F.coalesce("common", F.lit(0))).alias("r"))
+    own = stored(own.join(found, "id", "left").select("id", "n", "r", F.coalesce("component", "id").alias("component")), "sizes")
+    rare = each.join(count.where(F.col("df").between(2, RARE)).select("g"), "g").join(own, "id")
+    side = lambda c: rare.select("g", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("r").alias(f"r_{c}"), F.col("component").alias(f"c_{c}"))
+    by = side("a").join(side("b"), "g").where("a < b and c_a != c_b").groupBy("a", "b", "n_a", "n_b", "r_a", "r_b").agg(F.count("*").alias("s"))
+    # Of the rare shingles of either document all but the s shared ones are missing in the other.
+    by = by.where(reachable(rule, "n_a", "n_b", F.col("r_a") - F.col("s"), F.col("r_b") - F.col("s")))
+    by = by.select("a", "b", F.lit(rule.shared).alias("times"))  # as if they shared enough bands: the estimate decides
+    counted = own.select("id", "r", F.lit(True).alias("counted"))
+    sized = known.select("id", "n").join(counted, "id", "left").select("id", "n", F.coalesce("r", F.lit(0).cast("long")).alias("r"), F.coalesce("counted", F.lit(False)).alias("counted"))
+    return sized, by
+
+
+def reachable(rule: Rule, n_a: str, n_b: str, only_a: Column, only_b: Column) -> Column:
+    """False for pairs that can't be linked: sizes, and how many elements of each the other is known to lack."""
+    n_a, n_b = F.col(n_a), F.col(n_b)
+    return rule.den * F.least(n_a - only_a, n_b - only_b) >= rule.num * F.greatest(n_a, n_b, n_b + only_a, n_a + only_b)
+
+
+def bucket_pairs(placed: DataFrame, sized: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b, times) of different components that share buckets and can be linked, as far as counts tell.
+
+    placed: band, id, component, main; sized: id, n, r, counted. Rare shingles count only between two documents
+    that were counted. In heavy buckets members that can't reach the threshold with any partner of their bucket's
+    sizes are left out before the join, other pairs in its condition. Counted documents carry their buckets (as
+    many as bands at most), so that a pair of them comes once, in the first bucket that it shares.
+    """
+    rows = placed.join(sized, "id")
+    own = rows.where("counted").groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    rows = rows.join(own, "id", "left")
+    least = rows.groupBy("band").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "band")
+    # A partner has num / den of the own size at least, and the bucket's least size at least; all of a heavy bucket are counted.
+    partner = F.greatest("least", F.floor(F.col("n") * rule.num / rule.den))
+    rows = rows.where(~F.col("heavy") | (rule.den * (F.col("n") - F.col("r")) >= rule.num * F.greatest(F.col("n"), partner + F.col("r"))))
+    rows = rows.select("band", F.col("id").alias("b"), F.col("component").alias("c_b"), "main", F.col("n").alias("n_b"), F.col("r").alias("r_b"), F.col("counted").alias("k_b"), F.col("bands").alias("bands_b"))
+    x = rows.where("c_b != main").select("band", F.col("b").alias("a"), F.col("c_b").alias("c_a"), F.col("n_b").alias("n_a"), F.col("r_b").alias("r_a"), F.col("k_b").alias("k_a"), F.col("bands_b").alias("bands_a"))
+    both = F.col("k_a") & F.col("k_b")
+    only = lambda c: F.when(both, F.col(c)).otherwise(0)
+    fits = reachable(rule, "n_a", "n_b", only("r_a"), only("r_b"))
+    shared = F.array_intersect("bands_a", "bands_b")
+    once = ~both | ((F.get(shared, F.lit(0)) == x["band"]) & (F.size(shared) >= rule.shared))
+    sides = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    joined = x.join(rows, (x["band"] == rows["band"]) & (F.col("c_a") != F.col("c_b")) & sides & fits & once)
+    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(both, rule.shared).otherwise(1).alias("times"))
+
+
 def near_duplicates(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id that links reach) and kept (the id is its component's) of each row."""
     rule = rule or Rule()
@@ -237,23 +305,29 @@ def near_duplicates(docs: DataFrame, rule: Rule | None = None, id_col: str = "do
     known = classes.select("id", "n", "sketch").join(busy.select("id"), "id", "left_semi")
     known = stored(known, "sketched")
 
-    # Everyone against the hub of each bucket, then only against the likeliest of these hubs.
+    # Everyone against one hub: the one that is hub of most of its buckets. Whatever this misses is left to the pairs below.
     ranked = member.select("band", "id").join(busy, "id")
     hubs = ranked.groupBy("band").agg(F.max(F.struct("shared", -F.col("id"))).alias("h")).select("band", (-F.col("h.col2")).alias("hub"))
-    tried = member.select("band", F.col("id").alias("a")).join(hubs, "band").where("a != hub").select("a", F.col("hub").alias("b")).distinct()
-    tried = estimated(tried, known, rule).groupBy("a").agg(F.max(F.struct("j", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    tried = stored(tried, "hubs")
+    tried = member.select("band", F.col("id").alias("a")).join(hubs, "band").where("a != hub").groupBy("a", "hub").count()
+    tried = tried.groupBy("a").agg(F.max(F.struct("count", -F.col("hub"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
+    tried = stored(estimated(tried, known, rule).select("a", "b"), "hubs")
     links = stored(verified(tried, texts, rule), "links")
     found = stored(components(links), "components")
 
     # In buckets that still hold several components: members outside the largest against all others.
     placed = member.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    placed = stored(placed.join(open_, "band", "left_semi"), "open")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", (F.col("c") > MOST_DIRECT).alias("heavy"))
+    placed = stored(placed.join(open_, "band"), "open")
     main = placed.groupBy("band", "component").count().groupBy("band").agg(F.max(F.struct("count", -F.col("component"))).alias("x")).select("band", (-F.col("x.col2")).alias("main"))
-    outside = placed.join(main, "band").where("component != main").select("band", F.col("id").alias("x"), F.col("component").alias("cx"), "main")
-    pairs = outside.join(placed, "band").where("cx != component and (component = main or x < id)").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= rule.shared).select("a", "b")
+    placed = placed.join(main, "band")
+    sized = known.select("id", "n", F.lit(0).cast("long").alias("r"), F.lit(False).alias("counted"))
+    by_rare = None
+    if not placed.where("heavy").isEmpty():
+        sized, by_rare = rare_shingles(placed.where("heavy").select("id").distinct(), found, known, texts, rule)
+    pairs = bucket_pairs(placed, sized, rule)
+    if by_rare is not None:
+        pairs = pairs.unionByName(by_rare)
+    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= rule.shared).select("a", "b")
     more = stored(estimated(pairs, known, rule).select("a", "b").distinct(), "pairs")
     more = stored(verified(more, texts, rule), "links")
     found = stored(components(links.unionByName(more)), "components")
