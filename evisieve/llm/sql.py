@@ -56,10 +56,19 @@ DECONTAMINATION = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_ALN
   bw AS (SELECT DISTINCT item, least(len(w), 13) AS k, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i : i + 12], ' '))) AS g FROM b WHERE len(w) > 0),
   size AS (SELECT DISTINCT k FROM bw),
   dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, size)),
-  hit AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, g)),
+  hit AS MATERIALIZED (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, g)),
   n AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+  pos AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+  freq AS MATERIALIZED (SELECT t, count(*) AS n FROM pos GROUP BY t),
+  bt AS (SELECT DISTINCT item, g, unnest(string_split(g, ' ')) AS t FROM bw),
+  rare AS MATERIALIZED (SELECT DISTINCT item, rarest[1] AS t1, rarest[2] AS t2, rarest[3] AS t3 FROM (SELECT item, g, list(t ORDER BY coalesce(n, 0), t) AS rarest FROM bt LEFT JOIN freq USING (t) GROUP BY item, g) WHERE len(rarest) >= 3),
+  pl AS MATERIALIZED (SELECT t, doc_id, list(p) AS ps FROM pos WHERE t IN (SELECT unnest([t1, t2, t3]) FROM rare) GROUP BY t, doc_id),
+  one AS MATERIALIZED (SELECT item, t2, t3, doc_id, ps FROM rare JOIN pl ON t = t1),
+  both_ AS MATERIALIZED (SELECT item, t3, one.doc_id, list_filter(one.ps, lambda x: len(list_filter(pl.ps, lambda y: abs(x - y) <= 26)) > 0) AS ps FROM one JOIN pl ON t = t2 AND pl.doc_id = one.doc_id),
+  close AS MATERIALIZED (SELECT DISTINCT item, both_.doc_id FROM both_ JOIN pl ON t = t3 AND pl.doc_id = both_.doc_id WHERE len(list_filter(both_.ps, lambda x: len(list_filter(pl.ps, lambda y: abs(x - y) <= 26)) > 0)) > 0),
+  near AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, item FROM close EXCEPT SELECT doc_id, item FROM hit) GROUP BY doc_id),
   its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
-  SELECT doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN its USING (doc_id)"""
+  SELECT doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(w) AS contaminated, coalesce(near.n, 0) AS n_near_items FROM d LEFT JOIN n USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 _QUINTET = "('0x' || substr(h, 5 * k + 1, 5))::BIGINT"
 _CHAR = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({} >> {}) & 31)::INT + 1, 1)"

@@ -400,20 +400,47 @@ def brute_hits(texts, items, window: int):
                 if names := windows.get(tuple(w[i : i + k])):
                     hit |= set(range(i, i + k))
                     found |= names
-        out.append((len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+        longest = run = 0
+        for i in range(len(w)):
+            run = run + 1 if i in hit else 0
+            longest = max(longest, run)
+        out.append((len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w), longest))
     return out
 
 
-@pytest.mark.parametrize("block", [decontaminate.ITEMS_A_BLOCK, 5])
-def test_decontamination_equals_brute_force(spark, monkeypatch, docs, empty, texts, block):
+def brute_near(texts, items, window: int):
+    """Per text the items with a window whose three rarest terms lie near the rarest, but no exact phrase."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    docs = [split(t) for t in texts]
+    count, out = Counter(w for d in docs for w in d), []
+    rare = set()
+    for name, t in items:
+        w = split(t)
+        for i in range(max(1, len(w) - window + 1)):
+            best = sorted(set(w[i : i + window]), key=lambda x: (count[x], x.encode()))[: decontaminate.NEAR_TERMS]
+            if len(best) == decontaminate.NEAR_TERMS:
+                rare.add((str(name), *best))
+    for d, (_, _, exact, _, _) in zip(docs, brute_hits(texts, items, window)):
+        at = {}
+        for i, w in enumerate(d):
+            at.setdefault(w, []).append(i)
+        near = {n for n, a, b, c in rare if any(all(any(abs(i - j) <= decontaminate.SLOP for j in at.get(x, ())) for x in (b, c)) for i in at.get(a, ()))}
+        out.append(sorted(near - set(exact)))
+    return out
+
+
+@pytest.mark.parametrize(("block", "able"), [(decontaminate.ITEMS_A_BLOCK, decontaminate.BROADCAST_DOCS), (5, decontaminate.BROADCAST_DOCS), (decontaminate.ITEMS_A_BLOCK, 1)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, docs, empty, texts, block, able):
     monkeypatch.setattr(decontaminate, "ITEMS_A_BLOCK", block)
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", able)
     rng = random.Random(11)
     items = [(i, " ".join(t.split()[a : a + 20]).upper()) for i, t in enumerate(t for t in texts if t and len(t) > 300) if (a := rng.randrange(5)) >= 0][:12]
     items += [(90, "alpha"), (91, None), (92, ""), (93, "no such words here at all in any of these texts which are greek"), (94, items[0][1]), (95, "x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = by_id(decontaminate.decontaminate(docs, bench), "n_words", "n_hit", "items", "contaminated")
+    got = by_id(decontaminate.decontaminate(docs, bench), "n_words", "n_hit", "items", "contaminated", "runs", "near_items")
     want = brute_hits(texts, items, 13)
-    assert {i: (a, b, sorted(c), d) for i, (a, b, c, d) in got.items()} == dict(enumerate(want))
+    assert {i: (a, b, sorted(c), d, max((y - x for x, y in r), default=0)) for i, (a, b, c, d, r, _) in got.items()} == dict(enumerate(want))
+    assert [sorted(got[i][5]) for i in range(len(texts))] == brute_near(texts, items, 13)
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
