@@ -36,19 +36,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the smallest id; rows without an id stay."""
+    """Keeps of each near-duplicate group the document with the smallest id; rows without an id stay.
+
+    Rows that share an id are one document: those with different texts all stay or all go, and of rows equal in
+    id and text one stays.
+    """
     safe, names = numbered(docs)
     known = safe.where(F.col(names["doc_id"]).isNotNull())
-    found = neardup.near_duplicates(known, id_col=names["doc_id"], text_col=names["text"]).where("kept").select(names["doc_id"])
-    kept = known.join(found, names["doc_id"], "left_semi").dropDuplicates([names["doc_id"]])
-    return kept.unionByName(safe.where(F.col(names["doc_id"]).isNull())).select(safe.columns).toDF(*docs.columns)
+    found = neardup.near_duplicates(known, id_col=names["doc_id"], text_col=names["text"]).where("kept").select(names["doc_id"]).distinct()
+    kept = known.join(found, names["doc_id"], "left_semi").withColumn("digest", F.sha2(names["text"], 256)).dropDuplicates([names["doc_id"], "digest"])
+    return kept.select(safe.columns).unionByName(safe.where(F.col(names["doc_id"]).isNull())).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth of the words or more lies in benchmark windows (rows that share an id together)."""
+    """Drops documents that hold a benchmark passage, however long they are.
+
+    A passage is a run of hit words as long as a full window; where all hits are items shorter than that, a
+    document goes if a twentieth of its words or more is hit. Rows that share an id go together.
+    """
     safe, names = numbered(docs)
     found = decontaminate.decontaminate(safe, table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"], proximity=False)
-    found = found.where("contaminated").select(F.col(names["doc_id"]).alias("hit"), F.lit(True).alias("is_hit")).distinct()
+    leaked = F.exists("runs", lambda r: r["ends"] - r["starts"] >= decontaminate.WINDOW)
+    found = found.where(leaked | F.col("contaminated")).select(F.col(names["doc_id"]).alias("hit")).distinct()
     return safe.join(found, F.col(names["doc_id"]).eqNullSafe(F.col("hit")), "left_anti").select(safe.columns).toDF(*docs.columns)
 
 
