@@ -1,13 +1,15 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
-P(severity >= k) = sigmoid(w . x - theta_k) with one weight vector for all thresholds theta_1 < theta_2 < ...;
-the output is the expected severity, the sum of these probabilities. Features are the distinct lower-cased
-words of a text and their prefixes of 4 and 5 letters, present or absent.
+P(severity >= k) = F(w . x - theta_k), F the logistic function, with one weight vector for all thresholds
+theta_1 < theta_2 < ...; the output is the expected severity, the sum of these probabilities. Training maximises
+the likelihood of whole grades, P(severity = k) = F(w . x - theta_k) - F(w . x - theta_k+1). Features are the
+distinct lower-cased words of a text and their prefixes of 4 and 5 letters, present or absent.
 
-Training reads the TRAIN_DOCS labelled rows with the lowest hash of their id (a documented bound). Labels are
-0 or 1, so a toxic row's grade comes from how many distinct words carry a feature that marks toxic rows:
-grade 1, or 2 from GRADES[0] such words on, or 3 from GRADES[1] on; other rows have grade 0. Features are the
-MOST_FEATURES that differ most between toxic and other sampled rows.
+Training reads the TRAIN_DOCS labelled rows with the lowest hash of their id (a documented bound). Labels are 0
+or 1; toxic rows get GRADES grades by how far a model that wasn't trained on them puts them from the other
+rows: the sample is halved, a model with one threshold is fitted on either half, and the scores that the other
+half's toxic rows get from it are cut at their quantiles. The ordinal model is then fitted to these grades on
+the whole sample. Features are the MOST_FEATURES that differ most between toxic and other sampled rows.
 
 Defined results: null texts have no feature and get the base rate's severity; rows without a label don't
 train, of several labels of one id the largest counts; with no toxic row to learn from every severity is 0;
@@ -29,14 +31,15 @@ from .common import map_batches, stored
 
 TRAIN_DOCS = 12_000
 MOST_FEATURES, LEAST_DOCS, LEAST_Z = 4096, 4, 5.0
-GRADES = (3, 6)
+GRADES = 3
 PREFIXES = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> dict[str, set[str]]:
-    """Distinct word -> its features."""
-    return {w: {w, *(w[:k] + "-" for k in PREFIXES if len(w) > k)} for w in set(_WORD.findall((text or "").lower()))}
+def features(text: str | None) -> set[str]:
+    """The distinct words of a text and their prefixes."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(w[:k] + "-" for w in words for k in PREFIXES if len(w) > k)
 
 
 @dataclass
@@ -47,13 +50,8 @@ class Ordinal:
     thresholds: list[float] = field(default_factory=list)
 
     def score(self, text: str | None) -> float:
-        known, used, total = self.weights, set(), 0.0
-        for w in set(_WORD.findall((text or "").lower())):
-            for f in (w, *(w[:k] + "-" for k in PREFIXES if len(w) > k)):
-                if f in known and f not in used:
-                    used.add(f)
-                    total += known[f]
-        return total
+        known = self.weights
+        return math.fsum(known[f] for f in features(text) if f in known)
 
     def at_least(self, text: str | None) -> list[float]:
         """P(severity >= k) for k = 1, 2, ..."""
@@ -61,29 +59,84 @@ class Ordinal:
         return [1 / (1 + math.exp(min(60.0, t - s))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, names: list[str], steps: int = 1000, ridge: float = 1e-3) -> Ordinal:
-    """Maximum likelihood by Adam; thresholds stay ordered because their gaps are exponentials."""
-    top = int(grades.max(initial=0))
-    if not top:
-        return Ordinal({}, [60.0])
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if len(at) else np.zeros(0, dtype=np.int64)
-    reach = grades[:, None] >= np.arange(1, top + 1)[None, :]
-    params = np.concatenate([np.zeros(n_features), [1.0], np.zeros(top - 1)])
+@dataclass
+class Sample:
+    """Rows as (row, feature) entries, and their grades."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    grade: np.ndarray
+    n_features: int
+
+    def only(self, rows: np.ndarray) -> Sample:
+        """The rows where `rows` is true."""
+        keep = rows[self.row]
+        return Sample((np.cumsum(rows) - 1)[self.row[keep]], self.feature[keep], self.grade[rows], self.n_features)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weights[self.feature], minlength=len(self.grade))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def thresholds_of(params: np.ndarray, n_features: int) -> np.ndarray:
+    """Thresholds from parameters: the first, then logarithms of the gaps, so that they stay ordered."""
+    own = params[n_features:]
+    return own[0] + np.concatenate([[0.0], np.cumsum(np.exp(own[1:]))])
+
+
+def loss(params: np.ndarray, sample: Sample, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the grades, plus ridge / 2 times the weights' squares, and its gradient.
+
+    A row of grade k has the probability p = F(high) - F(low), where high = s - theta_k and low = s - theta_k+1
+    (infinite at either end). As F' = F (1 - F), d log p / ds = 1 - F(high) - F(low).
+    """
+    n, k, rows = sample.n_features, sample.grade, max(1, len(sample.grade))
+    weights, theta = params[:n], thresholds_of(params, n)
+    edges = np.concatenate([[-np.inf], theta, [np.inf]])
+    score = sample.scores(weights)
+    with np.errstate(invalid="ignore"):
+        high, low = _logistic(score - edges[k]), _logistic(score - edges[k + 1])
+    p = np.maximum(high - low, 1e-300)
+    by_score = (1 - high - low) / rows
+    by_theta = np.zeros(len(edges))
+    np.add.at(by_theta, k, high * (1 - high) / p / rows)
+    np.add.at(by_theta, k + 1, -low * (1 - low) / p / rows)
+    by_theta = by_theta[1:-1]
+    later = np.cumsum(by_theta[::-1])[::-1]  # a gap moves all thresholds above it
+    by_weight = np.bincount(sample.feature, weights=by_score[sample.row], minlength=n)
+    gradient = np.concatenate([ridge * weights - by_weight, [later[0]], later[1:] * np.exp(params[n + 1 :])])
+    return float(-np.log(p).mean() + ridge / 2 * (weights**2).sum()), gradient
+
+
+def fit(sample: Sample, steps: int = 1000, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest penalised likelihood, by Adam. Grades must be 0 to some top without gaps."""
+    top = int(sample.grade.max())
+    params = np.concatenate([np.zeros(sample.n_features), [1.0], np.zeros(top - 1)])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
-        w, gaps = params[:n_features], np.exp(params[n_features + 1 :])
-        theta = params[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(at, weights=w[col], minlength=len(rows))
-        # Binary view of the cumulative link: each threshold is passed or not, all sharing the score.
-        wrong = (sigmoid(score[:, None] - theta[None, :]) - reach) / len(rows)
-        grad_theta = -wrong.sum(axis=0)
-        grad = np.concatenate([np.bincount(col, weights=wrong.sum(axis=1)[at], minlength=n_features) + ridge * w / len(rows), [grad_theta.sum()], grad_theta[::-1].cumsum()[::-1][1:] * gaps])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        _, gradient = loss(params, sample, ridge)
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-12)
-    theta = params[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(params[n_features + 1 :]))])
-    return Ordinal(dict(zip(names, params[:n_features].tolist())), theta.tolist())
+    return params[: sample.n_features], thresholds_of(params, sample.n_features)
+
+
+def graded(sample: Sample, half: np.ndarray) -> Sample:
+    """The sample of grades 0 and 1 with toxic rows graded 1 to GRADES by scores of the half they aren't in."""
+    margin = np.zeros(len(sample.grade))
+    for own in (half, ~half):
+        learnt = sample.only(~own)
+        if len(set(learnt.grade.tolist())) == 2:
+            weights, threshold = fit(learnt, 300)
+            margin[own] = (sample.scores(weights) - threshold[0])[own]
+    toxic = sample.grade > 0
+    cuts = np.unique(np.quantile(margin[toxic], np.arange(1, GRADES) / GRADES))
+    _, grade = np.unique(np.searchsorted(cuts, margin[toxic], side="left"), return_inverse=True)
+    new = np.zeros_like(sample.grade)
+    new[toxic] = 1 + grade
+    return Sample(sample.row, sample.feature, new, sample.n_features)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Ordinal:
@@ -94,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [features(t) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(set().union(*f.values())) for f in own], pa.list_(pa.string()))], names=["y", "features"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(f) for f in own], pa.list_(pa.string()))], names=["y", "features"])
 
     seen = stored(map_batches(texts.select("text", "y"), listed, "y int, features array<string>"), "toxicity")
     sizes = {r[0]: r[1] for r in seen.groupBy(F.col("y") > 0).count().collect()}
@@ -107,19 +160,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = counts.select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "f").limit(MOST_FEATURES).collect()
     names = [r[0] for r in best]
     index = {f: i for i, f in enumerate(names)}
-    marks = {r[0] for r in best if r[1] > 0}
-    shared = docs.sparkSession.sparkContext.broadcast((index, marks))
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # MOST_FEATURES
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, marks = shared.value
-        own = [features(t) for t in batch.column(0).to_pylist()]
-        found = [sorted({index[f] for fs in x.values() for f in fs if f in index}) for x in own]
-        cues = [sum(not marks.isdisjoint(fs) for fs in x.values()) for x in own]
-        grade = [0 if not y else 1 + sum(c >= g for g in GRADES) for y, c in zip(batch.column(1).to_pylist(), cues)]
-        return pa.RecordBatch.from_arrays([pa.array(grade, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["grade", "found"])
-
-    got = map_batches(texts.select("text", "y"), rows, "grade int, found array<int>").collect()  # train_docs rows of MOST_FEATURES numbers at most
-    return fit([np.array(r[1], dtype=np.int64) for r in got], np.array([r[0] for r in got]), len(names), names)
+        index = shared.value
+        found = [sorted(index[f] for f in own if f in index) for own in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
+
+    got = map_batches(seen, rows, "y int, found array<int>").collect()  # train_docs rows of MOST_FEATURES numbers at most
+    got.sort(key=lambda r: (r[0], r[1]))  # the same halves whatever the partitions
+    sample = Sample(np.repeat(np.arange(len(got)), [len(r[1]) for r in got]), np.array([f for r in got for f in r[1]], dtype=np.int64), np.array([int(r[0] > 0) for r in got]), len(names))
+    weights, theta = fit(graded(sample, np.arange(len(got)) % 2 == 0))
+    return Ordinal(dict(zip(names, weights.tolist())), theta.tolist())
 
 
 def severity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

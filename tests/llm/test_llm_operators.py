@@ -105,7 +105,7 @@ def test_toxicity_held_out_accuracy(spark, empty):
             labels.append((i, 1, int(toxic)))
     docs = spark.createDataFrame([*rows, (9000, None, None, None, None), (9001, "", "en", "s", 0)], DOCS)
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 2  # four rude words: no row has six
+    assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == toxicity.GRADES
     got = by_id(toxicity.severity(docs, model), "toxic", "expected_severity", "grade")
     held = [(got[i][0], i % 4 == 0) for i in range(600, 900)]
     assert sum(a == b for a, b in held) / len(held) > 0.98
@@ -115,6 +115,44 @@ def test_toxicity_held_out_accuracy(spark, empty):
     assert not any(v[0] for v in by_id(toxicity.severity(docs, blank), "toxic").values())
 
 
+def test_ordinal_likelihood_and_gradient_equal_brute_force():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sample = toxicity.Sample(np.repeat(np.arange(12), 3), rng.integers(0, 5, 36), np.arange(12) % 4, 5)
+    params = np.concatenate([rng.normal(size=5), [-0.4, 0.3, -0.2]])
+    theta = [-0.4, -0.4 + math.exp(0.3), -0.4 + math.exp(0.3) + math.exp(-0.2)]
+    total = 0.0
+    for i, k in enumerate(sample.grade.tolist()):
+        s = sum(params[f] for f in sample.feature[sample.row == i])
+        reach = [1.0, *(1 / (1 + math.exp(t - s)) for t in theta), 0.0]
+        total -= math.log(reach[k] - reach[k + 1]) / 12
+    value, gradient = toxicity.loss(params, sample, 0.5)
+    assert abs(value - total - 0.25 * (params[:5] ** 2).sum()) < 1e-9
+    for i in range(len(params)):
+        step = np.zeros_like(params)
+        step[i] = 1e-6
+        assert abs((toxicity.loss(params + step, sample, 0.5)[0] - toxicity.loss(params - step, sample, 0.5)[0]) / 2e-6 - gradient[i]) < 1e-6
+    weights, found = toxicity.fit(sample, 1500, 0.5)
+    best = toxicity.loss(np.concatenate([weights, [found[0]], np.log(np.diff(found))]), sample, 0.5)[0]
+    assert all(toxicity.loss(np.concatenate([weights, [found[0]], np.log(np.diff(found))]) + rng.normal(scale=0.05, size=8), sample, 0.5)[0] > best - 1e-6 for _ in range(50))
+
+
+def test_severity_equals_plain_python(docs, texts):
+    import math
+
+    model = toxicity.Ordinal({"alpha": 1.5, "beta": -0.5, "gamm-": 0.7, "delt-": 0.2, "x": 2.0}, [0.5, 1.0, 2.5])
+    got = by_id(toxicity.severity(docs, model), "p_toxic", "expected_severity", "grade", "toxic")
+    for i, t in enumerate(texts):
+        words = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        held = words | {w[:4] + "-" for w in words if len(w) > 4} | {w[:5] + "-" for w in words if len(w) > 5}
+        s = sum(v for f, v in model.weights.items() if f in held)
+        reach = [1 / (1 + math.exp(x - s)) for x in model.thresholds]
+        assert got[i] == (pytest.approx(reach[0]), pytest.approx(sum(reach)), sum(p >= 0.5 for p in reach), reach[0] >= 0.5)
+
+
 # 3. Language
 
 
