@@ -1,26 +1,25 @@
 """BPE encoding and decoding with content-defined chunks.
 
-A rolling hash over the bytes cuts each text where its value meets a mask, so passages that documents share
-are cut alike. Each distinct chunk is encoded once per worker and kept in a bounded cache; a chunk's pieces
-between white space go through a second bounded memo. A cut may fall inside a piece: the text around each
-join is then encoded again, with one more piece of either chunk as context, and the context is widened
-until the new tokens agree with those of both chunks. The vocabulary file is a parameter.
-
-The files used here drop white space before merging, and no normaliser step, pattern or added token crosses
-ASCII white space, so pieces between white space encode independently. For fewer distinct pieces, a full stop
-or comma between an ASCII letter or digit and white space is set apart, and ASCII text without an added
-token's opening is lower-cased first, as the normaliser would. The result is tested against whole-text
-encoding by the library.
+A rolling hash over the bytes cuts each text where its value meets a mask, so passages that documents share are
+cut alike. Each distinct chunk is encoded and decoded once per worker and kept in a bounded cache, from which all
+documents take it. A cut may fall inside a piece, so every join is repaired: the text around it, REACH pieces
+between white space on either side, is encoded again. The repair holds if both chunks end there in the tokens
+that these pieces have on their own, and if the new tokens begin and end with those of the outer half of the
+pieces: then it agrees exactly with what stays of both chunks. Otherwise the reach doubles, and where it would
+pass a chunk's middle the two chunks become one, up to the whole text. The vocabulary file is a parameter; files
+whose steps could carry something further than that are refused.
 
 Defined results: null and empty texts have no token; any length is encoded whole; repeated rows repeat.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from array import array
 from functools import lru_cache
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,13 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, random_words
 
-CHUNK_MASK = np.uint64((1 << 10) - 1)
-CHUNK_LEAST, CHUNK_MOST = 256, 16384
+CHUNK_MASK = np.uint64((1 << 11) - 1)
+CHUNK_LEAST, CHUNK_MOST = 512, 16384
 WINDOW = 16
-CACHED_CHUNKS, CACHED_PIECES = 4_000, 350_000
-_STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n])")
+REACH = 2
+CACHED_BYTES = 48 << 20
+#: Steps of a vocabulary file that look at one piece between white space at a time.
+NORMALISERS, SPLITTERS = {"NFC", "Replace", "Lowercase", "Sequence"}, {"Split", "ByteLevel", "Sequence"}
 _GEAR = random_words(5, 256)
 
 
@@ -67,144 +68,136 @@ def _aligned(data: np.ndarray, at: int) -> int:
     return at
 
 
-class Chunk:
-    """A chunk's encoding: pieces cut by its ends stay text, those in between are encoded."""
+def check_file(path: str) -> None:
+    """Raises ValueError unless tokens depend on the text near them alone and decoding joins tokens by one space."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
 
-    __slots__ = ("body", "decoded", "first", "head", "last", "tail")
+    def kinds(step: dict | None) -> set[str]:
+        return set() if step is None else {step["type"]}.union(*map(kinds, step.get("normalizers", []) + step.get("pretokenizers", [])))
 
-    def __init__(self, head: bytes, tail: bytes | None, body: bytes = b"", decoded: bytes = b"", first: bytes = b"", last: bytes = b""):
-        self.head, self.tail, self.body, self.decoded, self.first, self.last = head, tail, body, decoded, first, last
+    if own["model"]["type"] != "BPE" or own["model"].get("dropout") or own["decoder"] is not None:
+        raise ValueError("only BPE without dropout and without a decoder step can be put together from chunks")
+    if not kinds(own["normalizer"]) <= NORMALISERS or not kinds(own["pre_tokenizer"]) <= SPLITTERS:
+        raise ValueError("the file has a normaliser or splitter that isn't known to work piece by piece")
 
 
 class Encoder:
-    """Encodes and decodes with one vocabulary file, keeping chunks and pieces it has seen."""
+    """Encodes and decodes with one vocabulary file, keeping chunks it has seen.
+
+    An encoding is a list of ids; `encoded`, `reused` and `widened` count chunks and joins over the worker's life.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, Chunk] = {}
-        self.encoded = self.reused = self.widened = 0
-        if self.tokenizer.decoder is not None:
-            raise ValueError("only vocabularies without a decoder step join decoded parts by one space")
-        self.tokens = {i: t.encode() + b" " for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Puts pieces into the memo: their ids as text and their decoded text, a space after each token."""
-        if len(self.pieces) + len(pieces) > CACHED_PIECES and len(self.pieces) + len(pieces - self.pieces.keys()) > CACHED_PIECES:
-            # The half that was met first holds the frequent ones.
-            self.pieces = {p: self.pieces[p] for p in list(self.pieces)[: CACHED_PIECES // 2]}
-        new = list(pieces - self.pieces.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in part], add_special_tokens=False)):
-                ids = got.ids
-                self.pieces[piece] = (b"%d " * len(ids) % tuple(ids), b"".join([self.token(i) for i in ids]))
-
-    def token(self, i: int) -> bytes:
-        return self.tokens[i]
-
-    def joined(self, pieces: list[bytes]) -> tuple[bytes, bytes]:
-        """Ids and decoded text of pieces in a row; pieces may encode to nothing."""
-        memo = self.pieces
-        got = [memo[p] for p in pieces]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-
-    def chunk(self, data: bytes) -> Chunk:
-        """The chunk's encoding; its inner pieces must be in the memo."""
-        pieces = data.split()
-        if not pieces:
-            return Chunk(b"", b"")
-        head = b"" if data[:1].isspace() else pieces[0]
-        if head and len(pieces) == 1 and not data[-1:].isspace():
-            return Chunk(head, None)
-        tail = b"" if data[-1:].isspace() else pieces[-1]
-        inner = pieces[bool(head) : len(pieces) - bool(tail)]
-        ids, text = self.joined(inner)
-        return Chunk(head, tail, ids, text, inner[0] if inner else b"", inner[-1] if inner else b"")
-
-    def texts(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """(token count, ids as decimal text, decoded text) of each text."""
-        cut, need, fresh = [], set(), {}
-        for data in map(self.simpler, texts):
+        self.chunks: dict[bytes, array] = {}
+        self.held = self.encoded = self.reused = self.widened = 0
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.decimal = [b"%d" % i for i in range(size)]
+        self.token = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)
+        return [g.ids for g in got]
+
+    def texts(self, texts: list[bytes]) -> list[list[int]]:
+        """The ids of each text."""
+        plans, fresh = [], {}
+        for data in texts:
             ends = cut_points(np.frombuffer(data, dtype=np.uint8)) if data else []
-            parts = [data[a:b] for a, b in zip([0, *ends], ends)]
-            cut.append(parts)
-            for part in parts:
+            plans.append([data[a:b] for a, b in zip([0, *ends], ends)])
+            for part in plans[-1]:
                 if part in self.chunks or part in fresh:
                     self.reused += 1
                 else:
                     fresh[part] = None
-                    self.encoded += 1
-                    need.update(part.split())
-        if len(self.chunks) + len(fresh) > CACHED_CHUNKS:  # this batch's own stay
-            self.chunks = {p: self.chunks[p] for parts in cut for p in parts if p in self.chunks}
-        self.learn(need)
-        for part in fresh:
-            self.chunks[part] = self.chunk(part)
-        plans = [[self.chunks[p] for p in parts] for parts in cut]
-        whole = self.agree(plans)
-        out = [self.spliced(chunks) if i not in whole else self.all_at_once(texts[i]) for i, chunks in enumerate(plans)]
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks = {}
+        self.encoded += len(fresh)
+        for part, ids in zip(fresh, self.encode(list(fresh))):
+            self.keep(part, ids)
+        repairs = self.repairs({pair for parts in plans for pair in zip(parts, parts[1:])})
+        out = [self.spliced(parts, repairs) for parts in plans]
+        if self.held > CACHED_BYTES:  # those that came first are the oldest
+            for part in list(islice(self.chunks, len(self.chunks) // 2)):
+                self.held -= len(part) + 4 * len(self.chunks.pop(part)) + 200
         return out
 
-    @staticmethod
-    def simpler(data: bytes) -> bytes:
-        """Another text with the same tokens and fewer distinct pieces."""
-        if b"<|" in data:
-            return data
-        return _STOP.sub(rb" \g<0>", data.lower() if data.isascii() else data)
+    def keep(self, part: bytes, ids: list[int]) -> None:
+        self.chunks[part] = array("i", ids)
+        self.held += len(part) + 4 * len(ids) + 200
 
     @staticmethod
-    def gaps(chunks: list[Chunk]) -> list[tuple[bytes, bytes, bytes]]:
-        """For each gap before, between and after chunk bodies: the piece there, and its neighbours."""
-        out, open_piece, before = [], b"", b""
-        for c in chunks:
-            open_piece += c.head
-            if c.tail is None:  # the whole chunk lies inside one piece
-                continue
-            out.append((open_piece, before, c.first))
-            open_piece, before = c.tail, c.last or before
-        out.append((open_piece, before, b""))
+    def around(left: bytes, right: bytes, reach: int) -> tuple[bytes, bytes, bytes, bytes] | None:
+        """The `reach` pieces before and after a join, each as outer and inner half; None if they pass a chunk's middle."""
+        head, tail = left.rsplit(None, 2 * reach), right.split(None, 2 * reach)
+        if len(head) <= 2 * reach or len(tail) <= 2 * reach:
+            return None
+        outer, inner = left.rsplit(None, reach)[0], left.rsplit(None, reach // 2)[0]
+        near, far = right.split(None, reach // 2)[-1], right.split(None, reach)[-1]
+        near, far = len(right) - len(near), len(right) - len(far)
+        return left[len(outer) : len(inner)], left[len(inner) :], right[:near], right[near:far]
+
+    def repairs(self, joins: set[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], tuple[int, list[int], int]]:
+        """For each join of chunks how many tokens of the left one go, what takes their place, and how many of the right go.
+
+        Joins that no reach can repair are missing.
+        """
+        out, reach, open_ = {}, REACH, list(joins)
+        while open_:
+            at = {join: found for join in open_ if (found := self.around(*join, reach))}
+            needed = list({x for a, b, c, d in at.values() for x in (a, a + b, a + b + c + d, c + d, d)})
+            ids = dict(zip(needed, self.encode(needed)))
+            open_ = []
+            for join, (a, b, c, d) in at.items():
+                (left, right), old_a, old_b, new = join, ids[a + b], ids[c + d], ids[a + b + c + d]
+                same = len(ids[a]) + len(ids[d]) <= len(new) and new[: len(ids[a])] == ids[a] and new[len(new) - len(ids[d]) :] == ids[d]
+                left, right = self.chunks[left], self.chunks[right]
+                if same and left[max(0, len(left) - len(old_a)) :].tolist() == old_a and right[: len(old_b)].tolist() == old_b:
+                    out[join] = (len(old_a), new, len(old_b))
+                else:
+                    open_.append(join)
+            self.widened += len(open_)
+            reach *= 2
+        return out
+
+    def spliced(self, parts: list[bytes], repairs: dict[tuple[bytes, bytes], tuple[int, list[int], int]]) -> list[int]:
+        """The ids of a text from its chunks; chunks whose join couldn't be repaired are encoded as one."""
+        while bad := {i + 1 for i, join in enumerate(zip(parts, parts[1:])) if join not in repairs}:
+            stretches: list[list[bytes]] = []
+            for i, part in enumerate(parts):
+                if i in bad:
+                    stretches[-1].append(part)
+                else:
+                    stretches.append([part])
+            parts = [b"".join(x) for x in stretches]
+            fresh = [p for p in dict.fromkeys(parts) if p not in self.chunks]
+            for part, ids in zip(fresh, self.encode(fresh)):
+                self.keep(part, ids)
+            repairs = repairs | self.repairs(set(zip(parts, parts[1:])) - repairs.keys())
+        out: list[int] = []
+        skip = 0
+        for i, part in enumerate(parts):
+            ids = self.chunks[part]
+            if i + 1 < len(parts):
+                drop, new, following = repairs[part, parts[i + 1]]
+                out += ids[skip : len(ids) - drop]
+                out += new
+                skip = following
+            else:
+                out += ids[skip:]
         return out
 
-    def agree(self, plans: list[list[Chunk]]) -> set[int]:
-        """Encodes each join again between its neighbours; the texts where the tokens on either side differ.
+    def decode(self, ids: list[int]) -> bytes:
+        return b" ".join([self.token[i] for i in ids])
 
-        For these the context widens to the whole text, where agreement is certain.
-        """
-        windows: dict[tuple[bytes, ...], list[int]] = {}
-        for i, chunks in enumerate(plans):
-            for piece, before, after in self.gaps(chunks):
-                if piece:
-                    windows.setdefault(tuple(p for p in (before, piece, after) if p), []).append(i)
-        self.learn({p for window in windows for p in window})
-        got = self.tokenizer.encode_batch_fast([b" ".join(w).decode("utf-8", "surrogatepass") for w in windows], add_special_tokens=False)
-        bad = {i for (window, users), enc in zip(windows.items(), got) if b"%d " * len(enc.ids) % tuple(enc.ids) != self.joined(list(window))[0] for i in users}
-        self.widened += len(bad)
-        return bad
-
-    def all_at_once(self, text: bytes) -> tuple[int, bytes, bytes]:
-        ids = self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        return len(ids), " ".join(map(str, ids)).encode(), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
-
-    def spliced(self, chunks: list[Chunk]) -> tuple[int, bytes, bytes]:
-        ids, texts, bodies = [], [], [c for c in chunks if c.tail is not None]
-        for (piece, _, _), body in zip(self.gaps(chunks), [*bodies, None]):
-            if piece:
-                own, text = self.pieces[piece]
-                ids.append(own)
-                texts.append(text)
-            if body is not None:
-                ids.append(body.body)
-                texts.append(body.decoded)
-        joined = b"".join(ids)
-        return joined.count(b" "), joined[:-1], b"".join(texts)[:-1]
+    def numbers(self, ids: list[int]) -> bytes:
+        """Decimal ids joined by a space."""
+        return b" ".join([self.decimal[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -212,16 +205,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _coded(batch: pa.RecordBatch, vocabulary: str) -> tuple[Encoder, list[list[int]]]:
+    own = encoder(vocabulary)
+    return own, own.texts([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids (array<int>) and decoded text of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = encoder(vocabulary).texts([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())), pa.array([g[2].decode("utf-8", "surrogatepass") for g in got], pa.string())],
-            names=[id_col, "n_tokens", "ids", "decoded"],
-        )
+        own, got = _coded(batch, vocabulary)
+        decoded = pa.array([own.decode(ids).decode("utf-8", "surrogatepass") for ids in got], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, got)), pa.int64()), pa.array(got, pa.list_(pa.int32())), decoded], names=[id_col, "n_tokens", "ids", "decoded"])
 
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_tokens bigint, ids array<int>, decoded string")
 
@@ -231,10 +227,8 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = encoder(vocabulary).texts([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha256(g[1]).hexdigest() for g in got], pa.string()), pa.array([sha256(g[2]).hexdigest() for g in got], pa.string())],
-            names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        own, got = _coded(batch, vocabulary)
+        digests = [pa.array([sha256(f(ids)).hexdigest() for ids in got], pa.string()) for f in (own.numbers, own.decode)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, got)), pa.int64()), *digests], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -248,13 +248,36 @@ def test_bpe_equals_whole_text_encoding(size, texts):
     got = []
     for i in range(0, len(every), size):
         got += enc.texts([t.encode() for t in every[i : i + size]])
-    for text, (n, ids, decoded) in zip(every, got):
+    for text, ids in zip(every, got):
         want = enc.tokenizer.encode(text, add_special_tokens=False).ids
-        assert (n, ids.decode()) == (len(want), " ".join(map(str, want)))
-        assert decoded.decode() == enc.tokenizer.decode(want, skip_special_tokens=False)
+        assert ids == want and enc.numbers(ids).decode() == " ".join(map(str, want))
+        assert enc.decode(ids).decode() == enc.tokenizer.decode(want, skip_special_tokens=False)
     assert enc.reused
 
 
+def test_bpe_joins_widen_and_merge(monkeypatch):
+    """Small chunks whose joins need more than the first reach, or the chunks made one."""
+    monkeypatch.setattr(bpe, "CHUNK_LEAST", 8)
+    monkeypatch.setattr(bpe, "CHUNK_MOST", 40)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 20_000)
+    rng = random.Random(3)
+    enc = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(60):
+        text = "".join(rng.choice(["don't ", "A\u030a", "x", "yz ", "<|endoftext|>", "\n", "日本語", "1 2 3 ", "we'll-"]) for _ in range(rng.randrange(400)))
+        assert enc.texts([text.encode()] * 2) == [enc.tokenizer.encode(text, add_special_tokens=False).ids] * 2
+    assert enc.encoded and enc.held < 200_000
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    own = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": {"type": "Strip"}}, {"pre_tokenizer": {"type": "Metaspace"}}):
+        (tmp_path / "v.json").write_text(json.dumps(own | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="only BPE|the file has"):
+            bpe.check_file(str(tmp_path / "v.json"))
+
+
 def test_chunks_cover_texts_and_respect_code_points():
     import numpy as np
 
