@@ -4,128 +4,133 @@ from __future__ import annotations
 
 import re
 
-#: Term and the words it is linked with.
-PAIRS = """
-認証=auth authentication login signin credential
-認可=authorization permission acl policy
-権限=permission role privilege scope
-ログイン=login signin authenticate
-ログアウト=logout signout
-パスワード=password passwd credential
-トークン=token jwt bearer accesstoken
-セッション=session cookie
-暗号=encrypt crypto cipher encryption
-署名=signature sign verify hmac
-ハッシュ=hash digest bcrypt argon
-有効期限=expiry expires ttl timeout deadline
-更新=update refresh renew upsert
-作成=create insert new register
-削除=delete remove destroy purge
-取得=get fetch retrieve read list find query
-検索=search query find filter
-一覧=list index all
-決済=payment pay checkout charge billing
-返金=refund reverse chargeback cancel
-請求=invoice billing charge
-注文=order purchase cart
-在庫=stock inventory
-顧客=customer user account client
-利用者=user account
-通知=notification notify alert push mail
-メール=mail email smtp
-リトライ=retry backoff attempt redrive
-再試行=retry backoff attempt
-タイムアウト=timeout deadline abort
-例外=exception error throw raise
-エラー=error exception failure fault
-失敗=fail failure error
-ログ=log logger logging trace
-監視=monitor metrics observability alert
-計測=metrics telemetry instrument
-キャッシュ=cache memoize redis
-キュー=queue sqs kafka worker job
-非同期=async await background job
-バッチ=batch cron scheduler job
-並列=parallel concurrent concurrency
-排他=lock mutex exclusive transaction
-整合性=consistency integrity constraint
-冪等=idempotent idempotency
-検証=validate validation verify check
-入力=input request payload param
-出力=output response result
-設定=config configuration setting env option
-環境変数=env environment variable
-依存=dependency depends import require
-移行=migration migrate upgrade
-スキーマ=schema model table column
-データベース=database db sql table repository
-テーブル=table entity model
-接続=connection connect pool client
-トランザクション=transaction commit rollback
-インデックス=index
-画面=page screen view component ui
-画像=image file upload media
-アップロード=upload multipart file
-ダウンロード=download export
-帳票=report pdf export
-集計=aggregate sum count report
-テスト=test spec assert mock
-本番=production prod live
-開発=development dev local
-検証環境=staging stg qa
-配信=deploy release delivery publish
-公開=public expose publish
-非公開=private internal
-制限=limit throttle ratelimit quota
-上限=max maximum limit cap
-下限=min minimum
-既定値=default fallback
-仕様=spec specification requirement contract
-要件=requirement spec
-設計=design architecture
-影響範囲=impact affected blast radius
-脆弱性=vulnerability cve exploit
-対策=mitigation remediation fix countermeasure
-注入=injection inject sanitize escape
-改ざん=tamper forgery integrity
-なりすまし=spoof impersonate forgery
-漏洩=leak exposure disclosure
-再現=reproduce repro reproduction steps
-原因=cause root cause reason
-修正=fix patch repair
-回避=workaround bypass
-性能=performance latency throughput
-遅延=latency delay slow
-負荷=load stress traffic
-分岐=branch condition if
-状態=state status
-遷移=transition workflow flow
-webhook=ウェブフック 通知 コールバック
-api=エンドポイント インタフェース
-"""
+#: Terms and the words they are linked with.
+PAIRS: dict[str, tuple[str, ...]] = {
+    "認証": ("auth", "authentication", "login", "signin", "credential"),
+    "認可": ("authorization", "permission", "acl", "policy"),
+    "権限": ("permission", "role", "privilege", "scope"),
+    "ログイン": ("login", "signin", "authenticate"),
+    "ログアウト": ("logout", "signout"),
+    "パスワード": ("password", "passwd", "credential"),
+    "トークン": ("token", "jwt", "bearer", "accesstoken"),
+    "セッション": ("session", "cookie"),
+    "暗号": ("encrypt", "crypto", "cipher", "encryption"),
+    "署名": ("signature", "sign", "verify", "hmac"),
+    "ハッシュ": ("hash", "digest", "bcrypt", "argon"),
+    "有効期限": ("expiry", "expires", "ttl", "timeout", "deadline"),
+    "更新": ("update", "refresh", "renew", "upsert"),
+    "作成": ("create", "insert", "new", "register"),
+    "削除": ("delete", "remove", "destroy", "purge"),
+    "取得": ("get", "fetch", "retrieve", "read", "list", "find", "query"),
+    "検索": ("search", "query", "find", "filter"),
+    "一覧": ("list", "index", "all"),
+    "決済": ("payment", "pay", "checkout", "charge", "billing"),
+    "返金": ("refund", "reverse", "chargeback", "cancel"),
+    "請求": ("invoice", "billing", "charge"),
+    "注文": ("order", "purchase", "cart"),
+    "在庫": ("stock", "inventory"),
+    "顧客": ("customer", "user", "account", "client"),
+    "利用者": ("user", "account"),
+    "通知": ("notification", "notify", "alert", "push", "mail"),
+    "メール": ("mail", "email", "smtp"),
+    "リトライ": ("retry", "backoff", "attempt", "redrive"),
+    "再試行": ("retry", "backoff", "attempt"),
+    "タイムアウト": ("timeout", "deadline", "abort"),
+    "例外": ("exception", "error", "throw", "raise"),
+    "エラー": ("error", "exception", "failure", "fault"),
+    "失敗": ("fail", "failure", "error"),
+    "ログ": ("log", "logger", "logging", "trace"),
+    "監視": ("monitor", "metrics", "observability", "alert"),
+    "計測": ("metrics", "telemetry", "instrument"),
+    "キャッシュ": ("cache", "memoize", "redis"),
+    "キュー": ("queue", "sqs", "kafka", "worker", "job"),
+    "非同期": ("async", "await", "background", "job"),
+    "バッチ": ("batch", "cron", "scheduler", "job"),
+    "並列": ("parallel", "concurrent", "concurrency"),
+    "排他": ("lock", "mutex", "exclusive", "transaction"),
+    "整合性": ("consistency", "integrity", "constraint"),
+    "冪等": ("idempotent", "idempotency"),
+    "検証": ("validate", "validation", "verify", "check"),
+    "入力": ("input", "request", "payload", "param"),
+    "出力": ("output", "response", "result"),
+    "設定": ("config", "configuration", "setting", "env", "option"),
+    "環境変数": ("env", "environment", "variable"),
+    "依存": ("dependency", "depends", "import", "require"),
+    "移行": ("migration", "migrate", "upgrade"),
+    "スキーマ": ("schema", "model", "table", "column"),
+    "データベース": ("database", "db", "sql", "table", "repository"),
+    "テーブル": ("table", "entity", "model"),
+    "接続": ("connection", "connect", "pool", "client"),
+    "トランザクション": ("transaction", "commit", "rollback"),
+    "インデックス": ("index",),
+    "画面": ("page", "screen", "view", "component", "ui"),
+    "画像": ("image", "file", "upload", "media"),
+    "アップロード": ("upload", "multipart", "file"),
+    "ダウンロード": ("download", "export"),
+    "帳票": ("report", "pdf", "export"),
+    "集計": ("aggregate", "sum", "count", "report"),
+    "テスト": ("test", "spec", "assert", "mock"),
+    "本番": ("production", "prod", "live"),
+    "開発": ("development", "dev", "local"),
+    "検証環境": ("staging", "stg", "qa"),
+    "配信": ("deploy", "release", "delivery", "publish"),
+    "公開": ("public", "expose", "publish"),
+    "非公開": ("private", "internal"),
+    "制限": ("limit", "throttle", "ratelimit", "quota"),
+    "上限": ("max", "maximum", "limit", "cap"),
+    "下限": ("min", "minimum"),
+    "既定値": ("default", "fallback"),
+    "仕様": ("spec", "specification", "requirement", "contract"),
+    "要件": ("requirement", "spec"),
+    "設計": ("design", "architecture"),
+    "影響範囲": ("impact", "affected", "blast", "radius"),
+    "脆弱性": ("vulnerability", "cve", "exploit"),
+    "対策": ("mitigation", "remediation", "fix", "countermeasure"),
+    "注入": ("injection", "inject", "sanitize", "escape"),
+    "改ざん": ("tamper", "forgery", "integrity"),
+    "なりすまし": ("spoof", "impersonate", "forgery"),
+    "漏洩": ("leak", "exposure", "disclosure"),
+    "再現": ("reproduce", "repro", "reproduction", "steps"),
+    "原因": ("cause", "root", "cause", "reason"),
+    "修正": ("fix", "patch", "repair"),
+    "回避": ("workaround", "bypass"),
+    "性能": ("performance", "latency", "throughput"),
+    "遅延": ("latency", "delay", "slow"),
+    "負荷": ("load", "stress", "traffic"),
+    "分岐": ("branch", "condition", "if"),
+    "状態": ("state", "status"),
+    "遷移": ("transition", "workflow", "flow"),
+    "webhook": ("ウェブフック", "通知", "コールバック"),
+    "api": ("エンドポイント", "インタフェース"),
+}
+#: Weights of a term's words, of a word's terms, and of the pairs of characters in these.
 LINKED, BACK, GRAM = 0.55, 0.5, 0.45
+#: Fixed value: shorter words don't lead back to terms.
+SHORTEST = 3
 
-FORWARD = {term: words.split() for term, words in (line.split("=") for line in PAIRS.strip().splitlines())}
-BACKWARD: dict[str, list[str]] = {}
-for _term, _words in FORWARD.items():
-    for _word in _words:
-        if _term not in BACKWARD.setdefault(_word, []):
-            BACKWARD[_word].append(_term)
+
+def terms_in(query: str) -> list[str]:
+    """Terms that a query holds: Japanese ones anywhere, others as whole words."""
+    words = set(re.findall(r"\w+", query.lower(), re.ASCII))
+    return [term for term in PAIRS if (term in words if term.isascii() else term in query)]
+
+
+def terms_of_words(query: str) -> list[str]:
+    """Terms that have a word with which a word of the query begins (ASCII words: Japanese ones begin none)."""
+    words = re.findall(r"\w+", query.lower(), re.ASCII)
+    begun = {word[:size] for word in words for size in range(SHORTEST, len(word) + 1)}
+    return [term for term, linked in PAIRS.items() if not begun.isdisjoint(linked)]
 
 
 def bridge_terms(query: str) -> dict[str, float]:
-    """Terms that the glossary adds to a query, with weights below that of a word that is there."""
-    low, added = query.lower(), {}
-    for term, words in FORWARD.items():
-        if term in query if not term.isascii() else re.search(rf"\b{term}\b", low, re.ASCII):
-            added |= {w: max(added.get(w, 0.0), LINKED) for w in words}
-    for word, terms in BACKWARD.items():
-        # Word boundaries are ASCII ones: a Japanese key never begins at one.
-        if len(word) >= 3 and re.search(rf"\b{re.escape(word)}", low, re.ASCII):
-            for term in terms:
-                added[term] = max(added.get(term, 0.0), BACK)
-                added |= {term[i : i + 2]: GRAM for i in range(len(term) - 1)}
-    return added
+    """Terms that the glossary adds to a query, with weights below that of a word that is there.
+
+    A pair of characters has its own weight even where it is a term by itself.
+    """
+    linked = dict.fromkeys((word for term in terms_in(query) for word in PAIRS[term]), LINKED)
+    back = terms_of_words(query)
+    pairs = dict.fromkeys((term[i : i + 2] for term in back for i in range(len(term) - 1)), GRAM)
+    return dict.fromkeys(back, BACK) | linked | pairs
 
 
 def weighted_terms(query: str, bridge: bool = True) -> dict[str, float]:

@@ -11,9 +11,17 @@ from .text import any_glob
 
 #: What file names and extensions mean, which paths are never read, and which of these are examples.
 SPECIAL_NAMES = ("dockerfile", "makefile", "jenkinsfile", "procfile")
-CODE = "js mjs cjs jsx ts tsx py rb go rs java kt kts scala c h cc cpp hpp cs php swift m mm sh bash zsh sql graphql proto tf hcl vue svelte dart ex exs erl pl lua r groovy".split()
-DOCS = "md markdown mdx rst txt adoc".split()
-CONFIG = "json yaml yml toml ini env xml properties gradle cfg conf".split()
+CODE = (
+    "js", "mjs", "cjs", "jsx", "ts", "tsx", "py", "rb", "go", "rs", "java", "kt", "kts", "scala", "c", "h",
+    "cc", "cpp", "hpp", "cs", "php", "swift", "m", "mm", "sh", "bash", "zsh", "sql", "graphql", "proto",
+    "tf", "hcl", "vue", "svelte", "dart", "ex", "exs", "erl", "pl", "lua", "r", "groovy",
+)
+DOCS = (
+    "md", "markdown", "mdx", "rst", "txt", "adoc",
+)
+CONFIG = (
+    "json", "yaml", "yml", "toml", "ini", "env", "xml", "properties", "gradle", "cfg", "conf",
+)
 WORKSPACE = ".evisieve"
 _KEY_FILES = "{txt,pem,key,json,yml,yaml,toml,ini,properties,env}"
 DENY = (

@@ -199,7 +199,7 @@ def test_urls(spark):
 
 
 def test_glossary():
-    assert len(glossary.FORWARD) == 96
+    assert len(glossary.PAIRS) == 96
     added = glossary.bridge_terms("返金の仕様")
     assert added["refund"] == 0.55 and "retry" not in added
     back = glossary.bridge_terms("refund flow")
