@@ -116,10 +116,11 @@ def terms_in(query: str) -> list[str]:
 
 
 def terms_of_words(query: str) -> list[str]:
-    """Terms that have a word with which a word of the query begins (ASCII words: Japanese ones begin none)."""
-    words = re.findall(r"\w+", query.lower(), re.ASCII)
-    begun = {word[:size] for word in words for size in range(SHORTEST, len(word) + 1)}
-    return [term for term, linked in PAIRS.items() if not begun.isdisjoint(linked)]
+    """Terms that have a word which begins at either end of an ASCII word of the query."""
+    low = query.lower()
+    ends = [at for word in re.finditer(r"\w+", low, re.ASCII) for at in word.span()]
+    begins = lambda word: len(word) >= SHORTEST and any(low.startswith(word, at) for at in ends)
+    return [term for term, linked in PAIRS.items() if any(map(begins, linked))]
 
 
 def bridge_terms(query: str) -> dict[str, float]:
