@@ -40,9 +40,20 @@ def _expanded(word: Column) -> Column:
     return F.when(word.rlike(f"^[{CJK}]"), grams).otherwise(F.concat(whole, parts))
 
 
+#: Tokens of two characters or more, for texts without CJK runs and compound words: shorter ones don't count there.
+_PLAIN = r"[A-Za-z][A-Za-z0-9_$]+|[0-9]{2,}(?:\.[0-9]+)*|[0-9](?:\.[0-9]+)+"
+_COMPOUND = f"[{CJK}_$]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
+
+
 def tokens(text: Column, stop_words: bool = False) -> Column:
-    """All tokens of a text in order, duplicates kept; null text: none. stop_words: drop them (query side)."""
-    found = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), _expanded))
+    """All tokens of a text in order, duplicates kept; null text: none. stop_words: drop them (query side).
+
+    Most texts hold nothing that breaks into several tokens; for them one expression and one change of case do.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = F.lower(F.array_join(F.regexp_extract_all(text, F.lit(_PLAIN), 0), " "))
+    plain = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    found = F.when(text.rlike(_COMPOUND), F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), _expanded))).otherwise(plain)
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS)) if stop_words else found
 
 

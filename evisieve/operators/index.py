@@ -18,11 +18,10 @@ def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None)
 
     One pass: both token lists of a chunk are exploded together and summed per (key, term) before the shuffle.
     """
-    body = F.transform(tokens(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w")))
     head = F.concat_ws(" ", "title", "path") if head is None else head
-    top = F.transform(tokens(head), lambda t: F.struct(t.alias("term"), F.lit(HEAD_WEIGHT).alias("w")))
-    rows = chunks.select(F.col(key).alias("key"), F.explode(F.concat(body, top)).alias("t"))
-    return rows.groupBy("key", F.col("t.term").alias("term")).agg(F.sum("t.w").cast("int").alias("tf")).select("term", "key", "tf")
+    rows = chunks.select(F.col(key).alias("key"), tokens(F.col("text")).alias("body"), tokens(head).alias("head"))
+    rows = rows.select("key", F.size("body").alias("n"), F.posexplode(F.concat("body", "head")).alias("at", "term"))
+    return rows.groupBy("key", "term").agg(F.sum(F.when(F.col("at") < F.col("n"), 1).otherwise(HEAD_WEIGHT)).cast("int").alias("tf")).select("term", "key", "tf")
 
 
 def lengths_of(chunks: DataFrame, key: str = "key") -> DataFrame:
