@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsonschema import validate
+from ..functions.jsonschema import extract_json, validate
 
 #: Words of speculation, and the white space that quotes may differ in.
 SPECULATIVE = (
@@ -172,6 +174,28 @@ def repair_prompt(violations: list[dict], hard: int = 25, soft: int = 10) -> str
 # Whole batches of answers, as relations.
 
 
+REPLIES = "ok boolean, violations array<struct<code:string,place:string,message:string>>, items int, accepted int, rejected int, hard int, soft int"
+
+
+def verify_replies(replies: DataFrame, schema: dict | None = None, policy: Policy = Policy(), by: str = "answer_id") -> DataFrame:
+    """verify() of what models wrote: id, ok, violations and counts. replies: id, reply, evidence (array of id and text).
+
+    An answer and its evidence are one row, so nothing is shuffled.
+    """
+    kind = replies.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, reply, evidence in zip(*(c.to_pylist() for c in batch.columns)):
+                v = verify(extract_json(reply), evidence or [], schema, policy)
+                rows.append({by: name, "ok": v.ok, "violations": v.violations, **{k: v.stats[k] for k in ("items", "accepted", "rejected", "hard", "soft")}})
+            fields = [(by, batch.schema.field(0).type), ("ok", pa.bool_()), ("violations", pa.list_(pa.struct([(n, pa.string()) for n in ("code", "place", "message")]))), *((k, pa.int32()) for k in ("items", "accepted", "rejected", "hard", "soft"))]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+
+    return replies.select(by, "reply", "evidence").mapInArrow(run, f"{by} {kind}, {REPLIES}")
+
+
 @F.pandas_udf(T.StringType())
 def composed_udf(texts: pd.Series) -> pd.Series:
     """NFC, for which Spark has no function."""

@@ -99,9 +99,13 @@ NEEDS = {
 
 def java(pattern: str) -> str:
     """The pattern with ASCII word boundaries and Unicode white space."""
-    space = SPACE.replace(r"\u", "\\u").replace(r"\x", "\\x")
-    out = re.sub(r"\[([^\]]*)\\s([^\]]*)\]", lambda m: f"[{m[1]}{space}{m[2]}]", pattern)
-    return out.replace(r"\s", f"[{space}]").replace(r"\b", _B)
+
+    def one(m: re.Match[str]) -> str:
+        if m["escape"]:
+            return {r"\s": f"[{SPACE}]", r"\b": _B}.get(m["escape"], m["escape"])
+        return m["set"].replace(r"\s", SPACE)
+
+    return re.sub(r"(?P<escape>\\.)|(?P<set>\[(?:\\.|[^\]\\])*\])", one, pattern)
 
 
 def rank_of(severity: Column) -> Column:
@@ -168,6 +172,12 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(rank_of(F.col("severity")).desc(), F.collate("rule_id", "UNICODE"), F.collate("path", "UNICODE"), "line")
 
 
+def numbered(report: DataFrame) -> DataFrame:
+    """A report's findings with their place in it; a report is bounded, so one window over all of it is."""
+    order = Window.orderBy(rank_of(F.col("severity")).desc(), F.collate("rule_id", "UNICODE"), F.collate("path", "UNICODE"), "line")
+    return report.withColumn("place", F.row_number().over(order))
+
+
 def evidence_first(found: DataFrame, items: DataFrame, most: int = 120) -> DataFrame:
     """Findings in files that the pack cites before all others, each in their order; a report's top `most`."""
     cited = items.select("source_id", "path").distinct().withColumn("cited", F.lit(True))

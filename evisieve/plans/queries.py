@@ -215,7 +215,15 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.jaccard_pairs(searched(spark, sf_dir, 10).select("query_id", "key").join(chunks, "key"), 0.1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 60)},
+  pool AS MATERIALIZED (SELECT query_id, key, score, rank AS r, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
+  near AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, len(list_intersect(a.ts, b.ts))::DOUBLE / greatest(len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)), 1) AS s FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.key <> b.key),
+  pick AS (SELECT query_id, 0 AS n, NULL::BIGINT AS key, NULL::DOUBLE AS score, []::BIGINT[] AS had FROM pool GROUP BY query_id
+    UNION ALL SELECT query_id, n, key, score, list_append(had, key) FROM (
+      SELECT p.query_id, k.n + 1 AS n, p.key, p.score, k.had, row_number() OVER (PARTITION BY p.query_id ORDER BY {ranking.DIVERSITY} * p.score / p.top - {1 - ranking.DIVERSITY} * coalesce(m.s, 0) - CASE WHEN coalesce(m.s, 0) >= {ranking.DUPLICATE} THEN 1 ELSE 0 END DESC, p.r) AS best
+      FROM pick k JOIN pool p ON p.query_id = k.query_id AND NOT list_contains(k.had, p.key) LEFT JOIN (SELECT k2.query_id, b, max(s) AS s FROM pick k2 JOIN near ON near.query_id = k2.query_id AND list_contains(k2.had, a) GROUP BY k2.query_id, b) m ON m.query_id = p.query_id AND m.b = p.key
+      WHERE k.n < 10) WHERE best = 1)
+  SELECT query_id, key, score, n::INT AS rank FROM pick WHERE n > 0""")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.diversified(searched(spark, sf_dir, 60).select("query_id", "key", "score"), doc_chunks(spark, sf_dir), 10)
 
@@ -350,30 +358,52 @@ def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("r.text").alias("masked_md5"), F.col("r.count").alias("n_masked"), F.array_join("r.kinds", ",").alias("kinds"))
 
 
-@query("""WITH d AS (SELECT s_suppkey, 'src/s' || s_suppkey || '.js' AS path, 's' || s_nationkey AS source_id FROM supplier),
-  e AS (SELECT source_id, path, 'GET' AS method, '/supplier/' || s_suppkey AS route, 'express' AS framework, 1 AS line FROM d UNION ALL SELECT source_id, path, 'POST', '/order', 'nest/spring', 2 FROM d UNION ALL SELECT source_id, path, 'ANY', '/part/' || s_suppkey, 'go', 4 FROM d)
-  SELECT * FROM e""")
+_ROUTES = ("app.get('/supplier/{k}', f)", "@Post('/order')", "// none", 'mux.HandleFunc("/part/{k}", h)', '@app.put("/item/{k}")', "  delete '/rail/{k}'")
+#: Line, method, route and framework; a decorator with a plain call's form counts as both.
+_FOUND_ROUTES = ((1, "GET", "/supplier/", "express"), (2, "POST", "/order", "nest/spring"), (4, "ANY", "/part/", "go"), (5, "PUT", "/item/", "express"), (5, "PUT", "/item/", "fastapi/flask"), (6, "DELETE", "/rail/", "rails"))
+
+
+@query(" UNION ALL ".join(f"SELECT 's' || s_nationkey AS source_id, 'src/s' || s_suppkey || '.js' AS path, '{m}' AS method, '{r}' || {chr(39) * 2 if r == '/order' else 's_suppkey'} AS route, '{f}' AS framework, {n} AS line, 'https://h/' || s_suppkey || '#L{n}' AS url FROM supplier" for n, m, r, f in _FOUND_ROUTES))
 def endpoints_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes of one generated source file per supplier."""
+    """Routes of one generated source file per supplier, in the form of every framework."""
     key = F.col("s_suppkey").cast("string")
-    text = F.concat(F.lit("app.get('/supplier/"), key, F.lit("', f)\n@Post('/order')\n// none\nmux.HandleFunc(\"/part/"), key, F.lit('", h)\n'))
-    docs = tables.as_docs(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), "s_nationkey"), F.concat(F.lit("src/s"), key, F.lit(".js")), text, "code", "github")
-    return scanning.endpoints(docs).select("source_id", "path", "method", "route", "framework", "line")
+    text = F.replace(F.lit("\n".join(_ROUTES)), F.lit("{k}"), key)
+    docs = tables.as_docs(table(spark, sf_dir, "supplier"), F.concat(F.lit("s"), "s_nationkey"), F.concat(F.lit("src/s"), key, F.lit(".js")), text, "code", "github", url=F.concat(F.lit("https://h/"), key))
+    return scanning.endpoints(docs).select("source_id", "path", "method", "route", "framework", "line", "url")
+
 
+_PROJECT = """WITH p AS (SELECT 'r' || p_size AS source_id, 'm' || p_partkey || '/' AS folder, p_partkey AS k, p_name AS name, p_size % 2 = 0 AS loose, p_size % 5 = 0 AS locked FROM part)
+  SELECT 'deps' AS kind, source_id, folder || 'package.json' AS path, 'name=' || name || ' / dependencies=1 / devDependencies=0 / engines=null' AS detail FROM p
+  UNION ALL SELECT 'deps-risk', source_id, folder || 'package.json', 'loose version ranges: a@*' FROM p WHERE loose
+  UNION ALL SELECT 'lockfile', source_id, folder || 'package.json', CASE WHEN locked THEN 'lock file present' ELSE 'no lock file in the index (excluded or not committed)' END FROM p
+  UNION ALL SELECT 'scripts', source_id, folder || 'package.json', 'scripts: build, test' FROM p WHERE k % 3 = 0
+  UNION ALL SELECT 'secret-file', source_id, folder || '.env', 'an .env file is in the index' FROM p WHERE k % 4 = 0
+  UNION ALL SELECT 'container', source_id, folder || 'Dockerfile', CASE WHEN k % 4 = 2 THEN 'container definition with a USER' ELSE 'container definition without a USER: runs as root' END FROM p WHERE k % 4 >= 2
+  UNION ALL SELECT 'ci', source_id, folder || '.github/workflows/x.yml', 'CI definition' FROM p WHERE k % 5 = 1"""
 
-@query("""WITH p AS (SELECT 'r' || p_size AS source_id, 'm' || p_partkey || '/package.json' AS path, p_name AS name, p_size % 2 = 0 AS loose, p_size % 5 = 0 AS locked FROM part)
-  SELECT 'deps' AS kind, source_id, path, 'name=' || name || ' / dependencies=1 / devDependencies=0 / engines=null' AS detail FROM p
-  UNION ALL SELECT 'deps-risk', source_id, path, 'loose version ranges: a@*' FROM p WHERE loose
-  UNION ALL SELECT 'lockfile', source_id, path, CASE WHEN locked THEN 'lock file present' ELSE 'no lock file in the index (excluded or not committed)' END FROM p""")
+
+@query(_PROJECT)
 def project_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of one generated package file per part, some with a lock file beside it."""
-    parts = table(spark, sf_dir, "part")
-    source, folder = F.concat(F.lit("r"), "p_size"), F.concat(F.lit("m"), "p_partkey")
+    """Facts of generated project files, one folder per part."""
+    parts, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    source, folder = F.concat(F.lit("r"), "p_size"), F.concat(F.lit("m"), "p_partkey", F.lit("/"))
     version = F.when(F.col("p_size") % 2 == 0, "*").otherwise("1.0")
-    text = F.to_json(F.struct(F.col("p_name").alias("name"), F.struct(version.alias("a")).alias("dependencies")))
-    package = tables.as_docs(parts, source, F.concat(folder, F.lit("/package.json")), text, "config")
-    lock = tables.as_docs(parts.where("p_size % 5 = 0"), source, F.concat(folder, F.lit("/yarn.lock")), F.lit("# lock"), "other")
-    return scanning.facts(package.unionByName(lock)).select("kind", "source_id", "path", "detail")
+    scripts = F.when(k % 3 == 0, F.struct(F.lit("x").alias("build"), F.lit("y").alias("test")))
+    text = F.to_json(F.struct(F.col("p_name").alias("name"), F.struct(version.alias("a")).alias("dependencies"), scripts.alias("scripts")))
+    user = F.when(k % 4 == 2, "FROM x\nUSER app\n").otherwise("FROM x\nUSER root\n")
+    files = (
+        (parts, "package.json", text, "config"),
+        (parts.where("p_size % 5 = 0"), "yarn.lock", F.lit("# lock"), "other"),
+        (parts.where("p_partkey % 4 = 0"), ".env", F.lit("A=1"), "other"),
+        (parts.where("p_partkey % 4 = 1"), ".env.example", F.lit("A="), "other"),
+        (parts.where("p_partkey % 4 >= 2"), "Dockerfile", user, "config"),
+        (parts.where("p_partkey % 5 = 1"), ".github/workflows/x.yml", F.lit("on: push"), "config"),
+    )
+    docs = [tables.as_docs(rows, source, F.concat(folder, F.lit(name)), content, kind) for rows, name, content, kind in files]
+    every = docs[0]
+    for more in docs[1:]:
+        every = every.unionByName(more)
+    return scanning.facts(every).select("kind", "source_id", "path", "detail")
 
 
 # Documents and files.
@@ -533,8 +563,12 @@ def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import forms  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import forms  # noqa: F401
+
     return dict(SQL)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import html_to_text_udf
-from ..functions.paths import is_binary, is_included, is_sensitive, kind_and_lang, strict_text
+from ..functions.paths import SKIPPED_DIRS, is_binary, is_included, is_sensitive, kind_and_lang, strict_text
 
 FILE_BYTES = 400_000
 
@@ -47,22 +54,72 @@ def conversation_docs(turns: DataFrame) -> DataFrame:
     return as_docs(joined, F.lit("chat"), F.col("conv_id").cast("string"), text, "ticket")
 
 
-def file_docs(spark: SparkSession, root: str, source_id: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), deny: bool = True, extra_deny: tuple[str, ...] = (), most_bytes: int = FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents of a folder tree, and how many files were skipped for which reason.
+def listed(spark: SparkSession, root: str) -> Iterator[tuple[str, str, int, int]]:
+    """Path below the root, URI, bytes and modification time (ms) of all files; links and SKIPPED_DIRS aren't entered.
 
-    Paths and sizes are filtered before contents are read.
+    Names with a leading dot are files like all others, which Spark's own listing would leave out.
+    """
+    scheme, _, rest = root.partition(":")
+    if not rest or scheme == "file":
+        top = Path("/" + (rest or root).lstrip("/")) if rest or root.startswith("/") else Path(root).resolve()
+        for folder, inside, names in os.walk(top):
+            inside[:] = sorted(d for d in inside if d.lower() not in SKIPPED_DIRS and not os.path.islink(os.path.join(folder, d)))
+            for name in sorted(names):
+                path = Path(folder, name)
+                if path.is_file() and not path.is_symlink():
+                    stat = path.stat()
+                    yield path.relative_to(top).as_posix(), path.as_uri(), stat.st_size, stat.st_mtime_ns // 1_000_000
+        return
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True)
+    while files.hasNext():
+        own = files.next()
+        uri = own.getPath().toString()
+        path = uri.split(root.rstrip("/") + "/", 1)[-1]
+        if not {d.lower() for d in path.split("/")[:-1]} & set(SKIPPED_DIRS):
+            yield path, uri, own.getLen(), own.getModificationTime()
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Files (columns before it stay) with the bytes behind `uri`, read by the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                raw = []
+                for uri in part.column("uri").to_pylist():
+                    if uri.startswith("file:"):
+                        raw.append(Path(unquote(uri.removeprefix("file:").replace("//", "", 1))).read_bytes())
+                    else:
+                        system, path = pa_fs.FileSystem.from_uri(uri)
+                        with system.open_input_stream(path) as stream:
+                            raw.append(stream.read())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*part.schema.names, "content"])
+
+    return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary")
+
+
+def file_docs(spark: SparkSession, root: str, source_id: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), deny: bool = True, extra_deny: tuple[str, ...] = (), most_bytes: int = FILE_BYTES, unknown_types: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents of a folder tree, and how many files were skipped for which reason (`skipped` and `count`).
+
+    Paths and sizes are filtered before contents are read. Reasons are met in this order: sensitive (before
+    anything else, so that nothing is said about files that aren't included), too_large, binary, unknown_type,
+    bad_encoding.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.substring_index("path", base.removeprefix("file:").removeprefix("//") + "/", -1)
-    files = files.select(path.alias("path"), "length", F.col("modificationTime").cast("string").alias("version"), "content")
-    hidden = F.col("path").rlike("(?:^|/)(?:\\.git|node_modules|\\.azure)/")
-    wanted = is_included(F.col("path"), include, exclude) & ~hidden
-    files = files.where(wanted & ~is_sensitive(F.col("path"), extra_deny) if deny else wanted)
+    rows = list(listed(spark, root))  # a driver's listing, as of every file source
+    files = spark.createDataFrame(rows, "path string, uri string, length long, modified long")
+    if len(rows) > 64:
+        files = files.repartition(min(len(rows) // 32, 1024))
     kind, lang = kind_and_lang(F.col("path"))
-    files = files.withColumn("kind", kind).withColumn("lang", lang)
-    files = files.withColumn("text", strict_text(F.col("content")))
-    reason = F.when(F.col("kind") == "other", "unknown_type").when(F.col("length") > most_bytes, "too_large").when(is_binary(F.col("content")), "binary").when(F.col("text").isNull(), "bad_encoding")
-    files = files.withColumn("skipped", reason)
-    docs = as_docs(files.where(F.col("skipped").isNull()), F.lit(source_id), F.col("path"), F.col("text"), F.col("kind"), "local", lang=F.col("lang"), version=F.col("version"))
-    return docs, files.where(F.col("skipped").isNotNull()).groupBy("skipped").count()
+    files = files.select("*", kind.alias("kind"), lang.alias("lang"), (is_sensitive(F.col("path"), extra_deny) if deny else F.lit(False)).alias("sensitive"))
+    files = files.where(F.col("sensitive") | is_included(F.col("path"), include, exclude))
+    early = F.when(F.col("sensitive"), "sensitive").when(F.col("length") > most_bytes, "too_large")
+    files = files.withColumn("early", early)
+    read = with_content(files.where("early is null").drop("early", "sensitive")).withColumn("text", strict_text(F.col("content")))
+    late = F.when(is_binary(F.col("content")), "binary").when((F.col("kind") == "other") & ~F.lit(unknown_types), "unknown_type").when(F.col("text").isNull(), "bad_encoding")
+    read = read.withColumn("late", late)
+    meta = F.create_map(F.lit("root"), F.lit(root), F.lit("bytes"), F.col("length").cast("string"))
+    docs = as_docs(read.where("late is null"), F.lit(source_id), F.col("path"), F.col("text"), F.col("kind"), "local", lang=F.col("lang"), url=F.col("uri"), version=F.col("modified").cast("string"), meta=meta)
+    skipped = files.where("early is not null").select(F.col("early").alias("skipped")).unionByName(read.where("late is not null").select(F.col("late").alias("skipped")))
+    return docs, skipped.groupBy("skipped").count()
