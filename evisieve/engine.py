@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import logging
 import uuid
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
@@ -15,22 +17,31 @@ from . import config as cfg
 from .functions.jsonschema import extract_json
 from .functions.redact import mask_keys, redact
 from .functions.text import py_token_estimate
-from .operators import chunking, gate, index, packing, planning, ranking, report, scanning
-from .sources import cache, remote, tables
+from .operators import chunking, embedding, gate, index, packing, planning, presets, ranking, report, scanning
+from .operators.files import Folder
+from .operators.tables import kept
+from .sources import cache, clone, remote, services, tables
 
 log = logging.getLogger("evisieve")
 SYSTEM = "Answer from the evidence alone. Cite evidence ids; quote verbatim. What the evidence doesn't show is an open question. Reply with JSON that follows the schema."
 
 
 class Engine:
-    """One workspace: a folder with the document cache, the index and packs; any Hadoop path but for packs."""
+    """One workspace: a folder on any Hadoop file system with the document cache, the index, packs and runs.
 
-    def __init__(self, spark: SparkSession, workspace: str, settings: dict | None = None, tables_: dict[str, DataFrame] | None = None):
+    embed: texts and a purpose (document or query) to vectors; without it the embedding service of the settings, if
+    one is set. Clones need a workspace that driver and executors mount.
+    """
+
+    def __init__(self, spark: SparkSession, workspace: str, settings: dict | None = None, tables_: dict[str, DataFrame] | None = None, embed: embedding.Embed | None = None):
         self.spark, self.workspace = spark, workspace.rstrip("/")
         self.config = cfg.load(settings)
         self.tables = tables_ or {}
         self.store = index.IndexStore(spark, f"{self.workspace}/index")
         self.key = cfg.index_key(self.config)
+        security, own = self.config["security"], self.config["retrieval"]["embedding"]
+        self.offline, self.hosts = security["network_mode"] == "offline", tuple(security["allow_hosts"])
+        self.embed = embed or (services.embedder(own, self.hosts, self.offline) if own["provider"] != "none" else None)
 
     # Ingestion
 
@@ -53,9 +64,13 @@ class Engine:
                     skipped = {r[0]: r[1] for r in left_out.collect()}
                 elif s["type"] == "table":
                     docs = self.tables[s["table"]].withColumn("source_id", F.lit(s["id"])).withColumn("doc_id", F.concat_ws(":", "source_id", "path"))
+                elif s["type"] == "github" and s.get("mode") == "clone":
+                    if self.offline:
+                        raise remote.EgressDenied("offline: nothing is cloned")
+                    docs, left_out = clone.cloned_docs(self.spark, s, str(self._local("clones")), self.hosts)
+                    skipped = {r[0]: r[1] for r in left_out.collect()}
                 else:
-                    hosts = tuple(security["allow_hosts"])
-                    docs = remote.remote_docs(self.spark, s, hosts, (headers or {}).get(s["id"]), security["network_mode"] == "offline")
+                    docs = remote.remote_docs(self.spark, s, self.hosts, (headers or {}).get(s["id"]), self.offline)
                 cache.write_cache(docs.select(*[f.split()[0] for f in cache.DOC.split(", ")]), f"{self.workspace}/docs")
                 state[s["id"]] = {"ok": True, "skipped": skipped}
             except Exception as e:  # a source's failure is reported, not raised: the others go on
@@ -63,6 +78,17 @@ class Engine:
                 state[s["id"]] = {"ok": False, "error": redact(str(e))[0].split("\n")[0]}
         return state
 
+    def _local(self, name: str) -> Path:
+        if "://" in self.workspace and not self.workspace.startswith("file:"):
+            raise cfg.ConfigError("clones need a workspace that is mounted (file:)")
+        folder = Path("/" + self.workspace.removeprefix("file:").lstrip("/")) / name
+        folder.mkdir(parents=True, exist_ok=True)
+        return folder
+
+    def listing(self, ids: list[str] | None = None) -> DataFrame:
+        """Cached documents without their texts, by source and path."""
+        return self.docs(ids).drop("text").orderBy("source_id", "path")
+
     def docs(self, ids: list[str] | None = None) -> DataFrame:
         return cache.read_cache(self.spark, f"{self.workspace}/docs", self.source_ids(ids))
 
@@ -71,8 +97,26 @@ class Engine:
         c = self.config["retrieval"]["chunk"]
         limits = chunking.Limits(c["code"]["max_lines"], c["code"]["overlap_lines"], c["code"]["max_chars"], c["doc"]["max_chars"], c["doc"]["overlap_chars"])
         chunks = chunking.chunk_documents(self.docs(), limits).withColumn("key", F.concat_ws("#", "doc_id", F.lpad("chunk_no", 6, "0")))
+        if vectors is None and self.embed is not None:
+            chunks = kept(chunks, "chunks")
+            vectors = self.vectors(chunks)
         return self.store.build(chunks, self.key, self.config["project"], vectors)
 
+    def vectors(self, chunks: DataFrame) -> DataFrame:
+        """Vectors of chunks, those of earlier builds from the workspace; new ones are kept there.
+
+        A vector is known by its provider, model, dimensions and text.
+        """
+        own, path = self.config["retrieval"]["embedding"], f"{self.workspace}/embeddings"
+        named = F.sha2(F.concat(F.lit(f"{own['provider']}|{own['model']}|{own['dimensions']}|"), F.col("hash")), 256)
+        wanted = chunks.select("key", named.alias("hash"), "text")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = self.spark.read.parquet(path) if root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root) else None
+        made = kept(embedding.embed_chunks(wanted, self.embed, own["dimensions"], self.config["security"]["allow_embedding_upload"], known), "vectors")
+        new = made.select("hash", "embedding").dropDuplicates(["hash"])
+        (new if known is None else new.join(known.select("hash"), "hash", "left_anti")).write.mode("append").parquet(path)
+        return made.select("key", "embedding")
+
     def status(self) -> dict[str, Any]:
         now = self.store.open()
         return now.manifest | {"generation": now.number, "stale": now.is_stale(self.key), "sources": [r.asDict(True) for r in index.source_stats(now.chunks).collect()]}
@@ -94,12 +138,32 @@ class Engine:
         lists = ranking.bm25(now.postings, now.lengths, terms, chunks.select("key"), r["hybrid"]["per_query_top"])
         one = F.lit("all").alias("query_id")
         lists = lists.select(one, F.col("query_id").alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
-        fused = ranking.fuse(lists, self.spark.createDataFrame([("all", len(queries))], "query_id string, n int"))
+        asked = self._query_vectors(names) if now.vectors is not None else []
+        if asked:
+            frame = self.spark.createDataFrame(asked, "query_id string, embedding array<float>")
+            near = ranking.vector_search(now.vectors.join(chunks.select("key"), "key"), frame, r["hybrid"]["per_query_top"])
+            lists = lists.unionByName(near.select(one, F.concat(F.lit("v"), "query_id").alias("list_no"), F.lit("vector").alias("kind"), "key", "score"))
+        fused = ranking.fuse(lists, self.spark.createDataFrame([("all", len(queries) + len(asked))], "query_id string, n int"))
         every = terms.select(one, "term").distinct()
         scored = ranking.boosted(fused, chunks, every, kind_priors, source_priority)
         picked = ranking.diversified(scored, chunks, k or r["hybrid"]["final"], r["hybrid"]["mmr_lambda"], now.vectors)
         return [row.asDict(True) for row in picked.join(chunks, "key").orderBy("rank").collect()]  # k rows
 
+    def _query_vectors(self, queries: dict[str, str]) -> list[tuple[str, list[float]]]:
+        """Vectors of query texts. Without consent, or if the service fails, words alone decide, and that is said once."""
+        if self.embed is None:
+            return []
+        if not self.config["security"]["allow_embedding_upload"]:
+            log.warning("queries aren't sent to the embedding service (security.allow_embedding_upload is off): words alone decide")
+            return []
+        try:
+            texts = [(redact(q)[0] or "")[: services.QUERY_MOST] for q in queries.values()]
+            found = embedding.normalised(self.embed(texts, "query"), self.config["retrieval"]["embedding"]["dimensions"])
+        except Exception as e:  # ranking goes on without
+            log.warning("no query vectors, words alone decide: %s", redact(str(e))[0].split("\n")[0])
+            return []
+        return list(zip(queries, found.tolist()))
+
     def evidence_pack(self, task: str, instruction: str, effort: str = "normal", sources: list[str] | None = None) -> packing.Pack:
         """Plans queries, searches and packs."""
         e = planning.EFFORTS[effort]
@@ -111,15 +175,17 @@ class Engine:
 
     def save_pack(self, pack: packing.Pack, keep: int = 200) -> str:
         """Keeps a pack under a random id; of older packs the newest `keep`."""
-        folder = Path("/" + self.workspace.removeprefix("file:").lstrip("/")) / "packs"
-        folder.mkdir(parents=True, exist_ok=True)
-        name = f"pack-{uuid.uuid4().hex[:10]}"
-        with (folder / f"{name}.json").open("x") as out:
-            json.dump({"items": pack.items, "tokens": pack.tokens}, out, ensure_ascii=False, default=str)
-        for old in sorted(folder.glob("pack-*.json"), key=lambda p: -p.stat().st_mtime)[keep:]:
-            old.unlink()
+        folder, name = Folder(self.spark, f"{self.workspace}/packs"), f"pack-{uuid.uuid4().hex[:10]}"
+        folder.write(f"{name}.json", json.dumps({"items": pack.items, "tokens": pack.tokens}, ensure_ascii=False, default=str))
+        folder.prune(keep, ".json")
         return name
 
+    def load_pack(self, name: str) -> packing.Pack:
+        if not name.startswith("pack-") or not name[5:].isalnum():
+            raise KeyError(name)
+        saved = json.loads(Folder(self.spark, f"{self.workspace}/packs").read(f"{name}.json"))
+        return packing.Pack(saved["items"], saved["tokens"])
+
     def fetch(self, doc_id: str, start: int = 1, end: int | None = None, most: int = 201) -> list[str]:
         """Lines of a cached document, keys and credentials masked."""
         row = self.docs().where(F.col("doc_id") == doc_id).select("text").first()
@@ -142,13 +208,16 @@ class Engine:
         policy = gate.Policy(p["require_citations"], p["min_evidence"], p["verbatim_quotes"], p["drop_unverified"], p["forbid_speculation"])
         return gate.verify(answer, pack.items, planning.answer_schema(task) if task else None, policy)
 
-    def run_task(self, task: str, instruction: str, effort: str = "normal", model: Any = None, sources: list[str] | None = None) -> dict[str, Any]:
-        """Evidence, static facts and prompt; with a model (prompt -> text) also its verified answer and report.
+    def run_task(self, task: str, instruction: str, effort: str = "normal", model: Any = None, sources: list[str] | None = None, save: bool = False) -> dict[str, Any]:
+        """Evidence, static facts and prompt; with a model also its verified answer, report and usage.
 
-        Without one it is a dry run, and nothing leaves the engine. Arguments are checked before anything is read.
+        model: system text and prompt (and a schema, if it takes one) to a text or a services.Reply. Without one it is
+        a dry run, and nothing leaves the engine. Arguments are checked before anything is read. save: the artefacts
+        go to a folder of the workspace.
         """
         spec, _ = planning.TASKS[task], planning.EFFORTS[effort]
         self.source_ids(sources)
+        began = datetime.now(UTC)
         pack = self.evidence_pack(task, instruction, effort, sources)
         scans = self.scan(sources)
         cited = self.spark.createDataFrame([(i["source_id"], i["path"]) for i in pack.items], "source_id string, path string")
@@ -157,17 +226,51 @@ class Engine:
         facts = rows(scans["facts"], 60) if "facts" in spec.needs else []
         endpoints = rows(scans["endpoints"], 120) if "endpoints" in spec.needs else []
         static = report.static_facts(findings, facts, endpoints, self.config["budget"]["static_facts_tokens"])
-        user = "\n\n".join([spec.instruction, f"# Instruction\n{instruction}", f"# Evidence\n{packing.evidence_block(pack.items)}", static, "# Schema\n" + json.dumps(planning.answer_schema(task))])
+        schema = planning.answer_schema(task)
+        user = "\n\n".join([spec.instruction, f"# Instruction\n{instruction}", f"# Evidence\n{packing.evidence_block(pack.items)}", static, "# Schema\n" + json.dumps(schema)])
         out: dict[str, Any] = {"pack": pack, "bundle": report.bundle(SYSTEM, user), "tokens": py_token_estimate(SYSTEM + user)}
-        if model is None:
-            return out
-        if not self.config["security"]["allow_llm_upload"]:
-            raise PermissionError("security.allow_llm_upload is off")
-        if out["tokens"] > self.config["budget"]["max_total_tokens"]:
-            raise ValueError("the prompt is over budget.max_total_tokens")
-        verdict = self.verify(model(SYSTEM, user), pack, task)
-        for _ in range(self.config["budget"]["max_repairs"]):
-            if verdict.ok:
-                break
-            verdict = self.verify(model(SYSTEM, user + "\n\n" + gate.repair_prompt(verdict.violations)), pack, task)
-        return out | {"verdict": verdict, "report": report.markdown(verdict.cleaned, pack.items, spec.label)}
+        if model is not None:
+            if not self.config["security"]["allow_llm_upload"]:
+                raise PermissionError("security.allow_llm_upload is off")
+            if out["tokens"] > self.config["budget"]["max_total_tokens"]:
+                raise ValueError("the prompt is over budget.max_total_tokens")
+            out |= self._answered(model, user, schema, pack, task)
+            out["report"] = report.markdown(out["verdict"].cleaned, pack.items, spec.label)
+        out["meta"] = {"task": task, "effort": effort, "began": began.isoformat(), "ended": datetime.now(UTC).isoformat(), "masked": pack.masked, "masked_kinds": pack.masked_kinds, **{k: out[k] for k in ("usage", "repairs", "cut") if k in out}}
+        if save:
+            out["saved"] = self._saved(task, began, out)
+        return out
+
+    def _answered(self, model: Any, user: str, schema: dict, pack: packing.Pack, task: str) -> dict[str, Any]:
+        """A verified answer, asked for again with its violations while that may help: not after one that was cut off."""
+        usage, repairs, note = services.Usage(), 0, ""
+        takes_schema = len(inspect.signature(model).parameters) > 2
+        while True:
+            reply = model(SYSTEM, user + note, schema) if takes_schema else model(SYSTEM, user + note)
+            if isinstance(reply, str):
+                reply = services.Reply(reply)
+            usage += reply.usage
+            verdict = self.verify(reply.text if reply.json is None else reply.json, pack, task)
+            if reply.cut:
+                log.warning("the model's output limit cut the answer; asking again would meet the same limit")
+            if verdict.ok or reply.cut or repairs == self.config["budget"]["max_repairs"]:
+                return {"verdict": verdict, "usage": usage, "repairs": repairs, "cut": reply.cut}
+            repairs, note = repairs + 1, "\n\n" + gate.repair_prompt(verdict.violations)
+
+    def _saved(self, task: str, began: datetime, out: dict[str, Any]) -> list[str]:
+        """Prompt, pack, meta data and, if there is one, answer and report of a run."""
+        folder = Folder(self.spark, f"{self.workspace}/runs/{began:%Y%m%dT%H%M%S%f}-{task}")
+        files = {"prompt.md": out["bundle"], "evidence.json": out["pack"].items, "meta.json": out["meta"]}
+        if "verdict" in out:
+            verdict = out["verdict"]
+            files |= {"result.json": verdict.cleaned, "verification.json": {"ok": verdict.ok, "violations": verdict.violations, "stats": verdict.stats}, "report.md": out["report"]}
+        text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, indent=2, default=lambda x: getattr(x, "__dict__", str(x)))
+        return [folder.write(name, text(value)) for name, value in files.items()]
+
+    def run_preset(self, name: str, values: dict[str, str] | None = None, model: Any = None, save: bool = False) -> dict[str, Any]:
+        """A task by its preset, with arguments put into the instruction."""
+        good, bad = presets.load(self.config["presets"], set(self.source_ids()))
+        if name not in good:
+            raise cfg.ConfigError(f"no preset {name}" + (f": {'; '.join(bad[name])}" if name in bad else ""))
+        p = good[name]
+        return self.run_task(p.task, p.expand(values or {}), p.effort, model, list(p.sources) or None, save)

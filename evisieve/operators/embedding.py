@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.redact import redact
 
 MOST_CHARS, BATCH = 8000, 96
-Embed = Callable[[list[str]], list[list[float]]]
+Embed = Callable[..., list[list[float]]]
 
 
 def cache_key(provider: str, model: str, dims: int, text_hash: str) -> str:

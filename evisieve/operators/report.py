@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
 from typing import Any
 
 from ..functions.text import py_token_estimate
@@ -53,12 +51,3 @@ def markdown(answer: dict, items: list[dict], title: str = "Report") -> str:
 def bundle(system: str, user: str) -> str:
     """The exact prompt of a dry run."""
     return f"# System\n\n{system}\n\n# User\n\n{user}\n"
-
-
-def save_run(folder: str, files: dict[str, Any]) -> list[str]:
-    """Run artefacts, JSON unless text; returns their paths."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    for name, value in files.items():
-        (root / name).write_text(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, indent=2))
-    return [str(root / n) for n in files]

@@ -62,6 +62,8 @@ def listed(spark: SparkSession, root: str) -> Iterator[tuple[str, str, int, int]
     scheme, _, rest = root.partition(":")
     if not rest or scheme == "file":
         top = Path("/" + (rest or root).lstrip("/")) if rest or root.startswith("/") else Path(root).resolve()
+        if not top.is_dir():
+            raise FileNotFoundError(f"no folder {top}")
         for folder, inside, names in os.walk(top):
             inside[:] = sorted(d for d in inside if d.lower() not in SKIPPED_DIRS and not os.path.islink(os.path.join(folder, d)))
             for name in sorted(names):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
-from evisieve import cli
+from evisieve import cli, engine
 from evisieve import config as cfg
 from evisieve.operators import embedding, presets
-from evisieve.sources import clone, remote
+from evisieve.sources import clone, remote, services
 
 GOOD = {"name": "login-review", "task": "security", "instruction": "Review {{area}} {{more}}", "arguments": [{"name": "area"}, {"name": "more", "required": False}]}
 
@@ -70,3 +71,97 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["run", "refund"]) == 0 and "refund" in capsys.readouterr().out
     (tmp_path / "evisieve.json").write_text('{"projct": 1}')
     assert cli.main(["status"]) == 2
+
+
+# Services
+
+
+def test_embedding_requests_and_answers():
+    own = {"provider": "voyage", "model": "m", "dimensions": 2}
+    url, body = services.embedding_request(own, ["a"], "query")
+    assert url == services.EMBEDDING_URLS["voyage"] and body == {"model": "m", "input": ["a"], "input_type": "query", "output_dimension": 2}
+    url, body = services.embedding_request(own | {"provider": "openai", "base_url": "https://h/v1/"}, ["a"])
+    assert url == "https://h/v1/embeddings" and body["dimensions"] == 2 and "input_type" not in body
+    assert services.embedding_vectors({"data": [{"index": 1, "embedding": [3, 4]}, {"index": 0, "embedding": [1, 2]}]}, 2, 2) == [[1, 2], [3, 4]]
+    for bad, n in (({}, 1), ({"data": []}, 1), ({"data": [{"embedding": [1]}]}, 1)):
+        with pytest.raises(remote.RemoteError):
+            services.embedding_vectors(bad, n, 2)
+    with pytest.raises(remote.EgressDenied):
+        services.embedder(own, ())(["a"])
+    with pytest.raises(remote.EgressDenied):
+        services.embedder(own, ("api.voyageai.com",), offline=True)(["a"])
+
+
+def test_model_requests_and_answers(monkeypatch):
+    schema = {"type": "object"}
+    for provider, answer in (
+        ("anthropic", {"content": [{"type": "text", "text": "t"}, {"type": "tool_use", "input": {"a": 1}}], "usage": {"input_tokens": 5, "output_tokens": 2, "cache_read_input_tokens": 1}, "stop_reason": "max_tokens"}),
+        ("openai", {"choices": [{"message": {"content": '{"a": 1}'}, "finish_reason": "length"}], "usage": {"prompt_tokens": 5, "completion_tokens": 2, "prompt_tokens_details": {"cached_tokens": 1}}}),
+    ):
+        reply = services.model_reply(provider, answer)
+        assert (reply.json, reply.usage, reply.cut) == ({"a": 1}, services.Usage(5, 2, 1, 0), True)
+        url, _, body = services.model_request({"provider": provider, "model": "m"}, "system", "user", schema)
+        assert url == services.MODEL_URLS[provider] and "user" in json.dumps(body["messages"]) and ("tools" in body) == (provider == "anthropic")
+    sent = []
+
+    def gate(self, url, params=None, body=None):
+        sent.append(body.get("response_format", {}).get("type"))
+        if sent[-1] == "json_schema":
+            raise remote.RemoteError("HTTP 400 from h")
+        return {"choices": [{"message": {"content": "{}"}}]}
+
+    monkeypatch.setattr(remote.Gate, "__call__", gate)
+    ask = services.model({"provider": "compatible", "model": "m", "base_url": "https://h/v1"}, ("h",))
+    with pytest.raises(cfg.ConfigError):
+        ask("s", "u", schema)
+    monkeypatch.setenv("LLM_API_KEY", "k")
+    assert ask("s", "u", schema).text == "{}" and sent == ["json_schema", "json_object"]
+    assert services.Usage(1, 2) + services.Usage(3, 4, 5) == services.Usage(4, 6, 5, 0)
+
+
+def test_hybrid_search_presets_and_runs(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for name, text in (("cat.md", "cats purr"), ("dog.md", "dogs bark"), ("car.md", "engines roar")):
+        (src / name).write_text(text)
+    asked = []
+
+    def embed(texts, purpose="document"):
+        if purpose == "query":
+            asked.append(texts)
+        return [[float("cat" in t or "feline" in t), float("dog" in t), 1.0] for t in texts]
+
+    settings = {"sources": [{"id": "s", "type": "local", "path": str(src)}], "security": {"allow_embedding_upload": True}, "retrieval": {"embedding": {"provider": "none", "dimensions": 3}}, "presets": [GOOD | {"sources": ["s"]}]}
+    e = engine.Engine(spark, str(tmp_path / "ws"), settings, embed=embed)
+    e.sync()
+    assert [r["path"] for r in e.listing().collect()] == ["car.md", "cat.md", "dog.md"]
+    e.build_index()
+    e.build_index()  # vectors come from the workspace
+    assert spark.read.parquet(f"{tmp_path}/ws/embeddings").count() == 3
+    assert e.search("feline")[0]["path"] == "cat.md" and asked == [["feline"]]
+    plain = engine.Engine(spark, str(tmp_path / "ws"), settings | {"security": {"allow_embedding_upload": False}}, embed=embed)
+    assert plain.search("feline") == [] and len(asked) == 1
+    replies = iter([services.Reply("no json", services.Usage(1, 1)), services.Reply('{"summary": "s", "items": [], "open_questions": []}', services.Usage(2, 1))])
+    done = e.run_preset("login-review", {"area": "cats"}, model=lambda system, user: next(replies), save=True)
+    assert done["verdict"].ok and done["usage"] == services.Usage(3, 2) and done["repairs"] == 1 and len(done["saved"]) == 6
+    cut = e.run_task("bug", "cats", model=lambda system, user: services.Reply("{", cut=True))
+    assert cut["cut"] and cut["repairs"] == 0 and not cut["verdict"].ok
+    name = e.save_pack(cut["pack"])
+    assert e.load_pack(name).items[0]["id"] == "E1"
+    with pytest.raises(cfg.ConfigError):
+        e.run_preset("none")
+
+
+def test_clone_sources_reach_the_cache(spark, tmp_path, monkeypatch):
+    def made(source, folder, hosts):
+        target = Path(folder) / source["id"]
+        target.mkdir(parents=True)
+        (target / "a.py").write_text("print(1)")
+        (target / "yarn.lock").write_text("x")
+        return target, "abc"
+
+    monkeypatch.setattr(clone, "clone", made)
+    e = engine.Engine(spark, str(tmp_path / "ws"), {"sources": [{"id": "r", "type": "github", "repo": "o/r", "mode": "clone"}], "security": {"allow_hosts": ["github.com"]}})
+    assert e.sync()["r"]["ok"] and [r["path"] for r in e.docs().collect()] == ["a.py"]
+    e.offline = True
+    assert not e.sync()["r"]["ok"]
