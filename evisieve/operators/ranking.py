@@ -90,6 +90,14 @@ def vector_search(vectors: DataFrame, queries: DataFrame, top: int = 60) -> Data
     return out
 
 
+def _best(scores: np.ndarray, tie: np.ndarray, top: int) -> np.ndarray:
+    """Where the `top` best scores are, in order; only those that can be among them are sorted."""
+    able = np.arange(len(scores))
+    if len(scores) > top:
+        able = np.flatnonzero(scores >= np.partition(scores, len(scores) - top)[len(scores) - top])
+    return able[np.lexsort((tie[able], -scores[able]))[:top]]
+
+
 def _search_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = queries.collect()  # about QUERY_BLOCK rows
@@ -111,7 +119,7 @@ def _search_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame
             block = np.array(batch.column(1).take(pa.array(own)).to_pylist(), dtype=np.float64)
             scores = np.round(matrix @ block.T, DIGITS)
             tie = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-            best = [np.lexsort((tie, -row))[:top] for row in scores]
+            best = [_best(row, tie, top) for row in scores]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, b in zip(ids, best) for _ in b], types[0]), pa.array([k for b in best for k in keys[b]], types[1]), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
 
     return ranked(vectors.select("key", "embedding").mapInArrow(run, f"query_id {kind}, key {key}, score double"), top)

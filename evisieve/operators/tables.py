@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; a temporary folder, set in the session, where none is named (tests)."""
+    """`spark.checkpoint.dir`; in a session on one machine that names none, a temporary folder, set in the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='evisieve-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

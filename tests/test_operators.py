@@ -326,7 +326,7 @@ def test_files(spark, tmp_path):
         p.write_bytes(content)
     docs, skipped = tables.file_docs(spark, str(tmp_path), "r", most_bytes=50)
     assert {(r["path"], r["kind"]) for r in docs.collect()} == {("src/a.py", "code"), ("README.md", "doc")}
-    assert {r[0]: r[1] for r in skipped.collect()} == {"unknown_type": 1, "too_large": 1, "binary": 1, "bad_encoding": 1}
+    assert {r[0]: r[1] for r in skipped.collect()} == {"unknown_type": 1, "too_large": 1, "binary": 1, "bad_encoding": 1, "sensitive": 2}
 
 
 def test_cache(spark, tmp_path):
