@@ -11,8 +11,9 @@ No group is expanded into all its pairs. Within each band bucket everyone is fir
 member that shares the most buckets, and only with the hub of most of its buckets; verified links give components. Then, in
 buckets that still hold several components, the members outside the largest are compared with all members of
 other components; in large buckets only those pairs are made that can be linked by their counts of rare
-shingles (heavy_pairs). What is then linked is exact but for pairs that share no bucket: with 32 bands of 5
-registers, a pair at similarity 0.85 is missed with probability 7e-9, one at 0.80 with 3e-6.
+shingles (rare_shingles, bucket_pairs). Two things can miss a link: a pair may share fewer bands than
+Rule.shared asks for, and the estimate may fall below Rule.floor. With 32 bands of 5 registers the first has
+probability 1.9e-7 at similarity 0.85 and 3e-6 at 0.80, the second under 1e-7; what is linked is exact.
 
 Defined results: null, empty and wordless texts have an empty set and stay alone; a text of fewer words than
 a shingle is one shingle; repeated rows repeat, and rows that share an id are one document; ids must be
@@ -28,7 +29,7 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, mix, random_words, slices, space_words, stored, text_bytes
@@ -244,12 +245,16 @@ def rare_shingles(ids: DataFrame, found: DataFrame, known: DataFrame, texts: Dat
     common = each.join(count.where(F.col("df") > RARE), "g").groupBy("id").agg(F.count("*").alias("common"))
     own = ids.join(known.select("id", "n"), "id").join(common, "id", "left").select("id", "n", (F.col("n") - F.coalesce("common", F.lit(0))).alias("r"))
     own = stored(own.join(found, "id", "left").select("id", "n", "r", F.coalesce("component", "id").alias("component")), "sizes")
-    rare = each.join(count.where(F.col("df").between(2, RARE)).select("g"), "g").join(own, "id")
-    side = lambda c: rare.select("g", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("r").alias(f"r_{c}"), F.col("component").alias(f"c_{c}"))
-    by = side("a").join(side("b"), "g").where("a < b and c_a != c_b").groupBy("a", "b", "n_a", "n_b", "r_a", "r_b").agg(F.count("*").alias("s"))
-    # Of the rare shingles of either document all but the s shared ones are missing in the other.
-    by = by.where(reachable(rule, "n_a", "n_b", F.col("r_a") - F.col("s"), F.col("r_b") - F.col("s")))
-    by = by.select("a", "b", F.lit(rule.shared).alias("times"))  # as if they shared enough bands: the estimate decides
+    # With shingles in order of how many hold them, the first one that a linked pair shares stands early in both, and
+    # what follows it on either side bounds what else they share.
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
+    rare = each.join(count.where(F.col("df") <= RARE), "g").withColumn("at", place).where("df > 1").select("g", "id", "at").join(own, "id")
+    rare = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * rule.num / F.lit(rule.den)) + 1)
+    side = lambda c: rare.select("g", F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}"))
+    shared = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    fits = rule.den * shared >= rule.num * (F.col("n_a") + F.col("n_b") - shared)
+    by = side("a").join(side("b"), "g").where(F.expr("a < b and c_a != c_b") & fits).select("a", "b").distinct()
+    by = by.withColumn("times", F.lit(rule.shared))  # as if they shared enough bands: the estimate decides
     counted = own.select("id", "r", F.lit(True).alias("counted"))
     sized = known.select("id", "n").join(counted, "id", "left").select("id", "n", F.coalesce("r", F.lit(0).cast("long")).alias("r"), F.coalesce("counted", F.lit(False)).alias("counted"))
     return sized, by
