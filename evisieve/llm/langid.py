@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix, slices
+from .common import map_batches, mix, slices, stored
 
 BUCKETS, PER_BUCKET = 32, 16
 LENGTHS = (3, 5)
@@ -109,15 +109,13 @@ def reduced(hashes: np.ndarray) -> np.ndarray:
 
 
 def build_filters(languages: list[str], counts: pd.DataFrame) -> Filters:
-    """counts: lang, gram (the GRAM_BITS bits), n."""
+    """counts: lang and gram (the GRAM_BITS bits) of what enters the filters."""
     if len(languages) > 64:
         raise ValueError("a slot holds 64 languages at most")
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     table = np.zeros(1 << SLOT_BITS, dtype=kind)
     wrong = np.zeros(len(languages))
     if len(counts):
-        counts = counts.assign(rate=counts["n"] / counts.groupby("lang")["n"].transform("sum"))
-        counts = counts[(counts["rate"] >= SHARE * counts.groupby("gram")["rate"].transform("max")) & (counts["n"] >= LEAST)]
         for i, language in enumerate(languages):
             hashes = mix(counts.loc[counts["lang"] == language, "gram"].to_numpy(np.uint64))
             for k in range(HASHES):
@@ -147,9 +145,13 @@ def train(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array([language] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(docs)], names=["lang", "gram", "n", "docs"])
 
     counted = texts.mapInArrow(count, "lang string, gram bigint, n bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    found = counted.toPandas()  # at most 2**GRAM_BITS a language
-    by = found.groupby("lang")["docs"].sum()
-    return build_filters(sorted(by.index, key=lambda x: (-by[x], x)), found)
+    counted = stored(counted, "grams")
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
+    by = {r["lang"]: r["docs"] for r in totals.orderBy(F.col("docs").desc(), "lang").limit(65).collect()}
+    rated = counted.select("lang", "gram", "n").join(F.broadcast(totals.select("lang", "total")), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row a language
+    most = F.max("rate").over(Window.partitionBy("gram"))  # as many rows as there are languages
+    found = rated.withColumn("most", most).where((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= LEAST)).select("lang", "gram")
+    return build_filters(list(by), found.toPandas())  # at most 2**GRAM_BITS a language
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality rules, line first, with DataFrame functions only.
 
-Each line is judged alone: punctuation (mostly symbols, or a run of them), navigation (many separators, or a
+Each line is judged alone: punctuation (four symbols or more that are over a tenth of its characters), navigation (many separators, or a
 few words of a menu without a full stop) and boilerplate (fixed phrases). Failing lines go; a document that
 loses more than MOST_LOST of its word characters goes with them, as does one that fails the base rules:
 fewer than 50 words, or more than half of the words in three-word windows that repeat.

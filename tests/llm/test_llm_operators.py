@@ -176,6 +176,34 @@ def test_language_held_out_accuracy(spark, empty):
     assert langid.identify(docs, langid.train(empty, ~langid.held_out())).where("lang_pred != 'und'").count() == 0
 
 
+def plain_grams(text: str) -> list[bytes]:
+    raw = b" " + re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", text.encode()).lower() + b" "
+    raw = re.sub(rb" +", b" ", raw)
+    return [raw[i : i + n] for n in langid.LENGTHS for i in range(len(raw) - n + 1)]
+
+
+def test_languages_equal_plain_sets(spark):
+    """Shares and predictions against sets of n-grams, without hashes and filters."""
+    rng = random.Random(16)
+    syllables = {"aa": "ba be bi bo bu da".split(), "bb": "ka ke ki ko ku da".split(), "cc": "mé mü ba mo mu".split()}
+    said = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, said(list(syllables)[i % 3], rng.randrange(5, 60)), list(syllables)[i % 3], "s", 0) for i in range(240)]
+    docs = spark.createDataFrame(rows, DOCS)
+    learns = ~langid.held_out()
+    filters = langid.train(docs, learns)
+    counts = {x: Counter(g for i, t, lang, *_ in rows if lang == x and zlib.crc32(str(i).encode()) % 4 != 2 for g in plain_grams(t)) for x in syllables}
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    most = {g: max(c[g] / total[x] for x, c in counts.items()) for c in counts.values() for g in c}
+    sets = {x: {g for g, n in c.items() if n >= langid.LEAST and n / total[x] >= langid.SHARE * most[g]} for x, c in counts.items()}
+    got = by_id(langid.identify(docs, filters), "lang_pred", "score")
+    for i, t, *_ in rows:
+        own = plain_grams(t)
+        share = {x: sum(g in sets[x] for g in own) / len(own) for x in sets}
+        best = sorted(share, key=lambda x: -share[x])
+        assert abs(got[i][1] - share[got[i][0]]) < 0.02
+        assert got[i][0] == best[0] or share[best[0]] - share[got[i][0]] < 0.02
+
+
 def test_language_does_not_depend_on_neighbours():
     hashes, rows = langid.grams(["alpha beta", None, "", "gamma"])
     alone = langid.grams(["gamma"])[0]
@@ -185,7 +213,7 @@ def test_language_does_not_depend_on_neighbours():
 def test_bloom_filters_hold_what_was_added():
     import pandas as pd
 
-    filters = langid.build_filters(["x", "y"], pd.DataFrame({"lang": ["x"] * 50 + ["y"] * 50, "gram": range(100), "n": [9] * 100, "docs": [1] * 100}))
+    filters = langid.build_filters(["x", "y"], pd.DataFrame({"lang": ["x"] * 50 + ["y"] * 50, "gram": range(100)}))
     import numpy as np
 
     masks = filters.masks(common.mix(np.arange(100, dtype=np.uint64)))
@@ -393,6 +421,26 @@ def test_repeats_equal_brute_force(spark, monkeypatch, texts, empty, most):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_window_hashes_tell_strings_apart():
+    import numpy as np
+
+    rng = random.Random(14)
+    text = bytes(rng.choice(b"ab") for _ in range(3000))
+    for length in (1, 2, 7, 12, 400):
+        got = substrings.window_hashes(np.frombuffer(text, np.uint8), length, *substrings._HASHES[0]).tolist()
+        strings = [text[i : i + length] for i in range(len(text) - length + 1)]
+        assert len(got) == len(strings) and len(set(got)) == len(set(strings)) == len(set(zip(got, strings)))
+
+
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    rng = random.Random(15)
+    left = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, 4, None]), i) for i in range(200)], "k long, v long")
+    right = left.where("k is not null and k < 4").groupBy("k").count()
+    for most in (1, 3, 1024):
+        monkeypatch.setattr(common, "HEAVY_KEYS", most)
+        assert sorted(map(tuple, common.spread_join(left, right, ["k"], "count").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
 def test_suffix_array_and_common_prefixes():
     import numpy as np
 
