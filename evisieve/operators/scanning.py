@@ -148,19 +148,25 @@ def findings(docs: DataFrame, least: str = "info", test_paths: bool = False, mas
     after = lambda i: F.array_join(F.slice("lines", i + 1, WINDOW), "\n")
     none = F.array().cast("array<int>")
     tested = F.transform("lines", lambda line, i: F.struct(i.alias("i"), F.when(F.length(line) <= LINE_MOST, hits_of(line, F.col("lang"), after(i), F.col("can"), rules)).otherwise(none).alias("rules")))
-    # The outer form adds no filter on the array, which would be pushed down and test all lines again.
-    rows = docs.select("*", F.explode_outer(F.filter(tested, lambda h: F.size(h["rules"]) > 0)).alias("h")).where("h is not null")
-    rows = rows.select("*", F.col("h.i").alias("i"), F.explode_outer("h.rules").alias("rule")).where("rule is not null").drop("h", "can")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy("i"))).where(F.col("rank") <= PER_DOC)
+    broken = F.filter(tested, lambda h: F.size(h["rules"]) > 0)
+    docs = docs.withColumn("hits", F.flatten(F.transform(broken, lambda h: F.transform(h["rules"], lambda r: F.struct(h["i"].alias("i"), r.alias("rule"))))))
+    docs = docs.where(F.size("hits") > 0)
+    # A document is one row, so its cap by rule needs no shuffle, and keys are masked once for all its findings.
+    of_rule = lambda i: F.filter("hits", lambda h: h["rule"] == i)
+    capped = F.flatten(F.array(*[F.slice(of_rule(i), 1, PER_DOC) for i in range(len(rules))]))
     safe = mask_keys_udf(F.array_join("lines", "\n")) if masked else F.array_join("lines", "\n")
-    rows = rows.withColumn("safe", F.split(safe, "\n", -1))
+    docs = docs.withColumn("capped", capped).withColumn("safe", F.split(safe, "\n", -1))
+    # The outer form adds no filter on the array, which would be pushed down and test all lines again.
+    rows = docs.select("source_id", "source_type", "path", "url", "safe", F.explode_outer("capped").alias("h")).where("h is not null")
+    rows = rows.select("*", F.col("h.i").alias("i"), F.col("h.rule").alias("rule")).drop("h")
     cut = lambda c: F.substring(c, 1, LINE_MOST)
     first = F.greatest(F.col("i") - AROUND, F.lit(0))
     snippet = cut(F.trim(F.get("safe", F.col("i"))))
     around = F.array_join(F.transform(F.slice("safe", first + 1, F.col("i") + AROUND + 1 - first), cut), "\n")
     short = lambda c: F.substring(c, 1, SNIPPET)
-    rows = rows.withColumn("snippet", short(redact_udf(snippet)["text"] if masked else snippet))
-    context = redact_udf(around)["text"] if masked else around
+    rows = rows.select("source_id", "source_type", "path", "url", "i", "rule", snippet.alias("snippet"), around.alias("context"))
+    rows = rows.withColumn("snippet", short(redact_udf("snippet")["text"] if masked else F.col("snippet")))
+    context = redact_udf("context")["text"] if masked else F.col("context")
     rows = rows.withColumn("context", F.array_join(F.transform(F.split(context, "\n", -1), short), "\n"))
     known = F.array(*[F.struct(*[F.lit(getattr(r, c)).cast("string").alias(n) for c, n in (("id", "rule_id"), ("severity", "severity"), ("category", "category"), ("cwe", "cwe"), ("title", "title"))]) for r in rules])
     url = F.when(F.col("source_type") == "github", F.concat("url", F.lit("#L"), F.col("i") + 1)).otherwise(F.col("url"))
