@@ -7,6 +7,7 @@ import json
 import logging
 import uuid
 from datetime import UTC, datetime
+from hashlib import sha256
 from pathlib import Path
 from typing import Any
 
@@ -73,6 +74,8 @@ class Engine:
                     docs = remote.remote_docs(self.spark, s, self.hosts, (headers or {}).get(s["id"]), self.offline)
                 cache.write_cache(docs.select(*[f.split()[0] for f in cache.DOC.split(", ")]), f"{self.workspace}/docs")
                 state[s["id"]] = {"ok": True, "skipped": skipped}
+                if skipped:
+                    log.info("source %s left out: %s", s["id"], report.skipped_text(skipped))
             except Exception as e:  # a source's failure is reported, not raised: the others go on
                 log.warning("source %s failed: %s", s["id"], redact(str(e))[0].split("\n")[0])
                 state[s["id"]] = {"ok": False, "error": redact(str(e))[0].split("\n")[0]}
@@ -236,7 +239,7 @@ class Engine:
                 raise ValueError("the prompt is over budget.max_total_tokens")
             out |= self._answered(model, user, schema, pack, task)
             out["report"] = report.markdown(out["verdict"].cleaned, pack.items, spec.label)
-        out["meta"] = {"task": task, "effort": effort, "began": began.isoformat(), "ended": datetime.now(UTC).isoformat(), "masked": pack.masked, "masked_kinds": pack.masked_kinds, **{k: out[k] for k in ("usage", "repairs", "cut") if k in out}}
+        out["meta"] = {"task": task, "effort": effort, "prompt_sha256": sha256(out["bundle"].encode()).hexdigest(), "began": began.isoformat(), "ended": datetime.now(UTC).isoformat(), "masked": pack.masked, "masked_kinds": pack.masked_kinds, **{k: out[k] for k in ("usage", "repairs", "cut") if k in out}}
         if save:
             out["saved"] = self._saved(task, began, out)
         return out

@@ -84,9 +84,10 @@ class IndexStore:
             vectors.select("key", F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("array<float>")).alias("embedding")).write.mode("overwrite").parquet(f"{folder}/vectors")
         n, avgdl = self.spark.read.parquet(f"{folder}/lengths").agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
         terms = self.spark.read.parquet(f"{folder}/postings").select("term").distinct().count()
+        by_source = {r["source_id"]: {"chunks": r["chunks"], "documents": r["documents"]} for r in source_stats(chunks).collect()} if "source_id" in chunks.columns else {}
         if any(g > number for g in self.generations()):
             raise Superseded(f"generation {number} is older than a published one")
-        manifest = {"format": FORMAT, "built_at": datetime.now(UTC).isoformat(), "n": n, "avgdl": avgdl, "terms": terms, "dims": dims, "index_key": index_key, "project": project}
+        manifest = {"format": FORMAT, "built_at": datetime.now(UTC).isoformat(), "n": n, "avgdl": avgdl, "terms": terms, "dims": dims, "index_key": index_key, "project": project, "sources": by_source}
         part, final = self._path(f"{self.path}/manifest-{number:04d}.part"), self._path(f"{self.path}/manifest-{number:04d}.json")
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(manifest).encode()))

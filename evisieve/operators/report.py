@@ -51,3 +51,8 @@ def markdown(answer: dict, items: list[dict], title: str = "Report") -> str:
 def bundle(system: str, user: str) -> str:
     """The exact prompt of a dry run."""
     return f"# System\n\n{system}\n\n# User\n\n{user}\n"
+
+
+def skipped_text(counts: dict[str, int]) -> str:
+    """What a sync left out, the most frequent reason first; empty if nothing."""
+    return ", ".join(f"{n} {reason.replace('_', ' ')}" for reason, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n)

@@ -19,10 +19,10 @@ from ..functions import text as tx
 from ..functions.html import entities_udf, html_to_text_udf, rich_text_udf
 from ..functions.paths import TEST_PATH, is_binary, strict_text
 from ..functions.urls import url_to_source
-from ..operators import chunking, embedding, gate, packing, planning, scanning
+from ..operators import chunking, embedding, gate, index, packing, planning, scanning
 from ..operators.tables import shared_folder
 from ..sources import cache, tables
-from .queries import query, table, text_sql
+from .queries import POSTINGS_SQL, code_windows_sql, doc_chunks, query, table, text_sql
 
 # Forms.
 
@@ -311,18 +311,12 @@ def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.as_docs(table(spark, sf_dir, "supplier"), F.lit("s"), F.concat(F.lit("f"), k, F.lit(".js")), text, "code")
 
 
-_LIMITS = chunking.Limits()
 _CODE_LINE = "CASE WHEN x % 37 = s_suppkey % 5 THEN 'function f' || x || '() {' WHEN x % 53 = 7 THEN 'class C' || x || ':' WHEN x % 11 = 0 THEN '' WHEN x % 29 = 3 THEN repeat('long ', 100) ELSE '  y = ' || x END"
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT s_suppkey AS k, list_transform(range(1, 41 + s_suppkey * 7 % 400), lambda x: {_CODE_LINE}) AS ls FROM supplier),
-  line AS (SELECT k, i, ls[i] AS l, regexp_matches(ls[i], '^(function|class) ') AS begins, sum(length(ls[i]) + 1) OVER (PARTITION BY k ORDER BY i) AS total FROM (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-  info AS (SELECT k, list(total ORDER BY i) AS totals, list(i ORDER BY i) FILTER (WHERE begins) AS starts, count(*) AS n FROM line GROUP BY k),
-  step AS (SELECT k, 0 AS a, 0 AS b FROM info UNION ALL
-    SELECT k, a2, greatest(coalesce(list_max(list_filter(range(a2 + 1, e + 1), lambda x: totals[x] - coalesce(totals[a2], 0) - 1 <= {_LIMITS.code_chars})), a2 + 1), a2 + 1) AS b FROM (
-      SELECT k, n, totals, a2, CASE WHEN a2 + {_LIMITS.code_lines} >= n THEN n ELSE coalesce(list_max(list_filter(starts, lambda s: s - 1 <= a2 + {_LIMITS.code_lines} AND s - 1 > a2 + {_LIMITS.code_lines // 2})) - 1, a2 + {_LIMITS.code_lines}) END AS e
-      FROM (SELECT k, CASE WHEN b = 0 THEN 0 ELSE greatest(b - {_LIMITS.code_overlap}, a + 1) END AS a2, b FROM step) JOIN info USING (k) WHERE b < n)),
-  piece AS (SELECT s.k, a, b, array_to_string(ls[a + 1 : b], chr(10)) AS text, (SELECT regexp_extract(l, '(?:function|class) ([A-Za-z0-9_]+)', 1) FROM line WHERE line.k = s.k AND begins AND i <= a + 1 AND i > a + 1 - {chunking.SYMBOL_REACH} ORDER BY i DESC LIMIT 1) AS symbol FROM step s JOIN d USING (k) WHERE b > 0)
+  {code_windows_sql("regexp_matches(l, '^(function|class) ')")},
+  piece AS (SELECT s.k, a, b, array_to_string(ls[a + 1 : b], chr(10)) AS text, (SELECT regexp_extract(l, '(?:function|class) ([A-Za-z0-9_]+)', 1) FROM line WHERE line.k = s.k AND regexp_matches(l, '^(function|class) ') AND i <= a + 1 AND i > a + 1 - {chunking.SYMBOL_REACH} ORDER BY i DESC LIMIT 1) AS symbol FROM step s JOIN d USING (k) WHERE b > 0)
   SELECT k, (row_number() OVER (PARTITION BY k ORDER BY a) - 1)::INT AS chunk_no, (a + 1)::INT AS start, b::INT AS "end", sha256(text) AS hash, 'f' || k || '.js' || coalesce(' › ' || symbol, '') AS title, (ceil(length(text) / {tx.CHARS_A_TOKEN}) + 1)::INT AS n_tokens FROM piece""")
 def chunk_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of generated source files: they end before declarations, hold the size limit and name the symbol around them."""
@@ -493,3 +487,21 @@ def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.close()
     docs, skipped = tables.file_docs(spark, root, "files", exclude=("**/.*.crc",))  # a local file system's checksums
     return docs.select("path", F.lit("").alias("skipped"), "text").unionByName(skipped.select(F.lit("").alias("path"), "skipped", F.col("count").cast("string").alias("text")))
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT source AS source_id, (SELECT count(*) FROM lengths) AS n, (SELECT round(avg(dl), 6) FROM lengths) AS avgdl, (SELECT count(DISTINCT term) FROM postings) AS terms, (SELECT max(len(embedding))::INT FROM embeddings) AS dims, (SELECT count(*) FROM embeddings) AS vectors, (SELECT sum(tf)::BIGINT FROM postings) AS tf,
+  count(*) AS chunks, 3 AS generation, true AS stale, false AS fresh_is_stale FROM documents GROUP BY source""")
+def index_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built three times, of which the newest is opened: its manifest, its tables and whether it is stale."""
+    chunks = doc_chunks(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    store = index.IndexStore(spark, workspace(spark, "index"))
+    for _ in range(2):
+        store.build(chunks.where("false"), "old settings")  # generations that a newer one replaces
+    store.build(chunks, "settings", vectors=vectors)
+    now = store.open()
+    m = now.manifest
+    rows = [(source, m["n"], round(m["avgdl"], 6), m["terms"], m["dims"], of["chunks"], now.number, now.is_stale("other settings"), now.is_stale("settings")) for source, of in m["sources"].items()]
+    stated = spark.createDataFrame(rows, "source_id string, n long, avgdl double, terms long, dims int, chunks long, generation int, stale boolean, fresh_is_stale boolean")
+    counted = now.vectors.agg(F.count("*").alias("vectors")).join(now.postings.agg(F.sum("tf").alias("tf")))  # one row each
+    return stated.join(F.broadcast(counted))

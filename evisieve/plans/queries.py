@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions import paths as pa_
 from ..functions import redact as rd
 from ..functions import text as tx
 from ..functions import urls
-from ..functions.html import html_to_text_udf
 from ..operators import chunking, gate, index, packing, planning, ranking, scanning
 from ..operators.tables import kept
 from ..sources import cache, tables
@@ -57,7 +57,7 @@ def tokens_sql(text: str) -> str:
 
 
 _STOPS = ", ".join(map(text_sql, tx.STOP_WORDS))
-_POSTINGS = f"""toks AS (SELECT doc_id AS key, lang, source, {tokens_sql('text')} AS body, {tokens_sql("doc_id::VARCHAR || ' ' || doc_id::VARCHAR")} AS head FROM documents),
+POSTINGS_SQL = f"""toks AS (SELECT doc_id AS key, lang, source, {tokens_sql('text')} AS body, {tokens_sql("doc_id::VARCHAR || ' ' || doc_id::VARCHAR")} AS head FROM documents),
   lengths AS (SELECT key, greatest(len(body), 1) AS dl FROM toks),
   postings AS (SELECT term, key, sum(w)::INT AS tf FROM (SELECT key, unnest(body) AS term, 1 AS w FROM toks UNION ALL SELECT key, unnest(head) AS term, {index.HEAD_WEIGHT} AS w FROM toks) GROUP BY ALL)"""
 _TERMS = f"""terms AS (SELECT query_id, term, count(*) AS weight FROM (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark) WHERE term NOT IN ({_STOPS}) GROUP BY ALL)"""
@@ -114,17 +114,17 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-@query(f"WITH {_POSTINGS} SELECT term, key, tf FROM postings")
+@query(f"WITH {POSTINGS_SQL} SELECT term, key, tf FROM postings")
 def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings_of(doc_chunks(spark, sf_dir))
 
 
-@query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term")
+@query(f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.term_stats(index.postings_of(doc_chunks(spark, sf_dir)))
 
 
-@query(f"WITH {_POSTINGS} SELECT (SELECT count(*) FROM lengths) AS n, (SELECT round(avg(dl), 6) FROM lengths) AS avgdl, (SELECT count(DISTINCT term) FROM postings) AS terms")
+@query(f"WITH {POSTINGS_SQL} SELECT (SELECT count(*) FROM lengths) AS n, (SELECT round(avg(dl), 6) FROM lengths) AS avgdl, (SELECT count(DISTINCT term) FROM postings) AS terms")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = doc_chunks(spark, sf_dir)
     lengths = index.lengths_of(chunks).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
@@ -149,7 +149,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ranking.
 
 
-@query(f"WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 10)} SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM hits")
+@query(f"WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 10)} SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM hits")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(spark, sf_dir, 10).select("query_id", "key", F.round("score", 6).alias("score"), "rank")
 
@@ -157,7 +157,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENGLISH = bm25_sql("english", "lang = 'en'", 10)
 
 
-@query(f"WITH {_POSTINGS}, {_TERMS}, {_ENGLISH} SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM english")
+@query(f"WITH {POSTINGS_SQL}, {_TERMS}, {_ENGLISH} SELECT query_id, key, round(score, 6) AS score, rank::INT AS rank FROM english")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(spark, sf_dir, 10, "en").select("query_id", "key", F.round("score", 6).alias("score"), "rank")
 
@@ -179,7 +179,7 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUSED = f"""lists AS (SELECT query_id, 0 AS list_no, 'bm25' AS kind, key, score FROM hits UNION ALL SELECT query_id, 1, 'vector', key, score FROM english),
   spans AS (SELECT *, max(score) OVER p AS high, min(score) OVER p AS low FROM lists WINDOW p AS (PARTITION BY query_id, list_no)),
   fused AS (SELECT query_id, key, round(sum(CASE WHEN kind = 'vector' THEN CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END WHEN high > 0 THEN score / high ELSE 0 END) / 2, {ranking.DIGITS}) AS score FROM spans GROUP BY query_id, key)"""
-_HYBRID = f"WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 60)}, {bm25_sql('english', chr(108) + 'ang = ' + text_sql('en'), 60)}, {_FUSED}"
+_HYBRID = f"WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 60)}, {bm25_sql('english', chr(108) + 'ang = ' + text_sql('en'), 60)}, {_FUSED}"
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ def boosted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.boosted(fused(spark, sf_dir), doc_chunks(spark, sf_dir), terms, _KIND_PRIORS, _SOURCE_PRIORITY).select("query_id", "key", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 10)}, pool AS (SELECT query_id, key, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
+@query(f"""WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 10)}, pool AS (SELECT query_id, key, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
   pairs AS (SELECT a.query_id, a.key AS a, b.key AS b, len(list_intersect(a.ts, b.ts)) AS i, len(a.ts) AS na, len(b.ts) AS nb FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.key < b.key)
   SELECT query_id, a, b, round(i / greatest(na + nb - i, 1), 6) AS similarity FROM pairs WHERE round(i / greatest(na + nb - i, 1), 6) >= 0.1""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.jaccard_pairs(searched(spark, sf_dir, 10).select("query_id", "key").join(chunks, "key"), 0.1)
 
 
-@query(f"""WITH RECURSIVE {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 60)},
+@query(f"""WITH RECURSIVE {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 60)},
   pool AS MATERIALIZED (SELECT query_id, key, score, rank AS r, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
   near AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, len(list_intersect(a.ts, b.ts))::DOUBLE / greatest(len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)), 1) AS s FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.key <> b.key),
   pick AS (SELECT query_id, 0 AS n, NULL::BIGINT AS key, NULL::DOUBLE AS score, []::BIGINT[] AS had FROM pool GROUP BY query_id
@@ -241,7 +241,7 @@ def hits(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
     return rows.select("query_id", F.col("key").cast("string").alias("doc_id"), F.col("source").alias("source_id"), F.lit("github").alias("source_type"), F.col("key").cast("string").alias("path"), F.col("key").cast("string").alias("title"), F.lit("code").alias("kind"), F.concat(F.lit("https://git.example/"), "key").alias("url"), F.lit(None).cast("string").alias("version"), F.lit(1).alias("start"), n.alias("end"), F.lit(False).alias("partial"), "text", "score")
 
 
-@query(f"""WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 20)},
+@query(f"""WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 20)},
   est AS (SELECT query_id, key::VARCHAR AS doc_id, source, score, {_LINES} AS n_lines, CASE WHEN text = '' THEN 0 ELSE (ceil(len(regexp_extract_all(text, {_WIDE})) * {tx.WIDE_A_TOKEN} + (length(text) - len(regexp_extract_all(text, {_WIDE}))) / {tx.CHARS_A_TOKEN}) + 1)::INT END + {packing.OVERHEAD} AS tok FROM hits JOIN (SELECT doc_id AS key, text FROM documents) USING (key) JOIN (SELECT key, source FROM toks) USING (key)),
   run AS (SELECT *, row_number() OVER w AS n, coalesce(sum(tok) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM est WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id))
   SELECT query_id, 'E' || n AS id, doc_id AS path, source || '/' || doc_id || ':1-' || n_lines AS label, 'https://git.example/' || doc_id || '#L1-L' || n_lines AS url, before + tok > {_BUDGET} AS truncated FROM run
@@ -270,7 +270,7 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The gate.
 
 
-@query(f"""WITH {_POSTINGS}, {_TERMS}, {bm25_sql('hits', 'true', 3)},
+@query(f"""WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 3)},
   q AS (SELECT query_id AS answer_id, rank - 1 AS item_no, trim(regexp_replace(nfc_normalize(b.text), '[ \\t]+', ' ', 'g')) AS quote, trim(regexp_replace(regexp_replace(nfc_normalize(d.text), '[ \\t]+', ' ', 'g'), '\\n +', chr(10), 'g')) AS source FROM hits JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = key)
   SELECT answer_id, item_no::INT AS item_no, 'E_QUOTE_MISMATCH' AS code FROM q WHERE NOT contains(source, quote)""")
 def quote_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +352,18 @@ def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("m").alias("masked_md5"), (F.col("m") != F.col("text")).alias("changed"))
 
 
-@query()
+def _credentials_sql() -> str:
+    """CREDENTIAL alone, quote by quote: the documents hold no other kind, and an expression without back references can't take all."""
+    found = [rd.QUOTED.replace(f"[{rd.S}]", r"[\t ]").replace("([\\\"'`])", f"({q})").replace("\\2", q) for q in ('"', "'", "`")]
+    masked, count = "coalesce(text, '')", "0"
+    for pattern in found:
+        p = text_sql("(?i)" + pattern)
+        masked = f"regexp_replace({masked}, {p}, '\\1\\2{rd.CREDENTIAL_MARK}\\2', 'g')"
+        count += f" + len(regexp_extract_all(coalesce(text, ''), {p}))"
+    return f"SELECT doc_id, md5(CASE WHEN text IS NOT NULL THEN {masked} END) AS masked_md5, ({count})::INT AS n_masked, CASE WHEN {count} > 0 THEN 'CREDENTIAL' ELSE '' END AS kinds FROM documents"
+
+
+@query(_credentials_sql())
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", rd.redact_udf("text").alias("r"))
     return rows.select("doc_id", F.md5("r.text").alias("masked_md5"), F.col("r.count").alias("n_masked"), F.array_join("r.kinds", ",").alias("kinds"))
@@ -420,22 +431,78 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", found.alias("h")).select("page_id", F.size("h").alias("n_headings"), F.array_join("h", " / ").alias("headings"))
 
 
-@query()
+_BLOCK = "|".join(sorted(html.BLOCKS))
+_PAGE_STEPS = (
+    ("(?is)<(?:script|style).*?</(?:script|style)>", "' '"), ("(?i)<h1[^<>]*>", "chr(10) || '# '"), ("(?i)<li[^<>]*>", "chr(10) || '- '"), (f"(?i)</?(?:{_BLOCK})(?:[^a-z0-9:<>-][^<>]*)?>", "chr(10)"), ("(?i)</?[a-z0-9:-]+[^<>]*>", "' '"),
+    ("&copy;", "'©'"), ("&middot;", "'·'"), ("&quot;", "chr(34)"), ("&amp;", "'&'"), ("[ \\t]+\\n", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), ("[ \\t]{2,}", "' '"), ("^\\s+|\\s+$", "''"),
+)
+
+
+def _page_sql(text: str) -> str:
+    """The steps that the pages need: they hold no code, tables or wiki elements."""
+    for pattern, new in _PAGE_STEPS:
+        text = f"regexp_replace({text}, {text_sql(pattern)}, {new}, 'g')"
+    return text
+
+
+@query(f"SELECT page_id, {_page_sql('html')} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html_to_text_udf("html").alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text_udf("html").alias("text"))
 
 
-@query()
+_LIMITS = chunking.Limits()
+_BEGINS = chunking.DECLARATION.pattern.replace("(?![A-Za-z0-9_])", "(?:[^A-Za-z0-9_]|$)")
+
+
+def code_windows_sql(begins: str) -> str:
+    """Windows (k, a, b: lines a + 1 to b) of the lines in d (k, ls), window by window; `begins` tells declarations (l)."""
+    size = "length(ls[i]) + len(regexp_extract_all(ls[i], '[\\x{10000}-\\x{10FFFF}]')) + 1"
+    return f"""line AS (SELECT k, i, ls[i] AS l, sum({size}) OVER (PARTITION BY k ORDER BY i) AS total FROM (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+  info AS MATERIALIZED (SELECT k, list(total ORDER BY i) AS totals, coalesce(list(i ORDER BY i) FILTER (WHERE {begins}), []) AS starts, count(*) AS n FROM line GROUP BY k),
+  step AS (SELECT k, 0 AS a, 0 AS b FROM info UNION ALL
+    SELECT k, a2, greatest(coalesce(list_max(list_filter(range(a2 + 1, e + 1), lambda x: totals[x] - coalesce(totals[a2], 0) - 1 <= {_LIMITS.code_chars})), a2 + 1), a2 + 1) AS b FROM (
+      SELECT k, n, totals, a2, CASE WHEN a2 + {_LIMITS.code_lines} >= n THEN n ELSE coalesce(list_max(list_filter(starts, lambda s: s - 1 <= a2 + {_LIMITS.code_lines} AND s - 1 > a2 + {_LIMITS.code_lines // 2})) - 1, a2 + {_LIMITS.code_lines}) END AS e
+      FROM (SELECT k, CASE WHEN b = 0 THEN 0 ELSE greatest(b - {_LIMITS.code_overlap}, a + 1) END AS a2, b FROM step) JOIN info USING (k) WHERE b < n))"""
+
+
+_ESTIMATE = f"(ceil(len(regexp_extract_all(t, {_WIDE})) * {tx.WIDE_A_TOKEN} + (length(t) + len(regexp_extract_all(t, '[\\x{{10000}}-\\x{{10FFFF}}]')) - len(regexp_extract_all(t, {_WIDE}))) / {tx.CHARS_A_TOKEN}) + 1)::INT"
+
+
+def text_chunks_sql() -> str:
+    """pieces (k, chunk_no, start, end, t, partial, heading, h: its section's first line) of the texts in d (k, t)."""
+    head = r"regexp_matches(l, '^\x{FEFF}?#{1,6}\s+')"
+    most, overlap = _LIMITS.text_chars, _LIMITS.text_overlap
+    last = lambda part, what, size: f"CASE WHEN strpos(reverse({part}), {what}) > 0 THEN length({part}) - strpos(reverse({part}), {what}) - {size - 1} ELSE -1 END"
+    ends = lambda rows: f"""(SELECT *, e < n AND substr(b, e + 1, 1) <> chr(10) AS inside FROM (SELECT *, CASE WHEN e0 >= n THEN e0 WHEN blank > a + {most} * 0.4 THEN blank WHEN newline > a THEN newline ELSE e0 END AS e
+      FROM (SELECT *, {last("left(b, e0 + 2)", "chr(10) || chr(10)", 2)} AS blank, {last("left(b, e0 + 1)", "chr(10)", 1)} AS newline FROM (SELECT *, length(b) AS n, least(length(b), a + {most}) AS e0 FROM {rows}))))"""
+    return f"""lines AS (SELECT k, string_split(CASE WHEN t LIKE '%' || chr(10) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS ls FROM d),
+  line AS (SELECT k, i, ls[i] AS l FROM (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines)),
+  sec AS (SELECT k, i, l, {head} AS heading, sum(CASE WHEN {head} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS s FROM line),
+  body AS MATERIALIZED (SELECT k, s, min(i) AS first, bool_or(heading) AS heading, arg_min(l, i) AS h, string_agg(l, chr(10) ORDER BY i) AS b FROM sec GROUP BY k, s HAVING bool_or(regexp_matches(l, '[^\\s]'))),
+  cuts AS (SELECT k, s, 0 AS a FROM body UNION ALL SELECT k, s, a2 FROM (
+    SELECT k, s, n, CASE WHEN inside OR substr(b, a1, 1) = chr(10) THEN a1 WHEN strpos(substr(b, a1 + 1), chr(10)) > 0 THEN a1 + strpos(substr(b, a1 + 1), chr(10)) ELSE n END AS a2
+    FROM (SELECT *, greatest(e - {overlap}, a + 1) AS a1 FROM {ends("(SELECT k, s, a, b FROM cuts JOIN body USING (k, s))")} WHERE e < n)) WHERE a2 < n),
+  pieces AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY first, a) - 1)::INT AS chunk_no, (first + len(string_split(left(b, a), chr(10))) - 1)::INT AS start, (first + len(string_split(left(b, e), chr(10))) - 1)::INT AS "end", substr(b, a + 1, e - a) AS t, inside OR (a > 0 AND substr(b, a, 1) <> chr(10)) AS partial, heading, h
+    FROM {ends("(SELECT k, s, a, first, heading, h, b FROM cuts JOIN body USING (k, s))")} WHERE regexp_matches(substr(b, a + 1, e - a), '[^\\s]'))"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_page_sql('html')} AS body FROM pages),
+  d AS (SELECT 'web:' || page_id AS k, '# ' || title || chr(10) || chr(10) || body AS t, title FROM p), {text_chunks_sql()}
+  SELECT k AS doc_id, chunk_no, title || CASE WHEN heading THEN ' › ' || trim(regexp_extract(h, '^#{{1,6}}\\s+(.*)$', 1)) ELSE '' END AS title, start, "end", {_ESTIMATE} AS n_tokens, sha256(t) AS hash FROM pieces JOIN (SELECT k, title FROM d) USING (k)""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(tables.page_docs(table(spark, sf_dir, "pages"))).select("doc_id", "chunk_no", "title", "start", "end", "n_tokens", "hash")
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT coalesce(source, 'table') || ':' || doc_id AS k, text AS t FROM documents WHERE text IS NOT NULL), {text_chunks_sql()}
+  SELECT k AS doc_id, chunk_no, start, "end", {_ESTIMATE} AS n_tokens, partial, sha256(t) AS hash FROM pieces""")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(tables.text_docs(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_no", "start", "end", "n_tokens", "partial", "hash")
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT coalesce(source, 'table') || ':' || doc_id AS k, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+  {code_windows_sql(f"length(l) <= {chunking.DECLARATION_MOST} AND regexp_matches(l, {text_sql(_BEGINS)})")},
+  piece AS (SELECT k, a, b, array_to_string(ls[a + 1 : b], chr(10)) AS t FROM step JOIN d USING (k) WHERE b > 0)
+  SELECT k AS doc_id, (row_number() OVER (PARTITION BY k ORDER BY a) - 1)::INT AS chunk_no, (a + 1)::INT AS start, b::INT AS "end", {_ESTIMATE} AS n_tokens, sha256(t) AS hash FROM piece WHERE regexp_matches(t, '[^\\s]')""")
 def chunk_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.text_docs(table(spark, sf_dir, "documents"), "code")
     return chunking.chunk_documents(docs).select("doc_id", "chunk_no", "start", "end", "n_tokens", "hash")
@@ -556,7 +623,14 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.windowed(table(spark, sf_dir, "events"), "1 hour")
 
 
-@query()
+#: The identifier expression with the boundaries that RE2 has.
+_IDENTIFIER = r"\b" + planning.IDENTIFIER[planning.IDENTIFIER.index("(", 1) : planning.IDENTIFIER.rindex("(?:(?<=")] + r"\b"
+_first_of = lambda items: f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+_NAMED = _first_of(f"regexp_extract_all(text, {text_sql(_IDENTIFIER)}, 1)")
+_PLANNED = f"list_filter(list_transform(list_concat([text], list_filter(regexp_extract_all(text, {text_sql(planning.QUOTED)}, 1), lambda q: length(q) > 1), {_NAMED}[1:{planning.MOST_IDENTIFIERS}]), lambda q: trim(q, ' ')), lambda q: q <> '')"
+
+
+@query(f"SELECT item_id, (ord - 1)::INT AS ord, q[ord] AS query FROM (SELECT item_id, q, unnest(range(1, least(len(q), 6) + 1)) AS ord FROM (SELECT item_id, {_first_of('p')} AS q FROM (SELECT item_id, {_PLANNED} AS p FROM benchmark)))")
 def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     return items.select("item_id", F.posexplode(planning.planned(F.col("text"))).alias("ord", "query"))
