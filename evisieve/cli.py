@@ -12,7 +12,7 @@ from . import config as cfg
 from .functions.urls import url_to_source
 from .operators import planning, presets
 
-COMMANDS = ("init", "resolve", "sync", "build", "status", "search", "scan", "pack", "run", "verify", "presets", "tasks", "doctor", "privacy")
+COMMANDS = ("init", "resolve", "sync", "build", "status", "search", "scan", "pack", "run", "ask", "verify", "serve", "presets", "tasks", "doctor", "privacy")
 
 
 def find_config(start: Path) -> Path | None:
@@ -34,6 +34,14 @@ def doctor(config: dict) -> list[str]:
     return out + ([] if config["sources"] else ["no source is set"])
 
 
+def model_of(config: dict) -> Any:
+    """The model service of the settings; None if there is none."""
+    from .sources import services
+
+    s = config["security"]
+    return None if config["model"]["provider"] == "none" else services.model(config["model"], tuple(s["allow_hosts"]), s["network_mode"] == "offline")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="evisieve")
     parser.add_argument("command", choices=COMMANDS)
@@ -45,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--source", action="append")
     parser.add_argument("--severity", default="info")
     parser.add_argument("-k", type=int, default=20)
+    parser.add_argument("--preset", help="run this preset; TEXT is name=value arguments")
+    parser.add_argument("--dry-run", action="store_true")
     a = parser.parse_args(argv)
     text = " ".join(a.text)
     show = lambda x: print(json.dumps(x, ensure_ascii=False, indent=2, default=str))
@@ -92,8 +102,17 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "pack":
         pack = engine.evidence_pack(a.task, text, a.effort, a.source)
         show({"pack": engine.save_pack(pack), "items": [i["label"] for i in pack.items], "tokens": pack.tokens})
-    elif a.command == "run":
-        print(engine.run_task(a.task, text, a.effort, sources=a.source)["bundle"])
+    elif a.command in ("run", "ask"):
+        model = None if a.dry_run or a.command == "run" and not a.preset else model_of(config)
+        if a.preset:
+            out = engine.run_preset(a.preset, dict(x.split("=", 1) for x in a.text), model, save=True)
+        else:
+            out = engine.run_task(a.task, text, a.effort, model, a.source, save=True)
+        print(out.get("report") or out["bundle"])
+    elif a.command == "serve":
+        from .server import Server, serve
+
+        serve(Server(engine, model_of(config)))
     else:
         answer, saved = a.text
         verdict = engine.verify(Path(answer).read_text(), Pack(json.loads(Path(saved).read_text())["items"]), a.task)

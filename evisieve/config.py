@@ -20,6 +20,7 @@ DEFAULTS: dict[str, Any] = {
         "boosts": {"path_match": 0.35, "source_priority": 0.15, "kind_prior": 0.2},
         "embedding": {"provider": "none", "model": None, "dimensions": 512, "batch": 96},
     },
+    "model": {"provider": "none", "model": None, "max_output_tokens": 16_000},
     "budget": {"evidence_tokens": 55_000, "static_facts_tokens": 6000, "max_total_tokens": 220_000, "max_repairs": 2},
     "security": {"network_mode": "normal", "allow_hosts": [], "deny_sensitive_paths": True, "extra_deny_paths": [], "redact_secrets": True, "allow_embedding_upload": False, "allow_llm_upload": True, "audit_log": True},
     "policy": {"require_citations": True, "min_evidence": 1, "verbatim_quotes": True, "drop_unverified": True, "forbid_speculation": True},

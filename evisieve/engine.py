@@ -40,6 +40,7 @@ class Engine:
         self.tables = tables_ or {}
         self.store = index.IndexStore(spark, f"{self.workspace}/index")
         self.key = cfg.index_key(self.config)
+        self._open: index.Snapshot | None = None
         security, own = self.config["security"], self.config["retrieval"]["embedding"]
         self.offline, self.hosts = security["network_mode"] == "offline", tuple(security["allow_hosts"])
         self.embed = embed or (services.embedder(own, self.hosts, self.offline) if own["provider"] != "none" else None)
@@ -120,15 +121,21 @@ class Engine:
         (new if known is None else new.join(known.select("hash"), "hash", "left_anti")).write.mode("append").parquet(path)
         return made.select("key", "embedding")
 
+    def snapshot(self) -> index.Snapshot:
+        """The newest generation, opened once: what runs keeps the one it began with when a newer one appears."""
+        if self._open is None or self.store.generations()[-1:] != [self._open.number]:
+            self._open = self.store.open()
+        return self._open
+
     def status(self) -> dict[str, Any]:
-        now = self.store.open()
+        now = self.snapshot()
         return now.manifest | {"generation": now.number, "stale": now.is_stale(self.key), "sources": [r.asDict(True) for r in index.source_stats(now.chunks).collect()]}
 
     # Retrieval
 
     def search(self, queries: str | list[str], k: int | None = None, sources: list[str] | None = None, kinds: list[str] | None = None, kind_priors: dict[str, float] | None = None, source_priority: dict[str, float] | None = None) -> list[dict]:
         """The best chunks for one information need, put as one or several query texts."""
-        now = self.store.open()
+        now = self.snapshot()
         if now.is_stale(self.key):
             log.warning("settings changed since the index was built; build it again")
         r = self.config["retrieval"]
@@ -176,10 +183,10 @@ class Engine:
         hits = self.search(queries, e.final, sources, kind_priors=planning.TASKS[task].kind_priors, source_priority=cfg.source_priority(self.config))
         return packing.build_pack(hits, e.evidence_tokens, masked=self.config["security"]["redact_secrets"])
 
-    def save_pack(self, pack: packing.Pack, keep: int = 200) -> str:
-        """Keeps a pack under a random id; of older packs the newest `keep`."""
+    def save_pack(self, pack: packing.Pack, keep: int = 200, task: str | None = None) -> str:
+        """Keeps a pack, and the task it is for, under a random id; of older packs the newest `keep`."""
         folder, name = Folder(self.spark, f"{self.workspace}/packs"), f"pack-{uuid.uuid4().hex[:10]}"
-        folder.write(f"{name}.json", json.dumps({"items": pack.items, "tokens": pack.tokens}, ensure_ascii=False, default=str))
+        folder.write(f"{name}.json", json.dumps({"items": pack.items, "tokens": pack.tokens, "task": task or pack.task}, ensure_ascii=False, default=str))
         folder.prune(keep, ".json")
         return name
 
@@ -187,16 +194,31 @@ class Engine:
         if not name.startswith("pack-") or not name[5:].isalnum():
             raise KeyError(name)
         saved = json.loads(Folder(self.spark, f"{self.workspace}/packs").read(f"{name}.json"))
-        return packing.Pack(saved["items"], saved["tokens"])
+        return packing.Pack(saved["items"], saved["tokens"], task=saved.get("task"))
 
     def fetch(self, doc_id: str, start: int = 1, end: int | None = None, most: int = 201) -> list[str]:
-        """Lines of a cached document, keys and credentials masked."""
+        """Lines of a cached document, `most` at most, keys and credentials masked."""
         row = self.docs().where(F.col("doc_id") == doc_id).select("text").first()
         if row is None:
             raise KeyError(doc_id)
-        lines = (mask_keys(row[0]) or "").split("\n")
+        return self._lines(row[0], start, end, most)[0]
+
+    @staticmethod
+    def _lines(text: str | None, start: int, end: int | None, most: int) -> tuple[list[str], int]:
+        """The lines, and how many the text has. Keys are masked before it is cut: a block may begin outside."""
+        lines = chunking.lines_of(mask_keys(text) or "")
         last = min(end or start + most - 1, start + most - 1)
-        return (redact("\n".join(lines[max(0, start - 1) : last]))[0] or "").split("\n")
+        if start > max(1, len(lines)) or last < start:
+            raise ValueError(f"no lines {start} to {last} in {len(lines)}")
+        return (redact("\n".join(lines[start - 1 : last]))[0] or "").split("\n"), len(lines)
+
+    def window(self, path: str, source: str | None = None, start: int = 1, end: int | None = None, most: int = 201) -> dict[str, Any]:
+        """Lines of a document by its path, with what to cite."""
+        row = self.docs([source] if source else None).where(F.col("path") == path).orderBy("source_id").first()
+        if row is None:
+            raise KeyError(f"no path {path}")
+        lines, n = self._lines(row["text"], start, end, most)
+        return {"source_id": row["source_id"], "path": path, "url": row["url"], "version": row["version"], "lines": f"{start}-{start + len(lines) - 1}", "total_lines": n, "text": "\n".join(lines)}
 
     # Analysis and answers
 

@@ -99,6 +99,7 @@ class Pack:
     dropped: int = 0
     masked: int = 0
     masked_kinds: list[str] = field(default_factory=list)
+    task: str | None = None
 
 
 def build_pack(hits: list[dict], budget: int, most: int = MOST_ITEMS, head: int = 0, masked: bool = True) -> Pack:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 from pathlib import Path
 
 import pytest
-from evisieve import cli, engine
+from evisieve import cli, engine, server
 from evisieve import config as cfg
 from evisieve.operators import embedding, presets
 from evisieve.sources import clone, remote, services
@@ -165,3 +166,46 @@ def test_clone_sources_reach_the_cache(spark, tmp_path, monkeypatch):
     assert e.sync()["r"]["ok"] and [r["path"] for r in e.docs().collect()] == ["a.py"]
     e.offline = True
     assert not e.sync()["r"]["ok"]
+
+
+def test_server(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def refund():\n    token = 'abcdefghijklmn'\n    eval(x)\n")
+    settings = {"sources": [{"id": "s", "type": "local", "path": str(src)}], "presets": [GOOD | {"sources": ["s"], "description": "d"}]}
+    own = server.Server(engine.Engine(spark, str(tmp_path / "ws"), settings))
+    ask = lambda method, **params: own.handle({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
+
+    def call(name, **arguments):
+        result = ask("tools/call", name=name, arguments=arguments)["result"]
+        text = result["content"][0]["text"]
+        return text if result["isError"] or name == "run_task" else json.loads(text)
+
+    assert ask("initialize", protocolVersion="2025-03-26")["result"]["protocolVersion"] == "2025-03-26"
+    assert ask("initialize", protocolVersion=7)["result"]["protocolVersion"] == server.VERSIONS[0]
+    assert {t["name"] for t in ask("tools/list")["result"]["tools"]} == set(server.TOOLS) and ask("ping")["result"] == {}
+    assert not call("status")["indexed"] and call("sync")["generation"] == 1 and call("status")["indexed"]
+    hit = call("search", query="refund", k=3)[0]
+    assert hit["path"] == "a.py" and "abcdefghijklmn" not in hit["text"]
+    pack = call("evidence_pack", instruction="refund", task="security")
+    assert pack["labels"]["E1"].startswith("s/a.py") and pack["static"]["findings"][0]["rule_id"].startswith("SEC-")
+    assert call("fetch", pack_id=pack["pack_id"], evidence_id="E1")["path"] == "a.py"
+    assert call("fetch", path="a.py", start=2, end=2)["lines"] == "2-2" and "3" in call("fetch", path="a.py", start=9)
+    assert "evidence_id" in call("fetch", pack_id="pack-1") and "no path" in call("fetch", path="b")
+    assert call("verify", pack_id=pack["pack_id"], result={"summary": "s", "items": [], "open_questions": []})["passed"]
+    deep = value = {}
+    for _ in range(80):
+        value["a"] = value = {}
+    assert "deep" in call("verify", pack_id=pack["pack_id"], result=deep)
+    assert {f["rule_id"] for f in call("static_scan", severity="high")["findings"]} >= {"SEC-SECRET-GENERIC"}
+    assert "refund" in call("run_task", instruction="refund", dry_run=True)
+    for bad in ({"query": " "}, {"query": "x", "k": 101}, {"query": "x", "z": 1}, {}):
+        assert ask("tools/call", name="search", arguments=bad)["error"]["code"] == server.BAD_ARGUMENTS
+    assert ask("prompts/list")["result"]["prompts"][0]["name"] == "login-review"
+    assert "Review cats" in ask("prompts/get", name="login-review", arguments={"area": "cats"})["result"]["messages"][0]["content"]["text"]
+    for method, params, code in (("prompts/get", {"name": "x"}, server.BAD_ARGUMENTS), ("prompts/get", {"name": "login-review"}, server.BAD_ARGUMENTS), ("nope", {}, server.NO_METHOD)):
+        assert ask(method, **params)["error"]["code"] == code
+    assert own.handle({"method": "notifications/initialized"}) is None and own.handle([1])["error"]["code"] == server.BAD_REQUEST
+    out = io.StringIO()
+    server.serve(own, io.StringIO('{"jsonrpc": "2.0", "id": 5, "method": "ping"}\n\nnot json\n'), out)
+    assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [5, None]
