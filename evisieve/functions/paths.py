@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_glob
+from .text import any_glob, glob_regex
 
 #: What file names and extensions mean, which paths are never read, and which of these are examples.
 SPECIAL_NAMES = ("dockerfile", "makefile", "jenkinsfile", "procfile")
@@ -96,3 +97,24 @@ def is_inside(root: str, target: str) -> bool:
     import os.path
 
     return PurePosixPath(os.path.normpath(target)).is_relative_to(os.path.normpath(root))
+
+
+# Plain Python versions, for connectors that meet one path at a time.
+
+
+def py_any_glob(path: str, globs: tuple[str, ...]) -> bool:
+    return any(re.match(glob_regex(g).replace(r"\z", r"\Z"), path) for g in globs)
+
+
+def py_kind_and_lang(path: str) -> tuple[str, str]:
+    base, ext = path.rsplit("/", 1)[-1].lower(), path.rsplit(".", 1)[-1].lower()
+    if base in SPECIAL_NAMES:
+        return "config", base
+    kind = next((k for k, known in (("code", CODE), ("doc", DOCS), ("config", CONFIG)) if ext in known), "other")
+    return kind, ext or "txt"
+
+
+def py_is_sensitive(path: str, extra: tuple[str, ...] = ()) -> bool:
+    norm = path.replace("\\", "/").lower()
+    denied = py_any_glob(norm, (*DENY, *(g.lower() for g in extra))) or not set(DENIED_DIRS).isdisjoint(norm.split("/"))
+    return denied and not py_any_glob(norm, EXAMPLES)

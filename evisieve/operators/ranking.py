@@ -138,7 +138,7 @@ def fuse(lists: DataFrame, n_lists: DataFrame | None = None) -> DataFrame:
     part = F.when(F.col("kind") == "vector", spread).otherwise(F.when(F.col("high") > 0, F.col("score") / F.col("high")).otherwise(0.0))
     counts = n_lists if n_lists is not None else lists.groupBy("query_id").agg(F.countDistinct("list_no").alias("n"))
     sums = lists.groupBy("query_id", "key").agg(F.sum(part).alias("s"))
-    return sums.join(F.broadcast(counts), "query_id").select("query_id", "key", F.round(F.col("s") / F.col("n"), DIGITS).alias("score"))
+    return sums.join(counts, "query_id").select("query_id", "key", F.round(F.col("s") / F.col("n"), DIGITS).alias("score"))
 
 
 def boosted(fused: DataFrame, chunks: DataFrame, terms: DataFrame, kind_priors: dict[str, float] | None = None, source_priority: dict[str, float] | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Any
 
 from ..functions.text import py_token_estimate
 

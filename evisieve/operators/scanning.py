@@ -187,7 +187,7 @@ def numbered(report: DataFrame) -> DataFrame:
 def evidence_first(found: DataFrame, items: DataFrame, most: int = 120) -> DataFrame:
     """Findings in files that the pack cites before all others, each in their order; a report's top `most`."""
     cited = items.select("source_id", "path").distinct().withColumn("cited", F.lit(True))
-    flagged = found.join(F.broadcast(cited), ["source_id", "path"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+    flagged = found.join(cited, ["source_id", "path"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
     return flagged.orderBy(F.col("cited").desc(), rank_of(F.col("severity")).desc(), "rule_id", "path", "line").limit(most)
 
 

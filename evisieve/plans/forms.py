@@ -7,10 +7,13 @@ another engine, else the expected text of each form.
 
 from __future__ import annotations
 
+import base64
 import json
+import uuid
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +24,8 @@ from ..functions.paths import TEST_PATH, is_binary, strict_text
 from ..functions.urls import url_to_source
 from ..operators import chunking, embedding, gate, index, packing, planning, scanning
 from ..operators.tables import shared_folder
-from ..sources import cache, tables
+from ..schemas import DOC
+from ..sources import cache, remote, tables
 from .queries import POSTINGS_SQL, code_windows_sql, doc_chunks, query, table, text_sql
 
 # Forms.
@@ -346,8 +350,6 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits on lines of two files, for each order: those that continue each other become one."""
     rows = table(spark, sf_dir, "lineitem")
-    from pyspark.sql import Window
-
     one = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
     rows = rows.withColumn("one", one).where("one = 1")
     n = F.col("l_linenumber").cast("int")
@@ -446,8 +448,6 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    import uuid
-
     path = f"{shared_folder(spark)}/evisieve/{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -505,3 +505,66 @@ def index_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated = spark.createDataFrame(rows, "source_id string, n long, avgdl double, terms long, dims int, chunks long, generation int, stale boolean, fresh_is_stale boolean")
     counted = now.vectors.agg(F.count("*").alias("vectors")).join(now.postings.agg(F.sum("tf").alias("tf")))  # one row each
     return stated.join(F.broadcast(counted))
+
+
+class Recorded:
+    """Answers of a code host, a wiki and a tracker that hold the nations: pages, links, tokens and gaps as servers have them."""
+
+    def __init__(self, nations: list[Any]):
+        self.nations = {n["n_nationkey"]: n for n in nations}
+        self.calls: list[str] = []
+
+    def __call__(self, url: str, params: dict | None = None, body: dict | None = None) -> Any:
+        self.calls.append(url)
+        for part, answer in (("api.github.com", self.host), ("//wiki/", self.wiki), ("//tracker/", self.tracker)):
+            if part in url:
+                return answer(url, params or {}, body or {})
+        raise ValueError(url)
+
+    def host(self, url: str, params: dict, body: dict) -> Any:
+        path = url.split("/repos/o/r")[1]
+        if path == "/commits/main":
+            return {"sha": "c1", "commit": {"tree": {"sha": "t1"}}}
+        if path == "/git/trees/t1":
+            folder = lambda k: "node_modules" if k % 7 == 0 else "src"
+            return {"tree": [{"type": "blob", "path": f"{folder(k)}/n{k}.py", "sha": str(k), "size": k * 100} for k in self.nations] + [{"type": "tree", "path": "src", "sha": "x"}]}
+        if path.startswith("/git/blobs/"):
+            return {"content": base64.b64encode(b"\xff" if path.endswith("/3") else f"n = {path.rsplit('/', 1)[1]}".encode()).decode()}
+        rows = [{"number": k, "title": n["n_name"], "state": "open", "body": f"b{k}", "user": {"login": f"u{k}"}} | ({"pull_request": {}} if k % 5 == 0 else {}) for k, n in self.nations.items()]
+        rows = [r for r in rows if path == "/issues" or r["number"] % 5 == 0]
+        return rows[(params["page"] - 1) * params["per_page"] : params["page"] * params["per_page"]]
+
+    def wiki(self, url: str, params: dict, body: dict) -> Any:
+        page = lambda k: {"id": k, "title": f"P{k}", "body": {"storage": {"value": f"<p>n{k}</p>"}}, "_links": {"webui": f"/p/{k}"}}
+        if "/child/page" in url:  # nations are below the first of their region; every listing links to itself
+            parent = int(url.split("/content/")[1].split("/")[0])
+            own = [k for k, n in self.nations.items() if n["n_regionkey"] == parent - 100 and k < 20]
+            return {"results": [{"id": k} for k in (own if parent >= 100 else [])], "_links": {"next": url}}
+        if url.endswith("/search"):  # leaves every third page out
+            asked = [int(i) for i in params["cql"].removeprefix("id in (").rstrip(")").split(",")]
+            return {"results": [page(k) for k in asked if k % 3]}
+        return page(int(url.rsplit("/", 1)[1]))
+
+    def tracker(self, url: str, params: dict, body: dict) -> Any:
+        first, keys = int(body.get("nextPageToken", 0)), list(self.nations)
+        own = keys[first : first + 10]
+        issues = [{"key": f"N-{k}", "fields": {"summary": self.nations[k]["n_name"], "status": {"name": "Open"}, "labels": ["a"], "description": {"type": "paragraph", "content": [{"type": "text", "text": f"d{k}"}]}}} for k in own]
+        return {"issues": issues, "nextPageToken": str(first + 10) if first + 10 < len(keys) else None}
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation)
+  SELECT 'host' AS source_id, 'src/n' || k || '.py' AS path, 'code' AS kind, 'n = ' || k AS text FROM n WHERE k % 7 <> 0 AND k <> 3 AND k * 100 <= 2000
+  UNION ALL SELECT 'host', 'issues/' || k, 'issue', '# #' || k || ' ' || name || chr(10) || 'state: open' || chr(10) || 'author: u' || k || chr(10) || chr(10) || 'b' || k FROM n WHERE k % 5 <> 0
+  UNION ALL SELECT 'host', 'pulls/' || k, 'pr', '# #' || k || ' ' || name || chr(10) || 'state: open' || chr(10) || 'author: u' || k || chr(10) || chr(10) || 'b' || k FROM n WHERE k % 5 = 0
+  UNION ALL SELECT 'wiki', k::VARCHAR, 'doc', '# P' || k || chr(10) || chr(10) || 'n' || k FROM (SELECT k FROM n WHERE k < 20 UNION ALL SELECT r_regionkey + 100 FROM region)
+  UNION ALL SELECT 'tracker', 'N-' || k, 'ticket', '# N-' || k || ' ' || name || chr(10) || 'type: ?' || chr(10) || 'status: Open' || chr(10) || 'labels: a' || chr(10) || chr(10) || 'd' || k || chr(10) || chr(10) FROM n WHERE k < 23""")
+def recorded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connectors of a code host, a wiki and a tracker against recorded answers."""
+    fetch = Recorded(table(spark, sf_dir, "nation").orderBy("n_nationkey").collect())  # 25 rows at every scale
+    on = {"enabled": True, "limit": 1000}
+    host = remote.CodeHost({"id": "host", "repo": "o/r", "max_bytes": 2000, "issues": on, "pulls": on}, fetch)
+    wiki = remote.Wiki({"id": "wiki", "base_url": "https://wiki/w", "page_ids": [100 + r["r_regionkey"] for r in table(spark, sf_dir, "region").collect()], "include_descendants": True}, fetch)
+    tracker = remote.Tracker({"id": "tracker", "base_url": "https://tracker", "jql": "project = N", "limit": 23}, fetch)
+    found = [*host.docs(host.ids()), *host.discussions(), *wiki.docs(wiki.ids()), *tracker.docs(tracker.ids())]
+    docs = spark.createDataFrame([tuple(d[f.split()[0]] for f in DOC.split(", ")) for d in found], DOC)
+    return docs.select("source_id", "path", "kind", "text")

@@ -176,23 +176,27 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).alias("dims"), F.round(F.sqrt(tx.dot(v, v)), 6).alias("norm"))
 
 
-_FUSED = f"""lists AS (SELECT query_id, 0 AS list_no, 'bm25' AS kind, key, score FROM hits UNION ALL SELECT query_id, 1, 'vector', key, score FROM english),
+_FUSED = f"""lists AS (SELECT query_id, 0 AS list_no, 'bm25' AS kind, key, score FROM hits UNION ALL SELECT query_id, 1, 'vector', key, score FROM near),
   spans AS (SELECT *, max(score) OVER p AS high, min(score) OVER p AS low FROM lists WINDOW p AS (PARTITION BY query_id, list_no)),
   fused AS (SELECT query_id, key, round(sum(CASE WHEN kind = 'vector' THEN CASE WHEN high > low THEN (score - low) / (high - low) ELSE 1 END WHEN high > 0 THEN score / high ELSE 0 END) / 2, {ranking.DIGITS}) AS score FROM spans GROUP BY query_id, key)"""
-_HYBRID = f"WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 60)}, {bm25_sql('english', chr(108) + 'ang = ' + text_sql('en'), 60)}, {_FUSED}"
+_NEAR = """dots AS (SELECT q.vec_id AS query_id, e.vec_id AS key, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+  near AS (SELECT query_id, key, score FROM dots QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 60)"""
+_HYBRID = f"WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 60)}, {_NEAR}, {_FUSED}"
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    over = indexed(spark, sf_dir)
-    a = searched(spark, sf_dir, 60, over=over).select("query_id", F.lit(0).alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
-    b = searched(spark, sf_dir, 60, "en", over).select("query_id", F.lit(1).alias("list_no"), F.lit("vector").alias("kind"), "key", "score")
-    lists = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(2).alias("n")).distinct()
-    return ranking.fuse(a.unionByName(b), lists)
+    """BM25 and vectors for the benchmark's items; an item's vector is the one of its number."""
+    a = searched(spark, sf_dir, 60).select("query_id", F.lit(0).alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
+    vectors, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding").join(items, "query_id", "left_semi")
+    near = ranking.vector_search(vectors.select(F.col("vec_id").alias("key"), "embedding"), asked, 60)
+    b = near.select("query_id", F.lit(1).alias("list_no"), F.lit("vector").alias("kind"), "key", "score")
+    return ranking.fuse(a.unionByName(b), items.select("query_id", F.lit(2).alias("n")).distinct())
 
 
-@query(f"{_HYBRID} SELECT query_id, key, round(score, 6) AS score FROM fused")
+@query(f"{_HYBRID} SELECT query_id, key, round(score, 4) AS score FROM fused")
 def fuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir).select("query_id", "key", F.round("score", 6).alias("score"))
+    return fused(spark, sf_dir).select("query_id", "key", F.round("score", 4).alias("score"))
 
 
 _KIND_PRIORS, _SOURCE_PRIORITY = {"doc": 0.5}, {"src0": 1.0, "src8": 0.6, "src9": -0.5}
@@ -201,10 +205,10 @@ _PRIORITY_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SO
 
 @query(f"""{_HYBRID}, every AS (SELECT query_id, list(DISTINCT term) AS ts FROM terms GROUP BY query_id),
   b AS (SELECT query_id, key, score, len(list_intersect(ts, head)) / len(ts) AS o, {_PRIORITY_SQL} AS pr, len(head) AS h FROM fused JOIN every USING (query_id) JOIN toks USING (key))
-  SELECT query_id, key, round(round(score * greatest({ranking.LEAST_FACTOR}, 1 + {ranking.PATH_BOOST} * CASE WHEN h > 0 THEN o ELSE 0 END + {ranking.KIND_BOOST} * 0.5 + {ranking.SOURCE_BOOST} * pr), 9), 6) AS score FROM b""")
+  SELECT query_id, key, round(round(score * greatest({ranking.LEAST_FACTOR}, 1 + {ranking.PATH_BOOST} * CASE WHEN h > 0 THEN o ELSE 0 END + {ranking.KIND_BOOST} * 0.5 + {ranking.SOURCE_BOOST} * pr), 9), 4) AS score FROM b""")
 def boosted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return ranking.boosted(fused(spark, sf_dir), doc_chunks(spark, sf_dir), terms, _KIND_PRIORS, _SOURCE_PRIORITY).select("query_id", "key", F.round("score", 6).alias("score"))
+    return ranking.boosted(fused(spark, sf_dir), doc_chunks(spark, sf_dir), terms, _KIND_PRIORS, _SOURCE_PRIORITY).select("query_id", "key", F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 10)}, pool AS (SELECT query_id, key, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),

@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import json
 import random
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.html import VERSION, html_to_text, rich_text
+from ..functions.paths import py_any_glob, py_is_sensitive, py_kind_and_lang
 from ..functions.redact import redact
-from ..functions.text import glob_regex
 from ..schemas import DOC
 
 Fetch = Callable[..., Any]
@@ -175,10 +174,10 @@ class CodeHost:
         tree = self.fetch(f"{self.api}/git/trees/{commit['commit']['tree']['sha']}", {"recursive": "1"})
         if tree.get("truncated"):
             raise RemoteError("the tree is cut: use a clone for this repository", retry=False)
-        any_of = lambda path, globs: any(re.match(glob_regex(g).replace(r"\z", r"\Z"), path) for g in globs)
         include, exclude = self.source.get("include", ()), (*DEFAULT_EXCLUDES, *self.source.get("exclude", ()))
         files = [t for t in tree["tree"] if t["type"] == "blob" and t.get("size", 0) <= self.source.get("max_bytes", 400_000)]
-        files = [t for t in files if not any_of(t["path"], exclude) and (not include or any_of(t["path"], include))]
+        files = [t for t in files if not py_any_glob(t["path"], exclude) and (not include or py_any_glob(t["path"], include)) and not py_is_sensitive(t["path"])]
+        files = [t for t in files if self.source.get("include_unknown_types") or py_kind_and_lang(t["path"])[0] != "other"]
         return [{"path": t["path"], "sha": t["sha"], "commit": commit["sha"]} for t in files[: self.source.get("max_files", 5000)]]
 
     def docs(self, ids: list[dict]) -> Iterator[dict]:
@@ -190,7 +189,8 @@ class CodeHost:
             except UnicodeDecodeError:
                 continue
             if b"\x00" not in raw[:4096]:
-                yield doc(self.source["id"], "github", f["path"], text, version=f["commit"], url=f"https://{host}/{self.source['repo']}/blob/{f['commit']}/{quote(f['path'])}")
+                kind, lang = py_kind_and_lang(f["path"])
+                yield doc(self.source["id"], "github", f["path"], text, kind=kind, lang=lang, version=f["commit"], url=f"https://{host}/{self.source['repo']}/blob/{f['commit']}/{quote(f['path'])}")
 
     def discussions(self) -> Iterator[dict]:
         """Issues, then pull requests, each up to its own limit."""

@@ -232,3 +232,12 @@ def test_settings():
     assert cfg.source_priority({"sources": [{"id": "a"}, {"id": "b", "priority": 0.2}]}) == {"a": 1.0, "b": 0.2}
     assert cfg.expand_template(r"{{a}} \{{a}}", {"a": "{{b}}"}) == "{{b}} {{a}}"
     assert cfg.parse_env("A=1\n# x\nexport B='q q'\nC=x # y\n") == {"A": "1", "B": "q q", "C": "x"}
+
+
+def test_plain_path_functions_equal_columns(spark):
+    from pyspark.sql import functions as F
+
+    every = ["a/b.py", "Dockerfile", "x/.env", "x/.env.example", "k/id_rsa", "README", "a.tar.gz", ".ssh/config", "s.secrets.json", "src/App.TSX", "conf.yaml", "x\\.aws\\c", "nodot"]
+    kind, lang = paths.kind_and_lang(F.col("p"))
+    got = spark.createDataFrame([(p,) for p in every], "p string").select("p", kind.alias("k"), lang.alias("l"), paths.is_sensitive(F.col("p")).alias("s")).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == {p: (*paths.py_kind_and_lang(p), paths.py_is_sensitive(p)) for p in every}
