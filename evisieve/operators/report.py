@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from ..functions.text import py_token_estimate
 
 
