@@ -240,16 +240,19 @@ def rare_shingles(ids: DataFrame, found: DataFrame, known: DataFrame, texts: Dat
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(sets).astype(np.int64))], names=["id", "g"])
 
-    each = stored(texts.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, g bigint"), "shingles")
-    count = each.groupBy("g").agg(F.count("*").alias("df"))
-    common = each.join(count.where(F.col("df") > RARE), "g").groupBy("id").agg(F.count("*").alias("common"))
-    own = ids.join(known.select("id", "n"), "id").join(common, "id", "left").select("id", "n", (F.col("n") - F.coalesce("common", F.lit(0))).alias("r"))
-    own = stored(own.join(found, "id", "left").select("id", "n", "r", F.coalesce("component", "id").alias("component")), "sizes")
+    each = stored(texts.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, g bigint").distinct(), "shingles")  # rows may share an id
+    # One pass counts all shingles; those of a single document need no join, and those of many aren't joined.
+    count = stored(each.groupBy("g").agg(F.count("*").alias("df"), F.min("id").alias("one")).where(F.col("df") <= RARE), "counts")
+    alone = count.where("df = 1").groupBy(F.col("one").alias("id")).agg(F.count("*").alias("alone"))
     # With shingles in order of how many hold them, the first one that a linked pair shares stands early in both, and
     # what follows it on either side bounds what else they share.
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    rare = each.join(count.where(F.col("df") <= RARE), "g").withColumn("at", place).where("df > 1").select("g", "id", "at").join(own, "id")
-    rare = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * rule.num / F.lit(rule.den)) + 1)
+    rare = stored(each.join(count.where("df > 1").select("g", "df"), "g").withColumn("at", place).select("g", "id", "at"), "rare")
+    few = rare.groupBy("id").agg(F.count("*").alias("few"))
+    own = ids.join(known.select("id", "n"), "id").join(alone, "id", "left").join(few, "id", "left").join(found, "id", "left")
+    number = lambda c: F.coalesce(c, F.lit(0))
+    own = stored(own.select("id", "n", number("alone").alias("alone"), (number("alone") + number("few")).alias("r"), F.coalesce("component", "id").alias("component")), "sizes")
+    rare = rare.join(own, "id").withColumn("at", F.col("at") + F.col("alone")).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * rule.num / F.lit(rule.den)) + 1)
     side = lambda c: rare.select("g", F.col("id").alias(c), F.col("at").alias(f"at_{c}"), F.col("n").alias(f"n_{c}"), F.col("component").alias(f"c_{c}"))
     shared = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     fits = rule.den * shared >= rule.num * (F.col("n_a") + F.col("n_b") - shared)
