@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -20,10 +21,12 @@ SLICE_BYTES = 512 << 10
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Where the session names none (tests on one machine), a temporary folder is set up and named.
+    Where a session on one machine names none (tests), a temporary folder is set up and named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='evisieve-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -48,6 +51,23 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+#: Keys that spread_join broadcasts at most.
+HEAVY_KEYS = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """An inner join whose hot keys don't meet in one task.
+
+    right: one row a key; `weight`: how many rows of `left` the key has. Keys with a HEAVY_KEYS-th of all these rows
+    or more (so HEAVY_KEYS at most, whatever the size) are broadcast; the others are joined by shuffle.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_heavy = F.col(weight) * HEAVY_KEYS >= F.lit(total)
+    heavy, light = F.broadcast(right.where(is_heavy)), right.where(~is_heavy)
+    rest = left.join(heavy.select(on), on, "left_anti").join(light, on)
+    return left.join(heavy, on).unionByName(rest)
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """`make` over each Arrow batch of `df`; it gets slices of bounded text size."""
 

@@ -9,7 +9,9 @@ are smaller than their successors are sorted directly, all others follow from sc
 bytes; equal strings are neighbours whose common prefix has LENGTH bytes.
 
 Anchors with more than MOST_REGIONS different regions aren't given to one task: their strings are counted one
-by one by a 128-bit hash, which no key's size can overload.
+by one by a 128-bit hash, which no key's size can overload. The suffix order so decides about strings that repeat in
+unequal surroundings; copies of whole stretches are settled by the regions' hashes, and what stands in thousands of
+different surroundings by the count. Joins with hot keys are split (common.spread_join).
 
 Defined results: null texts have no bytes; texts shorter than LENGTH keep all; repeated rows repeat each other
 and lose all strings of LENGTH; rows that share an id are told apart by their text; an empty table gives an
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, random_words, slices, stored, text_bytes
+from .common import mix, random_words, slices, spread_join, stored, text_bytes
 
 LENGTH, K = 400, 128
 MOST_REGIONS, SORTED_BYTES = 1500, 192 << 10
@@ -229,29 +231,45 @@ def _sorted_spans(regions: DataFrame, length: int) -> DataFrame:
     return regions.select("fp", "id", "t", "lo", "open", "body").repartition("fp").sortWithinPartitions("fp").mapInArrow(run, SPAN)
 
 
+def window_hashes(data: np.ndarray, length: int, values: np.ndarray, step: np.uint64) -> np.ndarray:
+    """64-bit hashes of all `length`-byte substrings: hashes of doubled spans, put together by the bits of `length`."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h, span, out, done = values[data], 1, np.zeros(n, dtype=np.uint64), 0
+    with np.errstate(over="ignore"):
+        while True:
+            if length & span:
+                out = out * step + h[done : done + n]
+                done += span
+            if span * 2 > length:
+                return mix(out)
+            h = h[:-span] * step + h[span:]
+            step, span = step * step, span * 2
+
+
+_HASHES = [(random_words(seed, 256), np.uint64(0x9E3779B97F4A7C15 + 2 * seed | 1)) for seed in (33, 34)]
+
+
 def _counted_spans(regions: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with any number of regions: each string's hash is counted."""
+    """The same for anchors with any number of regions: each string's 128-bit hash is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for id_, t, lo, open_, body in zip(*(c.to_pylist() for c in batch.columns)):
-                for i in range(len(body) - length + 1):
-                    h = blake2b(body[i : i + length], digest_size=16).digest()
-                    rows.append((id_, t, lo + i, open_, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-                if len(rows) > 50_000:
-                    yield window_batch(rows)
-                    rows = []
-            if rows:
-                yield window_batch(rows)
-
-    def window_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "t", "start", "open", "w1", "w2"])
-
-    each = regions.select("id", "t", "lo", "open", "body").mapInArrow(run, "id bigint, t int, start int, open boolean, w1 bigint, w2 bigint")
-    twice = each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    return each.where("open").join(twice, ["w1", "w2"], "left_semi").select("id", "t", "start", (F.col("start") + length).alias("end"))
+            for part in slices(batch, 64 << 10):
+                data, offsets = text_bytes(part.column(4))
+                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                start = np.arange(len(data) - length + 1 if len(data) >= length else 0)
+                start = start[start + length <= offsets[row[start] + 1]]
+                w1, w2 = (window_hashes(data, length, *h)[start].astype(np.int64) for h in _HASHES)
+                take = row[start]
+                column = lambda i: part.column(i).take(pa.array(take))
+                at = part.column(2).to_numpy(zero_copy_only=False)[take] + start - offsets[take]
+                yield pa.RecordBatch.from_arrays([column(0), column(1), pa.array(at.astype(np.int32)), column(3), pa.array(w1), pa.array(w2)], names=["id", "t", "start", "open", "w1", "w2"])
+
+    each = stored(regions.select("id", "t", "lo", "open", "body").mapInArrow(run, "id bigint, t int, start int, open boolean, w1 bigint, w2 bigint"), "windows")
+    twice = stored(each.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    return spread_join(each.where("open"), twice, ["w1", "w2"], "c").select("id", "t", "start", (F.col("start") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,16 +278,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("t"), text.alias("text"))
     every = stored(_runs(rows, length, k), "runs")
-    anchors = every.groupBy("fp").agg(F.count("*").alias("c"), F.min("r").alias("lo_r"), F.max("r").alias("hi_r")).where("c > 1").select("fp", (F.col("lo_r") == F.col("hi_r")).alias("equal"))
-    every = stored(every.join(anchors, "fp"), "repeated")
+    anchors = every.groupBy("fp").agg(F.count("*").alias("c"), F.min("r").alias("lo_r"), F.max("r").alias("hi_r")).where("c > 1").select("fp", "c", (F.col("lo_r") == F.col("hi_r")).alias("equal"))
+    every = stored(spread_join(every, stored(anchors, "anchors"), ["fp"], "c").drop("c"), "repeated")
 
     # Anchors with different regions: what occurs twice repeats, and one of its copies is compared with the rest.
     mixed = every.where("not equal")
     kinds = stored(mixed.groupBy("fp", "r").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "lo")).alias("rep")), "regions")
-    hot = kinds.groupBy("fp").agg((F.count("*") > MOST_REGIONS).alias("hot"))
-    kinds = kinds.join(hot, "fp")
+    size = kinds.groupBy("fp").agg(F.count("*").alias("size"))
+    kinds = stored(spread_join(kinds, size, ["fp"], "size").withColumn("hot", F.col("size") > MOST_REGIONS), "kinds")
     flag = F.when(F.col("c") == 1, 2).when(F.col("rep") == F.struct("id", "t", "lo"), 1).otherwise(0)
-    mixed = mixed.join(kinds, ["fp", "r"]).select("id", "t", "lo", "hi", "fp", flag.alias("flag"), "hot")
+    mixed = spread_join(mixed, kinds, ["fp", "r"], "c").select("id", "t", "lo", "hi", "fp", flag.alias("flag"), "hot")
     plain = every.where("equal").select("id", "t", "lo", "hi", "fp", F.lit(0).alias("flag"), F.lit(False).alias("hot"))
     by_doc = stored(plain.unionByName(mixed).groupBy("id", "t").agg(F.collect_list(F.struct("lo", "hi", "fp", "flag", "hot")).alias("runs")), "by_doc")
     touched = stored(rows.join(by_doc, ["id", "t"]), "touched")

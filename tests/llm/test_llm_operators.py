@@ -575,8 +575,9 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), rows
 
 
-@pytest.mark.parametrize("least", [0, 100_000])
-def test_warc_round_trip(pages, least):
+@pytest.mark.parametrize(("least", "broadcast"), [(0, warc.BROADCAST_ROWS), (100_000, warc.BROADCAST_ROWS), (0, 0)])
+def test_warc_round_trip(pages, monkeypatch, least, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
     df, rows = pages
     got = {r["page_id"]: r for r in warc.round_trip(df, least, payloads=True).collect()}
     assert len(got) == len(rows)
