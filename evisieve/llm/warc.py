@@ -14,20 +14,19 @@ no archive and reads as no row. Damaged archives raise ArchiveError, naming the
 from __future__ import annotations
 
 import base64
-import os
 import re
 import struct
 import uuid
 from collections.abc import Iterator
 from hashlib import sha1
-from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, shared_dir, slices
+from .common import delete_at_exit, shared_dir, slices, spread_join, stored
 
 #: Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -162,11 +161,16 @@ def read_record(raw: bytes, where: str) -> tuple[int | None, str | None, str, in
     return page_id, headers.get("warc-target-uri"), "response", len(payload), digest, None, payload
 
 
-def local_path(folder: str) -> Path:
-    """The shared folder as executors open it."""
-    if "://" in folder and not folder.startswith("file://"):
-        raise ValueError("archives are written with the operating system's calls: mount the shared folder and give it as file://")
-    return Path("/" + folder.removeprefix("file:").lstrip("/"))
+#: Digests that several records share are broadcast up to this many rows (60 bytes each).
+BROADCAST_ROWS = 200_000
+
+
+def referred(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows with the smallest id of their digest's records (null where it is alone). first: sha, first, c."""
+    if first.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(first.drop("c")), "sha", "left")
+    alone = rows.join(first.select("sha"), "sha", "left_anti").withColumn("first", F.lit(None).cast("long"))
+    return spread_join(rows, first, ["sha"], "c").drop("c").unionByName(alone)
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -178,28 +182,24 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     # One small row per digest that occurs twice or more and is long enough; counts are combined before the shuffle.
-    first = rows.select("page_id", "sha", F.octet_length("payload").alias("n")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("n") >= least_bytes)).select("sha", "first")
-    rows = rows.join(first, "sha", "left").select("page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    first = rows.select("page_id", "sha", F.octet_length("payload").alias("n")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("c"), F.first("n").alias("n")).where((F.col("c") > 1) & (F.col("n") >= least_bytes)).select("sha", "first", "c")
+    rows = referred(rows, stored(first, "digests")).select("page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
     small = pages.select(F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("p"), F.col(id_col).alias("i")).where(F.octet_length("p").between(1, SAMPLE_BYTES))
     ids = small.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(SAMPLED).select("i").distinct()
     sample = small.join(F.broadcast(ids), "i").orderBy("i", "p").limit(SAMPLED)  # SAMPLED ids at most
     dictionary = dictionary_from([bytes(r[0]) for r in sample.select("p").collect()])  # SAMPLED * SAMPLE_BYTES at most
-    target = local_path(folder)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target.mkdir(parents=True, exist_ok=True)
+        system, target = pa_fs.FileSystem.from_uri(folder)
+        system.create_dir(target, recursive=True)
         archive, n = Archive(dictionary), 0
 
         def close() -> pa.RecordBatch:
-            path = target / f"{uuid.uuid4().hex}.warc.zst"
-            part = path.with_suffix(".part")
-            with part.open("wb") as out:
+            name = f"{uuid.uuid4().hex}.warc.zst"
+            with system.open_output_stream(f"{target}/{name}.part") as out:
                 for x in archive.parts:
                     out.write(x)
-                out.flush()
-                os.fsync(out.fileno())
-            part.rename(path)
-            return pa.RecordBatch.from_arrays([pa.array([f"file://{path}"]), pa.array([n], pa.int64())], names=["path", "records"])
+            system.move(f"{target}/{name}.part", f"{target}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
         for batch in batches:
             for part in slices(batch):
