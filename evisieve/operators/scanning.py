@@ -149,8 +149,9 @@ def findings(docs: DataFrame, least: str = "info", test_paths: bool = False, mas
     none = F.array().cast("array<int>")
     tested = F.transform("lines", lambda line, i: F.struct(i.alias("i"), F.when(F.length(line) <= LINE_MOST, hits_of(line, F.col("lang"), after(i), F.col("can"), rules)).otherwise(none).alias("rules")))
     broken = F.filter(tested, lambda h: F.size(h["rules"]) > 0)
-    docs = docs.withColumn("hits", F.flatten(F.transform(broken, lambda h: F.transform(h["rules"], lambda r: F.struct(h["i"].alias("i"), r.alias("rule"))))))
-    docs = docs.where(F.size("hits") > 0)
+    hits = F.flatten(F.transform(broken, lambda h: F.transform(h["rules"], lambda r: F.struct(h["i"].alias("i"), r.alias("rule")))))
+    # Generated columns are computed once, however often they are named below; as plain columns the tests would run for each use.
+    docs = docs.select("source_id", "source_type", "path", "url", "lines", F.explode_outer(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
     # A document is one row, so its cap by rule needs no shuffle, and keys are masked once for all its findings.
     of_rule = lambda i: F.filter("hits", lambda h: h["rule"] == i)
     capped = F.flatten(F.array(*[F.slice(of_rule(i), 1, PER_DOC) for i in range(len(rules))]))
