@@ -318,7 +318,8 @@ def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODE_LINE = "CASE WHEN x % 37 = s_suppkey % 5 THEN 'function f' || x || '() {' WHEN x % 53 = 7 THEN 'class C' || x || ':' WHEN x % 11 = 0 THEN '' WHEN x % 29 = 3 THEN repeat('long ', 100) ELSE '  y = ' || x END"
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT s_suppkey AS k, list_transform(range(1, 41 + s_suppkey * 7 % 400), lambda x: {_CODE_LINE}) AS ls FROM supplier),
+@query(f"""WITH RECURSIVE every_line AS (SELECT s_suppkey AS k, list_transform(range(1, 41 + s_suppkey * 7 % 400), lambda x: {_CODE_LINE}) AS l FROM supplier),
+  d AS (SELECT k, CASE WHEN l[len(l)] = '' THEN l[1 : len(l) - 1] ELSE l END AS ls FROM every_line),
   {code_windows_sql("regexp_matches(l, '^(function|class) ')")},
   piece AS (SELECT s.k, a, b, array_to_string(ls[a + 1 : b], chr(10)) AS text, (SELECT regexp_extract(l, '(?:function|class) ([A-Za-z0-9_]+)', 1) FROM line WHERE line.k = s.k AND regexp_matches(l, '^(function|class) ') AND i <= a + 1 AND i > a + 1 - {chunking.SYMBOL_REACH} ORDER BY i DESC LIMIT 1) AS symbol FROM step s JOIN d USING (k) WHERE b > 0)
   SELECT k, (row_number() OVER (PARTITION BY k ORDER BY a) - 1)::INT AS chunk_no, (a + 1)::INT AS start, b::INT AS "end", sha256(text) AS hash, 'f' || k || '.js' || coalesce(' › ' || symbol, '') AS title, (ceil(length(text) / {tx.CHARS_A_TOKEN}) + 1)::INT AS n_tokens FROM piece""")
