@@ -421,6 +421,25 @@ def test_repeats_equal_brute_force(spark, monkeypatch, texts, empty, most):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_rows_with_odd_or_shared_ids(spark):
+    from pyspark.sql import functions as F
+
+    # The first two texts have one 32-bit hash; only the first repeats, in the third.
+    one, other = "passage " * 8 + "1943", "5224 other words of no other document, at least as many bytes as that"
+    rows = [(None, one), (None, other), (-(1 << 63), "passage " * 8), ((1 << 63) - 1, "few"), (0, other[:20]), (None, None), (7, one), (7, other[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert df.where(F.col("text").isin(one, other)).select(F.hash("text")).distinct().count() == 1
+    length, k = 50, 16
+    raw = [(t or "").encode() for _, t in rows]
+    count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    want = []
+    for (id_, _), b in zip(rows, raw):
+        hit = {j for i in range(len(b) - length + 1) if count[b[i : i + length]] > 1 for j in range(i, i + length)}
+        want.append((id_, len(b), len(hit), bytes(c for j, c in enumerate(b) if j not in hit)))
+    got = [(r[0], r[1], r[2], bytes(r[3])) for r in substrings.remove_repeats(df, length, k).select("doc_id", "n_bytes", "n_removed", "kept").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_window_hashes_tell_strings_apart():
     import numpy as np
 
