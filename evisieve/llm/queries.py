@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, secrets, sharding, sql, substrings, toxicity, warc
+from . import bpe, decontaminate, langid, merkle, neardup, quality, secrets, sharding, sql, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    tampered = fields | {"n_chars": F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))}
+    rows = docs.select("doc_id", "lang", merkle.leaf_digest(*fields.values()).alias("leaf"), merkle.leaf_digest(*tampered.values()).alias("now"))
+    found = merkle.manifest(rows, "lang", "doc_id")
+    refolded = merkle.folded(merkle.folded(F.col("now"), F.col("idx"), F.col("n"), F.col("proof")), F.col("top_idx"), F.col("top_n"), F.col("top_proof"))
+    out = found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat("proof", "top_proof"), 256).alias("proof_sha256"), refolded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_language, op4_sharding, op5_bpe, op6_near_duplicates, op7_substrings, op8_quality, op9_decontamination, op10_warc)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_language, op4_sharding, op5_bpe, op6_near_duplicates, op7_substrings, op8_quality, op9_decontamination, op10_warc, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,26 @@ WARC = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(enco
   f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
   SELECT page_id, octet_length(b) AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: {_CHARS}), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+#: CRC-32 of an id's decimal text, bit by bit; the empty text of a null id has none.
+_BITS = "list_transform(range(0, 8 * length({0}::VARCHAR)), lambda k: CASE WHEN k % 8 = 0 THEN ord(substr({0}::VARCHAR, (k // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT)"
+CRC32 = f"xor(list_reduce([4294967295::BIGINT] || {_BITS}, lambda c, b: xor(xor(c, b) >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT)"
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
+MANIFEST = f"""WITH RECURSIVE leaf AS MATERIALIZED (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS h, {_LEAF.format(f"(n_chars + CASE WHEN {CRC32.format('doc_id')} % 7 = 0 THEN 1 ELSE 0 END)")} AS now,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+  tree AS (SELECT lang, 0 AS lv, i, n, h FROM leaf UNION ALL SELECT lang, lv + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lang, lv, i // 2),
+  sub AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+  top AS (SELECT 0 AS lv, i, n, h FROM sub UNION ALL SELECT lv + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lv, i // 2),
+  way AS (SELECT doc_id, 0 AS part, lv, leaf.i >> lv AS p, t.h FROM leaf JOIN (SELECT DISTINCT lang AS l, lv, n AS w FROM tree WHERE n > 1) x ON x.l IS NOT DISTINCT FROM leaf.lang LEFT JOIN (SELECT lang AS l2, lv AS lv2, i AS i2, h FROM tree) t ON t.l2 IS NOT DISTINCT FROM leaf.lang AND lv2 = lv AND i2 = xor(leaf.i >> lv, 1)
+    UNION ALL SELECT doc_id, 1, x.lv, sub.i >> x.lv, t.h FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang CROSS JOIN (SELECT DISTINCT lv FROM top WHERE n > 1) x LEFT JOIN top t ON t.lv = x.lv AND t.i = xor(sub.i >> x.lv, 1)),
+  proof AS (SELECT doc_id, list(CASE WHEN h IS NULL THEN '-' WHEN p % 2 = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY part, lv) AS steps, coalesce(string_agg(h, '' ORDER BY part, lv), '') AS t FROM way GROUP BY doc_id),
+  whole AS (SELECT leaf.doc_id, leaf.h AS leaf, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(t, '')) AS proof_sha256,
+    list_reduce([now] || coalesce(steps, []), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)) AS folded_root FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang LEFT JOIN proof ON proof.doc_id = leaf.doc_id)
+  SELECT *, folded_root = root AS verified FROM whole"""
+
 SQL = {
+    "op13_manifest": MANIFEST,
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op7_substrings": SUBSTRINGS,
     "op8_quality": QUALITY,

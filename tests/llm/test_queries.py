@@ -20,7 +20,7 @@ def rows_of(frame) -> list[str]:
     return sorted(str(tuple(map(cell, r))) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_substrings", "op8_quality", "op9_decontamination", "op10_warc"])
+@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_substrings", "op8_quality", "op9_decontamination", "op10_warc", "op13_manifest"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
     from evisieve.llm import queries
