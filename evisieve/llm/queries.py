@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, neardup, quality, secrets, sharding, sql, substrings, toxicity, warc
+from . import bpe, decontaminate, fmindex, langid, merkle, neardup, quality, secrets, sharding, sql, substrings, toxicity, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_earlier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fmindex.remove_earlier(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = {c: F.col(c) for c in merkle.FIELDS}
@@ -83,7 +92,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_language, op4_sharding, op5_bpe, op6_near_duplicates, op7_substrings, op8_quality, op9_decontamination, op10_warc, op13_manifest)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_language, op4_sharding, op5_bpe, op6_near_duplicates, op7_substrings, op8_quality, op9_decontamination, op10_warc, op11_earlier_words, op12_prefix_trie, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -95,7 +95,31 @@ MANIFEST = f"""WITH RECURSIVE leaf AS MATERIALIZED (SELECT doc_id, lang, {_LEAF.
     list_reduce([now] || coalesce(steps, []), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)) AS folded_root FROM leaf JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang LEFT JOIN proof ON proof.doc_id = leaf.doc_id)
   SELECT *, folded_root = root AS verified FROM whole"""
 
+EARLIER_WORDS = f"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+  win AS (SELECT doc_id, i, hash(array_to_string(w[i : i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+  later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+  step AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER p + 20 THEN 0 ELSE 1 END AS new FROM later WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+  island AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM step),
+  span AS (SELECT doc_id, k, min(i) AS a, max(i) + 20 AS b FROM island GROUP BY doc_id, k),
+  gap AS (SELECT doc_id, k, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), 9000000000) AS e FROM span UNION ALL SELECT doc_id, 0, 1, min(a) FROM span GROUP BY doc_id),
+  kept AS (SELECT g.doc_id, flatten(list(w[a : least(e - 1, len(w))] ORDER BY k)) AS v FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id),
+  cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n FROM span GROUP BY doc_id)
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(coalesce(v, w), ' ')) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_TURN = "sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[:32]"
+PREFIX_TRIE = f"""WITH own AS (SELECT conv_id, {CRC32.format('conv_id')} % 9 AS h, list({_TURN} ORDER BY turn NULLS FIRST, {_TURN}) AS s, list(octet_length(encode(coalesce(text, '')))::BIGINT ORDER BY turn NULLS FIRST, {_TURN}) AS z FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  conv AS MATERIALIZED (SELECT o.conv_id, list_slice(coalesce(b.s, []), 1, o.h) || list_slice(o.s, o.h + 1, len(o.s)) AS s, list_slice(coalesce(b.z, []), 1, o.h) || list_slice(o.z, o.h + 1, len(o.z)) AS z FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+  pre AS (SELECT conv_id, d, d = len(s) AS ends, array_to_string(s[1 : d], '') AS p, CASE WHEN d > 0 THEN z[d] ELSE 0 END AS size FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM conv)),
+  node AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM pre GROUP BY p, d),
+  kids AS MATERIALIZED (SELECT left(p, 32 * (d::INT - 1)) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+  up AS (SELECT node.p, left(node.p, 32 * k) AS a, (node.n_convs - 1) * size AS saved, (kids.n IS NULL)::INT AS leaf FROM (SELECT *, unnest(range(0, d::INT + 1))::INT AS k FROM node) node LEFT JOIN kids ON kids.p = node.p),
+  tot AS (SELECT a, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM up GROUP BY a)
+  SELECT node.conv_id, node.d AS depth, par.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, sha256(node.e) AS ends_sha256
+  FROM node JOIN tot ON tot.a = node.p LEFT JOIN kids ON kids.p = node.p LEFT JOIN node par ON node.d > 0 AND par.p = left(node.p, 32 * (node.d::INT - 1))"""
+
 SQL = {
+    "op11_earlier_words": EARLIER_WORDS,
+    "op12_prefix_trie": PREFIX_TRIE,
     "op13_manifest": MANIFEST,
     "op6_near_duplicates": NEAR_DUPLICATES,
     "op7_substrings": SUBSTRINGS,

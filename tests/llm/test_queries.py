@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 import sys
 from pathlib import Path
 
@@ -16,17 +17,17 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not h
 def rows_of(frame) -> list[str]:
     import pandas as pd
 
-    cell = lambda v: None if pd.isna(v) else float(round(v, 6)) if isinstance(v, float | int) and not isinstance(v, bool) else str(v)
+    cell = lambda v: None if pd.isna(v) else float(round(v, 6)) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
     return sorted(str(tuple(map(cell, r))) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_substrings", "op8_quality", "op9_decontamination", "op10_warc", "op13_manifest"])
+@pytest.mark.parametrize("name", ["op6_near_duplicates", "op7_substrings", "op8_quality", "op9_decontamination", "op10_warc", "op11_earlier_words", "op12_prefix_trie", "op13_manifest"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
     from evisieve.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, str(DATA)).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
