@@ -21,7 +21,7 @@ from .functions.text import py_token_estimate
 from .operators import chunking, embedding, gate, index, packing, planning, presets, ranking, report, scanning
 from .operators.files import Folder
 from .operators.tables import kept
-from .sources import cache, clone, remote, services, tables
+from .sources import cache, clone, remote, services, sync, tables
 
 log = logging.getLogger("evisieve")
 SYSTEM = "Answer from the evidence alone. Cite evidence ids; quote verbatim. What the evidence doesn't show is an open question. Reply with JSON that follows the schema."
@@ -54,29 +54,42 @@ class Engine:
         return known if not ids else list(dict.fromkeys(ids))
 
     def sync(self, ids: list[str] | None = None, headers: dict[str, dict[str, str]] | None = None) -> dict[str, dict]:
-        """Reads sources into the cache, one by one; one that fails leaves the others and its own cache alone."""
-        security, state = self.config["security"], {}
+        """Reads sources into the cache, one by one; one that fails leaves the others and its own cache alone.
+
+        Of remote sources only what changed is fetched. What a source no longer has leaves the cache.
+        """
+        security, state, path = self.config["security"], {}, f"{self.workspace}/docs"
+        wanted = self.source_ids(ids)
         for s in self.config["sources"]:
-            if s["id"] not in self.source_ids(ids):
+            if s["id"] not in wanted:
                 continue
             try:
-                skipped: dict[str, int] = {}
+                told: dict[str, Any] = {"skipped": {}}
                 if s["type"] == "local":
                     docs, left_out = tables.file_docs(self.spark, s["path"], s["id"], tuple(s.get("include", ())), tuple(s.get("exclude", ())), security["deny_sensitive_paths"], tuple(security["extra_deny_paths"]))
-                    skipped = {r[0]: r[1] for r in left_out.collect()}
+                    told["skipped"] = {r[0]: r[1] for r in left_out.collect()}
                 elif s["type"] == "table":
                     docs = self.tables[s["table"]].withColumn("source_id", F.lit(s["id"])).withColumn("doc_id", F.concat_ws(":", "source_id", "path"))
                 elif s["type"] == "github" and s.get("mode") == "clone":
                     if self.offline:
                         raise remote.EgressDenied("offline: nothing is cloned")
                     docs, left_out = clone.cloned_docs(self.spark, s, str(self._local("clones")), self.hosts)
-                    skipped = {r[0]: r[1] for r in left_out.collect()}
+                    told["skipped"] = {r[0]: r[1] for r in left_out.collect()}
+                    if discussed := [p for p in ("issues", "pulls") if (s.get(p) or {}).get("enabled")]:
+                        log.info("source %s: %s by the API", s["id"], " and ".join(discussed))
+                        more = sync.refreshed(self.spark, s, sync.gate_of(self.hosts, (headers or {}).get(s["id"]), self.offline), cache.read_cache(self.spark, path, [s["id"]]).where("kind in ('issue', 'pr')"))
+                        docs = docs.unionByName(more.docs)
+                        told |= {**more.counts, "failures": more.failed}
                 else:
-                    docs = remote.remote_docs(self.spark, s, self.hosts, (headers or {}).get(s["id"]), self.offline)
-                cache.write_cache(docs.select(*[f.split()[0] for f in cache.DOC.split(", ")]), f"{self.workspace}/docs")
-                state[s["id"]] = {"ok": True, "skipped": skipped}
-                if skipped:
-                    log.info("source %s left out: %s", s["id"], report.skipped_text(skipped))
+                    gate = sync.gate_of(self.hosts, (headers or {}).get(s["id"]), self.offline)
+                    out = sync.refreshed(self.spark, s, gate, cache.read_cache(self.spark, path, [s["id"]]))
+                    docs, told = out.docs, told | {**out.counts, "failures": out.failed}
+                    for reason, n in out.failed.items():
+                        log.warning("source %s: %d not fetched: %s", s["id"], n, reason)
+                cache.replace_source(docs.select(*[f.split()[0] for f in cache.DOC.split(", ")]), path, s["id"])
+                state[s["id"]] = {"ok": True, **told}
+                if told["skipped"]:
+                    log.info("source %s left out: %s", s["id"], report.skipped_text(told["skipped"]))
             except Exception as e:  # a source's failure is reported, not raised: the others go on
                 log.warning("source %s failed: %s", s["id"], redact(str(e))[0].split("\n")[0])
                 state[s["id"]] = {"ok": False, "error": redact(str(e))[0].split("\n")[0]}

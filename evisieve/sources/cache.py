@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,13 +11,51 @@ from ..functions.html import VERSION, html_to_text_udf
 from ..schemas import DOC
 
 
-def write_cache(docs: DataFrame, path: str) -> None:
-    """Replaces the sources that occur in `docs`; others stay."""
+def _file_system(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_cache(docs: DataFrame, path: str, sources: list[str] | None = None) -> None:
+    """Replaces the sources that occur in `docs`, and those in `sources` even by nothing; others stay."""
     docs.withColumn("source", F.col("source_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    if sources:
+        there = {r[0] for r in docs.where(F.col("source_id").isin(*sources)).select("source_id").distinct().collect()}  # names in `sources`
+        for source in set(sources) - there:
+            drop_source(docs.sparkSession, path, source)
+
+
+def _folder(spark: SparkSession, path: str, source: str) -> str:
+    return f"{path}/source={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)}"
+
+
+def drop_source(spark: SparkSession, path: str, source: str) -> None:
+    """Takes a source out of the cache."""
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, path, source)), True)
+
+
+def replace_source(docs: DataFrame, path: str, source: str) -> None:
+    """Puts `docs` in place of all that the cache holds of a source, also if there are none.
+
+    The new folder is written beside the old one, which may be what `docs` is read from, and moved there when it is whole.
+    """
+    spark = docs.sparkSession
+    at, hadoop = _file_system(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    own, new, old = _folder(spark, path, source), f"{path}/_new-{uuid.uuid4().hex}", f"{path}/_old-{uuid.uuid4().hex}"
+    docs.write.parquet(new)
+    moved = at.exists(hadoop(own)) and at.rename(hadoop(own), hadoop(old))
+    if not at.rename(hadoop(new), hadoop(own)):
+        if moved:
+            at.rename(hadoop(old), hadoop(own))
+        raise OSError(f"the cache of {source} couldn't be replaced")
+    if moved:
+        at.delete(hadoop(old), True)
 
 
 def read_cache(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
-    """All cached documents, or those of some sources: other folders aren't read."""
+    """All cached documents, or those of some sources: other folders aren't read. A cache without a folder is empty."""
+    if not _file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return spark.createDataFrame([], DOC)
     docs = spark.read.schema(f"{DOC}, source string").parquet(path)
     return (docs if sources is None else docs.where(F.col("source").isin(*sources))).drop("source")
 

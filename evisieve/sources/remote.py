@@ -1,9 +1,13 @@
 """Remote sources: code hosts, wikis and trackers, behind one gate for all network traffic.
 
 Connectors turn JSON that a `fetch` function returns into documents, so they run against recorded answers as
-well as against servers. `Gate` is the fetch function for servers: hosts must be allowed, only reading methods
-and the listed posts pass, redirects stay on their origin, and every request is counted and logged without its
-query. Listing is a driver-side loop over pages; contents are fetched in tasks (RemoteDocs), a slice of ids each.
+well as against servers. They read in two steps. `listing` yields an item for each document of one of a source's
+`parts`: its path, what it is cited by, and an etag that changes with its text. `fetched` yields documents for items, or
+why one couldn't be had; a page that fails costs that page. sources/sync.py runs both in tasks and fetches only what
+the cache doesn't hold; RemoteDocs reads a whole source as a table.
+
+`Gate` is the fetch function for servers: hosts must be allowed, only reading methods and the listed posts pass,
+redirects stay on their origin, and every request is counted and logged without its query.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import base64
 import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -133,14 +138,14 @@ def doc(source_id: str, source_type: str, path: str, text: str, **more: Any) ->
     return {"doc_id": f"{source_id}:{path}", "source_id": source_id, "source_type": source_type, "path": path, "title": more.get("title") or path, "kind": more.get("kind") or "other", "lang": more.get("lang") or "txt", "url": more.get("url"), "version": more.get("version"), "hash": sha256(text.encode()).hexdigest(), "meta": {k: str(v) for k, v in (more.get("meta") or {}).items()}, "text": text}
 
 
-def paged(fetch: Fetch, url: str, params: dict, most: int, size: int = PAGE) -> Iterator[dict]:
-    """Rows of a numbered listing up to `most`; a short page ends it."""
+def paged(fetch: Fetch, url: str, params: dict, most: int, accept: Callable[[dict], bool] = lambda row: True, size: int = PAGE) -> Iterator[dict]:
+    """Accepted rows of a numbered listing, `most` of them; a short page ends it."""
     n, page = 0, 1
     while n < most:
         rows = fetch(url, {**params, "per_page": size, "page": page})
-        for row in rows[: most - n]:
+        for row in [r for r in rows if accept(r)][: most - n]:
+            n += 1
             yield row
-        n += len(rows)
         page += 1
         if len(rows) < size:
             return
@@ -157,6 +162,26 @@ def followed(fetch: Fetch, url: str, params: dict | None = None) -> Iterator[dic
         url = urljoin(url, (answer.get("_links") or {}).get("base", "") + nxt if nxt and nxt.startswith("/rest") else nxt) if nxt else ""
 
 
+#: An item, and its document or what went wrong.
+Fetched = tuple[dict, dict | None, str | None]
+
+
+def attempt(item: dict, make: Callable[[], dict | None], missing: str = "no text") -> Fetched:
+    """What `make` gives for an item; errors of one item are told, a denied request ends the reading."""
+    try:
+        made = make()
+    except EgressDenied:
+        raise
+    except Exception as e:  # one document's failure isn't the source's
+        return item, None, redact(str(e))[0].split("\n")[0] or type(e).__name__
+    return item, made, None if made else missing
+
+
+def item_of(path: str, etag: str | None, **more: Any) -> dict:
+    """An item of a listing; `ref` is what its connector fetches it by. Without an etag it is always fetched."""
+    return {"path": path, "etag": etag, "title": path, "kind": "other", "lang": "txt", "url": None, "version": None, "ref": {}} | more
+
+
 @dataclass
 class CodeHost:
     """Files, issues and pull requests of a repository by its API."""
@@ -168,7 +193,15 @@ class CodeHost:
     def api(self) -> str:
         return f"{self.source.get('api_base_url', 'https://api.github.com').rstrip('/')}/repos/{self.source['repo']}"
 
-    def ids(self) -> list[dict]:
+    def parts(self) -> list[dict]:
+        """Files, unless they come from a clone, and the discussions that are enabled."""
+        files = [] if self.source.get("mode") == "clone" else [{"part": "files"}]
+        return [*files, *({"part": name} for name in ("issues", "pulls") if (self.source.get(name) or {}).get("enabled"))]
+
+    def listing(self, part: dict) -> Iterator[dict]:
+        return self.files() if part["part"] == "files" else self.discussions(part["part"])
+
+    def files(self) -> Iterator[dict]:
         """Blobs of the tree that the source includes; a truncated tree is an error, not a smaller source."""
         commit = self.fetch(f"{self.api}/commits/{quote(self.source.get('ref', 'main'), safe='')}")
         tree = self.fetch(f"{self.api}/git/trees/{commit['commit']['tree']['sha']}", {"recursive": "1"})
@@ -178,33 +211,36 @@ class CodeHost:
         files = [t for t in tree["tree"] if t["type"] == "blob" and t.get("size", 0) <= self.source.get("max_bytes", 400_000)]
         files = [t for t in files if not py_any_glob(t["path"], exclude) and (not include or py_any_glob(t["path"], include)) and not py_is_sensitive(t["path"])]
         files = [t for t in files if self.source.get("include_unknown_types") or py_kind_and_lang(t["path"])[0] != "other"]
-        return [{"path": t["path"], "sha": t["sha"], "commit": commit["sha"]} for t in files[: self.source.get("max_files", 5000)]]
-
-    def docs(self, ids: list[dict]) -> Iterator[dict]:
-        host = self.source.get("host", "github.com")
-        for f in ids:
-            raw = base64.b64decode(self.fetch(f"{self.api}/git/blobs/{f['sha']}")["content"])
+        for t in files[: self.source.get("max_files", 5000)]:
+            kind, lang = py_kind_and_lang(t["path"])
+            url = f"https://{self.source.get('host', 'github.com')}/{self.source['repo']}/blob/{commit['sha']}/{quote(t['path'])}"
+            yield item_of(t["path"], t["sha"], kind=kind, lang=lang, version=commit["sha"], url=url, ref={"blob": t["sha"]})
+
+    def discussions(self, name: str) -> Iterator[dict]:
+        """Issues or pull requests up to their own limit; a listing holds their texts. Issues that are pull requests don't count."""
+        own, kind = self.source[name], "issue" if name == "issues" else "pr"
+        rows = paged(self.fetch, f"{self.api}/{name}", {"state": own.get("state", "all"), "sort": "updated"}, own.get("limit", 100), lambda r: kind == "pr" or "pull_request" not in r)
+        for row in rows:
+            labels = ", ".join(x["name"] if isinstance(x, dict) else str(x) for x in row.get("labels") or [])
+            head = [f"# #{row['number']} {row['title']}", f"state: {row['state']}", f"labels: {labels}" if labels else None, f"author: {(row.get('user') or {}).get('login', '?')}", ""]
+            text = "\n".join([*(h for h in head if h is not None), row.get("body") or ""])
+            yield item_of(f"{name}/{row['number']}", row.get("updated_at"), kind=kind, lang="md", title=f"#{row['number']} {row['title']}", url=row.get("html_url"), version=row.get("updated_at"), ref={"text": text})
+
+    def fetched(self, items: list[dict]) -> Iterator[Fetched]:
+        for item in items:
+            yield attempt(item, lambda item=item: self._doc(item), "not text")
+
+    def _doc(self, item: dict) -> dict | None:
+        text = item["ref"].get("text")
+        if text is None:
+            raw = base64.b64decode(self.fetch(f"{self.api}/git/blobs/{item['ref']['blob']}")["content"])
             try:
-                text = raw.decode("utf-8").removeprefix("﻿")
+                text = raw.decode("utf-8").removeprefix("\ufeff")
             except UnicodeDecodeError:
-                continue
-            if b"\x00" not in raw[:4096]:
-                kind, lang = py_kind_and_lang(f["path"])
-                yield doc(self.source["id"], "github", f["path"], text, kind=kind, lang=lang, version=f["commit"], url=f"https://{host}/{self.source['repo']}/blob/{f['commit']}/{quote(f['path'])}")
-
-    def discussions(self) -> Iterator[dict]:
-        """Issues, then pull requests, each up to its own limit."""
-        for kind, name in (("issue", "issues"), ("pr", "pulls")):
-            own = self.source.get(name) or {}
-            if not own.get("enabled"):
-                continue
-            for row in paged(self.fetch, f"{self.api}/{name}", {"state": own.get("state", "all")}, own.get("limit", 100)):
-                if kind == "issue" and "pull_request" in row:
-                    continue
-                labels = ", ".join(x["name"] for x in row.get("labels") or [])
-                head = [f"# #{row['number']} {row['title']}", f"state: {row['state']}", f"labels: {labels}" if labels else None, f"author: {(row.get('user') or {}).get('login', '?')}", ""]
-                text = "\n".join([*(h for h in head if h is not None), row.get("body") or ""])
-                yield doc(self.source["id"], "github", f"{name}/{row['number']}", text, kind=kind, lang="md", title=f"#{row['number']} {row['title']}", url=row.get("html_url"), version=row.get("updated_at"))
+                return None
+            if b"\x00" in raw[:4096]:
+                return None
+        return doc(self.source["id"], "github", text=text, meta={"etag": item["etag"] or ""}, **{k: item[k] for k in ("path", "kind", "lang", "title", "url", "version")})
 
 
 def cql(source: dict) -> str:
@@ -221,6 +257,10 @@ def cql(source: dict) -> str:
     return " AND ".join(parts) + " ORDER BY lastmodified DESC"
 
 
+def groups(values: list, size: int = IDS_A_CALL) -> list[list]:
+    return [values[i : i + size] for i in range(0, len(values), size)]
+
+
 @dataclass
 class Wiki:
     """Pages by id with their descendants, else by query, else of a space; each page once, the first counts."""
@@ -228,87 +268,172 @@ class Wiki:
     source: dict
     fetch: Fetch
 
-    def ids(self) -> list[dict]:
-        base, most = self.source["base_url"].rstrip("/"), self.source.get("limit", 500)
-        if self.source.get("page_ids"):
-            found = list(map(str, self.source["page_ids"]))
-            if self.source.get("include_descendants"):
-                found = self._below(found, most)
-        else:
-            query = self.source.get("cql") or cql(self.source)
-            found = [str(r["id"]) for page in followed(self.fetch, f"{base}/rest/api/content/search", {"cql": query, "limit": PAGE}) for r in page["results"]]
-        found = list(dict.fromkeys(found))[:most]
-        return [{"ids": found[i : i + IDS_A_CALL]} for i in range(0, len(found), IDS_A_CALL)]
-
-    def _below(self, roots: list[str], most: int) -> list[str]:
-        base, level, seen = self.source["base_url"].rstrip("/"), roots, dict.fromkeys(roots)
+    @property
+    def base(self) -> str:
+        return self.source["base_url"].rstrip("/")
+
+    @property
+    def most(self) -> int:
+        return self.source.get("limit", 500)
+
+    def roots(self) -> list[str]:
+        return list(dict.fromkeys(map(str, self.source.get("page_ids") or ())))
+
+    def children(self, parent: str) -> list[str]:
+        """Ids of the pages right below one."""
+        return [str(r["id"]) for page in followed(self.fetch, f"{self.base}/rest/api/content/{parent}/child/page", {"limit": PAGE}) for r in page["results"]]
+
+    def parts(self, found: list[str] | None = None) -> list[dict]:
+        """Groups of ids, or one query. found: ids of a walk that was made elsewhere (sync.walked)."""
+        if not self.source.get("page_ids"):
+            return [{"cql": self.source.get("cql") or cql(self.source)}]
+        if found is None:
+            found = self._below(self.roots()) if self.source.get("include_descendants") else self.roots()
+        return [{"ids": g} for g in groups(list(dict.fromkeys(found))[: self.most])]
+
+    def _below(self, roots: list[str]) -> list[str]:
+        level, seen = roots, dict.fromkeys(roots)
         for _ in range(MOST_DEPTH):
-            level = [str(r["id"]) for parent in level for page in followed(self.fetch, f"{base}/rest/api/content/{parent}/child/page", {"limit": PAGE}) for r in page["results"]]
-            level = [i for i in dict.fromkeys(level) if i not in seen]
+            level = sorted({c for parent in level for c in self.children(parent)} - seen.keys())
             seen |= dict.fromkeys(level)
-            if not level or len(seen) >= most:
+            if not level or len(seen) >= self.most:
                 break
         return list(seen)
 
-    def docs(self, ids: list[dict]) -> Iterator[dict]:
-        """A call for many ids, then one each for those it left out."""
-        base = self.source["base_url"].rstrip("/")
-        want = {"expand": "body.storage,version,metadata.labels,space"}
-        for group in ids:
-            got = self.fetch(f"{base}/rest/api/content/search", {**want, "cql": f"id in ({','.join(group['ids'])})", "limit": len(group["ids"])})["results"]
-            got += [self.fetch(f"{base}/rest/api/content/{i}", want) for i in group["ids"] if i not in {str(g["id"]) for g in got}]
-            for page in got:
-                labels = [x["name"] for x in ((page.get("metadata") or {}).get("labels") or {}).get("results", [])]
-                text = f"# {page['title']}\n\n{html_to_text(((page.get('body') or {}).get('storage') or {}).get('value'))}"
-                yield doc(self.source["id"], "confluence", str(page["id"]), text, kind="doc", lang="md", title=page["title"], url=f"{base}{(page.get('_links') or {}).get('webui', '')}", version=str((page.get("version") or {}).get("number", "")), meta={"labels": ",".join(labels), "text_version": VERSION})
+    def listing(self, part: dict) -> Iterator[dict]:
+        """Versions of pages, without their texts. Pages by id that a call leaves out are listed without a version."""
+        if "cql" in part:
+            n, seen = 0, set()
+            for page in followed(self.fetch, f"{self.base}/rest/api/content/search", {"cql": part["cql"], "expand": "version", "limit": PAGE}):
+                for r in page["results"]:
+                    if r["id"] not in seen and n < self.most:
+                        seen.add(r["id"])
+                        n += 1
+                        yield self._item(str(r["id"]), r)
+                if n >= self.most:
+                    return
+            return
+        try:
+            got = {str(r["id"]): r for r in self._by_ids(part["ids"], "version")}
+        except EgressDenied:
+            raise
+        except Exception:  # the pages are fetched one by one then
+            got = {}
+        for i in part["ids"]:
+            yield self._item(i, got.get(i, {}))
+
+    def _by_ids(self, ids: list[str], expand: str) -> list[dict]:
+        return self.fetch(f"{self.base}/rest/api/content/search", {"expand": expand, "cql": f"id in ({','.join(ids)})", "limit": len(ids)})["results"]
+
+    def _item(self, page_id: str, row: dict) -> dict:
+        version = str((row.get("version") or {}).get("number", ""))
+        # A text depends on the page's version and on how HTML is turned into text.
+        return item_of(page_id, f"{version}/{VERSION}" if version else None, kind="doc", lang="md", version=version, ref={"id": page_id})
+
+    def fetched(self, items: list[dict]) -> Iterator[Fetched]:
+        """A call for many ids, then one each for those it left out or if it failed."""
+        want = "body.storage,version,metadata.labels,space"
+        for group in groups(items):
+            try:
+                got = {str(p["id"]): p for p in self._by_ids([i["ref"]["id"] for i in group], want)}
+            except EgressDenied:
+                raise
+            except Exception:
+                got = {}
+            for item in group:
+                page_id = item["ref"]["id"]
+                yield attempt(item, lambda i=page_id, own=got: self._doc(own[i] if i in own else self.fetch(f"{self.base}/rest/api/content/{i}", {"expand": want})))
+
+    def _doc(self, page: dict) -> dict:
+        item = self._item(str(page["id"]), page)
+        title = page.get("title") or f"(untitled {page['id']})"
+        labels = [x["name"] for x in ((page.get("metadata") or {}).get("labels") or {}).get("results", [])]
+        text = f"# {title}\n\n{html_to_text(((page.get('body') or {}).get('storage') or {}).get('value'))}"
+        return doc(self.source["id"], "confluence", item["path"], text, kind="doc", lang="md", title=title, url=f"{self.base}{(page.get('_links') or {}).get('webui', '')}", version=item["version"], meta={"labels": ",".join(labels), "text_version": VERSION, "etag": item["etag"] or ""})
 
 
 @dataclass
 class Tracker:
-    """Tickets that a JQL query finds."""
+    """Tickets that a JQL query finds. A source may name `ranges` of keys, which are listed side by side."""
 
     source: dict
     fetch: Fetch
 
-    def ids(self) -> list[dict]:
-        return [{}]  # the search returns whole tickets, page by page
+    def parts(self) -> list[dict]:
+        """The whole query, or the query within each range: pairs of a first and a last key."""
+        order = re.search(r"\border\s+by\b", self.source["jql"], re.IGNORECASE)
+        own = self.source["jql"][: order.start()] if order else self.source["jql"]
+        within = [f"({own.strip()}) AND key >= {a} AND key <= {b} ORDER BY key" if own.strip() else f"key >= {a} AND key <= {b} ORDER BY key" for a, b in self.source.get("ranges", ())]
+        return [{"jql": q} for q in within or [self.source["jql"]]]
 
-    def docs(self, ids: list[dict]) -> Iterator[dict]:
-        base, most, token, n = self.source["base_url"].rstrip("/"), self.source.get("limit", 200), None, 0
+    def _search(self, jql: str, fields: list[str], most: int) -> Iterator[dict]:
+        url, token, n = f"{self.source['base_url'].rstrip('/')}/rest/api/3/search/jql", None, 0
         while n < most:
-            body = {"jql": self.source["jql"], "maxResults": min(PAGE, most - n), "fields": ["summary", "description", "status", "issuetype", "labels", "updated"]} | ({"nextPageToken": token} if token else {})
-            answer = self.fetch(f"{base}/rest/api/3/search/jql", None, body)
-            for issue in answer.get("issues", [])[: most - n]:
-                f = issue["fields"]
-                named = lambda k, f=f: (f.get(k) or {}).get("name", "?")
-                head = [f"# {issue['key']} {f.get('summary') or ''}", f"type: {named('issuetype')}", f"status: {named('status')}", f"labels: {', '.join(f.get('labels') or [])}", ""]
-                yield doc(self.source["id"], "jira", issue["key"], "\n".join(head) + "\n" + rich_text(f.get("description")), kind="ticket", lang="md", title=f"{issue['key']} {f.get('summary') or ''}", url=f"{base}/browse/{issue['key']}", version=f.get("updated"))
-                n += 1
-            token = answer.get("nextPageToken")
-            if not token or not answer.get("issues"):
+            answer = self.fetch(url, None, {"jql": jql, "maxResults": min(PAGE, most - n), "fields": fields} | ({"nextPageToken": token} if token else {}))
+            issues = answer.get("issues") or []
+            yield from issues[: most - n]
+            n, before, token = n + len(issues), token, answer.get("nextPageToken")
+            if not token or token == before or not issues:
                 return
 
+    def listing(self, part: dict) -> Iterator[dict]:
+        seen = set()
+        for issue in self._search(part["jql"], ["updated"], self.source.get("limit", 200)):
+            if issue["key"] not in seen:
+                seen.add(issue["key"])
+                updated = issue["fields"].get("updated")
+                yield item_of(issue["key"], updated, kind="ticket", lang="md", version=updated, url=f"{self.source['base_url'].rstrip('/')}/browse/{issue['key']}", ref={"key": issue["key"]})
+
+    def fetched(self, items: list[dict]) -> Iterator[Fetched]:
+        """A search for many keys, then one each for those it left out or if it failed."""
+        fields = ["summary", "description", "status", "issuetype", "labels", "updated"]
+        one = lambda key: next(iter(self._search(f"key = {key}", fields, 1)), None)
+        for group in groups(items):
+            try:
+                got = {i["key"]: i for i in self._search(f"key in ({','.join(i['ref']['key'] for i in group)})", fields, len(group))}
+            except EgressDenied:
+                raise
+            except Exception:
+                got = {}
+            for item in group:
+                key = item["ref"]["key"]
+                yield attempt(item, lambda key=key, own=got: self._doc(own.get(key) or one(key)), "no such ticket")
+
+    def _doc(self, issue: dict | None) -> dict | None:
+        if issue is None:
+            return None
+        f = issue["fields"]
+        named = lambda k: (f.get(k) or {}).get("name", "?")
+        head = [f"# {issue['key']} {f.get('summary') or ''}", f"type: {named('issuetype')}", f"status: {named('status')}", f"labels: {', '.join(f.get('labels') or [])}", ""]
+        return doc(self.source["id"], "jira", issue["key"], "\n".join(head) + "\n" + rich_text(f.get("description")), kind="ticket", lang="md", title=f"{issue['key']} {f.get('summary') or ''}", url=f"{self.source['base_url'].rstrip('/')}/browse/{issue['key']}", version=f.get("updated"), meta={"etag": f.get("updated") or ""})
+
 
 CONNECTORS: dict[str, type] = {"github": CodeHost, "confluence": Wiki, "jira": Tracker}
 
 
+def connector(source: dict, gate: Fetch) -> CodeHost | Wiki | Tracker:
+    return CONNECTORS[source["type"]](source, gate)
+
+
 @dataclass
-class Slice(InputPartition):
-    ids: list
+class Part(InputPartition):
+    part: dict
 
 
 class RemoteReader(DataSourceReader):
-    def __init__(self, connector: Any, per_task: int):
-        self.connector, self.per_task = connector, per_task
+    """A partition per part of the source: what it lists is fetched in the same task."""
+
+    def __init__(self, own: Any):
+        self.own = own
 
     def partitions(self) -> list[InputPartition]:
-        ids = self.connector.ids()
-        return [Slice(ids[i : i + self.per_task]) for i in range(0, len(ids), self.per_task)]
+        return [Part(p) for p in self.own.parts()]
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[tuple]:
         names = [f.split()[0] for f in DOC.split(", ")]
-        for d in self.connector.docs(partition.ids):
-            yield tuple(d[n] for n in names)
+        for _, d, _ in self.own.fetched(list(self.own.listing(partition.part))):
+            if d is not None:
+                yield tuple(d[n] for n in names)
 
 
 class RemoteDocs(DataSource):
@@ -322,9 +447,8 @@ class RemoteDocs(DataSource):
         return DOC
 
     def reader(self, schema: Any) -> DataSourceReader:
-        source = json.loads(self.options["source"])
         gate = Gate(tuple(self.options.get("hosts", "").split(",")), self.options.get("offline", "false") == "true", json.loads(self.options.get("headers", "{}")))
-        return RemoteReader(CONNECTORS[source["type"]](source, gate), int(self.options.get("per_task", "200")))
+        return RemoteReader(connector(json.loads(self.options["source"]), gate))
 
 
 def remote_docs(spark: SparkSession, source: dict, hosts: tuple[str, ...], headers: dict[str, str] | None = None, offline: bool = False) -> DataFrame:

@@ -372,12 +372,12 @@ def test_code_host():
     answers = {"/commits/main": {"sha": "c1", "commit": {"tree": {"sha": "t1"}}}, "/git/trees/t1": {"tree": [{"type": "blob", "path": p, "sha": p, "size": s} for p, s in (("src/a.py", 5), ("node_modules/x.js", 5), ("src/big.py", 999_999), ("doc.md", 5))]}, "/git/blobs/src/a.py": {"content": base64.b64encode(b"x = 1").decode()}, "/git/blobs/doc.md": {"content": base64.b64encode(b"\xff").decode()}, "/issues": [{"number": 1, "title": "T", "state": "open", "body": "B", "user": {"login": "u"}}, {"number": 2, "title": "P", "state": "open", "pull_request": {}}], "/pulls": []}
     fetch = lambda url, params=None, body=None: answers[url.split("/repos/o/r")[1]]
     host = remote.CodeHost({"id": "g", "repo": "o/r", "issues": {"enabled": True}}, fetch)
-    docs = list(host.docs(host.ids()))
-    assert [d["path"] for d in docs] == ["src/a.py"] and docs[0]["url"] == "https://github.com/o/r/blob/c1/src/a.py"
-    assert [d["path"] for d in host.discussions()] == ["issues/1"]
+    assert host.parts() == [{"part": "files"}, {"part": "issues"}]
+    docs = [d for part in host.parts() for _, d, _ in host.fetched(list(host.listing(part)))]
+    assert [d and d["path"] for d in docs] == ["src/a.py", None, "issues/1"] and docs[0]["url"] == "https://github.com/o/r/blob/c1/src/a.py"
     answers["/git/trees/t1"]["truncated"] = True
     with pytest.raises(remote.RemoteError):
-        host.ids()
+        list(host.files())
 
 
 def test_wiki_and_tracker():
@@ -394,10 +394,11 @@ def test_wiki_and_tracker():
         return page(url.rsplit("/", 1)[1])
 
     wiki = remote.Wiki({"id": "w", "base_url": "https://w", "page_ids": [1], "include_descendants": True}, fetch)
-    assert wiki.ids() == [{"ids": ["1", "2", "3"]}]
-    assert [(d["path"], d["text"]) for d in wiki.docs(wiki.ids())] == [(i, f"# T{i}\n\nx") for i in "123"]
-    tickets = list(remote.Tracker({"id": "j", "base_url": "https://j", "jql": "x"}, fetch).docs([{}]))
-    assert [t["path"] for t in tickets] == ["K-1", "K-1"] and "status: Open" in tickets[0]["text"] and tickets[0]["text"].endswith("D")
+    assert wiki.parts() == [{"ids": ["1", "2", "3"]}]
+    assert [(d["path"], d["text"]) for _, d, _ in wiki.fetched(list(wiki.listing(wiki.parts()[0])))] == [(i, f"# T{i}\n\nx") for i in "123"]
+    tracker = remote.Tracker({"id": "j", "base_url": "https://j", "jql": "x"}, fetch)
+    tickets = [d for _, d, _ in tracker.fetched(list(tracker.listing(tracker.parts()[0])))]
+    assert [t["path"] for t in tickets] == ["K-1"] and "status: Open" in tickets[0]["text"] and tickets[0]["text"].endswith("D")
     assert remote.cql({"space_key": 'E"N', "labels": ["a"]}) == 'type = page AND space = "E\\"N" AND label = "a" ORDER BY lastmodified DESC'
 
 
