@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import pandas as pd
 import pyarrow as pa
@@ -19,30 +21,40 @@ OVERHEAD, LEAST_LEFT, MOST_ITEMS = 60, 250, 200
 HIT = "doc_id string, source_id string, source_type string, path string, title string, kind string, url string, version string, start int, end int, partial boolean, text string, score double"
 
 
-def joins(last: dict, new: dict) -> bool:
-    """True if `new` continues `last` line by line: no gap, no cut line, and equal text where they overlap."""
-    shared = last["end"] - new["start"] + 1
-    if last["doc_id"] != new["doc_id"] or last.get("partial") or new.get("partial") or shared < 0:
-        return False
-    old, own = last["text"].split("\n"), new["text"].split("\n")
-    both = min(shared, len(own))
-    return shared == 0 or (len(old) >= shared and old[len(old) - shared :][:both] == own[:both])
+class Passage:
+    """Lines of one document that hits have filled without a gap; `end` is the number of the last one."""
+
+    def __init__(self, hit: dict):
+        self.hit, self.lines, self.end, self.score = hit, hit["text"].split("\n"), hit["end"], hit["score"]
+
+    def takes(self, hit: dict) -> bool:
+        """Adds a hit that begins inside or right below, if it has the same lines where both are. Cut lines fit nothing.
+
+        A hit that adds no line leaves the score as well.
+        """
+        below = hit["start"] - self.end - 1  # 0: right below; negative: so many lines are shared
+        if below > 0 or -below > len(self.lines) or self.hit.get("partial") or hit.get("partial"):
+            return False
+        place, own = len(self.lines) + below, hit["text"].split("\n")
+        if any(a != b for a, b in zip(self.lines[place:], own)):
+            return False
+        if hit["end"] > self.end:
+            self.lines += own[-below:]
+            self.end, self.score = hit["end"], max(self.score, hit["score"])
+        return True
+
+    def row(self) -> dict:
+        return {**self.hit, "text": "\n".join(self.lines), "end": self.end, "score": self.score}
 
 
 def merge_neighbours(hits: list[dict]) -> list[dict]:
-    """Hits of documents with those that continue each other as one, the score being the best of theirs."""
-    out: list[dict] = []
+    """Hits of documents with those that continue each other as one passage."""
+    passages: dict[str, list[Passage]] = {}
     for hit in sorted(hits, key=lambda h: (h["doc_id"], h["start"])):
-        if not out or not joins(out[-1], hit):
-            out.append(dict(hit))
-            continue
-        last = out[-1]
-        if hit["end"] > last["end"]:
-            more = hit["text"].split("\n")[max(0, last["end"] - hit["start"] + 1) :]
-            last["text"] = "\n".join([last["text"], *more])
-            last["end"] = hit["end"]
-            last["score"] = max(last["score"], hit["score"])
-    return out
+        own = passages.setdefault(hit["doc_id"], [])
+        if not own or not own[-1].takes(hit):
+            own.append(Passage(hit))
+    return [p.row() for own in passages.values() for p in own]
 
 
 def merged(hits: DataFrame, by: str = "query_id") -> DataFrame:
@@ -103,27 +115,24 @@ class Pack:
 
 
 def build_pack(hits: list[dict], budget: int, most: int = MOST_ITEMS, head: int = 0, masked: bool = True) -> Pack:
-    """The pack of one ranking that is on the driver already."""
-    ordered = sorted(merge_neighbours(hits), key=lambda h: (-h["score"], h["doc_id"]))
-    pack = Pack(tokens=head)
-    for hit in ordered[:most]:
-        text, count, kinds = redact(hit["text"]) if masked else (hit["text"], 0, [])
-        pack.masked += count
-        pack.masked_kinds += [k for k in kinds if k not in pack.masked_kinds]
-        size = py_token_estimate(text) + OVERHEAD
-        left = budget - pack.tokens - OVERHEAD
-        cut = pack.tokens + size > budget
-        if cut and left < LEAST_LEFT:
-            break
-        if cut:
-            text = truncated(text, left)
-            size = py_token_estimate(text) + OVERHEAD
-        pack.items.append({**hit, "id": f"E{len(pack.items) + 1}", "label": label(hit), "url": link(hit), "truncated": cut, "text": text})
-        pack.tokens += size
-        if cut:
-            break
-    pack.dropped = len(ordered) - len(pack.items)
-    return pack
+    """The pack of one ranking that is on the driver already: packed() on running sums of a list.
+
+    Masking counts include the first item that doesn't fit, whether it is cut or left out.
+    """
+    ranked = sorted(merge_neighbours(hits), key=lambda h: (-h["score"], h["doc_id"]))
+    safe = [redact(h["text"]) if masked else (h["text"], 0, []) for h in ranked[:most]]
+    sums = list(accumulate((py_token_estimate(text) + OVERHEAD for text, _, _ in safe), initial=head))
+    whole = max(0, bisect_right(sums, budget) - 1)
+    rest = budget - sums[whole] - OVERHEAD
+    shown = [(text, False) for text, _, _ in safe[:whole]]
+    tokens = sums[whole]
+    if whole < len(safe) and rest >= LEAST_LEFT:
+        shown.append((truncated(safe[whole][0], rest), True))
+        tokens += py_token_estimate(shown[-1][0]) + OVERHEAD
+    items = [{**hit, "id": f"E{n}", "label": label(hit), "url": link(hit), "truncated": cut, "text": text} for n, (hit, (text, cut)) in enumerate(zip(ranked, shown), 1)]
+    seen = safe[: whole + 1]
+    kinds = list(dict.fromkeys(chain.from_iterable(own for _, _, own in seen)))
+    return Pack(items, tokens, len(ranked) - len(items), sum(count for _, count, _ in seen), kinds)
 
 
 def label(hit: dict) -> str:
