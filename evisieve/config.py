@@ -16,6 +16,7 @@ DEFAULTS: dict[str, Any] = {
     "retrieval": {
         "chunk": {"code": {"max_lines": 110, "overlap_lines": 12, "max_chars": 6000}, "doc": {"max_chars": 2200, "overlap_chars": 220}},
         "glossary_bridge": True,
+        "incremental": False,
         "hybrid": {"mmr_lambda": 0.72, "final": 28, "per_query_top": 60},
         "boosts": {"path_match": 0.35, "source_priority": 0.15, "kind_prior": 0.2},
         "embedding": {"provider": "none", "model": None, "dimensions": 512, "batch": 96},

@@ -18,7 +18,7 @@ from . import config as cfg
 from .functions.jsonschema import extract_json
 from .functions.redact import mask_keys, redact
 from .functions.text import py_token_estimate
-from .operators import chunking, embedding, gate, index, packing, planning, presets, ranking, report, scanning
+from .operators import chunking, embedding, gate, index, packing, planning, presets, ranking, report, scanning, segments
 from .operators.files import Folder
 from .operators.tables import kept
 from .sources import cache, clone, remote, services, sync, tables
@@ -38,9 +38,10 @@ class Engine:
         self.spark, self.workspace = spark, workspace.rstrip("/")
         self.config = cfg.load(settings)
         self.tables = tables_ or {}
-        self.store = index.IndexStore(spark, f"{self.workspace}/index")
+        self.incremental = self.config["retrieval"]["incremental"]
+        self.store = segments.SegmentStore(spark, f"{self.workspace}/segments") if self.incremental else index.IndexStore(spark, f"{self.workspace}/index")
         self.key = cfg.index_key(self.config)
-        self._open: index.Snapshot | None = None
+        self._open: index.Snapshot | segments.SegmentSnapshot | None = None
         security, own = self.config["security"], self.config["retrieval"]["embedding"]
         self.offline, self.hosts = security["network_mode"] == "offline", tuple(security["allow_hosts"])
         self.embed = embed or (services.embedder(own, self.hosts, self.offline) if own["provider"] != "none" else None)
@@ -110,15 +111,35 @@ class Engine:
         return cache.read_cache(self.spark, f"{self.workspace}/docs", self.source_ids(ids))
 
     def build_index(self, vectors: DataFrame | None = None) -> int:
-        """Chunks all cached documents and publishes a generation."""
-        c = self.config["retrieval"]["chunk"]
-        limits = chunking.Limits(c["code"]["max_lines"], c["code"]["overlap_lines"], c["code"]["max_chars"], c["doc"]["max_chars"], c["doc"]["overlap_chars"])
-        chunks = chunking.chunk_documents(self.docs(), limits).withColumn("key", F.concat_ws("#", "doc_id", F.lpad("chunk_no", 6, "0")))
+        """Chunks all cached documents and publishes a generation; with retrieval.incremental only what changed since the last one."""
+        if self.incremental:
+            return self._update_index(vectors)
+        chunks = self._chunked(self.docs())
         if vectors is None and self.embed is not None:
             chunks = kept(chunks, "chunks")
             vectors = self.vectors(chunks)
         return self.store.build(chunks, self.key, self.config["project"], vectors)
 
+    def _chunked(self, docs: DataFrame) -> DataFrame:
+        c = self.config["retrieval"]["chunk"]
+        limits = chunking.Limits(c["code"]["max_lines"], c["code"]["overlap_lines"], c["code"]["max_chars"], c["doc"]["max_chars"], c["doc"]["overlap_chars"])
+        return chunking.chunk_documents(docs, limits).withColumn("key", F.concat_ws("#", "doc_id", F.lpad("chunk_no", 6, "0")))
+
+    def _update_index(self, vectors: DataFrame | None) -> int:
+        """Other settings make every document a changed one; so do documents without chunks, which nothing remembers."""
+        known, docs = self.store.documents(), self.docs()
+        if self.store.newest().get("index_key", self.key) != self.key:
+            known = known.withColumn("hash", F.lit(None).cast("string"))
+        # A document's title and path are part of its postings, so they are part of what tells whether it changed.
+        docs = docs.withColumn("hash", F.sha2(F.concat_ws("|", "hash", "title", "path", "kind", "url", "version"), 256))
+        changed, gone = segments.changes(docs, known)
+        changed = kept(changed, "changed")
+        chunks = kept(self._chunked(changed).join(changed.select("doc_id", F.col("hash").alias("doc_hash")), "doc_id"), "chunks")
+        if vectors is None and self.embed is not None:
+            vectors = self.vectors(chunks)
+        replaced = gone.unionByName(changed.select("doc_id"))  # also those that have no chunks any more
+        return self.store.update(chunks, replaced, self.key, self.config["project"], vectors)
+
     def vectors(self, chunks: DataFrame) -> DataFrame:
         """Vectors of chunks, those of earlier builds from the workspace; new ones are kept there.
 
@@ -135,9 +156,13 @@ class Engine:
         return made.select("key", "embedding")
 
     def snapshot(self) -> index.Snapshot:
-        """The newest generation, opened once: what runs keeps the one it began with when a newer one appears."""
+        """The newest generation, opened once and held by a lease: what runs keeps the one it began with when a newer one appears.
+
+        The lease of the one before isn't given back at once, as its frames may still be read: it runs out.
+        """
         if self._open is None or self.store.generations()[-1:] != [self._open.number]:
-            self._open = self.store.open()
+            self._open = self.store.open(index.LEASE_SECONDS)
+        self._open.lease.keep()
         return self._open
 
     def status(self) -> dict[str, Any]:
@@ -158,7 +183,7 @@ class Engine:
             chunks = chunks.where(F.col("kind").isin(*kinds))
         names = {str(i): q for i, q in enumerate(queries)}
         terms = ranking.term_frame(self.spark, names, r["glossary_bridge"])
-        lists = ranking.bm25(now.postings, now.lengths, terms, chunks.select("key"), r["hybrid"]["per_query_top"])
+        lists = ranking.bm25(now.postings, now.lengths, terms, chunks.select("key"), r["hybrid"]["per_query_top"], now.totals)
         one = F.lit("all").alias("query_id")
         lists = lists.select(one, F.col("query_id").alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
         asked = self._query_vectors(names) if now.vectors is not None else []

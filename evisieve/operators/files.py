@@ -34,6 +34,9 @@ class Folder:
         found = [(s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
         return [n for _, n in sorted(found, reverse=True) if n.endswith(suffix)]
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
     def prune(self, keep: int, suffix: str = "") -> None:
         for name in self.newest(suffix)[keep:]:
-            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+            self.delete(name)

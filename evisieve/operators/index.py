@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .leases import SECONDS, Lease, Leases
+from .tables import kept
 
-FORMAT, HEAD_WEIGHT, KEPT = 2, 3, 2
+FORMAT, HEAD_WEIGHT, KEPT, LEASE_SECONDS = 2, 3, 2, SECONDS
 
 
 def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None) -> DataFrame:
@@ -24,6 +26,14 @@ def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None)
     return rows.groupBy("key", "term").agg(F.sum(F.when(F.col("at") < F.col("n"), 1).otherwise(HEAD_WEIGHT)).cast("int").alias("tf")).select("term", "key", "tf")
 
 
+def arranged(postings: DataFrame) -> DataFrame:
+    """Postings by range of (term, key): a word that every chunk holds fills ranges of its own instead of one task and file.
+
+    Postings are stored first, as ranges are found by sampling them.
+    """
+    return kept(postings, "postings").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+
+
 def lengths_of(chunks: DataFrame, key: str = "key") -> DataFrame:
     """key and dl: the number of body tokens, 1 at least."""
     return chunks.select(F.col(key).alias("key"), F.greatest(F.size(tokens(F.col("text"))), F.lit(1)).alias("dl"))
@@ -54,6 +64,7 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.leases = Leases(spark, self.path)
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -67,7 +78,7 @@ class IndexStore:
         return sorted(int(n[9:13]) for n in self._names() if n.startswith("manifest-") and n.endswith(".json"))
 
     def build(self, chunks: DataFrame, index_key: str = "", project: str = "", vectors: DataFrame | None = None) -> int:
-        """Writes and publishes the next generation; older ones than the last KEPT go."""
+        """Writes and publishes the next generation; older ones than the last KEPT go, but for those that leases hold."""
         claimed = [int(n[4:]) for n in self._names() if n.startswith("gen=")]
         number = max([0, *claimed, *self.generations()]) + 1
         while not self._fs.createNewFile(self._path(f"{self.path}/gen={number:04d}/_claim")):
@@ -76,7 +87,7 @@ class IndexStore:
         chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         chunks = self.spark.read.parquet(f"{folder}/chunks")
         postings = postings_of(chunks)
-        postings.repartition("term").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{folder}/postings")
+        arranged(postings).write.mode("overwrite").parquet(f"{folder}/postings")
         lengths_of(chunks).write.mode("overwrite").parquet(f"{folder}/lengths")
         dims = None
         if vectors is not None:
@@ -94,20 +105,24 @@ class IndexStore:
         out.close()
         if not self._fs.rename(part, final):
             raise Superseded(f"generation {number} is published already")
-        for old in self.generations()[:-KEPT]:
+        held = self.leases.held()
+        for old in [g for g in self.generations()[:-KEPT] if g not in held]:
             self._fs.delete(self._path(f"{self.path}/manifest-{old:04d}.json"), False)
             self._fs.delete(self._path(f"{self.path}/gen={old:04d}"), True)
         return number
 
-    def open(self, attempts: int = 3) -> Snapshot:
-        """The newest generation; tried again if it was pruned while it was opened."""
+    def open(self, lease: float | None = None, attempts: int = 3) -> Snapshot:
+        """The newest generation, held by a lease of so many seconds if asked for; tried again if it was pruned meanwhile."""
         for attempt in range(attempts):
             numbers = self.generations()
             if not numbers:
                 raise FileNotFoundError(f"no index at {self.path}: build one first")
+            held = self.leases.take(numbers[-1], lease) if lease else None
             try:
-                return Snapshot(self.spark, self.path, numbers[-1])
+                return Snapshot(self.spark, self.path, numbers[-1], held)
             except Exception:
+                if held:
+                    held.release()
                 if attempt == attempts - 1 or self.generations()[-1:] == numbers[-1:]:
                     raise
         raise AssertionError
@@ -116,14 +131,15 @@ class IndexStore:
 class Snapshot:
     """One generation, pinned."""
 
-    def __init__(self, spark: SparkSession, path: str, number: int):
+    def __init__(self, spark: SparkSession, path: str, number: int, lease: Lease | None = None):
         folder = f"{path}/gen={number:04d}"
-        self.number = number
+        self.number, self.lease = number, lease
         self.manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest-{number:04d}.json").collect()))
         if self.manifest["format"] != FORMAT:
             raise ValueError("the index has another format: build it again")
         self.chunks, self.postings, self.lengths = (spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "postings", "lengths"))
         self.vectors = spark.read.parquet(f"{folder}/vectors") if self.manifest["dims"] else None
+        self.totals = (self.manifest["n"], self.manifest["avgdl"])
 
     def is_stale(self, index_key: str) -> bool:
         return bool(index_key and self.manifest["index_key"] and index_key != self.manifest["index_key"])

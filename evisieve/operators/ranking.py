@@ -51,16 +51,19 @@ def ranked(scores: DataFrame, top: int, per: str = "query_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, top: int = 60) -> DataFrame:
+def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, top: int = 60, totals: tuple[int, float] | None = None) -> DataFrame:
     """query_id, key, score and rank. postings: term, key, tf; lengths: key, dl; terms: query_id, term, weight.
 
     `allowed` (key) limits what is ranked; document counts and the mean length stay those of the whole corpus.
+    totals: number of chunks and mean length, where an index keeps them; else lengths are counted.
     """
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("dl", F.lit(1))), F.lit(1.0)).alias("avgdl"))
+    if totals is None:
+        counted = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.greatest("dl", F.lit(1))), F.lit(1.0)).alias("avgdl"))
     # Only the query's terms are counted and joined: the small side of both joins is the distinct query terms.
     wanted = terms.select("term").distinct()
     df = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(df, "term").join(F.broadcast(totals))  # one row
+    weighed = terms.join(df, "term")
+    weighed = weighed.join(F.broadcast(counted)) if totals is None else weighed.select("*", F.lit(totals[0]).cast("long").alias("n"), F.lit(float(totals[1])).alias("avgdl"))  # one row
     weighed = weighed.where((F.col("df") / F.col("n") <= COMMON_SHARE) | (F.length("term") > SHORT))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.select("query_id", "term", ((1 + F.log("weight")) * idf).alias("w"), "avgdl")

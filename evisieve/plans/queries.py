@@ -88,7 +88,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     chunks = doc_chunks(spark, sf_dir)
     own = (spark.sparkContext.applicationId, *sorted(chunks.inputFiles()))
     if own not in _INDEXES:
-        _INDEXES[own] = kept(index.postings_of(chunks).repartition("term").sortWithinPartitions("term"), "postings"), kept(index.lengths_of(chunks), "lengths")
+        _INDEXES[own] = kept(index.arranged(index.postings_of(chunks)), "postings"), kept(index.lengths_of(chunks), "lengths")
     return chunks, *_INDEXES[own]
 
 
