@@ -21,7 +21,7 @@ from .functions.text import py_token_estimate
 from .operators import chunking, embedding, gate, index, packing, planning, presets, ranking, report, scanning, segments
 from .operators.files import Folder
 from .operators.tables import kept
-from .sources import cache, clone, remote, services, sync, tables
+from .sources import cache, clone, egress, remote, services, sync, tables
 
 log = logging.getLogger("evisieve")
 SYSTEM = "Answer from the evidence alone. Cite evidence ids; quote verbatim. What the evidence doesn't show is an open question. Reply with JSON that follows the schema."
@@ -80,10 +80,12 @@ class Engine:
                         log.info("source %s: %s by the API", s["id"], " and ".join(discussed))
                         more = sync.refreshed(self.spark, s, sync.gate_of(self.hosts, (headers or {}).get(s["id"]), self.offline), cache.read_cache(self.spark, path, [s["id"]]).where("kind in ('issue', 'pr')"))
                         docs = docs.unionByName(more.docs)
+                        self._note(s["id"], more.requests)
                         told |= {**more.counts, "failures": more.failed}
                 else:
                     gate = sync.gate_of(self.hosts, (headers or {}).get(s["id"]), self.offline)
                     out = sync.refreshed(self.spark, s, gate, cache.read_cache(self.spark, path, [s["id"]]))
+                    self._note(s["id"], out.requests)
                     docs, told = out.docs, told | {**out.counts, "failures": out.failed}
                     for reason, n in out.failed.items():
                         log.warning("source %s: %d not fetched: %s", s["id"], n, reason)
@@ -96,6 +98,19 @@ class Engine:
                 state[s["id"]] = {"ok": False, "error": redact(str(e))[0].split("\n")[0]}
         return state
 
+    def _note(self, source: str, requests: list[DataFrame]) -> None:
+        """Adds the requests of a sync to the workspace's log (security.audit_log)."""
+        if self.config["security"]["audit_log"]:
+            for rows in requests:
+                rows.withColumn("source_id", F.lit(source)).coalesce(1).write.mode("append").json(f"{self.workspace}/egress")
+
+    def egress(self, *by: str) -> DataFrame:
+        """Requests by host, and by source_id if asked for, over all syncs that were logged."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.workspace}/egress")
+        there = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+        schema = f"{egress.REQUEST}, source_id string"
+        return egress.summarised(self.spark.read.schema(schema).json(root.toString()) if there else self.spark.createDataFrame([], schema), *by)
+
     def _local(self, name: str) -> Path:
         if "://" in self.workspace and not self.workspace.startswith("file:"):
             raise cfg.ConfigError("clones need a workspace that is mounted (file:)")

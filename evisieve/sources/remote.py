@@ -74,6 +74,7 @@ class Gate:
     posts: tuple[str, ...] = ("/rest/api/3/search/jql",)
     log_path: str | None = None
     counters: dict[str, dict[str, int]] = field(default_factory=dict)
+    notes: list[tuple] = field(default_factory=list)
     timeout: float = 60.0
 
     def check(self, url: str, method: str = "GET") -> None:
@@ -122,12 +123,19 @@ class Gate:
         count = self.counters.setdefault(u.hostname or "", {"requests": 0, "bytes": 0})
         count["requests"] += 1
         count["bytes"] += sent
+        self.notes.append((datetime.now(UTC), method, u.hostname or "", f"{u.scheme}://{u.netloc}{u.path}", sent, status, round(seconds * 1000)))
         if self.log_path:
             row = {"ts": datetime.now(UTC).isoformat(), "method": method, "url": f"{u.scheme}://{u.netloc}{u.path}", "bytes": sent, "status": status, "ms": round(seconds * 1000)}
             with open(self.log_path, "a") as log:
                 log.write(json.dumps(row) + "\n")
 
 
+    def drained(self) -> list[tuple]:
+        """Rows of egress.REQUEST since the last call."""
+        out, self.notes = self.notes, []
+        return out
+
+
 class _Stay(HTTPRedirectHandler):
     def redirect_request(self, *args: Any) -> None:
         return None

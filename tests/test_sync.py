@@ -26,8 +26,10 @@ class Server:
         self.broken: set[str] = set()
         self.bulk_fails = False
         self.asked: list[str] = []
+        self.total = 0
 
     def answer(self, path: str, params: dict, body: dict | None):
+        self.total += 1
         self.asked.append(path + (" " + params["cql"] + " " + params["expand"] if "cql" in params else "") + (" " + body["jql"] + " " + ",".join(body["fields"]) if body else ""))
         if path.startswith("/repos/o/r"):
             return self.host(path.removeprefix("/repos/o/r"), params)
@@ -144,6 +146,10 @@ def test_a_second_sync_fetches_only_what_changed(spark, tmp_path, server):
     now = texts(e)
     assert now["host:src/a.py"] == "a = 9" and "host:src/b.py" not in now and "tracker:K-5" not in now
     assert now["wiki:2"] == "# T2\n\nv2" and "wiki:4" not in now
+    # The log of requests has what the server was asked, once each, and its summaries add up.
+    logged = [(r["source_id"], r["requests"]) for r in e.egress("source_id").collect()]
+    assert sum(n for _, n in logged) > 0 and {s for s, _ in logged} == {"host", "wiki", "tracker"}
+    assert e.egress().first()["requests"] == sum(n for _, n in logged) == server.total
     # What a document is cited by comes from the listing, although its text wasn't fetched.
     urls = {r["doc_id"]: r["url"] for r in e.docs().collect()}
     assert "/blob/c" in urls["host:src/a.py"] and urls["wiki:1"].endswith("/p/1")
@@ -183,10 +189,10 @@ def test_tree_of_pages_is_walked_in_tasks(spark, server):
     server.pages = {str(i): (1, [str(c) for c in (3 * i, 3 * i + 1, 3 * i + 2) if c <= n]) for i in range(1, n + 1)}
     source = {"id": "w", "type": "confluence", "base_url": server.url, "page_ids": [1], "include_descendants": True, "limit": 10**6}
     gate = sync.gate_of(("127.0.0.1",), None, False)
-    found = sync.walked(spark, source, gate)
+    found = sync.walked(spark, source, gate, [])
     assert len(found) == len(set(found)) and set(found) == {str(i) for i in range(1, n + 1)} - {"2"} - {str(i) for i in range(1, n + 1) if _under(i, 2)}
-    assert found == sync.walked(spark, source, gate)
-    assert sync.walked(spark, source | {"limit": 50}, gate) == found[:50]
+    assert found == sync.walked(spark, source, gate, [])
+    assert sync.walked(spark, source | {"limit": 50}, gate, []) == found[:50]
     assert remote.Wiki(source | {"limit": 50}, gate)._below(["1"])[:50] == found[:50]
 
 
@@ -200,7 +206,7 @@ def test_tracker_ranges_are_parts(spark, server):
     source = {"id": "t", "type": "jira", "base_url": server.url, "jql": "project = K order by created", "ranges": [["K-1", "K-60"], ["K-61", "K-500"]], "limit": 1000}
     own = remote.Tracker(source, sync.gate_of(("127.0.0.1",), None, False))
     assert own.parts()[0]["jql"] == "(project = K) AND key >= K-1 AND key <= K-60 ORDER BY key"
-    assert sync.listed(spark, source, own.fetch).count() == 120
+    assert sync.listed(spark, source, own.fetch, []).count() == 120
 
 
 def test_reconcile_without_etags_and_with_repeated_items(spark):
