@@ -27,7 +27,6 @@ from .leases import SECONDS, Leases
 from .tables import kept
 
 FAN = 4
-_DEAD = "segment string, key string"
 
 
 def size_class(chunks: int, fan: int = FAN) -> int:
@@ -66,7 +65,7 @@ class SegmentStore:
     def _dead(self, own: dict[str, Any]) -> DataFrame | None:
         """Dead rows of a version's segments."""
         folders = [f"{self.path}/dead-{d}" for d in own["dead"]]
-        return self.spark.read.schema(_DEAD).parquet(*folders).where(F.col("segment").isin(*own["segments"])) if folders else None
+        return self.spark.read.parquet(*folders).where(F.col("segment").isin(*own["segments"])) if folders else None
 
     def live(self, own: dict[str, Any], name: str, segments: list[str] | None = None) -> DataFrame | None:
         """A table's live rows, of all or some segments, with `segment`."""

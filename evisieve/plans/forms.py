@@ -7,12 +7,12 @@ another engine, else the expected text of each form.
 
 from __future__ import annotations
 
-import base64
 import json
 import uuid
-from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +22,11 @@ from ..functions import text as tx
 from ..functions.html import entities_udf, html_to_text_udf, rich_text_udf
 from ..functions.paths import TEST_PATH, is_binary, strict_text
 from ..functions.urls import url_to_source
-from ..operators import chunking, embedding, gate, index, packing, planning, scanning
+from ..operators import chunking, embedding, gate, index, packing, planning, ranking, scanning, segments
 from ..operators.tables import shared_folder
 from ..schemas import DOC
-from ..sources import cache, remote, tables
-from .queries import POSTINGS_SQL, code_windows_sql, doc_chunks, query, table, text_sql
+from ..sources import cache, sync, tables
+from .queries import _TERMS, POSTINGS_SQL, bm25_sql, code_windows_sql, doc_chunks, query, table, text_sql
 
 # Forms.
 
@@ -467,27 +467,47 @@ def cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(cache.read_cache(spark, path), "cache").unionByName(shown(cache.read_json_lines(spark, lines), "lines"))
 
 
-#: Files of a folder tree: path, bytes, and why one is skipped ("": it is read; None: its folder isn't entered).
-_FILES: list[tuple[str, bytes, str | None]] = [
-    ("src/a.py", b"print(1)\n", ""), ("README.md", "\ufeff# Título\n".encode(), ""), ("conf/x.yaml", b"a: 1\n", ""), ("Dockerfile", b"FROM x\n", ""), (".github/workflows/ci.yml", b"on: push\n", ""), (".lint.json", b"{}", ""),
-    ("data.bin", b"\x01\x02", "unknown_type"), ("zero.txt", b"a\0b", "binary"), ("latin.txt", "é".encode("latin-1"), "bad_encoding"), ("big.json", b"1" * 500_000, "too_large"), ("a/b/.env", b"A=1\n", "sensitive"),
-    ("node_modules/m/x.js", b"1", None), (".git/config.json", b"1", None),
-]
-_LISTED = [f"({text_sql(p)}, '', {literal(b.decode('utf-8-sig'))})" for p, b, s in _FILES if s == ""] + [f"('', {text_sql(s)}, '1')" for _, _, s in _FILES if s]
+def _tree_sql() -> str:
+    """Files made of `documents`: folder by source, name and ending by hash, some not text, some not UTF-8, some denied."""
+    return """tree AS (SELECT coalesce(source, 'none') || '/' || left(h, 1) || CASE WHEN h < '08' THEN '/node_modules/x/' ELSE '/' END || doc_id || CASE left(h, 1) WHEN '0' THEN '.py' WHEN '1' THEN '.bin' WHEN '2' THEN '/.env' WHEN '3' THEN '.yaml' ELSE '.md' END AS path,
+    h < '08' AS unseen, left(h, 1) = '2' AS denied, octet_length(encode(text)) + CASE WHEN h[3] IN ('0', '1') THEN 1 ELSE 0 END AS size, h[3] = '0' AS zero, h[3] = '1' AS cut, left(h, 1) = '1' AS unknown, text FROM (SELECT *, md5(doc_id::VARCHAR) AS h FROM documents WHERE text IS NOT NULL)),
+  told AS (SELECT *, CASE WHEN denied THEN 'sensitive' WHEN size > 8000 THEN 'too_large' WHEN zero THEN 'binary' WHEN unknown THEN 'unknown_type' WHEN cut THEN 'bad_encoding' ELSE '' END AS skipped FROM tree WHERE NOT unseen)"""
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(_LISTED)}) AS t(path, skipped, text)")
-def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder tree with files that are read, skipped for each reason, and never looked at."""
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Writes that tree, by tasks; returns its folder."""
     root = workspace(spark, "files")
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for path, content, _ in _FILES:
-        out = fs.create(jvm_path(f"{root}/{path}"), True)
-        out.write(bytearray(content))
-        out.close()
-    docs, skipped = tables.file_docs(spark, root, "files", exclude=("**/.*.crc",))  # a local file system's checksums
-    return docs.select("path", F.lit("").alias("skipped"), "text").unionByName(skipped.select(F.lit("").alias("path"), "skipped", F.col("count").cast("string").alias("text")))
+    h = F.md5(F.col("doc_id").cast("string"))
+    digit, third = F.left(h, F.lit(1)), F.substring(h, 3, 1)
+    ending = F.when(digit == "0", ".py").when(digit == "1", ".bin").when(digit == "2", "/.env").when(digit == "3", ".yaml").otherwise(".md")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), digit, F.when(h < "08", "/node_modules/x/").otherwise("/"), F.col("doc_id"), ending)
+    first = F.when(third == "0", F.lit(b"\x00")).when(third == "1", F.lit(b"\xff")).otherwise(F.lit(b""))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(path.alias("path"), F.concat(first, F.col("text").cast("binary")).alias("content"))
+
+    def write(batches):
+        for batch in batches:
+            system, top = pa_fs.FileSystem.from_uri(root)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{top}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    rows.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query(f"WITH {_tree_sql()} SELECT path, md5(text) AS text_md5, octet_length(encode(text)) AS length FROM told WHERE skipped = ''")
+def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a folder tree is read as: listed and read by tasks."""
+    docs, _ = tables.file_docs(spark, file_tree(spark, sf_dir), "files", most_bytes=8000)
+    return docs.select("path", F.md5("text").alias("text_md5"), F.col("meta")["bytes"].cast("long").alias("length"))
+
+
+@query(f"WITH {_tree_sql()} SELECT skipped, count(*) AS count FROM told WHERE skipped <> '' GROUP BY skipped")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left out of the same tree, by reason."""
+    return tables.file_docs(spark, file_tree(spark, sf_dir), "files", most_bytes=8000)[1]
 
 
 @query(f"""WITH {POSTINGS_SQL} SELECT source AS source_id, (SELECT count(*) FROM lengths) AS n, (SELECT round(avg(dl), 6) FROM lengths) AS avgdl, (SELECT count(DISTINCT term) FROM postings) AS terms, (SELECT max(len(embedding))::INT FROM embeddings) AS dims, (SELECT count(*) FROM embeddings) AS vectors, (SELECT sum(tf)::BIGINT FROM postings) AS tf,
@@ -508,64 +528,44 @@ def index_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated.join(F.broadcast(counted))
 
 
-class Recorded:
-    """Answers of a code host, a wiki and a tracker that hold the nations: pages, links, tokens and gaps as servers have them."""
-
-    def __init__(self, nations: list[Any]):
-        self.nations = {n["n_nationkey"]: n for n in nations}
-        self.calls: list[str] = []
-
-    def __call__(self, url: str, params: dict | None = None, body: dict | None = None) -> Any:
-        self.calls.append(url)
-        for part, answer in (("api.github.com", self.host), ("//wiki/", self.wiki), ("//tracker/", self.tracker)):
-            if part in url:
-                return answer(url, params or {}, body or {})
-        raise ValueError(url)
-
-    def host(self, url: str, params: dict, body: dict) -> Any:
-        path = url.split("/repos/o/r")[1]
-        if path == "/commits/main":
-            return {"sha": "c1", "commit": {"tree": {"sha": "t1"}}}
-        if path == "/git/trees/t1":
-            folder = lambda k: "node_modules" if k % 7 == 0 else "src"
-            return {"tree": [{"type": "blob", "path": f"{folder(k)}/n{k}.py", "sha": str(k), "size": k * 100} for k in self.nations] + [{"type": "tree", "path": "src", "sha": "x"}]}
-        if path.startswith("/git/blobs/"):
-            return {"content": base64.b64encode(b"\xff" if path.endswith("/3") else f"n = {path.rsplit('/', 1)[1]}".encode()).decode()}
-        rows = [{"number": k, "title": n["n_name"], "state": "open", "body": f"b{k}", "user": {"login": f"u{k}"}} | ({"pull_request": {}} if k % 5 == 0 else {}) for k, n in self.nations.items()]
-        rows = [r for r in rows if path == "/issues" or r["number"] % 5 == 0]
-        return rows[(params["page"] - 1) * params["per_page"] : params["page"] * params["per_page"]]
-
-    def wiki(self, url: str, params: dict, body: dict) -> Any:
-        page = lambda k: {"id": k, "title": f"P{k}", "body": {"storage": {"value": f"<p>n{k}</p>"}}, "_links": {"webui": f"/p/{k}"}}
-        if "/child/page" in url:  # nations are below the first of their region; every listing links to itself
-            parent = int(url.split("/content/")[1].split("/")[0])
-            own = [k for k, n in self.nations.items() if n["n_regionkey"] == parent - 100 and k < 20]
-            return {"results": [{"id": k} for k in (own if parent >= 100 else [])], "_links": {"next": url}}
-        if url.endswith("/search"):  # leaves every third page out
-            asked = [int(i) for i in params["cql"].removeprefix("id in (").rstrip(")").split(",")]
-            return {"results": [page(k) for k in asked if k % 3]}
-        return page(int(url.rsplit("/", 1)[1]))
-
-    def tracker(self, url: str, params: dict, body: dict) -> Any:
-        first, keys = int(body.get("nextPageToken", 0)), list(self.nations)
-        own = keys[first : first + 10]
-        issues = [{"key": f"N-{k}", "fields": {"summary": self.nations[k]["n_name"], "status": {"name": "Open"}, "labels": ["a"], "description": {"type": "paragraph", "content": [{"type": "text", "text": f"d{k}"}]}}} for k in own]
-        return {"issues": issues, "nextPageToken": str(first + 10) if first + 10 < len(keys) else None}
-
-
-@query("""WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region FROM nation)
-  SELECT 'host' AS source_id, 'src/n' || k || '.py' AS path, 'code' AS kind, 'n = ' || k AS text FROM n WHERE k % 7 <> 0 AND k <> 3 AND k * 100 <= 2000
-  UNION ALL SELECT 'host', 'issues/' || k, 'issue', '# #' || k || ' ' || name || chr(10) || 'state: open' || chr(10) || 'author: u' || k || chr(10) || chr(10) || 'b' || k FROM n WHERE k % 5 <> 0
-  UNION ALL SELECT 'host', 'pulls/' || k, 'pr', '# #' || k || ' ' || name || chr(10) || 'state: open' || chr(10) || 'author: u' || k || chr(10) || chr(10) || 'b' || k FROM n WHERE k % 5 = 0
-  UNION ALL SELECT 'wiki', k::VARCHAR, 'doc', '# P' || k || chr(10) || chr(10) || 'n' || k FROM (SELECT k FROM n WHERE k < 20 UNION ALL SELECT r_regionkey + 100 FROM region)
-  UNION ALL SELECT 'tracker', 'N-' || k, 'ticket', '# N-' || k || ' ' || name || chr(10) || 'type: ?' || chr(10) || 'status: Open' || chr(10) || 'labels: a' || chr(10) || chr(10) || 'd' || k || chr(10) || chr(10) FROM n WHERE k < 23""")
-def recorded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connectors of a code host, a wiki and a tracker against recorded answers."""
-    fetch = Recorded(table(spark, sf_dir, "nation").orderBy("n_nationkey").collect())  # 25 rows at every scale
-    on = {"enabled": True, "limit": 1000}
-    host = remote.CodeHost({"id": "host", "repo": "o/r", "max_bytes": 2000, "issues": on, "pulls": on}, fetch)
-    wiki = remote.Wiki({"id": "wiki", "base_url": "https://wiki/w", "page_ids": [100 + r["r_regionkey"] for r in table(spark, sf_dir, "region").collect()], "include_descendants": True}, fetch)
-    tracker = remote.Tracker({"id": "tracker", "base_url": "https://tracker", "jql": "project = N", "limit": 23}, fetch)
-    found = [*host.docs(host.ids()), *host.discussions(), *wiki.docs(wiki.ids()), *tracker.docs(tracker.ids())]
-    docs = spark.createDataFrame([tuple(d[f.split()[0]] for f in DOC.split(", ")) for d in found], DOC)
-    return docs.select("source_id", "path", "kind", "text")
+@query("""WITH p AS (SELECT *, left(md5(url), 1) AS u, left(md5(coalesce(html, '')), 1) AS h FROM pages),
+  q AS (SELECT page_id, url, html, u NOT IN ('0', '1') AS cached, u NOT IN ('0', '1', '2', '3', '4') AS same, h NOT IN ('0', '1') AS listed, h = '2' AS broken FROM p)
+  SELECT page_id::VARCHAR AS doc_id, md5(CASE WHEN same OR (broken AND cached) THEN url ELSE coalesce(html, '') END) AS text_md5, CASE WHEN same THEN 'unchanged' WHEN broken THEN 'failed' ELSE 'fetched' END AS what
+    FROM q WHERE listed AND (same OR cached OR NOT broken)
+  UNION ALL SELECT 'listed=' || sum(listed::INT) || ' unchanged=' || sum((listed AND same)::INT) || ' fetched=' || sum((listed AND NOT same AND NOT broken)::INT) || ' failed=' || sum((listed AND NOT same AND broken)::INT) || ' gone=' || sum((cached AND NOT listed)::INT), NULL, 'counts' FROM q""")
+def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second sync of pages: of the cache's (texts: URLs) some are outdated, some gone, new ones come, some can't be fetched."""
+    u, h = F.left(F.md5("url"), F.lit(1)), F.left(F.md5(F.coalesce("html", F.lit(""))), F.lit(1))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), "url", "html", (~u.isin("0", "1")).alias("cached"), u.isin("2", "3", "4").alias("old"), (~h.isin("0", "1")).alias("listed"), (h == "2").alias("broken"))
+    none = F.lit(None).cast("string")
+    doc = {f.split()[0]: none for f in DOC.split(", ")} | {"meta": F.create_map().cast("map<string,string>"), "doc_id": F.col("doc_id")}
+    held = pages.where("cached").select(*(c.alias(n) for n, c in (doc | {"text": F.col("url"), "meta": F.create_map(F.lit("etag"), F.when(F.col("old"), "old").otherwise("new"))}).items()))
+    listing = pages.where("listed").select("doc_id", F.lit("new").alias("etag"), none.alias("title"), "url", F.lit("v2").alias("version"), F.lit("").alias("item"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        rows = wanted.select("doc_id").join(pages, "doc_id")
+        return rows.select(*(c.alias(n) for n, c in (doc | {"text": F.coalesce("html", F.lit("")), "version": F.lit("fetched")}).items()), F.when(F.col("broken"), "no answer").alias("error"))
+
+    out = sync.reconcile(listing, held, fetch)
+    what = F.when(F.col("version") == "fetched", "fetched").when(F.col("version") == "v2", "unchanged").otherwise("failed")
+    counts = spark.createDataFrame([(" ".join(f"{k}={v}" for k, v in out.counts.items()), None, "counts")], "doc_id string, text_md5 string, what string")
+    return out.docs.select("doc_id", F.md5("text").alias("text_md5"), what.alias("what")).unionByName(counts)
+
+
+_LIVE = f"""live AS (SELECT * FROM documents WHERE left(md5(doc_id::VARCHAR), 1) <> '0'), {POSTINGS_SQL.replace('FROM documents', 'FROM live')}, {_TERMS}, {bm25_sql('best', 'true', 10)}"""
+
+
+@query(f"WITH {_LIVE} SELECT 'hit' AS what, query_id, key, score, rank FROM best UNION ALL SELECT 'n', NULL, count(*), NULL, NULL FROM lengths UNION ALL SELECT 'dl', NULL, sum(dl)::BIGINT, NULL, NULL FROM lengths")
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking over an index whose documents came in five updates: some with another text first, some taken out at the end."""
+    store = segments.SegmentStore(spark, workspace(spark, "segments"))
+    chunks = doc_chunks(spark, sf_dir).withColumn("h", F.left(F.md5(F.col("doc_id").cast("string")), F.lit(1)))
+    store.update(chunks.withColumn("text", F.when(F.col("h").isin("1", "2"), F.concat(F.lit("outdated words "), "text")).otherwise(F.col("text"))).drop("h"))
+    for digit in ("1", "2"):
+        store.update(chunks.where(F.col("h") == digit).drop("h"))
+    store.update(chunks.where(F.col("h") == "3").drop("h"))  # as it was
+    store.update(chunks.where("false").drop("h"), chunks.where("h = '0'").select("doc_id"))
+    now = store.open()
+    hits = ranking.bm25(now.postings, now.lengths, ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), None, 10, now.totals)
+    sums = spark.createDataFrame([("n", now.manifest["n"]), ("dl", now.manifest["dl"])], "what string, key long")
+    return hits.select(F.lit("hit").alias("what"), "query_id", "key", "score", "rank").unionByName(sums, allowMissingColumns=True)

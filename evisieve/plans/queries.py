@@ -18,7 +18,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..operators import chunking, gate, index, packing, planning, ranking, scanning
 from ..operators.tables import kept
-from ..sources import cache, tables
+from ..sources import cache, egress, tables
 from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -560,14 +560,6 @@ def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", file_path().alias("path")).where(pa_.is_sensitive(F.col("path")))
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {_path_sql()} AS path, p_retailprice AS size FROM part), q AS (SELECT *, lower(string_split(path, '.')[-1]) AS ext, lower(string_split(path, '/')[-1]) AS base FROM p)
-  SELECT CASE WHEN ext NOT IN ({_listed([*pa_.CODE, *pa_.DOCS, *pa_.CONFIG])}) AND base NOT IN ({_listed(pa_.SPECIAL_NAMES)}) THEN 'unknown_type' WHEN size > 1500 THEN 'too_large' ELSE 'read' END AS reason, count(*) AS n FROM q GROUP BY 1""")
-def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, _ = pa_.kind_and_lang(F.col("path"))
-    reason = F.when(kind == "other", "unknown_type").when(F.col("p_retailprice") > 1500, "too_large").otherwise("read")
-    return table(spark, sf_dir, "part").withColumn("path", file_path()).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, md5(array_to_string(string_split(text, chr(10))[1:201], chr(10))) AS first_md5 FROM documents")
 def fetch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n", -1)
@@ -576,7 +568,7 @@ def fetch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def first_of_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents")
     return docs.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
@@ -615,10 +607,13 @@ def nearest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Logs and streams.
 
 
-@query("SELECT event_type AS host, count(*) AS requests, count(DISTINCT user_id) AS users, round(sum(value), 4) AS bytes FROM events GROUP BY event_type")
+@query("SELECT event_type AS host, count(*) AS requests, sum((status >= 400)::INT)::BIGINT AS failed, sum(bytes)::BIGINT AS bytes, sum(ms)::BIGINT AS ms, max(ms) AS slowest, min(ts) AS first, max(ts) AS last FROM (SELECT event_type, ts, floor(value * 10)::BIGINT AS bytes, floor(value)::BIGINT % 977 AS ms, CASE WHEN user_id % 7 = 0 THEN 503 ELSE 200 END AS status FROM events) GROUP BY event_type")
 def egress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters by host of an audit log, for which events stand in."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("host")).agg(F.count("*").alias("requests"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("bytes"))
+    """A log of requests, for which events stand in, summed in two parts that are merged."""
+    value = F.col("value")
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("host"), "ts", F.floor(value * 10).alias("bytes"), (F.floor(value) % 977).alias("ms"), F.when(F.col("user_id") % 7 == 0, 503).otherwise(200).alias("status"), "user_id")
+    halves = [egress.summarised(log.where(part)) for part in (F.col("user_id") % 2 == 0, F.col("user_id") % 2 != 0)]
+    return egress.merged(halves[0].unionByName(halves[1]))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

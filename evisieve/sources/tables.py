@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_to_text_udf
 from ..functions.paths import SKIPPED_DIRS, is_binary, is_included, is_sensitive, kind_and_lang, strict_text
+from ..operators.tables import kept
 
 FILE_BYTES = 400_000
 
@@ -54,32 +56,67 @@ def conversation_docs(turns: DataFrame) -> DataFrame:
     return as_docs(joined, F.lit("chat"), F.col("conv_id").cast("string"), text, "ticket")
 
 
-def listed(spark: SparkSession, root: str) -> Iterator[tuple[str, str, int, int]]:
-    """Path below the root, URI, bytes and modification time (ms) of all files; links and SKIPPED_DIRS aren't entered.
+#: Entries that a task lists before it gives the folders that are left to others; the first task starts all others.
+FIRST_ENTRIES, TASK_ENTRIES = 2_000, 20_000
+ENTRY = "path string, uri string, length long, modified long, folder boolean"
 
-    Names with a leading dot are files like all others, which Spark's own listing would leave out.
-    """
+
+def entries(root: str, folder: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Rows of ENTRY right in a folder of the tree at `root` (a path or a URI); links are left out."""
+    prefix = f"{folder}/" if folder else ""
     scheme, _, rest = root.partition(":")
     if not rest or scheme == "file":
         top = Path("/" + (rest or root).lstrip("/")) if rest or root.startswith("/") else Path(root).resolve()
-        if not top.is_dir():
-            raise FileNotFoundError(f"no folder {top}")
-        for folder, inside, names in os.walk(top):
-            inside[:] = sorted(d for d in inside if d.lower() not in SKIPPED_DIRS and not os.path.islink(os.path.join(folder, d)))
-            for name in sorted(names):
-                path = Path(folder, name)
-                if path.is_file() and not path.is_symlink():
-                    stat = path.stat()
-                    yield path.relative_to(top).as_posix(), path.as_uri(), stat.st_size, stat.st_mtime_ns // 1_000_000
+        with os.scandir(top / folder) as found:
+            for own in found:
+                if own.is_symlink() or not (own.is_dir() or own.is_file()):
+                    continue
+                stat = own.stat()
+                yield prefix + own.name, Path(own.path).as_uri(), stat.st_size, stat.st_mtime_ns // 1_000_000, own.is_dir()
         return
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True)
-    while files.hasNext():
-        own = files.next()
-        uri = own.getPath().toString()
-        path = uri.split(root.rstrip("/") + "/", 1)[-1]
-        if not {d.lower() for d in path.split("/")[:-1]} & set(SKIPPED_DIRS):
-            yield path, uri, own.getLen(), own.getModificationTime()
+    system, top = pa_fs.FileSystem.from_uri(root)
+    for own in system.get_file_info(pa_fs.FileSelector(f"{top.rstrip('/')}/{folder}".rstrip("/"))):
+        if own.type in (pa_fs.FileType.File, pa_fs.FileType.Directory):
+            yield prefix + own.base_name, f"{root.rstrip('/')}/{quote(prefix + own.base_name)}", own.size or 0, (own.mtime_ns or 0) // 1_000_000, own.type == pa_fs.FileType.Directory
+
+
+def listed(spark: SparkSession, root: str, first: int = FIRST_ENTRIES, most: int = TASK_ENTRIES) -> DataFrame:
+    """path below the root, uri, length and modified (ms) of all files, listed by tasks; SKIPPED_DIRS aren't entered.
+
+    A task walks the folders it gets until it has met so many entries; folders that are left are dealt to more tasks in
+    the next round. Names with a leading dot are files like all others, which Spark's own listing would leave out.
+    """
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+    names = [f.split()[0] for f in ENTRY.split(", ")]
+    if "://" not in root and root.partition(":")[0] != "file" and not Path(root).is_dir():
+        raise FileNotFoundError(f"no folder {root}")
+
+    def walk(limit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met = 0
+            for batch in batches:
+                left, rows = list(reversed(batch.column("path").to_pylist())), []
+                while left and met < limit:
+                    for entry in entries(root, left.pop()):
+                        met += 1
+                        if not entry[4]:
+                            rows.append(entry)
+                        elif entry[0].rsplit("/", 1)[-1].lower() not in SKIPPED_DIRS:
+                            left.append(entry[0])
+                rows += [(folder, None, 0, 0, True) for folder in left]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        return run
+
+    folders, files, limit = spark.createDataFrame([("",)], "path string"), [], first
+    while True:
+        found = kept(folders.mapInArrow(walk(limit), ENTRY), "listing")
+        files.append(found.where("not folder").drop("folder"))
+        n = found.where("folder").count()
+        if not n:
+            return reduce(DataFrame.unionByName, files)
+        folders, limit = found.where("folder").select("path").repartition(n if n < 1024 else 1024), most
 
 
 def with_content(files: DataFrame) -> DataFrame:
@@ -109,10 +146,9 @@ def file_docs(spark: SparkSession, root: str, source_id: str, include: tuple[str
     anything else, so that nothing is said about files that aren't included), too_large, binary, unknown_type,
     bad_encoding.
     """
-    rows = list(listed(spark, root))  # a driver's listing, as of every file source
-    files = spark.createDataFrame(rows, "path string, uri string, length long, modified long")
-    if len(rows) > 64:
-        files = files.repartition(min(len(rows) // 32, 1024))
+    files = listed(spark, root)
+    if (n := files.count()) > 64:
+        files = files.repartition(min(n // 32, 4096))
     kind, lang = kind_and_lang(F.col("path"))
     files = files.select("*", kind.alias("kind"), lang.alias("lang"), (is_sensitive(F.col("path"), extra_deny) if deny else F.lit(False)).alias("sensitive"))
     files = files.where(F.col("sensitive") | is_included(F.col("path"), include, exclude))
