@@ -10,8 +10,8 @@ pass a chunk's middle the two chunks become one, up to the whole text. The vocab
 with steps that don't work piece by piece are refused.
 
 Most chunks are met once, so what a chunk shares with others are its pieces: their ids are kept as well, in a memo
-of CACHED_PIECES. In ASCII text, full stops and commas after a letter or digit count as pieces of their own and letters
-as lower case, as the file's normaliser has it, which leaves fewer distinct pieces. Results are tested against
+of CACHED_PIECES. In ASCII text, full stops and commas after a letter or digit count as pieces of their own and, if the
+file lower-cases, letters as lower case, which leaves fewer distinct pieces. Results are tested against
 whole-text encoding by the library.
 
 Defined results: null and empty texts have no token; any length is encoded whole; repeated rows repeat.
@@ -39,8 +39,12 @@ WINDOW = 16
 REACH = 2
 CACHED_BYTES, CACHED_PIECES = 48 << 20, 350_000
 _STOP = re.compile(rb"(?<=[A-Za-z0-9])[.,](?=[ \n])")
-#: Steps of a vocabulary file that look at one piece between white space at a time.
-NORMALISERS, SPLITTERS = {"NFC", "Replace", "Lowercase", "Sequence"}, {"Split", "ByteLevel", "Sequence"}
+#: Steps of a vocabulary file that look at one piece between white space at a time.
+NORMALISERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _GEAR = random_words(5, 256)
 
 
@@ -75,18 +79,27 @@ def _aligned(data: np.ndarray, at: int) -> int:
     return at
 
 
-def check_file(path: str) -> None:
-    """Raises ValueError unless tokens depend on the text near them alone and decoding joins tokens by one space."""
+def check_file(path: str) -> tuple[bool, list[bytes]]:
+    """Whether the file lower-cases, and its added tokens.
+
+    Raises ValueError unless pieces between white space have the same tokens alone as in a text, full stops and commas
+    are tokens of their own, and decoding joins tokens by one space: that needs the steps that are named here.
+    """
     with open(path, encoding="utf-8") as f:
         own = json.load(f)
-
-    def kinds(step: dict | None) -> set[str]:
-        return set() if step is None else {step["type"]}.union(*map(kinds, step.get("normalizers", []) + step.get("pretokenizers", [])))
-
-    if own["model"]["type"] != "BPE" or own["model"].get("dropout") or own["decoder"] is not None:
-        raise ValueError("only BPE without dropout and without a decoder step can be put together from chunks")
-    if not kinds(own["normalizer"]) <= NORMALISERS or not kinds(own["pre_tokenizer"]) <= SPLITTERS:
-        raise ValueError("the file has a normaliser or splitter that isn't known to work piece by piece")
+    model, split = own["model"], own["pre_tokenizer"]
+    steps = own["normalizer"]
+    steps = [] if steps is None else steps["normalizers"] if steps["type"] == "Sequence" else [steps]
+    if model["type"] != "BPE" or own["decoder"] is not None or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback")):
+        raise ValueError("only BPE without dropout, unknown tokens, prefixes and a decoder step can be put together from chunks")
+    if not all(s in NORMALISERS for s in steps):
+        raise ValueError("the file has a normaliser that isn't known to work piece by piece")
+    if split is None or split["type"] != "Sequence" or split["pretokenizers"] != SPLITTERS:
+        raise ValueError("the file has other splitting steps than those that leave white space out and punctuation alone")
+    added = [t["content"] for t in own.get("added_tokens") or []]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in own.get("added_tokens") or []) or any(t.split() != [t] for t in added):
+        raise ValueError("the file has added tokens that look at what is around them")
+    return {"type": "Lowercase"} in steps, [t.encode() for t in added]
 
 
 class Encoder:
@@ -99,7 +112,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        check_file(path)
+        self.lowers, self.added = check_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -110,11 +123,10 @@ class Encoder:
         self.decimal = [b"%d" % i for i in range(size)]
         self.token = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
-    @staticmethod
-    def pieces(text: bytes) -> list[bytes]:
+    def pieces(self, text: bytes) -> list[bytes]:
         """Pieces between white space of a text with the same tokens and fewer distinct pieces."""
-        if text.isascii() and b"<|" not in text:  # added tokens keep their case
-            text = _STOP.sub(rb" \g<0>", text.lower())
+        if text.isascii() and not any(t in text for t in self.added):  # added tokens keep their case
+            text = _STOP.sub(rb" \g<0>", text.lower() if self.lowers else text)
         return text.split()
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:

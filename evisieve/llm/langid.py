@@ -1,13 +1,15 @@
 """Language identification with bit-sliced Bloom filters over n-grams.
 
 Each slot of the table holds one bit per language, so three look-ups and two ANDs return the set of all
-languages that hold an n-gram. A text's count for a language, less the hits that the filter's load makes by
-chance, over its n-grams is that language's share; the largest share decides.
+languages that hold an n-gram. A text's count for a language, less the hits that come by chance, over its n-grams
+is that language's share; the largest share decides. A hit comes by chance if an n-gram shares its GRAM_BITS bits with
+one of the filter's, or if the filter's load has all its slots set.
 
 Training reads a bounded sample: for each language at most BUCKETS * PER_BUCKET documents, those with the
 lowest hash of their id in each hash bucket. An n-gram enters the filter of every language in which it is at
-least SHARE times as frequent as where it is most frequent. N-grams are hashed to GRAM_BITS bits, which
-bounds what reaches the driver.
+least SHARE times as frequent as where it is most frequent. N-grams are hashed to GRAM_BITS bits, and each reaches the
+driver once, with the bits of its languages, which bounds what it gets. MOST_LANGUAGES are learned, those with the most
+sampled documents.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without a language, or of
 one that has no sampled document, don't train; ties go to the language first in order of its sampled
@@ -19,7 +21,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ BUCKETS, PER_BUCKET = 32, 16
 LENGTHS = (3, 5)
 GRAM_BITS, SLOT_BITS, HASHES = 22, 21, 3
 SHARE, LEAST = 0.3, 3
+#: A language more costs a bit in each of 2**SLOT_BITS slots: 64 MB in all.
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[:128] = True
@@ -70,20 +73,32 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """The table, its languages (bit i belongs to languages[i]) and each filter's chance of a false hit."""
+    """The table (a row per word of languages, a column per slot), its languages and each filter's chance of a false hit.
+
+    Bit i % bits of word i // bits belongs to languages[i].
+    """
 
     languages: list[str]
     table: np.ndarray
     false_hits: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return self.table.dtype.itemsize * 8
+
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram, the bit set of the languages whose filter holds it."""
-        slots = np.uint64(len(self.table) - 1)
-        out = self.table[(hashes & slots).astype(np.int64)]
+        """Word x n-gram: the bit set of the languages whose filter holds it."""
+        slots = np.uint64(self.table.shape[1] - 1)
+        out = self.table[:, (hashes & slots).astype(np.int64)]
         for i in range(1, HASHES):
-            out = out & self.table[((hashes >> np.uint64(SLOT_BITS * i)) & slots).astype(np.int64)]
+            out = out & self.table[:, ((hashes >> np.uint64(SLOT_BITS * i)) & slots).astype(np.int64)]
         return out
 
+    def holds(self, masks: np.ndarray, language: int) -> np.ndarray:
+        """0 or 1 for each n-gram."""
+        own = masks[language // self.bits]
+        return (own >> own.dtype.type(language % self.bits)) & own.dtype.type(1)
+
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Row x language: the share of n-grams that the language holds, corrected for false hits, 0 to 1."""
         hashes, rows = grams(texts)
@@ -91,7 +106,7 @@ class Filters:
         total = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
         out = np.zeros((len(texts), len(self.languages)))
         for i, wrong in enumerate(self.false_hits):
-            hit = np.bincount(rows, weights=((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).astype(np.float64), minlength=len(texts)) / total
+            hit = np.bincount(rows, weights=self.holds(masks, i).astype(np.float64), minlength=len(texts)) / total
             out[:, i] = np.clip((hit - wrong) / (1 - wrong), 0, 1)
         return out
 
@@ -108,20 +123,19 @@ def reduced(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes >> np.uint64(64 - GRAM_BITS))
 
 
-def build_filters(languages: list[str], counts: pd.DataFrame) -> Filters:
-    """counts: lang and gram (the GRAM_BITS bits) of what enters the filters."""
-    if len(languages) > 64:
-        raise ValueError("a slot holds 64 languages at most")
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << SLOT_BITS, dtype=kind)
-    wrong = np.zeros(len(languages))
-    if len(counts):
-        for i, language in enumerate(languages):
-            hashes = mix(counts.loc[counts["lang"] == language, "gram"].to_numpy(np.uint64))
-            for k in range(HASHES):
-                table[((hashes >> np.uint64(SLOT_BITS * k)) & np.uint64(len(table) - 1)).astype(np.int64)] |= kind(1 << i)
-            wrong[i] = np.mean((table >> kind(i)) & kind(1)) ** HASHES
-    return Filters(languages, table, wrong)
+def build_filters(languages: list[str], codes: np.ndarray, members: np.ndarray) -> Filters:
+    """codes: the GRAM_BITS bits of what enters the filters, each once; members: word x code, the bits of its languages."""
+    table = np.zeros((max(1, len(members)), 1 << SLOT_BITS), dtype=members.dtype)
+    hashes = mix(codes.astype(np.uint64))
+    for k in range(HASHES):
+        slots = ((hashes >> np.uint64(SLOT_BITS * k)) & np.uint64(table.shape[1] - 1)).astype(np.int64)
+        for word, own in zip(table, members):
+            np.bitwise_or.at(word, slots, own)
+    out = Filters(languages, table, np.zeros(len(languages)))
+    for i in range(len(languages)):
+        load, share = out.holds(table, i).mean(), float(out.holds(members, i).sum()) / 2**GRAM_BITS
+        out.false_hits[i] = 1 - (1 - load**HASHES) * (1 - share)
+    return out
 
 
 def train(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
@@ -130,7 +144,7 @@ def train(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     rows = docs.where(learns & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), h.alias("h"))
     order = Window.partitionBy("lang", "bucket").orderBy("h", "id")
     sample = rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))).withColumn("rank", F.row_number().over(order)).where(f"rank <= {PER_BUCKET}").select("id", "lang")
-    # At most 64 languages * BUCKETS * PER_BUCKET ids, so the join's small side is bounded.
+    # At most BUCKETS * PER_BUCKET ids a language, so the join's small side is bounded.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.distinct()), "id").select("lang", "text")
 
     def count(batches):
@@ -147,11 +161,25 @@ def train(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     counted = texts.mapInArrow(count, "lang string, gram bigint, n bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counted = stored(counted, "grams")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
-    by = {r["lang"]: r["docs"] for r in totals.orderBy(F.col("docs").desc(), "lang").limit(65).collect()}
-    rated = counted.select("lang", "gram", "n").join(F.broadcast(totals.select("lang", "total")), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row a language
+    languages = [r["lang"] for r in totals.orderBy(F.col("docs").desc(), "lang").limit(MOST_LANGUAGES).collect()]
+    if not languages:
+        return build_filters([], np.zeros(0, np.uint64), np.zeros((1, 0), np.uint8))
+    number = spark_rows(docs, [(x, i) for i, x in enumerate(languages)], "lang string, i int")
+    own = totals.select("lang", "total").join(F.broadcast(number), "lang")  # MOST_LANGUAGES rows
+    rated = counted.select("lang", "gram", "n").join(F.broadcast(own), "lang").withColumn("rate", F.col("n") / F.col("total"))
     most = F.max("rate").over(Window.partitionBy("gram"))  # as many rows as there are languages
-    found = rated.withColumn("most", most).where((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= LEAST)).select("lang", "gram")
-    return build_filters(list(by), found.toPandas())  # at most 2**GRAM_BITS a language
+    found = rated.withColumn("most", most).where((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= LEAST))
+    bits = 8 if len(languages) <= 8 else 64
+    words = range(-(-len(languages) // bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") % bits)
+    members = [F.coalesce(F.bit_or(F.when(F.call_function("div", F.col("i"), F.lit(bits)) == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in words]
+    got = found.groupBy("gram").agg(*members).toArrow()  # at most 2**GRAM_BITS rows
+    kind = np.uint8 if bits == 8 else np.uint64
+    return build_filters(languages, got["gram"].to_numpy().astype(np.uint64), np.stack([got[f"w{w}"].to_numpy().astype(np.int64).view(np.uint64).astype(kind) for w in words]))
+
+
+def spark_rows(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,6 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has CELLS cells; each shard owns VNODES of them as virtual nodes. A row starts at the cell of its
+The ring has CELLS cells, or more where the shards need them; each shard owns VNODES of them as virtual nodes. A row starts at the cell of its
 text's hash, so equal texts start together, and goes to the first virtual node clockwise; where that shard is
 full it continues clockwise to the next shard with room. Capacities add up to the number of rows and differ
 by one at most, so the law is `rows`: counts at most one apart.
@@ -25,6 +25,11 @@ CELLS, VNODES = 4096, 128
 ROWS_A_SPREAD, SPREADS_MOST = 1_000_000, 256
 
 
+def cells_for(shards: int, vnodes: int = VNODES) -> int:
+    """Cells of a ring: CELLS, or for more shards than fit the next power of two with room for all virtual nodes."""
+    return max(CELLS, 1 << (shards * vnodes - 1).bit_length())
+
+
 def ring(shards: int, cells: int = CELLS, vnodes: int = VNODES) -> dict[int, int]:
     """Cell -> shard for all virtual nodes; a shard's cells don't depend on later shards."""
     from hashlib import sha256
@@ -68,18 +73,21 @@ def walk(counts: dict[tuple[int, int], int], shards: int, cells: int = CELLS, vn
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size (UTF-8 bytes plus 1), text_crc32, shard and slot of each row."""
-    spark = docs.sparkSession
+def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
+    """id, size (UTF-8 bytes plus 1), text_crc32, shard and slot of each row.
+
+    cells: of the ring; a number to keep where shards will be added, as few rows move only on the same ring.
+    """
+    spark, cells = docs.sparkSession, cells or cells_for(shards)
     shared_dir(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(CELLS)).cast("int").alias("cell"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(cells)).cast("int").alias("cell"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
     base = stored(base, "shards")  # five numbers a row
     rows = base.count()
     spreads = min(SPREADS_MOST, max(16, rows // ROWS_A_SPREAD))
     base = base.select("id", "size", "text_crc32", "cell", F.pmod("h", F.lit(spreads)).cast("int").alias("spread"))
-    counts = {(r[0], r[1]): r[2] for r in base.groupBy("cell", "spread").count().collect()}  # CELLS * spreads at most
-    plan = spark.createDataFrame(walk(counts, shards), "cell int, spread int, lo int, hi int, shard int, slot0 long")
+    counts = {(r[0], r[1]): r[2] for r in base.groupBy("cell", "spread").count().collect()}  # cells * spreads at most
+    plan = spark.createDataFrame(walk(counts, shards, cells), "cell int, spread int, lo int, hi int, shard int, slot0 long")
     ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("cell", "spread").orderBy("id", "text_crc32", "size")) - 1)
     placed = ranked.join(F.broadcast(plan), ["cell", "spread"]).where("rank >= lo and rank < hi")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("shard"), (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))

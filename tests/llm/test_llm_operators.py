@@ -210,14 +210,34 @@ def test_language_does_not_depend_on_neighbours():
     assert Counter(hashes[rows == 3].tolist()) == Counter(alone.tolist())
 
 
-def test_bloom_filters_hold_what_was_added():
-    import pandas as pd
-
-    filters = langid.build_filters(["x", "y"], pd.DataFrame({"lang": ["x"] * 50 + ["y"] * 50, "gram": range(100)}))
+@pytest.mark.parametrize(("languages", "kind"), [(4, "u1"), (64, "u8"), (130, "u8")])
+def test_bloom_filters_hold_what_was_added_and_state_their_false_hits(languages, kind):
     import numpy as np
 
-    masks = filters.masks(common.mix(np.arange(100, dtype=np.uint64)))
-    assert all(masks[:50] & 1) and all(masks[50:] & 2)
+    rng = np.random.default_rng(languages)
+    codes = rng.choice(1 << langid.GRAM_BITS, 60_000, replace=False).astype(np.uint64)
+    own = rng.integers(0, languages, len(codes))
+    bits = np.dtype(kind).itemsize * 8
+    members = np.zeros((-(-languages // bits), len(codes)), dtype=kind)
+    members[own // bits, np.arange(len(codes))] = np.array(1, dtype=kind) << (own % bits).astype(kind)
+    filters = langid.build_filters([str(i) for i in range(languages)], codes, members)
+    masks = filters.masks(common.mix(codes))
+    assert all((filters.holds(masks, i)[own == i] == 1).all() for i in range(languages))
+    for i in range(0, languages, 43):  # n-grams that aren't in the filter
+        found = filters.holds(filters.masks(langid.reduced(rng.integers(0, 1 << 63, 2_000_000).astype(np.uint64) * np.uint64(2))), i).mean()
+        assert abs(found - filters.false_hits[i]) <= 0.1 * filters.false_hits[i] + 5e-5
+
+
+def test_many_languages(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabet = [rng.sample([a + b for a in letters for b in letters], 12) for _ in range(70)]
+    rows = [(i, " ".join("".join(rng.choice(alphabet[i % 70]) for _ in range(3)) for _ in range(40)), f"l{i % 70:02d}", "s", 0) for i in range(840)]
+    docs = spark.createDataFrame(rows, DOCS)
+    filters = langid.train(docs, ~langid.held_out())
+    assert len(filters.languages) == 70 and filters.table.shape == (2, 1 << langid.SLOT_BITS)
+    got = by_id(langid.identify(docs, filters), "lang_pred")
+    assert sum(got[r[0]][0] == r[2] for r in rows) / len(rows) > 0.97
 
 
 # 4. Sharding
@@ -236,6 +256,14 @@ def test_shards_are_balanced_and_slots_gapless(docs, empty, texts):
     assert sharding.shard_rows(empty, 8).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 33, 1000])
+def test_any_number_of_shards(docs, texts, shards):
+    counts = Counter(r["shard"] for r in sharding.shard_rows(docs, shards).collect())
+    assert sum(counts.values()) == len(texts) and max(counts.values()) <= -(-len(texts) // shards)
+    owner = sharding.ring(shards, sharding.cells_for(shards))
+    assert Counter(owner.values()) == dict.fromkeys(range(shards), sharding.VNODES)
+
+
 def test_walk_is_consistent_hashing_with_bounded_loads():
     rng = random.Random(5)
     counts = {(rng.randrange(64), s): rng.randrange(1, 40) for s in range(4) for _ in range(30)}
@@ -296,14 +324,41 @@ def test_bpe_joins_widen_and_merge(monkeypatch):
     assert enc.encoded and enc.held < 200_000
 
 
-def test_other_vocabularies_are_refused(tmp_path):
+def vocabulary(tmp_path, **change) -> str:
     import json
 
     own = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
-    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": {"type": "Strip"}}, {"pre_tokenizer": {"type": "Metaspace"}}):
-        (tmp_path / "v.json").write_text(json.dumps(own | change), encoding="utf-8")
-        with pytest.raises(ValueError, match="only BPE|the file has"):
-            bpe.check_file(str(tmp_path / "v.json"))
+    (tmp_path / "v.json").write_text(json.dumps({k: {**v, **change[k]} if k == "model" and k in change else change.get(k, v) for k, v in own.items()}), encoding="utf-8")
+    return str(tmp_path / "v.json")
+
+
+@pytest.mark.parametrize("steps", [None, {"type": "NFC"}, {"type": "Lowercase"}, {"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "NFC"}]}])
+def test_other_normalisers_give_what_the_library_gives(tmp_path, steps, texts):
+    enc = bpe.Encoder(vocabulary(tmp_path, normalizer=steps))
+    every = ["Hello World. Foo bar, Baz", "A.B, c. D,", "É. ABC, <|endoftext|>. X", *(t or "" for t in texts)]
+    for text, ids in zip(every, enc.texts([t.encode() for t in every])):
+        assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"decoder": {"type": "ByteLevel"}},
+        {"normalizer": {"type": "Strip"}},
+        {"normalizer": {"type": "Replace", "pattern": {"String": " "}, "content": "_"}},
+        {"pre_tokenizer": {"type": "Metaspace"}},
+        {"pre_tokenizer": None},
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{**bpe.SPLITTERS[0], "behavior": "Isolated"}, bpe.SPLITTERS[1]]}},
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [bpe.SPLITTERS[0], {**bpe.SPLITTERS[1], "add_prefix_space": True}]}},
+        {"model": {"unk_token": "<unk>"}},
+        {"model": {"dropout": 0.1}},
+        {"added_tokens": [{"id": 1, "content": "a b", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]},
+        {"added_tokens": [{"id": 1, "content": "ab", "single_word": False, "lstrip": True, "rstrip": False, "normalized": False, "special": True}]},
+    ],
+)
+def test_other_vocabularies_are_refused(tmp_path, change):
+    with pytest.raises(ValueError, match="only BPE|the file has"):
+        bpe.check_file(vocabulary(tmp_path, **change))
 
 
 def test_chunks_cover_texts_and_respect_code_points():
