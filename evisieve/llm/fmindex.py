@@ -12,8 +12,9 @@ neighbours end, and the first position of each window that occurs twice. Regions
 the interval of the LENGTH - 1 words to the right is widened from that of LENGTH, one word is added by backward search, and the
 interval of each window (its matching statistics, up to LENGTH) tells how often it occurs and where first.
 
-Anchors that a HEAVY_ANCHORS-th of all runs share or more (a passage in very many documents) would load one
-shard: their windows are counted one by one by a 128-bit hash, which spreads. Both ways see every window.
+Whole anchors fill shards of SHARD_BYTES. An anchor whose own regions are more than that (a passage in very many different
+surroundings) would overload its shard: its windows are counted one by one by a 128-bit hash, which spreads. Both ways see
+every window, so the bound is on memory alone.
 
 Defined results: null text has no words; documents ascend by doc_id, null first, and rows of one doc_id by a hash of their
 text; rows equal in both are one document seen twice and don't repeat each other; texts with fewer words than
@@ -33,8 +34,8 @@ from pyspark.sql.window import Window
 from .common import Words, give_back, mix, random_words, slices, space_words, spread_join, stored, text_bytes
 
 LENGTH, GRAM = 20, 4
-#: Runs of one anchor, as a share of all, from which its windows are counted; words that one shard's index holds.
-HEAVY_ANCHORS, SHARD_WORDS = 1024, 200_000
+#: Runs of an anchor, as a share of all, from which they meet by region; bytes of words that one shard's index holds.
+HEAVY_ANCHORS, SHARD_BYTES = 1024, 320 << 10
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _WORDS = Words(space_words(lower=False))
@@ -205,7 +206,7 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("id", "t", "text").mapInArrow(run, "id bigint, t bigint, at bigint, fp bigint, r bigint")
 
 
-REGION = "fp bigint, hot boolean, id bigint, t bigint, start int, body binary"
+REGION = "fp bigint, id bigint, t bigint, start int, body binary"
 SPAN = "id bigint, t bigint, start int, end int"
 
 
@@ -213,12 +214,12 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in schema.split(", ")])
 
 
-_REGION_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_REGION_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 _SPAN_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _regions(touched: DataFrame, length: int) -> DataFrame:
-    """The words of each run in `open` (fp, at, hot) of a document."""
+    """The words of each run in `open` (fp, at) of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +229,7 @@ def _regions(touched: DataFrame, length: int) -> DataFrame:
                     words = text.encode("utf-8", "surrogatepass").split()
                     for x in own:
                         start, more = divmod(x["at"], _PACK)
-                        out.append((x["fp"], x["hot"], id_, t, start, b" ".join(words[start : start + more + length])))
+                        out.append((x["fp"], id_, t, start, b" ".join(words[start : start + more + length])))
                 if out:
                     yield _batch(out, _REGION_KINDS, REGION)
 
@@ -236,7 +237,7 @@ def _regions(touched: DataFrame, length: int) -> DataFrame:
 
 
 def _indexed_spans(regions: DataFrame, length: int) -> DataFrame:
-    """Spans of windows that start earlier in a region of the same anchor; whole anchors fill shards of SHARD_WORDS or so."""
+    """Spans of windows that start earlier in a region of the same anchor; whole anchors fill a shard."""
 
     def solve(group: list[tuple]) -> Iterator[tuple]:
         group.sort(key=lambda g: g[1:4])
@@ -263,12 +264,12 @@ def _indexed_spans(regions: DataFrame, length: int) -> DataFrame:
         group, size = [], 0
         for batch in batches:
             for fp, id_, t, start, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= SHARD_WORDS and fp != group[-1][0]:
+                if size >= SHARD_BYTES and fp != group[-1][0]:
                     if spans := list(joined(solve(group))):
                         yield _batch(spans, _SPAN_KINDS, SPAN)
                     group, size = [], 0
                 group.append((fp, id_, t, start, body.split()))
-                size += len(group[-1][4])
+                size += len(body)
         if group and (spans := list(joined(solve(group)))):
             yield _batch(spans, _SPAN_KINDS, SPAN)
         give_back()
@@ -307,24 +308,28 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     every = stored(_runs(rows, length), "runs")
     top = every.agg(F.expr(f"approx_top_k(fp, {HEAVY_ANCHORS}, {64 * HEAVY_ANCHORS})").alias("top"), F.count("*").alias("total"))
     top = top.select("total", F.explode("top").alias("x")).where(F.col("x.count") * HEAVY_ANCHORS >= F.col("total"))
-    heavy = stored(top.select(F.col("x.item").alias("fp")), "heavy")  # HEAVY_ANCHORS keys at most
-    own = F.struct("id", "t", "at")
-    by_anchor = Window.partitionBy("fp")
-    light = every.join(F.broadcast(heavy), "fp", "left_anti").select(
-        "*", (F.min("r").over(by_anchor) != F.max("r").over(by_anchor)).alias("mixed"), (F.min(own).over(Window.partitionBy("fp", "r")) == own).alias("head")
-    )
-    hot = stored(every.join(F.broadcast(heavy), "fp", "left_semi"), "hot")
-    kinds = stored(hot.groupBy("fp", "r").agg(F.count("*").alias("c"), F.min(own).alias("least")), "kinds")
-    hot = spread_join(hot, kinds, ["fp", "r"], "c").select("id", "t", "at", "fp", F.lit(True).alias("mixed"), (F.col("least") == own).alias("head"), F.lit(True).alias("hot"))
-    flagged = light.select("id", "t", "at", "fp", "mixed", "head", F.lit(False).alias("hot")).unionByName(hot).where("mixed or not head")
+    heavy = [r[0] for r in top.select("x.item").collect()]  # HEAVY_ANCHORS numbers at most
+    own, every = F.struct("id", "t", "at"), every.withColumn("hot", F.col("fp").isin(heavy))
+    # Of these anchors, regions that are as frequent themselves: HEAVY_ANCHORS at most, with their first place.
+    pairs = every.where("hot").groupBy("fp", "r").agg(F.count("*").alias("c"), F.min(own).alias("least"))
+    pairs = stored(pairs.where(F.col("c") * HEAVY_ANCHORS >= every.count()).select("fp", "r", "least"), "pairs")
+    every = every.join(F.broadcast(pairs), ["fp", "r"], "left")
+    # Runs meet by anchor; those of a frequent anchor by region, and those of a frequent region not at all.
+    meets = F.when(F.col("least").isNotNull(), F.xxhash64("id", "t", "at")).when(F.col("hot"), F.xxhash64("fp", "r")).otherwise(F.col("fp"))
+    by_anchor, by_region = Window.partitionBy("g", "fp"), Window.partitionBy("g", "fp", "r")
+    flagged = every.withColumn("g", meets).select(
+        "id", "t", "at", "fp", (F.col("hot") | (F.min("r").over(by_anchor) != F.max("r").over(by_anchor))).alias("mixed"), (F.coalesce("least", F.min(own).over(by_region)) == own).alias("head")
+    ).where("mixed or not head")
     # Copies are repeats from end to end; heads have to be compared with what else their anchor has.
     start = F.call_function("div", F.col("at"), F.lit(_PACK))
     span = F.struct(start.cast("int").alias("start"), (start + F.col("at") % _PACK + length).cast("int").alias("end"))
-    by_doc = flagged.groupBy("id", "t").agg(F.collect_set(F.when(F.col("head"), F.struct("fp", "at", "hot"))).alias("open"), F.collect_set(F.when(~F.col("head"), span)).alias("closed"))
+    by_doc = flagged.groupBy("id", "t").agg(F.collect_set(F.when(F.col("head"), F.struct("fp", "at"))).alias("open"), F.collect_set(F.when(~F.col("head"), span)).alias("closed"))
     by_doc = stored(by_doc, "by_doc")
     touched = rows.join(by_doc.where(F.size("open") > 0).select("id", "t", "open"), ["id", "t"])
     regions = stored(_regions(touched, length), "regions")
-    spans = _indexed_spans(regions.where("not hot"), length).unionByName(_counted_spans(regions.where("hot"), length))
+    crowded = regions.groupBy("fp").agg(F.sum(F.octet_length("body")).alias("bytes")).where(F.col("bytes") > SHARD_BYTES).select("fp")
+    crowded = stored(crowded, "crowded")
+    spans = _indexed_spans(regions.join(crowded, "fp", "left_anti"), length).unionByName(_counted_spans(regions.join(crowded, "fp", "left_semi"), length))
     found = spans.unionByName(by_doc.select("id", "t", F.explode("closed").alias("x")).select("id", "t", "x.start", "x.end"))
     return stored(found.groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
 

@@ -74,10 +74,10 @@ def rows() -> list[tuple]:
     return [(i, t, "en", None, 7, "x") for i, t in zip([*ids, None], texts)] + [(-(2**63), " ".join(base[0]), None, None, None, None)]
 
 
-@pytest.mark.parametrize(("length", "heavy"), [(20, 1024), (20, 1 << 13), (5, 1024)])
-def test_removal_equals_plain_python(spark, rows, length, heavy, monkeypatch):
-    monkeypatch.setattr(fmindex, "HEAVY_ANCHORS", heavy)  # few anchors counted, or nearly all
-    monkeypatch.setattr(fmindex, "SHARD_WORDS", 3000)
+@pytest.mark.parametrize(("length", "heavy", "shard"), [(20, 1024, 20_000), (20, 1 << 13, 200), (5, 1024, 20_000)])
+def test_removal_equals_plain_python(spark, rows, length, heavy, shard, monkeypatch):
+    monkeypatch.setattr(fmindex, "HEAVY_ANCHORS", heavy)  # few anchors meet by region, or nearly all
+    monkeypatch.setattr(fmindex, "SHARD_BYTES", shard)  # few anchors counted, or nearly all
     got = fmindex.remove_earlier(spark.createDataFrame(rows, DOCS).repartition(5), length).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute(rows, length)
     assert all(r.n_removed == sum(s.end - s.start for s in r.spans) for r in got)
