@@ -18,7 +18,7 @@ from . import config as cfg
 from .functions.jsonschema import extract_json
 from .functions.redact import mask_keys, redact
 from .functions.text import py_token_estimate
-from .operators import chunking, embedding, gate, index, packing, planning, presets, ranking, report, scanning, segments
+from .operators import chunking, embedding, gate, hybrid, index, packing, planning, presets, ranking, report, scanning, segments
 from .operators.files import Folder
 from .operators.tables import kept
 from .sources import cache, clone, egress, remote, services, sync, tables
@@ -196,21 +196,23 @@ class Engine:
         chunks = now.chunks.where(F.col("source_id").isin(*self.source_ids(sources)))
         if kinds:
             chunks = chunks.where(F.col("kind").isin(*kinds))
-        names = {str(i): q for i, q in enumerate(queries)}
-        terms = ranking.term_frame(self.spark, names, r["glossary_bridge"])
-        lists = ranking.bm25(now.postings, now.lengths, terms, chunks.select("key"), r["hybrid"]["per_query_top"], now.totals)
-        one = F.lit("all").alias("query_id")
-        lists = lists.select(one, F.col("query_id").alias("list_no"), F.lit("bm25").alias("kind"), "key", "score")
-        asked = self._query_vectors(names) if now.vectors is not None else []
-        if asked:
-            frame = self.spark.createDataFrame(asked, "query_id string, embedding array<float>")
-            near = ranking.vector_search(now.vectors.join(chunks.select("key"), "key"), frame, r["hybrid"]["per_query_top"])
-            lists = lists.unionByName(near.select(one, F.concat(F.lit("v"), "query_id").alias("list_no"), F.lit("vector").alias("kind"), "key", "score"))
-        fused = ranking.fuse(lists, self.spark.createDataFrame([("all", len(queries) + len(asked))], "query_id string, n int"))
-        every = terms.select(one, "term").distinct()
-        scored = ranking.boosted(fused, chunks, every, kind_priors, source_priority)
-        picked = ranking.diversified(scored, chunks, k or r["hybrid"]["final"], r["hybrid"]["mmr_lambda"], now.vectors)
-        return [row.asDict(True) for row in picked.join(chunks, "key").orderBy("rank").collect()]  # k rows
+        needs = self.spark.createDataFrame([("all", str(i), q) for i, q in enumerate(queries)], "need_id string, list_no string, text string")
+        found = self._found(now, needs, chunks, self._query_vectors({str(i): q for i, q in enumerate(queries)}) if now.vectors is not None else [], k, kind_priors, source_priority)
+        return [row.asDict(True) for row in found.drop("need_id").join(chunks, "key").orderBy("rank").collect()]  # k rows
+
+    def _found(self, now: Any, needs: DataFrame, chunks: DataFrame, vectors: list[tuple[str, list[float]]], k: int | None, kind_priors: dict[str, float] | None, source_priority: dict[str, float] | None) -> DataFrame:
+        r = self.config["retrieval"]
+        asked = self.spark.createDataFrame([("all", i, v) for i, v in vectors], "need_id string, list_no string, embedding array<float>") if vectors else None
+        return hybrid.hybrid(now, needs, k or r["hybrid"]["final"], r["hybrid"]["per_query_top"], r["hybrid"]["mmr_lambda"], r["glossary_bridge"], chunks, asked, kind_priors, source_priority)
+
+    def search_all(self, needs: DataFrame, k: int | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """The best chunks for each of many needs (need_id, list_no, text), as rows of need_id, rank, score and the chunk's columns.
+
+        vectors: need_id, list_no and embedding of queries, if the index has vectors.
+        """
+        now, r = self.snapshot(), self.config["retrieval"]
+        found = hybrid.hybrid(now, needs, k or r["hybrid"]["final"], r["hybrid"]["per_query_top"], r["hybrid"]["mmr_lambda"], r["glossary_bridge"], None, vectors)
+        return found.join(now.chunks, "key")
 
     def _query_vectors(self, queries: dict[str, str]) -> list[tuple[str, list[float]]]:
         """Vectors of query texts. Without consent, or if the service fails, words alone decide, and that is said once."""

@@ -1,9 +1,16 @@
-"""Query-side bridge between Japanese and English terms."""
+"""Query-side bridge between Japanese and English terms: for one query in Python, for a frame of queries as joins.
+
+The joins match all patterns at once: a query's word heads and pairs of characters are looked up among those that
+patterns begin with, and what is found is compared in full. The glossary is a fixed table of some hundred rows.
+"""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: Terms and the words they are linked with.
 PAIRS: dict[str, tuple[str, ...]] = {
     "認証": ("auth", "authentication", "login", "signin", "credential"),
@@ -140,3 +147,42 @@ def weighted_terms(query: str, bridge: bool = True) -> dict[str, float]:
 
     own = query_terms(query)
     return own | {t: w for t, w in bridge_terms(query).items() if t not in own} if bridge else own
+
+
+#: Characters by which patterns are looked up: ASCII ones at word heads, others anywhere.
+_HEAD, _PAIR = SHORTEST, 2
+
+
+def _pairs_of(text: Column) -> Column:
+    """All pairs of neighbouring characters of which one at least isn't ASCII, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=([^\x00-\x7F].|.[^\x00-\x7F]))"), F.lit(1)))
+
+
+def bridged(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """query_id, term, weight: bridge_terms() of each row, each term with the weight of its last kind.
+
+    A null text has no terms.
+    """
+    spark = queries.sparkSession
+    text, low = F.coalesce(F.col(text_col), F.lit("")), F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = queries.select(F.col(id_col).alias("query_id"), text.alias("text"), low.alias("low"), F.array_distinct(F.regexp_extract_all(low, F.lit("[0-9A-Za-z_]+"), F.lit(0))).alias("words"))
+    links = [(term, word, term.isascii(), word.isascii()) for term, linked in PAIRS.items() for word in linked]
+    glossary = F.broadcast(spark.createDataFrame(links, "term string, word string, term_ascii boolean, word_ascii boolean"))  # PAIRS alone
+    by_word = rows.select("query_id", F.explode("words").alias("own"))
+    by_pair = rows.select("query_id", "text", "low", F.explode(_pairs_of(F.col("text"))).alias("pair"))
+    low_pair = rows.select("query_id", "low", F.explode(_pairs_of(F.col("low"))).alias("pair"))
+    # Terms that a query holds, and their words.
+    there = by_word.join(glossary.where("term_ascii"), F.col("own") == F.col("term")).select("query_id", "term", "word").unionByName(
+        by_pair.join(glossary.where("not term_ascii"), F.left("term", F.lit(_PAIR)) == F.col("pair")).where(F.contains("text", F.col("term"))).select("query_id", "term", "word")
+    )
+    # Terms whose words begin at either end of an ASCII word: ASCII ones at its head, others right behind it.
+    long = glossary.where(F.length("word") >= SHORTEST)
+    back = by_word.join(long.where("word_ascii"), F.left("word", F.lit(_HEAD)) == F.left("own", F.lit(_HEAD))).where(F.startswith("own", F.col("word"))).select("query_id", "term").unionByName(
+        low_pair.join(long.where("not word_ascii"), F.left("word", F.lit(_PAIR)) == F.col("pair")).where(F.rlike("low", F.concat(F.lit("[0-9a-z_]"), F.col("word")))).select("query_id", "term")
+    )
+    back = back.distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr(F.col("term"), i, F.lit(_PAIR)))
+    kinds = back.select("query_id", "term", F.lit(0).alias("kind"), F.lit(BACK).alias("weight"))
+    kinds = kinds.unionByName(there.select("query_id", F.col("word").alias("term"), F.lit(1).alias("kind"), F.lit(LINKED).alias("weight")))
+    kinds = kinds.unionByName(back.where(F.length("term") > 1).select("query_id", F.explode(grams).alias("term"), F.lit(2).alias("kind"), F.lit(GRAM).alias("weight")))
+    return kinds.groupBy("query_id", "term").agg(F.max_by("weight", "kind").alias("weight"))

@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
-from ..functions.glossary import weighted_terms
+from ..functions.glossary import bridged, weighted_terms
 
 K1, B = 1.2, 0.75
 COMMON_SHARE, SHORT = 0.6, 2
@@ -39,10 +39,14 @@ def term_frame(spark: SparkSession, queries: dict[str, str], bridge: bool = True
     return small(spark.createDataFrame(rows, "query_id string, term string, weight double"), len(rows))
 
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same for a frame of queries, without the glossary and without Python."""
+def query_terms(queries: DataFrame, id_col: str, text_col: str, bridge: bool = False) -> DataFrame:
+    """The same for a frame of queries, without Python; `bridge` adds the glossary's terms that a query doesn't hold itself."""
     term = F.explode(tx.tokens(F.col(text_col), stop_words=True)).alias("term")
-    return queries.select(F.col(id_col).alias("query_id"), term).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    own = queries.select(F.col(id_col).alias("query_id"), term).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
+    if not bridge:
+        return own
+    both = own.withColumn("own", F.lit(1)).unionByName(bridged(queries, id_col, text_col).withColumn("own", F.lit(0)))
+    return both.groupBy("query_id", "term").agg(F.max_by("weight", "own").alias("weight"))
 
 
 def ranked(scores: DataFrame, top: int, per: str = "query_id") -> DataFrame:
@@ -102,28 +106,26 @@ def _best(scores: np.ndarray, tie: np.ndarray, top: int) -> np.ndarray:
 
 
 def _search_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    spark = vectors.sparkSession
-    rows = queries.collect()  # about QUERY_BLOCK rows
-    ids = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(ids), -1)
-    shared = spark.sparkContext.broadcast((ids, matrix))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    key = vectors.schema["key"].dataType.simpleString()
-    types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema["key"].dataType)]
+    asked = queries.select("query_id", "embedding").where("embedding is not null").toArrow()  # about QUERY_BLOCK rows
+    ids, own = asked.column(0).combine_chunks(), asked.column(1).combine_chunks()
+    dims = len(own[0]) if len(own) else 0
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dims)))
+    kind, key = queries.schema["query_id"].dataType.simpleString(), vectors.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            own = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == matrix.shape[1]]
-            if not len(ids) or not own:
+            fits = np.flatnonzero(pc.fill_null(pc.list_value_length(batch.column(1)), -1).to_numpy(zero_copy_only=False) == matrix.shape[1])
+            if not len(ids) or not len(fits):
                 continue
-            keys = keys[own]
-            block = np.array(batch.column(1).take(pa.array(own)).to_pylist(), dtype=np.float64)
+            keys, rows = batch.column(0).take(pa.array(fits)), batch.column(1).take(pa.array(fits))
+            block = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
             scores = np.round(matrix @ block.T, DIGITS)
-            tie = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
+            tie = np.empty(len(fits), dtype=np.int64)
+            tie[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(fits))
             best = [_best(row, tie, top) for row in scores]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, b in zip(ids, best) for _ in b], types[0]), pa.array([k for b in best for k in keys[b]], types[1]), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
+            which = pa.array(np.repeat(np.arange(len(ids)), [len(b) for b in best]))
+            yield pa.RecordBatch.from_arrays([ids.take(which), keys.take(pa.array(np.concatenate(best))), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
 
     return ranked(vectors.select("key", "embedding").mapInArrow(run, f"query_id {kind}, key {key}, score double"), top)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import glossary
 from ..functions import redact as rd
 from ..functions import text as tx
 from ..functions.html import entities_udf, html_to_text_udf, rich_text_udf
@@ -26,7 +27,7 @@ from ..operators import chunking, embedding, gate, index, packing, planning, ran
 from ..operators.tables import shared_folder
 from ..schemas import DOC
 from ..sources import cache, sync, tables
-from .queries import _TERMS, POSTINGS_SQL, bm25_sql, code_windows_sql, doc_chunks, query, table, text_sql
+from .queries import _STOPS, _TERMS, POSTINGS_SQL, bm25_sql, code_windows_sql, doc_chunks, query, table, text_sql, tokens_sql
 
 # Forms.
 
@@ -569,3 +570,25 @@ def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = ranking.bm25(now.postings, now.lengths, ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), None, 10, now.totals)
     sums = spark.createDataFrame([("n", now.manifest["n"]), ("dl", now.manifest["dl"])], "what string, key long")
     return hits.select(F.lit("hit").alias("what"), "query_id", "key", "score", "rank").unionByName(sums, allowMissingColumns=True)
+
+
+# The glossary, for frames of queries.
+
+#: What is put before a document's text: terms, words that lead back to them, and near misses.
+_ASKED = ["認証の失敗 ", "login refund ", "xlogin _log api, ", "webhookコールバック ", "Webhook API ", "ログインとログアウト", "cache.get(x) バッチ処理 ", "", "検証環境のテスト", "lo ge re ", "トークンtokenトランザクション "]
+_GLOSSARY_SQL = "g(term, word) AS (VALUES " + ", ".join(f"({text_sql(t)}, {text_sql(w)})" for t, ws in glossary.PAIRS.items() for w in ws) + ")"
+_ASKED_SQL = f"asked AS (SELECT doc_id, {value_sql([text_sql(x) for x in _ASKED], 'doc_id')} || coalesce(text, '') AS q FROM documents)"
+
+
+@query(f"""WITH {_GLOSSARY_SQL}, {_ASKED_SQL},
+  own AS (SELECT doc_id, term, count(*)::DOUBLE AS weight FROM (SELECT doc_id, unnest({tokens_sql('q')}) AS term FROM asked) WHERE term NOT IN ({_STOPS}) GROUP BY ALL),
+  there AS (SELECT doc_id, word FROM asked JOIN g ON CASE WHEN regexp_matches(term, '^[a-z]+$') THEN regexp_matches(lower(q), '(^|[^0-9a-z_])' || term || '($|[^0-9a-z_])') ELSE contains(q, term) END),
+  back AS (SELECT DISTINCT doc_id, term FROM asked JOIN g ON length(word) >= {glossary.SHORTEST} AND regexp_matches(lower(q), CASE WHEN regexp_matches(word, '^[a-z]+$') THEN '(^|[^0-9a-z_])' ELSE '[0-9a-z_]' END || word)),
+  every AS (SELECT doc_id, term, weight, 3 AS k FROM own UNION ALL SELECT doc_id, term, {glossary.BACK}, 0 FROM back UNION ALL SELECT doc_id, word, {glossary.LINKED}, 1 FROM there
+    UNION ALL SELECT doc_id, substr(term, i, 2), {glossary.GRAM}, 2 FROM (SELECT doc_id, term, unnest(range(1, length(term))) AS i FROM back))
+  SELECT doc_id, term, arg_max(weight, k) AS weight FROM every GROUP BY doc_id, term""")
+def bridged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query terms with what the glossary adds; a query is a form and a document."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.select("doc_id", F.concat(F.get(F.array(*map(F.lit, _ASKED)), (F.col("doc_id") % len(_ASKED)).cast("int")), F.coalesce("text", F.lit(""))).alias("q"))
+    return ranking.query_terms(asked, "doc_id", "q", bridge=True).withColumnRenamed("query_id", "doc_id")
