@@ -27,6 +27,7 @@ from ..operators import chunking, embedding, gate, index, packing, planning, ran
 from ..operators.tables import shared_folder
 from ..schemas import DOC
 from ..sources import cache, sync, tables
+from ..streaming import stateful
 from .queries import _STOPS, _TERMS, POSTINGS_SQL, bm25_sql, code_windows_sql, doc_chunks, query, table, text_sql, tokens_sql
 
 # Forms.
@@ -592,3 +593,52 @@ def bridged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asked = docs.select("doc_id", F.concat(F.get(F.array(*map(F.lit, _ASKED)), (F.col("doc_id") % len(_ASKED)).cast("int")), F.coalesce("text", F.lit(""))).alias("q"))
     return ranking.query_terms(asked, "doc_id", "q", bridge=True).withColumnRenamed("query_id", "doc_id")
+
+
+# Streams that are replayed.
+
+
+def replayed(spark: SparkSession, rows: DataFrame, parts: int, at: Column | None = None) -> tuple[str, str]:
+    """Folders of rows in shuffled files, and of a checkpoint; `at`: which file a row goes to."""
+    folder = workspace(spark, "replay")
+    rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns) if at is None else at, F.lit(parts)).cast("int")).repartition(parts, "part").drop("part").write.parquet(folder)
+    return folder, workspace(spark, "checkpoint")
+
+
+def drained(stream: DataFrame, schema_path: str, checkpoint: str) -> None:
+    """Runs a stream to its end, appending to a folder."""
+    stream.writeStream.format("parquet").option("path", schema_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+@query("""WITH e AS (SELECT DISTINCT event_id, ts, user_id, event_type, value FROM events),
+  s AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e),
+  i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS total, md5(string_agg(event_type, '>' ORDER BY ts, event_id)) AS path_md5 FROM i GROUP BY user_id, k""")
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream whose files are shuffled, come twice, and are read by two runs of a query with one checkpoint."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    folder, checkpoint = replayed(spark, events, 4)
+    out = workspace(spark, "sessions")
+    stream = stateful.once(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(folder), "event_id", "ts", "400 days")
+    drained(stateful.paths(stream, 30), out, checkpoint)
+    events.write.mode("append").parquet(folder)  # all of them again
+    drained(stateful.paths(stream, 30), out, checkpoint)
+    last = events.agg(F.max("ts")).first()[0]
+    for years in (3, 6):  # time goes on, so that all sessions end
+        spark.createDataFrame([(-years, last.replace(year=last.year + years), None, None, None)], events.schema).write.mode("append").parquet(folder)
+        drained(stateful.paths(stream, 30), out, checkpoint)
+    found = spark.read.parquet(out)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return found.select("user_id", ntz("start"), ntz("end"), "n", "total", F.md5("path").alias("path_md5"))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term UNION ALL SELECT NULL, count(*), sum(dl)::BIGINT FROM lengths")
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies, number and summed length of chunks that arrive in three batches, as the last one leaves them."""
+    chunks = doc_chunks(spark, sf_dir).select("key", "title", "path", "text")
+    folder, checkpoint = replayed(spark, chunks, 3, F.xxhash64("key"))
+    stream, out = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(folder), workspace(spark, "counts")
+    for name, rows in (("terms", stateful.term_counts(stream)), ("lengths", stateful.length_totals(stream))):
+        stateful.keep_latest(rows, f"{out}/{name}", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
+    terms = stateful.latest(spark, f"{out}/terms", "term").select("term", "df", "cf")
+    return terms.unionByName(stateful.latest(spark, f"{out}/lengths").select(F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), F.col("dl").alias("cf")))
