@@ -7,6 +7,7 @@ document) where the SQL has to follow; chunking has queries of its own.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..functions import paths as pa_
 from ..functions import redact as rd
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import chunking, gate, index, packing, planning, ranking, scanning
+from ..operators import chunking, gate, hybrid, index, packing, planning, ranking, scanning
 from ..operators.tables import kept
 from ..sources import cache, egress, tables
 from ..streaming import incremental
@@ -219,14 +220,17 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.jaccard_pairs(searched(spark, sf_dir, 10).select("query_id", "key").join(chunks, "key"), 0.1)
 
 
-@query(f"""WITH RECURSIVE {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 60)},
-  pool AS MATERIALIZED (SELECT query_id, key, score, rank AS r, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
-  near AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, len(list_intersect(a.ts, b.ts))::DOUBLE / greatest(len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)), 1) AS s FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.key <> b.key),
+_MMR = f"""near AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, len(list_intersect(a.ts, b.ts))::DOUBLE / greatest(len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)), 1) AS s FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.key <> b.key),
   pick AS (SELECT query_id, 0 AS n, NULL::BIGINT AS key, NULL::DOUBLE AS score, []::BIGINT[] AS had FROM pool GROUP BY query_id
     UNION ALL SELECT query_id, n, key, score, list_append(had, key) FROM (
       SELECT p.query_id, k.n + 1 AS n, p.key, p.score, k.had, row_number() OVER (PARTITION BY p.query_id ORDER BY {ranking.DIVERSITY} * p.score / p.top - {1 - ranking.DIVERSITY} * coalesce(m.s, 0) - CASE WHEN coalesce(m.s, 0) >= {ranking.DUPLICATE} THEN 1 ELSE 0 END DESC, p.r) AS best
       FROM pick k JOIN pool p ON p.query_id = k.query_id AND NOT list_contains(k.had, p.key) LEFT JOIN (SELECT k2.query_id, b, max(s) AS s FROM pick k2 JOIN near ON near.query_id = k2.query_id AND list_contains(k2.had, a) GROUP BY k2.query_id, b) m ON m.query_id = p.query_id AND m.b = p.key
-      WHERE k.n < 10) WHERE best = 1)
+      WHERE k.n < 10) WHERE best = 1)"""
+
+
+@query(f"""WITH RECURSIVE {POSTINGS_SQL}, {_TERMS}, {bm25_sql('hits', 'true', 60)},
+  pool AS MATERIALIZED (SELECT query_id, key, score, rank AS r, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM hits JOIN toks USING (key)),
+  {_MMR}
   SELECT query_id, key, score, n::INT AS rank FROM pick WHERE n > 0""")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.diversified(searched(spark, sf_dir, 60).select("query_id", "key", "score"), doc_chunks(spark, sf_dir), 10)
@@ -635,6 +639,26 @@ def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", F.posexplode(planning.planned(F.col("text"))).alias("ord", "query"))
 
 
+@query(f"""WITH RECURSIVE {POSTINGS_SQL},
+  asks AS MATERIALIZED (SELECT item_id, ord - 1 AS ord, q[ord] AS t FROM (SELECT item_id, q, unnest(range(1, least(len(q), 6) + 1)) AS ord FROM (SELECT item_id, {_first_of('p')} AS q FROM (SELECT item_id, {_PLANNED} AS p FROM benchmark)))),
+  terms AS MATERIALIZED (SELECT item_id * 100 + ord AS query_id, term, count(*) AS weight FROM (SELECT item_id, ord, unnest({tokens_sql('t')}) AS term FROM asks) WHERE term NOT IN ({_STOPS}) GROUP BY ALL),
+  {bm25_sql('hits', "source IS DISTINCT FROM 'src0'", 60)},
+  part AS (SELECT hits.query_id // 100 AS need, key, score / max(score) OVER (PARTITION BY hits.query_id) AS s FROM hits),
+  lists AS (SELECT item_id AS need, count(*) AS n FROM asks GROUP BY item_id),
+  fused AS (SELECT need, key, round(sum(s) / n, {ranking.DIGITS}) AS score FROM part JOIN lists USING (need) GROUP BY need, key, n),
+  every AS (SELECT query_id // 100 AS need, list(DISTINCT term) AS own FROM terms GROUP BY 1),
+  scored AS (SELECT need AS query_id, key, body, round(score * greatest({ranking.LEAST_FACTOR}, 1 + {ranking.PATH_BOOST} * CASE WHEN len(head) > 0 THEN len(list_intersect(own, head)) / len(own) ELSE 0 END), {ranking.DIGITS}) AS score FROM fused JOIN every USING (need) JOIN toks USING (key)),
+  pool AS MATERIALIZED (SELECT query_id, key, score, r, first_value(score) OVER (PARTITION BY query_id ORDER BY r) AS top, list_distinct(body[1:{ranking.MOST_TOKENS}]) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS r FROM scored) WHERE r <= 60),
+  {_MMR}
+  SELECT query_id AS need_id, key, score, n::INT AS rank FROM pick WHERE n > 0""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain for all items at once: planned queries, a ranking for each, fused, boosted and diversified, one source left out."""
+    chunks, postings, lengths = indexed(spark, sf_dir)
+    now = SimpleNamespace(chunks=chunks, postings=postings, lengths=lengths, vectors=None, totals=None)
+    needs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("need_id"), F.posexplode(planning.planned(F.col("text"))).alias("list_no", "text"))
+    return hybrid.hybrid(now, needs, 10, bridge=False, chunks=chunks.where("not source_id <=> 'src0'"))
+
+
 def queries() -> dict[str, Query]:
     from . import forms  # noqa: F401  registers its own
 
