@@ -560,6 +560,20 @@ def test_quality_removes_lines_and_rejects_what_is_left_of_little(spark):
     assert got[3]["kept"] and got[3]["cleaned"] == clean and got[3]["n_lines_removed"] == 2
 
 
+def test_quality_phrases_of_four_languages(spark):
+    lines = [
+        "All rights reserved", "please ACCEPT COOKIES now", "accept all cookies", "our Cookie Policy", "Privacy policy", "terms of use", "Terms of Service", "enable JavaScript", "Lorem ipsum dolor", "click here to win", "subscribe to our list", "Copyright (c) 2020", "Copyright © 2020",
+        "Alle Rechte vorbehalten", "Datenschutzerklärung", "DATENSCHUTZERKLÄRUNG", "Cookies akzeptieren", "Nutzungsbedingungen", "Newsletter abonnieren", "Hier klicken",
+        "Tous droits réservés", "Politique de confidentialité", "Mentions légales", "accepter les cookies", "Accepter tous les cookies", "Cliquez ici",
+        "Todos los derechos reservados", "Política de privacidad", "política de cookies", "Aviso legal", "Aceptar todas las cookies", "Haga clic aquí",
+        "Home Menu", "Startseite | Suche", "Accueil - Connexion", "Zurück", "Précédent, Suivant", "Inicio / Buscar", "a » b » c » d", "a :: b :: c :: d", "a / b / c / d", "a > b > c > d",
+    ]
+    clean = ["a line of plain words.", "cookies and cream", "the privacy of homes", "und so weiter und so fort", "a | b", "legal advice"]
+    df = spark.createDataFrame(list(enumerate([*lines, *clean])), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_lines_removed"] for r in quality.quality_rules(df).collect()}
+    assert [t for i, t in enumerate(lines) if got[i] != 1] == [] and all(got[len(lines) + i] == 0 for i in range(len(clean)))
+
+
 def test_quality_plan_is_native(docs):
     plan = quality.quality_rules(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1].replace("Exchange RoundRobin", "")
