@@ -160,14 +160,11 @@ class Engine:
 
         A vector is known by its provider, model, dimensions and text.
         """
-        own, path = self.config["retrieval"]["embedding"], f"{self.workspace}/embeddings"
+        own, cache_ = self.config["retrieval"]["embedding"], embedding.VectorCache(self.spark, f"{self.workspace}/embeddings")
         named = F.sha2(F.concat(F.lit(f"{own['provider']}|{own['model']}|{own['dimensions']}|"), F.col("hash")), 256)
         wanted = chunks.select("key", named.alias("hash"), "text")
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        known = self.spark.read.parquet(path) if root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root) else None
-        made = kept(embedding.embed_chunks(wanted, self.embed, own["dimensions"], self.config["security"]["allow_embedding_upload"], known), "vectors")
-        new = made.select("hash", "embedding").dropDuplicates(["hash"])
-        (new if known is None else new.join(known.select("hash"), "hash", "left_anti")).write.mode("append").parquet(path)
+        made = kept(embedding.embed_chunks(wanted, self.embed, own["dimensions"], self.config["security"]["allow_embedding_upload"], cache_.read()), "vectors")
+        cache_.append(made)
         return made.select("key", "embedding")
 
     def snapshot(self) -> index.Snapshot:

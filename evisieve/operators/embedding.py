@@ -7,7 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact
@@ -50,3 +50,30 @@ def embed_chunks(chunks: DataFrame, embed: Embed, dims: int, allowed: bool, cach
     made = todo.mapInArrow(run, "hash string, embedding array<float>")
     known = made if cache is None else made.unionByName(cache.select("hash", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["hash"]))
     return chunks.select("key", "hash").join(known, "hash")
+
+
+BUCKETS = 64
+
+
+class VectorCache:
+    """Vectors by hash, in a folder that is a bucketed table: joins with it shuffle the other side alone, into its buckets.
+
+    The number of buckets is part of the folder's name, as a table can't change it; the larger the cache is meant to grow, the
+    more. Each append adds a file a bucket at most.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, f"{path.rstrip('/')}/buckets-{buckets}"
+        self.buckets = buckets
+        self.name = f"evisieve_vectors_{sha256(self.path.encode()).hexdigest()[:16]}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (hash STRING, embedding ARRAY<FLOAT>) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, rows: DataFrame) -> None:
+        """Adds hashes that the cache doesn't hold; of equal ones one."""
+        new = rows.select("hash", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["hash"])
+        new = new.join(self.read().select("hash"), "hash", "left_anti")
+        new.repartition(self.buckets, "hash").write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)

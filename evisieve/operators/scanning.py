@@ -8,6 +8,7 @@ document, as that limit is part of what the scan reports.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -41,7 +42,7 @@ class Rule:
     lacks: tuple[str, ...] = ()
 
 
-#: The rules. Patterns are Java's; (?<!w) stands for an ASCII word boundary.
+#: The rules. Patterns are Java's; \\b stands for an ASCII word boundary (_B).
 _B = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 RULES = [
     Rule("SEC-SECRET-PRIVATE-KEY", "critical", "secret", "CWE-798", "A private key is in the repository", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY-----"),
@@ -243,30 +244,31 @@ ENDPOINTS = [
 _ENDPOINTS = [(name, re.compile(p.replace(r"\b", r"(?<![A-Za-z0-9_])"), re.M)) for name, p in ENDPOINTS]
 
 
-def endpoints_of(doc: dict) -> Iterator[dict]:
-    """Routes of one code document, by framework, then by position."""
-    text = doc["text"] or ""
-    lines = text.split("\n")
+def endpoints_of(source_id: str, source_type: str, path: str, url: str | None, text: str) -> Iterator[tuple]:
+    """Routes of one code document, by framework, then by position; lines are looked up among the places of line ends."""
+    ends = [m.start() for m in re.finditer("\n", text)]
     for framework, pattern in _ENDPOINTS:
         for m in pattern.finditer(text):
-            line = text.count("\n", 0, m.start()) + 1
+            n = bisect_left(ends, m.start())
+            line = text[ends[n - 1] + 1 if n else 0 : ends[n] if n < len(ends) else len(text)]
             method, route = m.groups() if pattern.groups == 2 else ("any", m[1])
-            url = f"{doc['url']}#L{line}" if doc["url"] and doc["source_type"] == "github" else doc["url"]
-            yield {"method": method.upper(), "route": redact(route)[0], "framework": framework, "source_id": doc["source_id"], "path": doc["path"], "line": line, "url": url, "snippet": (redact(lines[line - 1].strip()[:2000])[0] or "")[:200]}
+            link = f"{url}#L{n + 1}" if url and source_type == "github" else url
+            yield method.upper(), redact(route)[0], framework, source_id, path, n + 1, link, (redact(line.strip()[:2000])[0] or "")[:200]
 
 
 def endpoints(docs: DataFrame) -> DataFrame:
     """Endpoints (schemas.ENDPOINT) in documents of kind code; routes may span lines, so texts are read whole."""
     names = [f.split()[0] for f in ENDPOINT.split(", ")]
-    schema = pa.schema([(n, pa.int32() if n == "line" else pa.string()) for n in names])
+    kinds = [pa.int32() if n == "line" else pa.string() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [e for doc in batch.to_pylist() for e in endpoints_of(doc)]
+            rows = [e for doc in zip(*(c.to_pylist() for c in batch.columns)) for e in endpoints_of(*doc)]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.where(F.col("kind") == "code").select("source_id", "source_type", "path", "url", "text").mapInArrow(run, ENDPOINT)
+    code = docs.where((F.col("kind") == "code") & F.col("text").isNotNull())
+    return code.select("source_id", "source_type", "path", "url", "text").mapInArrow(run, ENDPOINT)
 
 
 __all__ = ["ENDPOINT", "FINDING", "endpoints", "evidence_first", "facts", "findings", "ordered", "summary"]

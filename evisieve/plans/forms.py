@@ -444,6 +444,9 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of names: some from a cache, equal ones made once, all of length 1."""
     chunks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text"), F.md5("p_name").alias("hash"))
     known = chunks.groupBy("hash").agg(F.min("key").alias("first")).where("first % 3 = 0").select("hash", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).cast("array<float>").alias("embedding"))
+    vectors = embedding.VectorCache(spark, workspace(spark, "vectors"), 8)
+    vectors.append(known)
+    known = vectors.read()
     made = embedding.embed_chunks(chunks, counted, 3, True, known)
     had, _ = cache.embedded(chunks, known)
     flagged = made.join(had.select("key", F.lit(True).alias("had")), "key", "left")
@@ -557,7 +560,7 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LIVE = f"""live AS (SELECT * FROM documents WHERE left(md5(doc_id::VARCHAR), 1) <> '0'), {POSTINGS_SQL.replace('FROM documents', 'FROM live')}, {_TERMS}, {bm25_sql('best', 'true', 10)}"""
 
 
-@query(f"WITH {_LIVE} SELECT 'hit' AS what, query_id, key, score, rank FROM best UNION ALL SELECT 'n', NULL, count(*), NULL, NULL FROM lengths UNION ALL SELECT 'dl', NULL, sum(dl)::BIGINT, NULL, NULL FROM lengths")
+@query(f"WITH {_LIVE} SELECT 'hit' AS what, query_id, key, score, rank FROM best UNION ALL SELECT 'n', -1, count(*), 0.0, 0 FROM lengths UNION ALL SELECT 'dl', -1, sum(dl)::BIGINT, 0.0, 0 FROM lengths")
 def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking over an index whose documents came in five updates: some with another text first, some taken out at the end."""
     store = segments.SegmentStore(spark, workspace(spark, "segments"))
@@ -569,8 +572,8 @@ def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.update(chunks.where("false").drop("h"), chunks.where("h = '0'").select("doc_id"))
     now = store.open()
     hits = ranking.bm25(now.postings, now.lengths, ranking.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), None, 10, now.totals)
-    sums = spark.createDataFrame([("n", now.manifest["n"]), ("dl", now.manifest["dl"])], "what string, key long")
-    return hits.select(F.lit("hit").alias("what"), "query_id", "key", "score", "rank").unionByName(sums, allowMissingColumns=True)
+    sums = spark.createDataFrame([("n", -1, now.manifest["n"], 0.0, 0), ("dl", -1, now.manifest["dl"], 0.0, 0)], "what string, query_id long, key long, score double, rank int")
+    return hits.select(F.lit("hit").alias("what"), "query_id", "key", "score", "rank").unionByName(sums)
 
 
 # The glossary, for frames of queries.

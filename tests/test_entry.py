@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 import subprocess
 import sys
 from pathlib import Path
@@ -17,7 +18,7 @@ def same(a, b) -> bool:
     import pandas as pd
 
     def cell(v):
-        if isinstance(v, float | int) and not isinstance(v, bool) and not pd.isna(v):
+        if isinstance(v, numbers.Real) and not isinstance(v, bool) and not pd.isna(v):
             return float(round(v, 6))
         return None if not isinstance(v, list | dict) and pd.isna(v) else str(v)
 

@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from evisieve import cli, engine, server
 from evisieve import config as cfg
 from evisieve.operators import embedding, presets
@@ -138,7 +139,7 @@ def test_hybrid_search_presets_and_runs(spark, tmp_path):
     assert [r["path"] for r in e.listing().collect()] == ["car.md", "cat.md", "dog.md"]
     e.build_index()
     e.build_index()  # vectors come from the workspace
-    assert spark.read.parquet(f"{tmp_path}/ws/embeddings").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/ws/embeddings/buckets-64").count() == 3
     assert e.search("feline")[0]["path"] == "cat.md" and asked == [["feline"]]
     plain = engine.Engine(spark, str(tmp_path / "ws"), settings | {"security": {"allow_embedding_upload": False}}, embed=embed)
     assert plain.search("feline") == [] and len(asked) == 1
@@ -209,3 +210,26 @@ def test_server(spark, tmp_path):
     out = io.StringIO()
     server.serve(own, io.StringIO('{"jsonrpc": "2.0", "id": 5, "method": "ping"}\n\nnot json\n'), out)
     assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [5, None]
+
+
+def test_vector_cache_is_not_shuffled(spark, tmp_path):
+    from evisieve.operators import embedding
+
+    path = f"file://{tmp_path}/v"
+    rows = lambda a, b: spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.array(F.col("id").cast("float")).alias("embedding"))
+    cache = embedding.VectorCache(spark, path, 8)
+    cache.append(rows(0, 300).unionByName(rows(100, 200)))
+    cache.append(rows(250, 400))
+    assert cache.read().count() == 400 and embedding.VectorCache(spark, path, 8).read().select("hash").distinct().count() == 400
+    chunks = spark.range(350, 450).select(F.col("id").cast("string").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.col("id").cast("string").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = embedding.embed_chunks(chunks, lambda texts: [[float(t)] for t in texts], 1, True, cache.read())
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [i for i, line in enumerate(plan.split("\n")) if "FileScan" in line]
+    lines = plan.split("\n")
+    above = lambda i: next(line for line in reversed(lines[:i]) if "Exchange" in line or "Join" in line or "Aggregate" in line)
+    assert scans and not any("Exchange" in above(i) for i in scans), plan
+    assert made.count() == 100
