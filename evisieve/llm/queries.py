@@ -73,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_earlier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fmindex.remove_earlier(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

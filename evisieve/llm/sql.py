@@ -104,7 +104,7 @@ EARLIER_WORDS = f"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(co
   gap AS (SELECT doc_id, k, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY k), 9000000000) AS e FROM span UNION ALL SELECT doc_id, 0, 1, min(a) FROM span GROUP BY doc_id),
   kept AS (SELECT g.doc_id, flatten(list(w[a : least(e - 1, len(w))] ORDER BY k)) AS v FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id),
   cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n FROM span GROUP BY doc_id)
-  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(coalesce(v, w), ' ')) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(coalesce(v, w), ' ')) AS kept_sha256, coalesce(n, 0) > 0 AS has_repeats FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 _TURN = "sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[:32]"
 PREFIX_TRIE = f"""WITH own AS (SELECT conv_id, {CRC32.format('conv_id')} % 9 AS h, list({_TURN} ORDER BY turn NULLS FIRST, {_TURN}) AS s, list(octet_length(encode(coalesce(text, '')))::BIGINT ORDER BY turn NULLS FIRST, {_TURN}) AS z FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
