@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from . import config as cfg
 from .functions.jsonschema import extract_json
-from .functions.redact import mask_keys, redact
+from .functions.redact import redact
 from .functions.text import py_token_estimate
-from .operators import chunking, embedding, gate, hybrid, index, packing, planning, presets, ranking, report, scanning, segments
+from .operators import chunking, embedding, gate, hybrid, index, packing, planning, presets, ranking, reading, report, scanning, segments
 from .operators.files import Folder
 from .operators.tables import kept
 from .sources import cache, clone, egress, remote, services, sync, tables
@@ -250,27 +250,23 @@ class Engine:
 
     def fetch(self, doc_id: str, start: int = 1, end: int | None = None, most: int = 201) -> list[str]:
         """Lines of a cached document, `most` at most, keys and credentials masked."""
-        row = self.docs().where(F.col("doc_id") == doc_id).select("text").first()
-        if row is None:
-            raise KeyError(doc_id)
-        return self._lines(row[0], start, end, most)[0]
+        found = self.docs().where(F.col("doc_id") == doc_id)
+        return self._shown(found, start, end, most, doc_id)["text"].split("\n")
 
     @staticmethod
-    def _lines(text: str | None, start: int, end: int | None, most: int) -> tuple[list[str], int]:
-        """The lines, and how many the text has. Keys are masked before it is cut: a block may begin outside."""
-        lines = chunking.lines_of(mask_keys(text) or "")
-        last = min(end or start + most - 1, start + most - 1)
-        if start > max(1, len(lines)) or last < start:
-            raise ValueError(f"no lines {start} to {last} in {len(lines)}")
-        return (redact("\n".join(lines[start - 1 : last]))[0] or "").split("\n"), len(lines)
+    def _shown(found: DataFrame, start: int, end: int | None, most: int, name: str) -> Any:
+        """The first of the documents, cut to its lines."""
+        row = reading.line_window(found.orderBy("source_id").limit(1), start, end, most).first()
+        if row is None:
+            raise KeyError(name)
+        if row["text"] is None:
+            raise ValueError(f"no lines {start} to {end or start + most - 1} in {row['total_lines']}")
+        return row
 
     def window(self, path: str, source: str | None = None, start: int = 1, end: int | None = None, most: int = 201) -> dict[str, Any]:
         """Lines of a document by its path, with what to cite."""
-        row = self.docs([source] if source else None).where(F.col("path") == path).orderBy("source_id").first()
-        if row is None:
-            raise KeyError(f"no path {path}")
-        lines, n = self._lines(row["text"], start, end, most)
-        return {"source_id": row["source_id"], "path": path, "url": row["url"], "version": row["version"], "lines": f"{start}-{start + len(lines) - 1}", "total_lines": n, "text": "\n".join(lines)}
+        row = self._shown(self.docs([source] if source else None).where(F.col("path") == path), start, end, most, f"no path {path}")
+        return {"source_id": row["source_id"], "path": path, "url": row["url"], "version": row["version"], "lines": f"{start}-{start + row['shown'] - 1}", "total_lines": row["total_lines"], "text": row["text"]}
 
     # Analysis and answers
 

@@ -17,7 +17,7 @@ from ..functions import paths as pa_
 from ..functions import redact as rd
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import chunking, gate, hybrid, index, packing, planning, ranking, scanning
+from ..operators import chunking, gate, hybrid, index, packing, planning, ranking, reading, scanning
 from ..operators.tables import kept
 from ..sources import cache, egress, tables
 from ..streaming import incremental
@@ -564,10 +564,22 @@ def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", file_path().alias("path")).where(pa_.is_sensitive(F.col("path")))
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, md5(array_to_string(string_split(text, chr(10))[1:201], chr(10))) AS first_md5 FROM documents")
+def _lines_sql() -> str:
+    """Lines 3 to 203 with credentials masked; of the documents' texts only CREDENTIAL forms are masked."""
+    lines = "CASE WHEN l[len(l)] = '' THEN l[1 : len(l) - 1] ELSE l END"
+    cut, masked = f"array_to_string(own[3:203], chr(10))", "t"
+    for q in ('"', "'", "`"):
+        pattern = rd.QUOTED.replace(f"[{rd.S}]", r"[\t ]").replace("([\\\"'`])", f"({q})").replace("\\2", q)
+        masked = f"regexp_replace({masked}, {text_sql('(?i)' + pattern)}, '\\1\\2{rd.CREDENTIAL_MARK}\\2', 'g')"
+    return f"""SELECT doc_id, len(own)::INT AS total_lines, CASE WHEN 3 <= greatest(1, len(own)) THEN greatest(1, len(own[3:203])) ELSE 0 END::INT AS shown, coalesce(md5(CASE WHEN 3 <= greatest(1, len(own)) THEN {masked} END), '') AS text_md5
+      FROM (SELECT doc_id, own, {cut} AS t FROM (SELECT doc_id, {lines} AS own FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"""
+
+
+@query(_lines_sql())
 def fetch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.md5(F.array_join(F.slice(lines, 1, 201), "\n")).alias("first_md5"))
+    """A window of every document's lines, masked."""
+    rows = reading.line_window(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+    return rows.select("doc_id", "total_lines", "shown", F.coalesce(F.md5("text"), F.lit("")).alias("text_md5"))
 
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
