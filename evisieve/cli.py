@@ -15,9 +15,28 @@ from .operators import planning, presets
 COMMANDS = ("init", "resolve", "sync", "build", "status", "search", "scan", "pack", "run", "ask", "verify", "serve", "presets", "tasks", "doctor", "privacy")
 
 
+#: Names of a settings file, in the order in which a folder is searched for them.
+CONFIG_NAMES = ("evisieve.config.json", ".evisieve.config.json", "evisieve.json")
+
+
 def find_config(start: Path) -> Path | None:
-    """evisieve.json here or in a folder above."""
-    return next((f for d in (start, *start.parents) if (f := d / "evisieve.json").exists()), None)
+    """A settings file here or in a folder above."""
+    return next((f for d in (start, *start.parents) for n in CONFIG_NAMES if (f := d / n).exists()), None)
+
+
+def guarded(workspace: str, mode: int = 0o700) -> None:
+    """Keeps a workspace on this machine from other users and out of version control; one elsewhere has its own rights."""
+    if "://" in workspace and not workspace.startswith("file:"):
+        return
+    folder = Path("/" + workspace.removeprefix("file:").lstrip("/")) if workspace.startswith("file:") else Path(workspace)
+    folder.mkdir(parents=True, exist_ok=True)
+    try:
+        folder.chmod(mode)
+    except OSError:  # a file system without rights
+        pass
+    ignore = folder / ".gitignore"
+    if not ignore.exists():
+        ignore.write_text("*\n")
 
 
 def privacy(config: dict) -> dict[str, Any]:
@@ -86,6 +105,7 @@ def main(argv: list[str] | None = None) -> int:
     from .engine import Engine
     from .operators.packing import Pack
 
+    guarded(a.workspace)
     engine = Engine(SparkSession.builder.getOrCreate(), f"file://{Path(a.workspace).resolve()}", given)
     if a.command == "sync":
         state = engine.sync(a.source)

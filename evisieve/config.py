@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import os
 import re
@@ -10,6 +9,8 @@ from copy import deepcopy
 from hashlib import sha256
 from typing import Any
 
+from .functions.text import MOST_EDITS, edit_distance
+
 DEFAULTS: dict[str, Any] = {
     "project": "untitled",
     "sources": [],
@@ -62,8 +63,10 @@ def parse_env(text: str) -> dict[str, str]:
 
 
 def nearest(name: str, known: list[str]) -> str | None:
-    """A known name that `name` may be a slip for."""
-    return next(iter(difflib.get_close_matches(name, known, 1, 0.7)), None)
+    """A known name that `name` may be a slip for: the nearest within MOST_EDITS, case, dashes and underscores aside."""
+    plain = lambda n: n.lower().replace("_", "").replace("-", "")
+    found = [(edit_distance(plain(name), plain(k)), k) for k in known]
+    return min(((d, k) for d, k in found if d <= MOST_EDITS), default=(0, None))[1]
 
 
 def unknown_keys(given: Any, known: Any, path: str = "") -> list[str]:

@@ -64,6 +64,26 @@ def token_estimate(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise((F.ceil(wide * WIDE_A_TOKEN + (units - wide) / CHARS_A_TOKEN) + 1).cast("int"))
 
 
+#: Edits up to which a name may be meant for another.
+MOST_EDITS = 2
+
+
+def nearest_name(name: Column, known: list[str], most: int = MOST_EDITS) -> Column:
+    """The known name within `most` edits (struct of distance and suggestion; null if none): the nearest, then by name."""
+    near = [F.when(F.levenshtein(name, F.lit(k)) <= most, F.struct(F.levenshtein(name, F.lit(k)).alias("distance"), F.lit(k).alias("suggestion"))) for k in known]
+    return F.array_min(F.array_compact(F.array(*near)))
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Insertions, deletions and replacements between two names."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
 def overlap_ratio(terms: Column, words: Column) -> Column:
     """The share of `terms` (distinct) that occur in `words`."""
     return F.when((F.size(terms) > 0) & (F.size(words) > 0), F.size(F.array_intersect(terms, words)) / F.size(terms)).otherwise(0.0)

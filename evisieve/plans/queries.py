@@ -584,8 +584,8 @@ def fetch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def first_of_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash"), "doc_id")
+    return tables.first_seen(docs, "hash", "doc_id")
 
 
 @query("SELECT page_id AS doc_id, left(md5(html), 1) = left(md5(url), 1) AS reused FROM pages")
@@ -615,8 +615,7 @@ _KEYS = ("BUILDING", "AUTOMOBILE", "MACHINARY", "HOUSEHOLDS", "FURNITUR")
 def nearest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The known key within two edits of each name."""
     name = F.col("c_mktsegment")
-    near = F.array_compact(F.array(*[F.when(F.levenshtein(name, F.lit(k)) <= 2, F.struct(F.levenshtein(name, F.lit(k)).alias("distance"), F.lit(k).alias("suggestion"))) for k in _KEYS]))
-    best = table(spark, sf_dir, "customer").select(name).distinct().withColumn("b", F.array_min(near)).where("b is not null")
+    best = table(spark, sf_dir, "customer").select(name).distinct().withColumn("b", tx.nearest_name(name, list(_KEYS))).where("b is not null")
     return best.select("c_mktsegment", F.col("b.suggestion").alias("suggestion"), F.col("b.distance").alias("distance"))
 
 

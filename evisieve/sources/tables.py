@@ -33,6 +33,11 @@ def as_docs(df: DataFrame, source_id: Column, path: Column, text: Column, kind:
     ).where(F.col("text").isNotNull())
 
 
+def first_seen(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Each distinct key (null is one) with its least `at`, and how many rows have it as `copies`; combined before the shuffle."""
+    return rows.groupBy(key).agg(F.min(at).alias(at), F.count("*").alias("copies"))
+
+
 def text_docs(docs: DataFrame, kind: str = "doc") -> DataFrame:
     """A table of doc_id, text, lang and source."""
     return as_docs(docs, F.coalesce("source", F.lit("table")), F.col("doc_id").cast("string"), F.col("text"), kind, lang=F.col("lang"))
