@@ -12,6 +12,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import surface
 from ..functions import html
 from ..functions import paths as pa_
 from ..functions import redact as rd
@@ -507,6 +508,14 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(tables.text_docs(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_no", "start", "end", "n_tokens", "partial", "hash")
 
 
+@query(SQL["chunk_text"])
+def sql_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, asked in SQL."""
+    surface.register(spark)
+    tables.text_docs(table(spark, sf_dir, "documents")).createOrReplaceTempView("evisieve_documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_no, c.start, c.`end`, c.n_tokens, c.partial, c.hash FROM evisieve_documents d, LATERAL chunks_of(d.text, d.kind, d.path, d.title) c")
+
+
 @query(f"""WITH RECURSIVE d AS (SELECT coalesce(source, 'table') || ':' || doc_id AS k, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
   {code_windows_sql(f"length(l) <= {chunking.DECLARATION_MOST} AND regexp_matches(l, {text_sql(_BEGINS)})")},
   piece AS (SELECT k, a, b, array_to_string(ls[a + 1 : b], chr(10)) AS t FROM step JOIN d USING (k) WHERE b > 0)
