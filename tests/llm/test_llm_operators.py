@@ -707,3 +707,42 @@ def test_dictionary_is_read_from_the_leading_frame():
     for i, p in enumerate(payloads[:5]):
         own.add(warc.record(i, None, p, warc.digest_of(p), None, "2024-01-01T00:00:00Z"))
     assert [warc.read_record(r, "x")[6] for r in warc.frames(b"".join(own.parts))] == payloads[:5]
+
+
+def test_counted_windows_of_the_test_table(spark):
+    """All columns of op7 on a whole test table against a count of every 400-byte window."""
+    from evisieve.llm import queries
+
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    count: Counter = Counter()
+    for raw in rows.values():
+        count.update(raw[i : i + 400] for i in range(len(raw) - 399))
+    for r in queries.op7_substrings(spark, "/root/testdata/sf0.001").collect():
+        raw = rows[r.doc_id]
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 399):
+            if count[raw[i : i + 400]] > 1:
+                gone[i : i + 400] = b"\x01" * 400
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(gone), spans, sha256(kept).hexdigest())
+
+
+def test_near_copies_share_chunks():
+    """Long texts that differ in a few words are cut alike, and what they share is encoded once; joins inside words widen."""
+    rng = random.Random(21)
+    base = prose(rng, 6000)
+    enc = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = enc.texts([base.encode()])[0]
+    once = enc.encoded
+    for i in range(5):
+        words = base.split()
+        words[rng.randrange(len(words))] = f"other{i}"
+        text = " ".join(words)
+        assert enc.texts([text.encode()])[0] == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert once >= 5 and enc.reused >= 5 * (once - 4) and enc.encoded <= once + 5 * 4
+    assert first == enc.tokenizer.encode(base, add_special_tokens=False).ids
+    long = "x" * 70_000  # one piece, longer than a chunk: a join within it can't be repaired by any reach
+    before = enc.widened
+    assert enc.texts([f"{base[:5000]} {long} {base[5000:9000]}".encode()])[0] == enc.tokenizer.encode(f"{base[:5000]} {long} {base[5000:9000]}", add_special_tokens=False).ids
+    assert enc.widened > before
