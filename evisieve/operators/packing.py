@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate, chain
 
@@ -18,6 +19,8 @@ from ..functions.redact import redact, redact_udf
 from ..functions.text import py_token_estimate, token_estimate, truncated
 
 OVERHEAD, LEAST_LEFT, MOST_ITEMS = 60, 250, 200
+#: What decides about neighbours.
+_OWN = ("start", "end", "partial", "text", "score")
 HIT = "doc_id string, source_id string, source_type string, path string, title string, kind string, url string, version string, start int, end int, partial boolean, text string, score double"
 
 
@@ -58,14 +61,44 @@ def merge_neighbours(hits: list[dict]) -> list[dict]:
 
 
 def merged(hits: DataFrame, by: str = "query_id") -> DataFrame:
-    """merge_neighbours() per query and document: a group is one document's chunks."""
+    """merge_neighbours() per query and document, over rows in order: a task holds one passage at a time, not one group.
+
+    Rows come sorted, so a passage is a run of them: its first row, with the text, end and score of the whole run.
+    """
     names = [f.split()[0] for f in HIT.split(", ")]
     schema = f"{by} {hits.schema[by].dataType.simpleString()}, {HIT}"
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(merge_neighbours(table.to_pylist()), schema=table.schema)
-
-    return hits.select(by, *names).groupBy(by, "doc_id").applyInArrow(run, schema)
+    order = ["start", "end", F.col("score").desc(), "text"]
+    rows = hits.select(by, *names).withColumn("opens", F.row_number().over(Window.partitionBy(by, "doc_id").orderBy(*order)) == 1)
+    return rows.sortWithinPartitions(by, "doc_id", *order).mapInArrow(_runs, schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of sorted hits; the last column tells the first hit of each query's document. The open passage goes on in the next batch."""
+    held: tuple[pa.RecordBatch, Passage] | None = None  # the passage's first row, without the last column
+    for batch in batches:
+        whole = batch.select(batch.schema.names[:-1])
+        hits = zip(*(batch.column(c).to_pylist() for c in ("opens", *_OWN)))
+        heads, passages = [], []
+        now = held[1] if held else None
+        for i, (opens, *own) in enumerate(hits):
+            hit = dict(zip(_OWN, own))
+            if now is None or opens or not now.takes(hit):
+                now = Passage(hit)
+                heads.append(i)
+                passages.append(now)
+        if heads:  # all passages but the last one are complete
+            if held:
+                yield _filled(held[0], [held[1]])
+            if len(heads) > 1:
+                yield _filled(whole.take(pa.array(heads[:-1])), passages[:-1])
+            held = whole.take(pa.array(heads[-1:])), passages[-1]
+    if held:
+        yield _filled(held[0], [held[1]])
+
+
+def _filled(heads: pa.RecordBatch, passages: list[Passage]) -> pa.RecordBatch:
+    new = {"text": ["\n".join(p.lines) for p in passages], "end": [p.end for p in passages], "score": [p.score for p in passages]}
+    return pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else heads.column(f.name) for f in heads.schema], schema=heads.schema)
 
 
 @F.pandas_udf(T.StringType())

@@ -203,6 +203,27 @@ def test_neighbours_merge_by_lines():
     assert len(packing.merge_neighbours([hit("d", 1, 2, "a\nb", partial=True), hit("d", 2, 3, "b\nc")])) == 2
 
 
+def test_neighbours_merge_in_a_stream_of_rows(spark):
+    """Passages go on over Arrow batches, whatever the rows' order; no group costs a call of its own."""
+    rng, rows = random.Random(3), []
+    for q in range(12):
+        for d in ("d", "e", None):
+            for start in sorted(rng.sample(range(1, 40), rng.randrange(1, 9))):
+                end = start + rng.randrange(4)
+                text = "\n".join(f"l{i}" if rng.random() < 0.9 else "other" for i in range(start, end + 1))
+                rows.append({**hit(d, start, end, text, float(rng.randrange(4))), "query_id": q, "partial": rng.random() < 0.1})
+    want = sorted(str((q, p["doc_id"], p["start"], p["end"], p["text"], p["score"])) for q in range(12) for d in ("d", "e", None) for p in packing.merge_neighbours([r for r in rows if r["query_id"] == q and r["doc_id"] == d]))
+    rng.shuffle(rows)
+    frame = packing.merged(spark.createDataFrame(rows, f"query_id int, {packing.HIT}"))
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString()
+    for size in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(str((r["query_id"], r["doc_id"], r["start"], r["end"], r["text"], r["score"])) for r in frame.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_pack_frame_equals_pack(spark):
     rng = random.Random(4)
     for budget in (300, 800, 2000):
