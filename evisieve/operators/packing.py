@@ -103,8 +103,8 @@ def _filled(heads: pa.RecordBatch, passages: list[Passage]) -> pa.RecordBatch:
 
 @F.pandas_udf(T.StringType())
 def cut_udf(texts: pd.Series, left: pd.Series) -> pd.Series:
-    """truncated() over an Arrow batch; a pack has one such item at most."""
-    return pd.Series([truncated(t, int(n)) for t, n in zip(texts, left)])
+    """truncated() over an Arrow batch; a pack has one such item at most. Null: null."""
+    return pd.Series([None if t is None else truncated(t, int(n)) for t, n in zip(texts, left)])
 
 
 def packed(hits: DataFrame, budget: int, by: str = "query_id", most: int = MOST_ITEMS, masked: bool = True) -> DataFrame:
@@ -123,10 +123,10 @@ def packed(hits: DataFrame, budget: int, by: str = "query_id", most: int = MOST_
     # Sums only grow, so the first item that doesn't fit is the one whose predecessors all do.
     rows = rows.where(fits | ((F.col("before") <= budget) & (left >= LEAST_LEFT)))
     rows = rows.withColumn("truncated", ~fits).withColumn("left", F.when(~fits, left.cast("int")))
-
-    whole, short = rows.where("not truncated"), rows.where("truncated").withColumn("body", cut_udf("body", "left"))
-    short = short.withColumn("tokens", token_estimate(F.col("body")) + OVERHEAD)
-    rows = whole.unionByName(short)
+    # One pass: only texts that are cut go to Python and are estimated again.
+    rows = rows.withColumn("cut", cut_udf(F.when(F.col("truncated"), F.col("body")), F.coalesce("left", F.lit(0))))
+    rows = rows.withColumn("body", F.when(F.col("truncated"), F.col("cut")).otherwise(F.col("body")))
+    rows = rows.withColumn("tokens", F.when(F.col("truncated"), token_estimate(F.col("body")) + OVERHEAD).otherwise(F.col("tokens")))
     return rows.select(
         by, F.concat(F.lit("E"), "n").alias("id"), "n", "source_id", "source_type", "kind", "path", "title", "start", "end", "version",
         line_url(F.col("url"), F.col("source_type"), F.col("kind"), F.col("start"), F.col("end")).alias("url"),
