@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .leases import SECONDS, Lease, Leases
-from .tables import kept
+from .tables import bucketed, kept
 
 FORMAT, HEAD_WEIGHT, KEPT, LEASE_SECONDS = 2, 3, 2, SECONDS
+#: So many terms of a batch of queries are broadcast; more are joined by shuffle.
+MOST_WANTED = 200_000
 
 
 def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None) -> DataFrame:
@@ -26,6 +28,30 @@ def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None)
     return rows.groupBy("key", "term").agg(F.sum(F.when(F.col("at") < F.col("n"), 1).otherwise(HEAD_WEIGHT)).cast("int").alias("tf")).select("term", "key", "tf")
 
 
+#: Stands for a chunk as a whole among its postings; no token is empty.
+WHOLE = ""
+#: Chunks a bucket of scoring_postings() holds.
+PER_BUCKET = 8192
+
+
+def scoring_postings(chunks: DataFrame, wanted: DataFrame, key: str = "key") -> DataFrame:
+    """key, term, tf and dl of the `wanted` terms (term, a batch's distinct ones), and a row with term WHOLE of each chunk.
+
+    For a batch of queries over a table that has no index: chunks are tokenised once, other words end in the task that reads them, and
+    what is left is shuffled once, into a table bucketed by key. Scores of a chunk are summed in its bucket then, without
+    another shuffle. A bucket has PER_BUCKET chunks or so, whatever the size. Chunks without a key are counted, under null.
+    """
+    spark = chunks.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // PER_BUCKET))
+    rows = chunks.select(F.col(key).alias("key"), tokens(F.col("text")).alias("body"), tokens(F.concat_ws(" ", "title", "path")).alias("head"))
+    rows = rows.select("key", F.size("body").alias("n"), F.posexplode(F.concat("body", "head", F.array(F.lit(WHOLE)))).alias("at", "term"))
+    marked = kept(wanted.select("term").union(spark.range(1).select(F.lit(WHOLE))), "wanted")
+    rows = rows.join(F.broadcast(marked) if marked.count() <= MOST_WANTED else marked, "term", "left_semi")
+    rows = rows.select("key", "term", F.when(F.col("at") < F.col("n"), 1).otherwise(HEAD_WEIGHT).alias("w"), "n").repartition(buckets, "key")
+    sums = rows.groupBy("key", "term").agg(F.sum("w").cast("int").alias("tf"), F.greatest(F.max("n"), F.lit(1)).alias("dl"))
+    return bucketed(sums, "postings", buckets, "key")
+
+
 def arranged(postings: DataFrame) -> DataFrame:
     """Postings by range of (term, key): a word that every chunk holds fills ranges of its own instead of one task and file.
 

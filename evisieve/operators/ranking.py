@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.glossary import bridged, weighted_terms
+from .tables import kept
 
 K1, B = 1.2, 0.75
 COMMON_SHARE, SHORT = 0.6, 2
@@ -58,6 +59,8 @@ def ranked(scores: DataFrame, top: int, per: str = "query_id") -> DataFrame:
 def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, top: int = 60, totals: tuple[int, float] | None = None) -> DataFrame:
     """query_id, key, score and rank. postings: term, key, tf; lengths: key, dl; terms: query_id, term, weight.
 
+    Postings that have their chunk's dl themselves (index.scoring_postings) aren't joined with lengths.
+
     `allowed` (key) limits what is ranked; document counts and the mean length stay those of the whole corpus.
     totals: number of chunks and mean length, where an index keeps them; else lengths are counted.
     """
@@ -72,7 +75,11 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, allowed: Dat
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.select("query_id", "term", ((1 + F.log("weight")) * idf).alias("w"), "avgdl")
     hits = postings if allowed is None else postings.join(allowed.select("key").distinct(), "key", "left_semi")
-    hits = hits.join(weighed, "term").join(lengths, "key")
+    if "dl" in postings.columns:
+        # The weights of a batch are few, and a bucket of postings has all of its chunks: sums need no shuffle.
+        hits = hits.where("key is not null").join(kept(weighed, "weights"), "term")
+    else:
+        hits = hits.join(weighed, "term").join(lengths, "key")
     tf, dl = F.col("tf"), F.greatest(F.col("dl"), F.lit(1))
     score = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     sums = hits.groupBy("query_id", "key").agg(F.round(F.sum(score), DIGITS).alias("score"))
@@ -193,7 +200,7 @@ def diversified(scores: DataFrame, chunks: DataFrame, k: int = 28, balance: floa
     Only the pool of max(6 k, 60) candidates per query is joined with texts and grouped.
     """
     pool = ranked(scores, max(6 * k, 60))
-    pool = pool.join(chunks.select("key", "doc_id", F.slice(tx.tokens(F.col("text")), 1, MOST_TOKENS).alias("tokens")), "key")
+    pool = pool.join(chunks.select("key", "doc_id", "text"), "key").withColumn("tokens", F.slice(tx.tokens(F.col("text")), 1, MOST_TOKENS)).drop("text")
     pool = pool.join(vectors.select("key", "embedding"), "key", "left") if vectors is not None else pool.withColumn("embedding", F.lit(None).cast("array<float>"))
     types = {f.name: f.dataType.simpleString() for f in pool.schema}
 

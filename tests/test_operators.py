@@ -189,6 +189,25 @@ def test_search_plan_has_no_product_and_prunes(spark, tmp_path):
     assert "CartesianProduct" not in plan and "doc_id" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_postings_of_a_batch_score_like_the_index_without_another_shuffle(spark):
+    rng = random.Random(8)
+    rows = [(i, str(i), f"p{i}", " ".join(rng.choice("alpha beta gamma delta common fooBar x1 42".split()) for _ in range(rng.randrange(60)))) for i in range(300)]
+    rows += [(300, None, None, None), (301, "alpha", "beta", "")]
+    chunks = spark.createDataFrame(rows, "key long, title string, path string, text string")
+    asked = spark.createDataFrame([(1, "alpha beta nowhere"), (2, "gamma common foo"), (3, "42 p7")], "id int, text string")
+    terms = ranking.query_terms(asked, "id", "text")
+    stored = index.scoring_postings(chunks, terms.select("term").distinct())
+    lengths = stored.where(F.col("term") == index.WHOLE).select("key", "dl")
+    assert sorted(lengths.collect()) == sorted(index.lengths_of(chunks).collect())
+    want = ranking.bm25(index.postings_of(chunks), index.lengths_of(chunks), terms, top=40)
+    got = ranking.bm25(stored, lengths, terms, top=40)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() > 80
+    allowed = chunks.where("key % 3 = 0").select("key")
+    assert sorted(ranking.bm25(stored, lengths, terms, allowed, 9).collect()) == sorted(ranking.bm25(index.postings_of(chunks), index.lengths_of(chunks), terms, allowed, 9).collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "hashpartitioning(key" not in plan  # only what is left for the ranking is shuffled
+
+
 # Packing
 
 
