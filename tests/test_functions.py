@@ -241,3 +241,19 @@ def test_plain_path_functions_equal_columns(spark):
     kind, lang = paths.kind_and_lang(F.col("p"))
     got = spark.createDataFrame([(p,) for p in every], "p string").select("p", kind.alias("k"), lang.alias("l"), paths.is_sensitive(F.col("p")).alias("s")).collect()
     assert {r[0]: tuple(r[1:]) for r in got} == {p: (*paths.py_kind_and_lang(p), paths.py_is_sensitive(p)) for p in every}
+
+
+def test_texts_reach_python_a_part_at_a_time(spark, tmp_path):
+    """However many rows an Arrow batch has, Python objects are made of PART_BYTES or so; results are those of the whole."""
+    import pyarrow as pa
+    from evisieve.functions import batches, html, redact
+    from pyspark.sql import functions as F
+
+    texts = ["x" * 3_000_000, None, "", *["y" * 300_000] * 9, 'password = "hunter2xyz"']
+    seen = []
+    out = batches.by_parts(pa.array(texts), lambda part: (seen.append(sum(len(t or "") for t in part)), pa.array(part, pa.string()))[1], pa.string())
+    assert out.to_pylist() == texts and max(seen[1:]) <= batches.PART_BYTES and len(seen) > 3
+    assert batches.by_parts(pa.array([], pa.string()), lambda part: pa.array(part, pa.string()), pa.string()).to_pylist() == []
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = rows.select("i", redact.redact_udf("t").alias("r"), redact.mask_keys_udf("t").alias("k"), html.html_to_text_udf("t").alias("h")).orderBy("i").collect()
+    assert [(r["r"]["text"], r["r"]["count"], r["r"]["kinds"], r["k"], r["h"]) for r in got] == [(*redact.redact(t), redact.mask_keys(t), html.html_to_text(t)) for t in texts]
