@@ -28,6 +28,8 @@ DIVERSITY, SAME_DOC, DUPLICATE, MOST_TOKENS = 0.72, 0.08, 0.95, 900
 BROADCAST_ROWS = 200_000
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 8192
+#: Scores that a worker holds at a time.
+MOST_SCORES = 1 << 20
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -127,12 +129,15 @@ def _search_block(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame
                 continue
             keys, rows = batch.column(0).take(pa.array(fits)), batch.column(1).take(pa.array(fits))
             block = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
-            scores = np.round(matrix @ block.T, DIGITS)
             tie = np.empty(len(fits), dtype=np.int64)
             tie[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(fits))
-            best = [_best(row, tie, top) for row in scores]
-            which = pa.array(np.repeat(np.arange(len(ids)), [len(b) for b in best]))
-            yield pa.RecordBatch.from_arrays([ids.take(which), keys.take(pa.array(np.concatenate(best))), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
+            # Scores of some queries at a time: the product of a block and a batch would be hundreds of megabytes.
+            step = max(1, MOST_SCORES // len(fits))
+            for at in range(0, len(ids), step):
+                scores = np.round(matrix[at : at + step] @ block.T, DIGITS)
+                best = [_best(row, tie, top) for row in scores]
+                which = pa.array(at + np.repeat(np.arange(len(best)), [len(b) for b in best]))
+                yield pa.RecordBatch.from_arrays([ids.take(which), keys.take(pa.array(np.concatenate(best))), pa.array(np.concatenate([row[b] for row, b in zip(scores, best)]))], names=["query_id", "key", "score"])
 
     return ranked(vectors.select("key", "embedding").mapInArrow(run, f"query_id {kind}, key {key}, score double"), top)
 

@@ -519,3 +519,14 @@ def test_end_to_end(spark, tmp_path):
     replies = iter(["no json", json.dumps({"summary": "s", "items": [{"id": "1", "type": "observation", "title": "t", "statement": "s", "evidence": [eid], "quotes": [{"evidence": eid, "text": "const MAX_RETRY = 3"}], "confidence": "high"}], "open_questions": []})])
     done = e.run_task("bug", "refund retry", model=lambda system, user: next(replies))
     assert done["verdict"].ok and "MAX_RETRY" in done["report"]
+
+
+def test_vector_scores_are_held_for_some_queries_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(4)]) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "key long, embedding array<float>").coalesce(1)
+    asked = vectors.where("key % 5 = 0").select(F.col("key").alias("query_id"), "embedding")
+    want = sorted((q, k, s, n) for q, v in rows if q % 5 == 0 for n, (s, k) in enumerate(sorted(((sum(a * b for a, b in zip(v, w)), k) for k, w in rows), key=lambda x: (-x[0], x[1]))[:7], 1))
+    for most in (1, 500, 1 << 20):
+        monkeypatch.setattr(ranking, "MOST_SCORES", most)
+        assert sorted(map(tuple, ranking.vector_search(vectors, asked, 7).collect())) == want
