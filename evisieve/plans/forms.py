@@ -601,10 +601,14 @@ def bridged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams that are replayed.
 
 
-def replayed(spark: SparkSession, rows: DataFrame, parts: int, at: Column | None = None) -> tuple[str, str]:
-    """Folders of rows in shuffled files, and of a checkpoint; `at`: which file a row goes to."""
+#: Batches that documents arrive in, and documents a file of a batch holds.
+_BATCHES, _PER_FILE = 3, 10_000
+
+
+def replayed(spark: SparkSession, rows: DataFrame, parts: int) -> tuple[str, str]:
+    """Folders of rows in shuffled files, and of a checkpoint."""
     folder = workspace(spark, "replay")
-    rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns) if at is None else at, F.lit(parts)).cast("int")).repartition(parts, "part").drop("part").write.parquet(folder)
+    rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")).repartition(parts, "part").drop("part").write.parquet(folder)
     return folder, workspace(spark, "checkpoint")
 
 
@@ -639,8 +643,10 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies, number and summed length of chunks that arrive in three batches, as the last one leaves them."""
     chunks = doc_chunks(spark, sf_dir).select("key", "title", "path", "text")
-    folder, checkpoint = replayed(spark, chunks, 3, F.xxhash64("key"))
-    stream, out = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(folder), workspace(spark, "counts")
+    folder, checkpoint, out = (workspace(spark, name) for name in ("replay", "checkpoint", "counts"))
+    chunks.repartition(_BATCHES * max(1, -(-chunks.count() // (_BATCHES * _PER_FILE))), "key").write.parquet(folder)  # a task writes and reads one file's rows
+    files = len(spark.read.parquet(folder).inputFiles())
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", -(-files // _BATCHES)).parquet(folder)
     for name, rows in (("terms", stateful.term_counts(stream)), ("lengths", stateful.length_totals(stream))):
         stateful.keep_latest(rows, f"{out}/{name}", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
     terms = stateful.latest(spark, f"{out}/terms", "term").select("term", "df", "cf")

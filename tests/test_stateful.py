@@ -51,3 +51,17 @@ def test_counts_of_a_stream_survive_a_restart(spark, tmp_path):
         assert sorted(map(tuple, stateful.latest(spark, f"{out}/t", "term").select("term", "df", "cf").collect())) == sorted(map(tuple, stateful.term_counts(table).select("term", "df", "cf").collect()))
         assert tuple(stateful.latest(spark, f"{out}/l").select("n", "dl").first()) == tuple(stateful.length_totals(table).first())
     assert stateful.latest(spark, f"{out}/t", "term").where(F.col("term") == "alpha").first()["df"] == 2
+
+
+def test_documents_arrive_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Each of the three batches has as many files as its documents ask for, so no task reads a third of the table."""
+    from evisieve.plans import forms
+
+    spark.range(600).selectExpr("id as doc_id", "concat('word ', id) as text", "'en' as lang", "'s' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    made, workspace = [], forms.workspace
+    monkeypatch.setattr(forms, "workspace", lambda s, name: (made.append((name, workspace(s, name))), made[-1][1])[1])
+    monkeypatch.setattr(forms, "_PER_FILE", 50)
+    got = {r["term"]: (r["df"], r["cf"]) for r in forms.streamed_counts(spark, str(tmp_path)).collect()}
+    assert got["word"] == (600, 600) and got[None][0] == 600
+    files = spark.read.parquet(dict(made)["replay"]).selectExpr("_metadata.file_path as f").groupBy("f").count().collect()
+    assert len(files) >= 12 and max(r["count"] for r in files) < 120
