@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, random_words, slices, space_words, stored, text_bytes
+from .common import Words, give_back, mix, random_words, slices, space_words, stored, text_bytes
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -163,6 +163,7 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
                 halves = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sketch, pa.binary()), lists], names=["id", "n", "k1", "k2", "sketch", "bands"])
+        give_back()
 
     return docs.mapInArrow(run, "id bigint, n bigint, k1 bigint, k2 bigint, sketch binary, bands array<bigint>")
 
@@ -173,11 +174,13 @@ def estimated(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for i in (4, 5)]
-            j = likely_similarity(*rows, *(batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3)))
-            keep = np.flatnonzero(j >= rule.floor)
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(j[keep])], names=["a", "b", "j"])
+            for part in slices(batch):
+                rows = [np.frombuffer(b"".join(part.column(i).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for i in (4, 5)]
+                j = likely_similarity(*rows, *(part.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3)))
+                keep = np.flatnonzero(j >= rule.floor)
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), part.column(1).take(pa.array(keep)), pa.array(j[keep])], names=["a", "b", "j"])
+        give_back()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint, j double")
 
@@ -203,6 +206,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 keep = pa.array(np.flatnonzero(keep))
                 if len(keep):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], names=["a", "b"])
+        give_back()
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -239,6 +243,7 @@ def rare_shingles(ids: DataFrame, found: DataFrame, known: DataFrame, texts: Dat
                 rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(np.concatenate(sets).astype(np.int64))], names=["id", "g"])
+        give_back()
 
     each = stored(texts.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, g bigint").distinct(), "shingles")  # rows may share an id
     # One pass counts all shingles; those of a single document need no join, and those of many aren't joined.
