@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,6 +133,7 @@ def any_glob(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
 
 _TOKEN = re.compile(TOKEN)
 _IS_CJK = re.compile(f"[{CJK}]")
+_DIVIDED = re.compile("[_$]|.[A-Z]")
 _WIDE = re.compile(f"[{WIDE}]")
 
 
@@ -139,21 +142,64 @@ def py_parts(word: str) -> list[str]:
     return re.sub(r"(?<=[A-Z])(?=[A-Z][a-z])", " ", spaced).lower().split()
 
 
+def word_terms(word: str) -> tuple[str, ...]:
+    """Tokens of one match of TOKEN, in order."""
+    if _IS_CJK.match(word):
+        return tuple(gram for i in range(len(word)) for gram in ((word[i : i + 1], word[i : i + 2]) if i + 1 < len(word) else (word[i],)))
+    low = word.lower()
+    # Only words with an inner capital, an underscore or a dollar sign have parts other than themselves.
+    parts = [p for p in py_parts(word) if len(p) >= 2 and p != low] if len(word) > 3 and _DIVIDED.search(word) else []
+    return (low, *parts) if len(word) >= 2 else tuple(parts)
+
+
 def py_tokens(text: str | None, stop_words: bool = False) -> list[str]:
-    out: list[str] = []
-    for m in _TOKEN.finditer(text or ""):
-        word = m[0]
-        if _IS_CJK.match(word):
-            for i in range(len(word)):
-                out += [word[i : i + 1], word[i : i + 2]] if i + 1 < len(word) else [word[i]]
-            continue
-        low = word.lower()
-        out += [low] * (len(word) >= 2)
-        if len(word) > 3:
-            out += [p for p in py_parts(word) if len(p) >= 2 and p != low]
+    out = [t for word in _TOKEN.findall(text or "") for t in word_terms(word)]
     return [t for t in out if t not in STOP_WORDS] if stop_words else out
 
 
+#: Longer words are broken up each time; of others so many are remembered by a worker.
+_SHORT_WORD, _REMEMBERED = 32, 1 << 16
+_known_terms = lru_cache(_REMEMBERED)(word_terms)
+#: Characters of which words are found at a time; a part ends before a space.
+_PART = 1 << 20
+
+
+def _parts(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + _PART)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+#: What only words with several tokens hold, in two searches that skip quickly; and tokens of texts without such words, in lower case.
+_SEVERAL = re.compile(f"[{CJK}_$]"), re.compile("[A-Z](?:(?<=[a-z0-9].)|[A-Z][a-z])")
+_SINGLE = re.compile(r"[a-z][a-z0-9]+|[0-9]{2,}(?:\.[0-9]+)*|[0-9](?:\.[0-9]+)+")
+
+
+def count_terms(counts: dict[str, int], text: str | None, weight: int = 1) -> int:
+    """Adds `weight` to each token's count, as often as it occurs in the text; the number of tokens.
+
+    A word is broken up once a text, however often it occurs; in most texts none has to be.
+    """
+    text, words = text or "", Counter()
+    if not counts and weight == 1 and not any(several.search(text) for several in _SEVERAL):
+        for part in _parts(text.encode().lower().decode()):  # A to Z alone
+            words.update(_SINGLE.findall(part))
+        counts.update(words)
+        return words.total()
+    for part in _parts(text):
+        words.update(_TOKEN.findall(part))
+    total = 0
+    for word, n in words.items():
+        terms = _known_terms(word) if len(word) <= _SHORT_WORD else word_terms(word)
+        total += n * len(terms)
+        for term in terms:
+            counts[term] = counts.get(term, 0) + n * weight
+    return total
+
+
 def query_terms(text: str | None) -> dict[str, float]:
     """Weight of each term of a query: how often it occurs, stop words left out."""
     return {t: float(n) for t, n in Counter(py_tokens(text, stop_words=True)).items()}

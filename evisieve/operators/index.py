@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.batches import give_back, ranges
+from ..functions.text import count_terms, tokens
 from .leases import SECONDS, Lease, Leases
 from .tables import bucketed, kept
 
@@ -17,19 +22,66 @@ FORMAT, HEAD_WEIGHT, KEPT, LEASE_SECONDS = 2, 3, 2, SECONDS
 MOST_WANTED = 200_000
 
 
-def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None) -> DataFrame:
-    """term, key, tf: a body token counts 1, a token of title and path HEAD_WEIGHT.
+#: Stands for a chunk as a whole among its postings; no token is empty.
+WHOLE = ""
 
-    One pass: both token lists of a chunk are exploded together and summed per (key, term) before the shuffle.
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of counted(), those of a part of a batch by term, so that sorting them later merges runs."""
+    for batch in batches:
+        for at, n in ranges(batch.columns):
+            part, terms, tf, sizes = batch.slice(at, n), [], [], []
+            for body, head in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                counts: dict[str, int] = {}
+                dl = count_terms(counts, body)
+                count_terms(counts, head, HEAD_WEIGHT)
+                terms += counts
+                tf += counts.values()
+                terms.append(WHOLE)
+                tf.append(dl)
+                sizes.append(len(counts) + 1)
+            found = pa.array(terms, pa.string())
+            order = pc.array_sort_indices(found)
+            rows = pa.array(np.repeat(np.arange(n), sizes)).take(order)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), found.take(order), pa.array(tf, pa.int32()).take(order)], names=["key", "term", "tf"])
+    give_back()
+
+
+def counted(chunks: DataFrame, key: str = "key", head: Column | None = None) -> DataFrame:
+    """key, term, tf: a body token counts 1, a token of title and path HEAD_WEIGHT; and a row with term WHOLE of each chunk, its tf the number of body tokens.
+
+    One pass: a chunk's tokens are counted in the task that reads it, so occurrences are never rows.
     """
-    head = F.concat_ws(" ", "title", "path") if head is None else head
-    rows = chunks.select(F.col(key).alias("key"), tokens(F.col("text")).alias("body"), tokens(head).alias("head"))
-    rows = rows.select("key", F.size("body").alias("n"), F.posexplode(F.concat("body", "head")).alias("at", "term"))
-    return rows.groupBy("key", "term").agg(F.sum(F.when(F.col("at") < F.col("n"), 1).otherwise(HEAD_WEIGHT)).cast("int").alias("tf")).select("term", "key", "tf")
+    rows = chunks.select(F.col(key).alias("key"), F.col("text").alias("body"), (F.concat_ws(" ", "title", "path") if head is None else head).alias("head"))
+    return rows.mapInArrow(_count, f"key {rows.schema['key'].dataType.simpleString()}, term string, tf int")
+
+
+def _summed(postings: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row per (key, term): nothing to do unless chunks share a key."""
+    if keys.groupBy("key").count().where("count > 1").isEmpty():
+        return postings.select("term", "key", "tf")
+    return postings.groupBy("key", "term").agg(F.sum("tf").cast("int").alias("tf")).select("term", "key", "tf")
+
+
+def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None) -> DataFrame:
+    """term, key, tf of counted(), without rows of whole chunks; chunks of one key are summed."""
+    return _summed(counted(chunks, key, head).where(F.col("term") != WHOLE), chunks.select(F.col(key).alias("key")))
+
+
+def stored_postings(chunks: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """postings_of() and lengths_of() by one pass over the texts, stored."""
+    rows = kept(counted(chunks, key), "counted")
+    whole = rows.where(F.col("term") == WHOLE)
+    return _summed(rows.where(F.col("term") != WHOLE), whole.select("key")), whole.select("key", F.greatest("tf", F.lit(1)).alias("dl"))
+
+
+def totals_of(chunks: DataFrame, key: str = "key") -> DataFrame:
+    """n, avgdl (null without chunks) and number of distinct terms, by one pass over the texts."""
+    by_term = counted(chunks, key).groupBy("term").agg(F.count("*").alias("n"), F.sum(F.greatest("tf", F.lit(1))).alias("sum"))
+    whole = lambda c: F.max(F.when(F.col("term") == WHOLE, F.col(c)))
+    return by_term.agg(F.coalesce(whole("n"), F.lit(0)).alias("n"), (whole("sum") / whole("n")).alias("avgdl"), F.count_if(F.col("term") != WHOLE).alias("terms"))
 
 
-#: Stands for a chunk as a whole among its postings; no token is empty.
-WHOLE = ""
 #: Chunks a bucket of scoring_postings() holds.
 PER_BUCKET = 8192
 
@@ -53,11 +105,8 @@ def scoring_postings(chunks: DataFrame, wanted: DataFrame, key: str = "key") ->
 
 
 def arranged(postings: DataFrame) -> DataFrame:
-    """Postings by range of (term, key): a word that every chunk holds fills ranges of its own instead of one task and file.
-
-    Postings are stored first, as ranges are found by sampling them.
-    """
-    return kept(postings, "postings").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+    """Postings by chunk, those of a file by term: a word that every chunk holds is in all files, in each a range of rows of its own."""
+    return postings.repartition("key").sortWithinPartitions("term", "key")
 
 
 def lengths_of(chunks: DataFrame, key: str = "key") -> DataFrame:
@@ -112,9 +161,9 @@ class IndexStore:
         folder = f"{self.path}/gen={number:04d}"
         chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         chunks = self.spark.read.parquet(f"{folder}/chunks")
-        postings = postings_of(chunks)
+        postings, lengths = stored_postings(chunks)
         arranged(postings).write.mode("overwrite").parquet(f"{folder}/postings")
-        lengths_of(chunks).write.mode("overwrite").parquet(f"{folder}/lengths")
+        lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
         dims = None
         if vectors is not None:
             dims = vectors.select(F.max(F.size("embedding"))).first()[0]

@@ -77,11 +77,14 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame, allowed: Dat
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.select("query_id", "term", ((1 + F.log("weight")) * idf).alias("w"), "avgdl")
     hits = postings if allowed is None else postings.join(allowed.select("key").distinct(), "key", "left_semi")
+    weighed = kept(weighed, "weights")
     if "dl" in postings.columns:
         # The weights of a batch are few, and a bucket of postings has all of its chunks: sums need no shuffle.
-        hits = hits.where("key is not null").join(kept(weighed, "weights"), "term")
+        hits = hits.where("key is not null").join(weighed, "term")
     else:
-        hits = hits.join(weighed, "term").join(lengths, "key")
+        # Postings of the batch's terms meet lengths by key, and each becomes a row per query only after that: sums need no other shuffle.
+        n = weighed.count()
+        hits = hits.join(small(weighed.select("term").distinct(), n), "term", "left_semi").join(lengths, "key").join(small(weighed, n), "term")
     tf, dl = F.col("tf"), F.greatest(F.col("dl"), F.lit(1))
     score = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     sums = hits.groupBy("query_id", "key").agg(F.round(F.sum(score), DIGITS).alias("score"))

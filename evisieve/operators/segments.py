@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Folder
-from .index import FORMAT, KEPT, Superseded, arranged, lengths_of, postings_of
+from .index import FORMAT, KEPT, Superseded, arranged, stored_postings
 from .leases import SECONDS, Leases
 from .tables import kept
 
@@ -124,8 +124,9 @@ class SegmentStore:
         if not new.isEmpty():
             if vectors is not None:
                 vectors, dims = self._checked(vectors, dims)
-            lengths = lengths_of(new).join(new.select("key", "doc_id", "doc_hash"), "key")
-            segments[name] = self._write(name, new, postings_of(new), lengths, vectors)
+            postings, lengths = stored_postings(new)
+            lengths = lengths.join(new.select("key", "doc_id", "doc_hash"), "key")
+            segments[name] = self._write(name, new, postings, lengths, vectors)
         own = {"segments": segments, "dead": tombs, "dims": dims}
         own = self._merged(own)
         version = {"version": (self.generations() or [0])[-1] + 1, "format": FORMAT, "built_at": datetime.now(UTC).isoformat(), "index_key": index_key, "project": project, **own, **self._sums(own)}

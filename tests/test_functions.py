@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from evisieve import config as cfg
@@ -257,3 +258,15 @@ def test_texts_reach_python_a_part_at_a_time(spark, tmp_path):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
     got = rows.select("i", redact.redact_udf("t").alias("r"), redact.mask_keys_udf("t").alias("k"), html.html_to_text_udf("t").alias("h")).orderBy("i").collect()
     assert [(r["r"]["text"], r["r"]["count"], r["r"]["kinds"], r["k"], r["h"]) for r in got] == [(*redact.redact(t), redact.mask_keys(t), html.html_to_text(t)) for t in texts]
+
+
+def test_counts_of_terms_equal_tokens(spark, monkeypatch):
+    monkeypatch.setattr(tx, "_PART", 7)  # texts are cut between words, many times
+    texts = ["Plain words, the Words 42 4.2 7 1.2.3 é K İx Klm ABC Abc a1", "fooBar HTTPServer x_y $a _ aB 3a", "返金のリトライ abc", "", None, "word " * 50, "ABCd eF9G 9.Ab a.B", "x" * 40 + "_Y " + "ßİSTRASSE"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = {r["i"]: Counter(r["t"]) for r in spark.createDataFrame(rows, "i int, text string").select("i", tx.tokens(F.col("text")).alias("t")).collect()}
+    for i, text in rows:
+        counts: dict[str, int] = {}
+        assert tx.count_terms(counts, text) == sum(want[i].values()) == sum(counts.values()) and counts == want[i], text
+        assert tx.count_terms(counts, text, 3) == sum(want[i].values()) and counts == {t: 4 * n for t, n in want[i].items()}
+        assert Counter(tx.py_tokens(text)) == want[i]

@@ -530,3 +530,13 @@ def test_vector_scores_are_held_for_some_queries_at_a_time(spark, monkeypatch):
     for most in (1, 500, 1 << 20):
         monkeypatch.setattr(ranking, "MOST_SCORES", most)
         assert sorted(map(tuple, ranking.vector_search(vectors, asked, 7).collect())) == want
+
+
+def test_an_index_reads_texts_once_and_sums_chunks_of_one_key(spark):
+    rows = [(1, "a", "p", "alpha beta fooBar"), (1, "b", "p", "alpha"), (2, None, None, None), (None, "x1", "", "beta"), (None, "x2", "", "beta")]
+    chunks = spark.createDataFrame(rows, "key long, title string, path string, text string")
+    postings, lengths = index.stored_postings(chunks)
+    assert sorted(map(str, postings.collect())) == sorted(map(str, index.postings_of(chunks).collect())) and postings.count() == postings.select("key", "term").distinct().count()
+    assert {(r["key"], r["term"]): r["tf"] for r in postings.collect()} == {(1, "alpha"): 2, (1, "beta"): 1, (1, "foobar"): 1, (1, "foo"): 1, (1, "bar"): 1, (None, "beta"): 2, (None, "x1"): 3, (None, "x2"): 3}
+    assert sorted(map(str, lengths.collect())) == sorted(map(str, index.lengths_of(chunks).collect()))
+    assert index.totals_of(chunks).first() == (5, 1.8, 7) and index.totals_of(chunks.where("false")).first() == (0, None, 0)
