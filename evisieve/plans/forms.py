@@ -24,7 +24,7 @@ from ..functions.html import entities_udf, html_to_text_udf, rich_text_udf
 from ..functions.paths import TEST_PATH, is_binary, strict_text
 from ..functions.urls import url_to_source
 from ..operators import chunking, embedding, gate, index, packing, planning, ranking, scanning, segments
-from ..operators.tables import shared_folder
+from ..operators.tables import dealt, shared_folder
 from ..schemas import DOC
 from ..sources import cache, sync, tables
 from ..streaming import stateful
@@ -307,6 +307,9 @@ def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Chunks.
 
+#: Rows of a table from which a task makes files.
+_PER_TASK = 20_000
+
 
 def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file per supplier: lines by number, with declarations at uneven distances."""
@@ -314,7 +317,7 @@ def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = lambda x: x.cast("string")
     line = lambda x: F.when(x % 37 == k % 5, F.concat(F.lit("function f"), i(x), F.lit("() {"))).when(x % 53 == 7, F.concat(F.lit("class C"), i(x), F.lit(":"))).when(x % 11 == 0, "").when(x % 29 == 3, F.repeat(F.lit("long "), 100)).otherwise(F.concat(F.lit("  y = "), i(x)))
     text = F.array_join(F.transform(F.sequence(F.lit(1), 40 + (k * 7 % 400).cast("int")), line), "\n")
-    return tables.as_docs(table(spark, sf_dir, "supplier"), F.lit("s"), F.concat(F.lit("f"), k, F.lit(".js")), text, "code")
+    return tables.as_docs(dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", _PER_TASK // 10), F.lit("s"), F.concat(F.lit("f"), k, F.lit(".js")), text, "code")
 
 
 _CODE_LINE = "CASE WHEN x % 37 = s_suppkey % 5 THEN 'function f' || x || '() {' WHEN x % 53 = 7 THEN 'class C' || x || ':' WHEN x % 11 = 0 THEN '' WHEN x % 29 = 3 THEN repeat('long ', 100) ELSE '  y = ' || x END"

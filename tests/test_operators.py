@@ -540,3 +540,13 @@ def test_an_index_reads_texts_once_and_sums_chunks_of_one_key(spark):
     assert {(r["key"], r["term"]): r["tf"] for r in postings.collect()} == {(1, "alpha"): 2, (1, "beta"): 1, (1, "foobar"): 1, (1, "foo"): 1, (1, "bar"): 1, (None, "beta"): 2, (None, "x1"): 3, (None, "x2"): 3}
     assert sorted(map(str, lengths.collect())) == sorted(map(str, index.lengths_of(chunks).collect()))
     assert index.totals_of(chunks).first() == (5, 1.8, 7) and index.totals_of(chunks.where("false")).first() == (0, None, 0)
+
+
+def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
+    from evisieve.operators.tables import dealt
+    from evisieve.plans import forms
+
+    spark.range(1000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = dealt(spark.read.parquet(f"{tmp_path}/supplier.parquet"), "s_suppkey", 100)
+    assert rows.rdd.getNumPartitions() == 10 and rows.distinct().count() == 1000
+    assert forms.generated_code(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
