@@ -550,3 +550,18 @@ def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
     rows = dealt(spark.read.parquet(f"{tmp_path}/supplier.parquet"), "s_suppkey", 100)
     assert rows.rdd.getNumPartitions() == 10 and rows.distinct().count() == 1000
     assert forms.generated_code(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_summary_scans_texts_once(spark):
+    docs = spark.createDataFrame([("d", "s", "github", "a.js", "js", "u", "config", "// TODO: x\nconsole.log(1)\n// TODO: y")], "doc_id string, source_id string, source_type string, path string, lang string, url string, kind string, text string")
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    found = scanning.findings(docs, masked=False).mapInArrow(seen, scanning.FINDING)
+    got = {(r["severity"], r["rule_id"], r["n"]) for r in scanning.summary(found).collect()}
+    assert got == {("info", None, 2), ("low", None, 1), (None, "REL-TODO", 2), (None, "REL-DEBUG-LEFTOVER", 1), (None, None, 3)} and runs.value == 3
+    assert [tuple(r) for r in scanning.summary(found.where("false")).collect()] == [(None, None, 0)]
