@@ -342,7 +342,7 @@ _SECTIONS = [(1, 1, "intro {k}", "m{k}"), (2, 4, "# A {k}\ntext\n", "m{k} › A
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of Markdown files with the headings above them."""
     k = F.col("p_partkey")
-    docs = tables.as_docs(table(spark, sf_dir, "part"), F.lit("s"), F.concat(F.lit("m"), k), form([_MARKDOWN], k), "doc")
+    docs = tables.as_docs(dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", _PER_TASK), F.lit("s"), F.concat(F.lit("m"), k), form([_MARKDOWN], k), "doc")
     return chunking.chunk_documents(docs).select(F.substring("path", 2, 99).cast("long").alias("k"), "chunk_no", "start", "end", "text", "title")
 
 
