@@ -1,16 +1,22 @@
-"""Query-side bridge between Japanese and English terms: for one query in Python, for a frame of queries as joins.
+"""Query-side bridge between Japanese and English terms, for one query or a frame of them.
 
-The joins match all patterns at once: a query's word heads and pairs of characters are looked up among those that
-patterns begin with, and what is found is compared in full. The glossary is a fixed table of some hundred rows.
+All patterns are matched at once: the heads of a query's words are looked up among those that patterns begin with, and what
+is found is compared in full. The glossary is a fixed table of some hundred rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import give_back, ranges
+from .text import query_terms
+
 #: Terms and the words they are linked with.
 PAIRS: dict[str, tuple[str, ...]] = {
     "認証": ("auth", "authentication", "login", "signin", "credential"),
@@ -114,20 +120,47 @@ PAIRS: dict[str, tuple[str, ...]] = {
 LINKED, BACK, GRAM = 0.55, 0.5, 0.45
 #: Fixed value: shorter words don't lead back to terms.
 SHORTEST = 3
+#: Bytes that no ASCII word holds, as blanks.
+_BLANKS = bytes(b if chr(b).isascii() and (chr(b).isalnum() or b == 95) else 32 for b in range(256))
+
+
+#: Terms by what leads back to them: ASCII words by their heads, others (right behind an ASCII word) as they are.
+_HEADS: dict[str, list[tuple[str, str]]] = {}
+_BEHIND: list[tuple[str, str]] = []
+for _term, _linked in PAIRS.items():
+    for _word in _linked:
+        if len(_word) >= SHORTEST and _word.isascii():
+            _HEADS.setdefault(_word[:SHORTEST], []).append((_word, _term))
+        elif len(_word) >= SHORTEST:
+            _BEHIND.append((_word, _term))
+_ASCII_TERMS = frozenset(term for term in PAIRS if term.isascii())
+_OTHER_TERMS = tuple(term for term in PAIRS if not term.isascii())
+#: Runs of characters beyond Latin-1: all that Japanese terms and words are made of.
+_WIDE = re.compile("[^\x00-\xff]+")
+
+
+def _in_order(found: set[str]) -> list[str]:
+    return [term for term in PAIRS if term in found] if found else []
 
 
-def terms_in(query: str) -> list[str]:
+def terms_in(query: str, words: set[str] | None = None) -> list[str]:
     """Terms that a query holds: Japanese ones anywhere, others as whole words."""
-    words = set(re.findall(r"\w+", query.lower(), re.ASCII))
-    return [term for term in PAIRS if (term in words if term.isascii() else term in query)]
+    found = _ASCII_TERMS & (_words_of(query.lower()) if words is None else words)
+    wide = " ".join(_WIDE.findall(query))
+    return _in_order({*found, *(term for term in _OTHER_TERMS if term in wide)} if wide else set(found))
 
 
-def terms_of_words(query: str) -> list[str]:
+def terms_of_words(query: str, words: set[str] | None = None) -> list[str]:
     """Terms that have a word which begins at either end of an ASCII word of the query."""
     low = query.lower()
-    ends = [at for word in re.finditer(r"\w+", low, re.ASCII) for at in word.span()]
-    begins = lambda word: len(word) >= SHORTEST and any(low.startswith(word, at) for at in ends)
-    return [term for term, linked in PAIRS.items() if any(map(begins, linked))]
+    found = {term for own in (_words_of(low) if words is None else words) for word, term in _HEADS.get(own[:SHORTEST], ()) if own.startswith(word)}
+    found.update(term for word, term in _BEHIND if word in low and re.search(f"[0-9a-z_]{word}", low))
+    return _in_order(found)
+
+
+def _words_of(low: str) -> set[str]:
+    """ASCII words of a text in lower case."""
+    return set(low.encode().translate(_BLANKS).decode().split())
 
 
 def bridge_terms(query: str) -> dict[str, float]:
@@ -135,54 +168,42 @@ def bridge_terms(query: str) -> dict[str, float]:
 
     A pair of characters has its own weight even where it is a term by itself.
     """
-    linked = dict.fromkeys((word for term in terms_in(query) for word in PAIRS[term]), LINKED)
-    back = terms_of_words(query)
+    words = _words_of(query.lower())
+    linked = dict.fromkeys((word for term in terms_in(query, words) for word in PAIRS[term]), LINKED)
+    back = terms_of_words(query, words)
     pairs = dict.fromkeys((term[i : i + 2] for term in back for i in range(len(term) - 1)), GRAM)
     return dict.fromkeys(back, BACK) | linked | pairs
 
 
 def weighted_terms(query: str, bridge: bool = True) -> dict[str, float]:
     """Query terms with their counts, then bridged terms that aren't among them."""
-    from .text import query_terms
-
     own = query_terms(query)
     return own | {t: w for t, w in bridge_terms(query).items() if t not in own} if bridge else own
 
 
-#: Characters by which patterns are looked up: ASCII ones at word heads, others anywhere.
-_HEAD, _PAIR = SHORTEST, 2
-
-
-def _pairs_of(text: Column) -> Column:
-    """All pairs of neighbouring characters of which one at least isn't ASCII, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=([^\x00-\x7F].|.[^\x00-\x7F]))"), F.lit(1)))
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, n in ranges(batch.columns):
+            part, terms, weights, sizes = batch.slice(at, n), [], [], []
+            for text in part.column(1).to_pylist():
+                found = weighted_terms(text or "")
+                terms += found
+                weights += found.values()
+                sizes.append(len(found))
+            ids = part.column(0).take(pa.array(np.repeat(np.arange(n), sizes)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(weights, pa.float64())], names=["query_id", "term", "weight"])
+    give_back()
 
 
-def bridged(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """query_id, term, weight: bridge_terms() of each row, each term with the weight of its last kind.
+def weighted(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """query_id, term, weight: weighted_terms() of each row, in the task that reads its text; a null text has no terms.
 
-    A null text has no terms.
+    Nothing is shuffled unless rows share an id: then words are added up, and of what the glossary adds the last kind stays.
     """
-    spark = queries.sparkSession
-    text, low = F.coalesce(F.col(text_col), F.lit("")), F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = queries.select(F.col(id_col).alias("query_id"), text.alias("text"), low.alias("low"), F.array_distinct(F.regexp_extract_all(low, F.lit("[0-9A-Za-z_]+"), F.lit(0))).alias("words"))
-    links = [(term, word, term.isascii(), word.isascii()) for term, linked in PAIRS.items() for word in linked]
-    glossary = F.broadcast(spark.createDataFrame(links, "term string, word string, term_ascii boolean, word_ascii boolean"))  # PAIRS alone
-    by_word = rows.select("query_id", F.explode("words").alias("own"))
-    by_pair = rows.select("query_id", "text", "low", F.explode(_pairs_of(F.col("text"))).alias("pair"))
-    low_pair = rows.select("query_id", "low", F.explode(_pairs_of(F.col("low"))).alias("pair"))
-    # Terms that a query holds, and their words.
-    there = by_word.join(glossary.where("term_ascii"), F.col("own") == F.col("term")).select("query_id", "term", "word").unionByName(
-        by_pair.join(glossary.where("not term_ascii"), F.left("term", F.lit(_PAIR)) == F.col("pair")).where(F.contains("text", F.col("term"))).select("query_id", "term", "word")
-    )
-    # Terms whose words begin at either end of an ASCII word: ASCII ones at its head, others right behind it.
-    long = glossary.where(F.length("word") >= SHORTEST)
-    back = by_word.join(long.where("word_ascii"), F.left("word", F.lit(_HEAD)) == F.left("own", F.lit(_HEAD))).where(F.startswith("own", F.col("word"))).select("query_id", "term").unionByName(
-        low_pair.join(long.where("not word_ascii"), F.left("word", F.lit(_PAIR)) == F.col("pair")).where(F.rlike("low", F.concat(F.lit("[0-9a-z_]"), F.col("word")))).select("query_id", "term")
-    )
-    back = back.distinct()
-    grams = F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substr(F.col("term"), i, F.lit(_PAIR)))
-    kinds = back.select("query_id", "term", F.lit(0).alias("kind"), F.lit(BACK).alias("weight"))
-    kinds = kinds.unionByName(there.select("query_id", F.col("word").alias("term"), F.lit(1).alias("kind"), F.lit(LINKED).alias("weight")))
-    kinds = kinds.unionByName(back.where(F.length("term") > 1).select("query_id", F.explode(grams).alias("term"), F.lit(2).alias("kind"), F.lit(GRAM).alias("weight")))
-    return kinds.groupBy("query_id", "term").agg(F.max_by("weight", "kind").alias("weight"))
+    rows = queries.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"))
+    found = rows.mapInArrow(_weigh, f"query_id {rows.schema['query_id'].dataType.simpleString()}, term string, weight double")
+    if rows.groupBy("query_id").count().where("count > 1").isEmpty():
+        return found
+    own = F.sum(F.when(F.col("weight") >= 1, F.col("weight")))  # what the glossary adds weighs less
+    kind = F.array_position(F.array(F.lit(BACK), F.lit(LINKED), F.lit(GRAM)), F.col("weight"))
+    return found.groupBy("query_id", "term").agg(F.coalesce(own, F.max_by("weight", kind)).alias("weight"))

@@ -134,6 +134,7 @@ def any_glob(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
 _TOKEN = re.compile(TOKEN)
 _IS_CJK = re.compile(f"[{CJK}]")
 _DIVIDED = re.compile("[_$]|.[A-Z]")
+_STOPPED = frozenset(STOP_WORDS)
 _WIDE = re.compile(f"[{WIDE}]")
 
 
@@ -159,7 +160,6 @@ def py_tokens(text: str | None, stop_words: bool = False) -> list[str]:
 
 #: Longer words are broken up each time; of others so many are remembered by a worker.
 _SHORT_WORD, _REMEMBERED = 32, 1 << 16
-_known_terms = lru_cache(_REMEMBERED)(word_terms)
 #: Characters of which words are found at a time; a part ends before a space.
 _PART = 1 << 20
 
@@ -173,27 +173,42 @@ def _parts(text: str) -> Iterator[str]:
         at = end
 
 
-#: What only words with several tokens hold, in two searches that skip quickly; and tokens of texts without such words, in lower case.
-_SEVERAL = re.compile(f"[{CJK}_$]"), re.compile("[A-Z](?:(?<=[a-z0-9].)|[A-Z][a-z])")
-_SINGLE = re.compile(r"[a-z][a-z0-9]+|[0-9]{2,}(?:\.[0-9]+)*|[0-9](?:\.[0-9]+)+")
+#: What needs letters and dots as they are: inner capitals that begin a part, and numbers with dots.
+_AS_IT_IS = re.compile(r"[A-Z](?:(?<=[a-z0-9].)|[A-Z][a-z])|[0-9]\.[0-9]")
+#: Bytes that end words become blanks, those of other scripts too; the second table makes lower case and blanks of dots as well.
+_INSIDE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.")
+_ENDS = bytes(b if b in _INSIDE else 32 for b in range(256))
+_LOW_ENDS = _ENDS.lower().replace(b".", b" ")
+_CJK_RUN = re.compile(f"[{CJK}]+")
+
+
+def piece_terms(piece: str) -> tuple[str, ...]:
+    """Tokens of what stands between two ends of words, in order."""
+    return tuple(term for word in _TOKEN.findall(piece) for term in word_terms(word))
+
+
+_known_terms = lru_cache(_REMEMBERED)(piece_terms)
 
 
 def count_terms(counts: dict[str, int], text: str | None, weight: int = 1) -> int:
     """Adds `weight` to each token's count, as often as it occurs in the text; the number of tokens.
 
-    A word is broken up once a text, however often it occurs; in most texts none has to be.
+    A word is broken up once a text, however often it occurs; most words are a token as they are.
     """
-    text, words = text or "", Counter()
-    if not counts and weight == 1 and not any(several.search(text) for several in _SEVERAL):
-        for part in _parts(text.encode().lower().decode()):  # A to Z alone
-            words.update(_SINGLE.findall(part))
+    words = Counter()
+    for part in _parts(text or ""):
+        words.update(part.encode().translate(_ENDS if _AS_IT_IS.search(part) else _LOW_ENDS).decode().split())
+        if not part.isascii():
+            words.update(_CJK_RUN.findall(part))
+    others = [(piece, words.pop(piece)) for piece in [p for p in words if not (p.islower() and p.isalpha() and len(p) > 1)]]
+    if counts or weight != 1:
+        for word, n in words.items():
+            counts[word] = counts.get(word, 0) + n * weight
+    else:
         counts.update(words)
-        return words.total()
-    for part in _parts(text):
-        words.update(_TOKEN.findall(part))
-    total = 0
-    for word, n in words.items():
-        terms = _known_terms(word) if len(word) <= _SHORT_WORD else word_terms(word)
+    total = words.total()
+    for piece, n in others:
+        terms = _known_terms(piece) if len(piece) <= _SHORT_WORD else piece_terms(piece)
         total += n * len(terms)
         for term in terms:
             counts[term] = counts.get(term, 0) + n * weight
@@ -202,7 +217,9 @@ def count_terms(counts: dict[str, int], text: str | None, weight: int = 1) -> in
 
 def query_terms(text: str | None) -> dict[str, float]:
     """Weight of each term of a query: how often it occurs, stop words left out."""
-    return {t: float(n) for t, n in Counter(py_tokens(text, stop_words=True)).items()}
+    counts: dict[str, int] = {}
+    count_terms(counts, text)
+    return {t: float(n) for t, n in counts.items() if t not in _STOPPED}
 
 
 def utf16_length(text: str) -> int:

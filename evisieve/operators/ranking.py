@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.glossary import bridged, weighted_terms
+from ..functions.glossary import weighted, weighted_terms
 from .tables import kept
 
 K1, B = 1.2, 0.75
@@ -43,13 +43,11 @@ def term_frame(spark: SparkSession, queries: dict[str, str], bridge: bool = True
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str, bridge: bool = False) -> DataFrame:
-    """The same for a frame of queries, without Python; `bridge` adds the glossary's terms that a query doesn't hold itself."""
+    """The same for a frame of queries, without Python; `bridge` adds the glossary's terms that a query doesn't hold itself, by an Arrow function."""
+    if bridge:
+        return weighted(queries, id_col, text_col)
     term = F.explode(tx.tokens(F.col(text_col), stop_words=True)).alias("term")
-    own = queries.select(F.col(id_col).alias("query_id"), term).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
-    if not bridge:
-        return own
-    both = own.withColumn("own", F.lit(1)).unionByName(bridged(queries, id_col, text_col).withColumn("own", F.lit(0)))
-    return both.groupBy("query_id", "term").agg(F.max_by("weight", "own").alias("weight"))
+    return queries.select(F.col(id_col).alias("query_id"), term).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def ranked(scores: DataFrame, top: int, per: str = "query_id") -> DataFrame:

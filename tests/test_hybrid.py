@@ -22,6 +22,20 @@ def test_bridge_of_frames_equals_that_of_texts(spark):
         assert got.get(i, {}) == {k: float(w) for k, w in glossary.weighted_terms(t or "").items()}, t
 
 
+def test_queries_are_weighed_where_they_are_read_and_those_of_one_id_are_added_up(spark):
+    texts = ["refund refund 返金 v1.2 fooBar", "login Login. the_log", "ログイン api, 仕様", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, q string")
+    one = ranking.query_terms(frame, "id", "q", bridge=True)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1  # no shuffle, and no row per occurrence
+    got = {(r.query_id, r.term): r.weight for r in one.collect()}
+    assert got[0, "refund"] == 2.0 and got[0, "v1"] == 1.0 and got[0, "foobar"] == 1.0 and got[0, "reverse"] == 0.55 and got[1, "login"] == 2.0 and got[2, "login"] == 0.55
+    more = spark.createDataFrame([(7, "refund"), (7, "refund 返金"), (7, "返"), (None, "api"), (None, "api")], "id int, q string")
+    both = {(r.query_id, r.term): r.weight for r in ranking.query_terms(more, "id", "q", bridge=True).collect()}
+    assert both[7, "refund"] == 2.0 and both[7, "cancel"] == 0.55 and both[7, "返金"] == 1.0 and both[None, "api"] == 2.0 and both[None, "エンドポイント"] == 0.55
+    assert ranking.query_terms(more, "id", "q", bridge=True).count() == len(both)
+
+
 def test_search_of_many_needs_equals_one_at_a_time(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
