@@ -40,10 +40,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 terms.append(WHOLE)
                 tf.append(dl)
                 sizes.append(len(counts) + 1)
-            found = pa.array(terms, pa.string())
-            order = pc.array_sort_indices(found)
-            rows = pa.array(np.repeat(np.arange(n), sizes)).take(order)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), found.take(order), pa.array(tf, pa.int32()).take(order)], names=["key", "term", "tf"])
+            found = pa.array(terms, pa.string()).dictionary_encode()
+            places = np.empty(len(found.dictionary), np.int32)  # sorted as numbers: a part holds most terms many times
+            places[pc.array_sort_indices(found.dictionary).to_numpy()] = np.arange(len(places), dtype=np.int32)
+            order = np.argsort(places[found.indices.to_numpy()], kind="stable")
+            rows = pa.array(np.repeat(np.arange(n), sizes)[order])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), found.dictionary.take(found.indices.take(pa.array(order))), pa.array(np.array(tf, np.int32)[order])], names=["key", "term", "tf"])
     give_back()
 
 
@@ -69,10 +71,30 @@ def postings_of(chunks: DataFrame, key: str = "key", head: Column | None = None)
 
 
 def stored_postings(chunks: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """postings_of() and lengths_of() by one pass over the texts, stored."""
+    """postings_of() and lengths_of() by one pass over the texts of a stored table, stored."""
     rows = kept(counted(chunks, key), "counted")
-    whole = rows.where(F.col("term") == WHOLE)
-    return _summed(rows.where(F.col("term") != WHOLE), whole.select("key")), whole.select("key", F.greatest("tf", F.lit(1)).alias("dl"))
+    return _summed(postings_in(rows), chunks.select(F.col(key).alias("key"))), lengths_in(rows)
+
+
+def written_postings(chunks: DataFrame, path: str) -> DataFrame:
+    """counted() of a stored table's chunks as rows of an index, written once, a file's by term; chunks of one key are summed, but not their rows of WHOLE."""
+    if chunks.groupBy("key").count().where("count > 1").isEmpty():
+        rows = by_term(counted(chunks).select("term", "key", "tf"))
+    else:
+        rows = kept(counted(chunks), "counted")
+        rows = arranged(_summed(postings_in(rows), chunks.select("key")).unionByName(rows.where(F.col("term") == WHOLE)))
+    rows.write.mode("overwrite").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def postings_in(rows: DataFrame) -> DataFrame:
+    """Postings among the rows of an index or of counted(); older indexes have no others."""
+    return rows.where(F.col("term") != WHOLE)
+
+
+def lengths_in(rows: DataFrame) -> DataFrame:
+    """lengths_of() from such rows."""
+    return rows.where(F.col("term") == WHOLE).select("key", F.greatest("tf", F.lit(1)).alias("dl"))
 
 
 def totals_of(chunks: DataFrame, key: str = "key") -> DataFrame:
@@ -104,9 +126,14 @@ def scoring_postings(chunks: DataFrame, wanted: DataFrame, key: str = "key") ->
     return bucketed(sums, "postings", buckets, "key")
 
 
+def by_term(postings: DataFrame) -> DataFrame:
+    """Postings of a task by term, for rows that are by chunk already, as those of counted()."""
+    return postings.sortWithinPartitions("term", "key")
+
+
 def arranged(postings: DataFrame) -> DataFrame:
     """Postings by chunk, those of a file by term: a word that every chunk holds is in all files, in each a range of rows of its own."""
-    return postings.repartition("key").sortWithinPartitions("term", "key")
+    return by_term(postings.repartition("key"))
 
 
 def lengths_of(chunks: DataFrame, key: str = "key") -> DataFrame:
@@ -161,15 +188,14 @@ class IndexStore:
         folder = f"{self.path}/gen={number:04d}"
         chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
         chunks = self.spark.read.parquet(f"{folder}/chunks")
-        postings, lengths = stored_postings(chunks)
-        arranged(postings).write.mode("overwrite").parquet(f"{folder}/postings")
-        lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        rows = written_postings(chunks, f"{folder}/postings")
+        lengths_in(rows).write.mode("overwrite").parquet(f"{folder}/lengths")
         dims = None
         if vectors is not None:
             dims = vectors.select(F.max(F.size("embedding"))).first()[0]
             vectors.select("key", F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("array<float>")).alias("embedding")).write.mode("overwrite").parquet(f"{folder}/vectors")
         n, avgdl = self.spark.read.parquet(f"{folder}/lengths").agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
-        terms = self.spark.read.parquet(f"{folder}/postings").select("term").distinct().count()
+        terms = postings_in(rows).select("term").distinct().count()
         by_source = {r["source_id"]: {"chunks": r["chunks"], "documents": r["documents"]} for r in source_stats(chunks).collect()} if "source_id" in chunks.columns else {}
         if any(g > number for g in self.generations()):
             raise Superseded(f"generation {number} is older than a published one")
@@ -213,6 +239,7 @@ class Snapshot:
         if self.manifest["format"] != FORMAT:
             raise ValueError("the index has another format: build it again")
         self.chunks, self.postings, self.lengths = (spark.read.parquet(f"{folder}/{t}") for t in ("chunks", "postings", "lengths"))
+        self.postings = postings_in(self.postings)
         self.vectors = spark.read.parquet(f"{folder}/vectors") if self.manifest["dims"] else None
         self.totals = (self.manifest["n"], self.manifest["avgdl"])
 

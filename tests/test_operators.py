@@ -542,6 +542,26 @@ def test_an_index_reads_texts_once_and_sums_chunks_of_one_key(spark):
     assert index.totals_of(chunks).first() == (5, 1.8, 7) and index.totals_of(chunks.where("false")).first() == (0, None, 0)
 
 
+def test_postings_are_written_once_in_the_task_that_reads_a_text(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, f"t{i % 7}", f"p/{i}", " ".join(rng.choice(["alpha", "Beta", "fooBar", "v1.2", "日本", "x_y"]) for _ in range(i % 9))) for i in range(60)]
+    for name, more in (("apart", []), ("shared", [(3, "again", "p", "alpha alpha"), (None, "a", "", "beta"), (None, "b", "", None)])):
+        spark.createDataFrame(rows + more, "key long, title string, path string, text string").repartition(3).write.parquet(f"{tmp_path}/{name}")
+        chunks = spark.read.parquet(f"{tmp_path}/{name}")
+        held = index.written_postings(chunks, f"file://{tmp_path}/{name}-postings")
+        assert sorted(map(str, index.postings_in(held).collect())) == sorted(map(str, index.postings_of(chunks).collect()))
+        assert sorted(map(str, index.lengths_in(held).collect())) == sorted(map(str, index.lengths_of(chunks).collect()))
+        for path in held.inputFiles():
+            terms = [r["term"] for r in spark.read.parquet(path).collect()]
+            assert terms == sorted(terms, key=str.encode)
+    plan = index.by_term(index.counted(chunks))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    store = index.IndexStore(spark, f"file://{tmp_path}/index")
+    store.build(spark.read.parquet(f"{tmp_path}/apart"))
+    now = store.open()
+    assert now.manifest["n"] == 60 and now.postings.where("term = ''").isEmpty() and now.manifest["terms"] == now.postings.select("term").distinct().count()
+
+
 def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, tmp_path):
     from evisieve.operators.tables import dealt
     from evisieve.plans import forms
