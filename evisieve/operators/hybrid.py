@@ -17,12 +17,13 @@ from .segments import SegmentSnapshot
 def hybrid(
     now: Snapshot | SegmentSnapshot, needs: DataFrame, k: int = 28, per_query: int = 60, balance: float = ranking.DIVERSITY, bridge: bool = True,
     chunks: DataFrame | None = None, asked: DataFrame | None = None, kind_priors: dict[str, float] | None = None, source_priority: dict[str, float] | None = None,
+    most_tokens: int | None = ranking.MOST_TOKENS,
 ) -> DataFrame:
     """need_id, key, score and rank: the best k chunks of each need.
 
     needs: need_id, list_no and text, each pair of the first two once. asked: need_id, list_no and embedding of queries
     that have a vector. chunks: what may be found (all by default); counts stay those of the whole index. A need
-    without a hit has no rows. Lists count towards the mean even where they are empty.
+    without a hit has no rows. Lists count towards the mean even where they are empty. most_tokens: see diversified.
     """
     filtered = chunks is not None
     chunks = now.chunks if chunks is None else chunks
@@ -40,4 +41,4 @@ def hybrid(
     fused = ranking.fuse(found, counts.withColumnRenamed("need_id", "query_id"))
     every = terms.select(F.col("query_id.need_id").alias("query_id"), "term").distinct()
     scored = ranking.boosted(fused, chunks, every, kind_priors, source_priority)
-    return ranking.diversified(scored, chunks, k, balance, now.vectors).withColumnRenamed("query_id", "need_id")
+    return ranking.diversified(scored, chunks, k, balance, now.vectors, most_tokens).withColumnRenamed("query_id", "need_id")

@@ -200,13 +200,16 @@ def similarity(a: dict, b: dict) -> float:
     return both / max(1, len(a["tokens"]) + len(b["tokens"]) - both)
 
 
-def diversified(scores: DataFrame, chunks: DataFrame, k: int = 28, balance: float = DIVERSITY, vectors: DataFrame | None = None) -> DataFrame:
+def diversified(scores: DataFrame, chunks: DataFrame, k: int = 28, balance: float = DIVERSITY, vectors: DataFrame | None = None, most_tokens: int | None = MOST_TOKENS) -> DataFrame:
     """query_id, key, score and rank in order of selection. chunks: key, doc_id, text; vectors: key, embedding.
 
-    Only the pool of max(6 k, 60) candidates per query is joined with texts and grouped.
+    Only the pool of max(6 k, 60) candidates per query is joined with texts and grouped. most_tokens: how many of
+    a text's first tokens are compared (900 is the reference's rule); None: all. Each distinct one is sent once.
     """
     pool = ranked(scores, max(6 * k, 60))
-    pool = pool.join(chunks.select("key", "doc_id", "text"), "key").withColumn("tokens", F.slice(tx.tokens(F.col("text")), 1, MOST_TOKENS)).drop("text")
+    words = tx.tokens(F.col("text"))
+    words = F.array_distinct(words if most_tokens is None else F.slice(words, 1, most_tokens))
+    pool = pool.join(chunks.select("key", "doc_id", "text"), "key").withColumn("tokens", words).drop("text")
     pool = pool.join(vectors.select("key", "embedding"), "key", "left") if vectors is not None else pool.withColumn("embedding", F.lit(None).cast("array<float>"))
     types = {f.name: f.dataType.simpleString() for f in pool.schema}
 

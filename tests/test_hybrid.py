@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from evisieve.engine import Engine
 from evisieve.functions import glossary
 from evisieve.operators import ranking
+from evisieve.plans import queries
 from pyspark.sql import functions as F
 
 
@@ -55,3 +57,26 @@ def test_search_of_many_needs_equals_one_at_a_time(spark, tmp_path):
         alone = [(h["key"], h["score"], h["rank"]) for h in e.search(qs, 5)]
         assert [(r.key, r.score, r["rank"]) for r in every if r.need_id == n] == alone and alone
     assert e.search_all(frame.where("false"), 5, asked.where(F.lit(False))).count() == 0
+
+
+def long_texts(spark, folder) -> str:
+    """Tables of one item and three documents of over 900 tokens; two of them differ only after their first 1,000."""
+    same, tails = " ".join(f"w{i}" for i in range(1000)), [" ".join(f"{c}{i}" for i in range(2000)) for c in "xyz"]
+    texts = [f"needle needle {same} {tails[0]}", f"needle needle {same} {tails[1]}", f"needle {' '.join(f'v{i}' for i in range(1000))} {tails[2]}"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(7, "needle")], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def by_sql(name: str, folder: str) -> list[tuple]:
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return sorted(con.sql(queries.oracle_sql()[name]).fetchall())
+
+
+def test_hybrid_search_compares_whole_texts(spark, tmp_path):
+    folder = long_texts(spark, tmp_path)
+    got = queries.queries()["hybrid_search"](spark, folder).orderBy("rank").collect()
+    assert [r.key for r in got] == [0, 1, 2]  # by its first 900 tokens the second is a copy of the first, and comes last
+    assert sorted((r.need_id, r.key, r.score, r["rank"]) for r in got) == by_sql("hybrid_search", folder)
