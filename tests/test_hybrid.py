@@ -80,3 +80,9 @@ def test_hybrid_search_compares_whole_texts(spark, tmp_path):
     got = queries.queries()["hybrid_search"](spark, folder).orderBy("rank").collect()
     assert [r.key for r in got] == [0, 1, 2]  # by its first 900 tokens the second is a copy of the first, and comes last
     assert sorted((r.need_id, r.key, r.score, r["rank"]) for r in got) == by_sql("hybrid_search", folder)
+
+
+def test_jaccard_pairs_compare_whole_texts(spark, tmp_path):
+    folder = long_texts(spark, tmp_path)
+    got = sorted(map(tuple, queries.queries()["jaccard_pairs"](spark, folder).select("query_id", "a", "b", "similarity").collect()))
+    assert got == [(7, 0, 1, round(1001 / 5001, 6))] == by_sql("jaccard_pairs", folder)  # by their first 900 tokens, copies of each other
